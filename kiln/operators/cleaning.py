@@ -53,7 +53,7 @@ def coalesce_null(c: Column, default: object | None, data_type: str | None = Non
 def standardize_date(c: Column, formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> Column:
     """Date text in any listed format -> DATE (first format that parses wins, else NULL)."""
     text = c.cast("string")
-    return F.coalesce(*[F.try_to_date(text, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_date(text, f) for f in formats])
 
 
 def clean_column(df: DataFrame, name: str, rule: CleanRule) -> Column:

@@ -103,3 +103,263 @@ def q_profile_orders(spark, d):
 @register("profile_events", profile_sql("events", EVENTS_PROFILE_COLS, "events"))
 def q_profile_events(spark, d):
     return P.column_stats(decimal_doubles(T(spark, d, "events")), "events")
+
+
+PART_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+PART_SRC = (
+    "(SELECT p_partkey, p_name, p_brand, p_type, p_size, CAST(p_retailprice AS DECIMAL(18,2)) AS p_retailprice FROM part) AS p"
+)
+
+
+def _long_sql(cols: list[str], src: str) -> str:
+    from kiln.plans.sqltext import long_values_sql
+
+    return long_values_sql([(c, c) for c in cols], src)
+
+
+TOP_VALUES_PART_SQL = f"""
+WITH vc AS (SELECT column_name, value, count(*) AS cnt FROM ({_long_sql(PART_COLS, PART_SRC)}) lv GROUP BY column_name, value),
+r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value ASC NULLS LAST) AS rnk,
+             sum(cnt) OVER (PARTITION BY column_name) AS n FROM vc)
+SELECT 'part' AS table_name, column_name, CAST(rnk AS INTEGER) AS rank, value, cnt AS "count",
+       {ratio4_sql('cnt', 'n')} AS frequency
+FROM r WHERE rnk <= 5
+"""
+
+
+@register("top_values_part", TOP_VALUES_PART_SQL)
+def q_top_values_part(spark, d):
+    return P.top_values(decimal_doubles(T(spark, d, "part")), 5, "part")
+
+
+SAMPLE_VALUES_PART_SQL = f"""
+WITH vc AS (SELECT DISTINCT column_name, value FROM ({_long_sql(PART_COLS, PART_SRC)}) lv WHERE value IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY value) AS rnk FROM vc)
+SELECT 'part' AS table_name, column_name, CAST(rnk AS INTEGER) AS rank, value FROM r WHERE rnk <= 5
+"""
+
+
+@register("sample_values_part", SAMPLE_VALUES_PART_SQL)
+def q_sample_values_part(spark, d):
+    return P.sample_values(decimal_doubles(T(spark, d, "part")), 5, "part")
+
+
+NULL_EVENTS_COLS = [
+    ("event_id", "bigint", "event_id"),
+    ("user_id", "bigint", "user_id"),
+    ("event_type", "string", "nullif(event_type, 'error')"),
+    ("props", "string", "CASE WHEN event_type = 'view' THEN NULL ELSE props END"),
+]
+NULL_PROFILE_EVENTS_SQL = (
+    "SELECT column_name, row_count, null_count, null_rate, is_unique_candidate FROM ("
+    + profile_sql("events", NULL_EVENTS_COLS, "events")
+    + ") AS s"
+)
+
+
+@register("null_profile_events", NULL_PROFILE_EVENTS_SQL)
+def q_null_profile_events(spark, d):
+    ev = T(spark, d, "events")
+    src = ev.select(
+        "event_id",
+        "user_id",
+        F.nullif(F.col("event_type"), F.lit("error")).alias("event_type"),
+        F.when(F.col("event_type") == "view", F.lit(None)).otherwise(F.col("props")).alias("props"),
+    )
+    return P.column_stats(src, "events").select("column_name", "row_count", "null_count", "null_rate", "is_unique_candidate")
+
+
+CATALOG_COLUMNS = {
+    "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11,
+    "events": 6, "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,
+}
+PROFILE_CATALOG_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count, {n} AS column_count FROM {t}" for t, n in CATALOG_COLUMNS.items()
+)
+
+
+@register("profile_catalog", PROFILE_CATALOG_SQL)
+def q_profile_catalog(spark, d):
+    from kiln.sources.tables import TABLES
+
+    return P.profile_catalog({t: T(spark, d, t) for t in TABLES})
+
+
+LINEITEM_COLS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+]
+KEY_CANDIDATES_LINEITEM_SQL = "\nUNION ALL\n".join(
+    [
+        f"SELECT 'lineitem' AS table_name, '{c}' AS key_columns, count(*) AS row_count, count(*) - count({c}) AS null_rows, "
+        f"count(DISTINCT {c}) AS distinct_keys FROM lineitem"
+        for c in LINEITEM_COLS
+    ]
+    + [
+        "SELECT 'lineitem', 'l_orderkey,l_linenumber', CAST(sum(n) AS BIGINT), "
+        "CAST(coalesce(sum(CASE WHEN has_null = 1 THEN n END), 0) AS BIGINT), count(*) FILTER (WHERE has_null = 0) "
+        "FROM (SELECT l_orderkey, l_linenumber, count(*) AS n, "
+        "max(CASE WHEN l_orderkey IS NULL OR l_linenumber IS NULL THEN 1 ELSE 0 END) AS has_null "
+        "FROM lineitem GROUP BY l_orderkey, l_linenumber) g"
+    ]
+)
+KEY_CANDIDATES_LINEITEM_SQL = (
+    "SELECT *, row_count - null_rows - distinct_keys AS surplus_rows, "
+    "(null_rows = 0 AND distinct_keys = row_count AND row_count > 0) AS is_key FROM ("
+    + KEY_CANDIDATES_LINEITEM_SQL
+    + ") AS k"
+)
+
+
+@register("key_candidates_lineitem", KEY_CANDIDATES_LINEITEM_SQL)
+def q_key_candidates_lineitem(spark, d):
+    return P.key_candidates(T(spark, d, "lineitem"), [["l_orderkey", "l_linenumber"]], "lineitem")
+
+
+# --------------------------------------------------------------------- clean
+
+from kiln.operators.cleaning import apply_clean_rules  # noqa: E402
+from kiln.plans.spec import CleanRule, Dedup  # noqa: E402
+
+CLEAN_CAST_SQL = """
+SELECT o_orderkey,
+       CAST(trim(substr(o_orderpriority, 1, 1)) AS INTEGER) AS priority_code,
+       TRY_CAST(o_orderpriority AS INTEGER) AS priority_raw,
+       CAST(o_totalprice AS DECIMAL(12,2)) AS o_totalprice
+FROM orders
+"""
+
+
+@register("clean_cast", CLEAN_CAST_SQL)
+def q_clean_cast(spark, d):
+    o = T(spark, d, "orders").select(
+        "o_orderkey",
+        F.substring("o_orderpriority", 1, 1).alias("priority_code"),
+        F.col("o_orderpriority").alias("priority_raw"),
+        "o_totalprice",
+    )
+    rules = [
+        CleanRule("priority_code", ("trim_whitespace", "cast_type"), "INTEGER"),
+        CleanRule("priority_raw", ("cast_type",), "INTEGER", on_error="null"),
+        CleanRule("o_totalprice", ("cast_type",), "DECIMAL(12,2)"),
+    ]
+    return apply_clean_rules(o, rules)
+
+
+DATE_TEXT_SPARK = {"F": "yyyy-MM-dd", "O": "yyyy/MM/dd", "P": "dd-MM-yyyy"}
+CLEAN_DATES_SQL = r"""
+WITH t AS (
+  SELECT o_orderkey,
+         CASE o_orderstatus WHEN 'F' THEN strftime(o_orderdate, '%Y-%m-%d')
+                            WHEN 'O' THEN strftime(o_orderdate, '%Y/%m/%d')
+                            ELSE strftime(o_orderdate, '%d-%m-%Y') END AS date_text
+  FROM orders)
+SELECT o_orderkey, date_text,
+       CAST(CASE WHEN regexp_matches(date_text, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN strptime(date_text, '%Y-%m-%d')
+                 WHEN regexp_matches(date_text, '^[0-9]{4}/[0-9]{2}/[0-9]{2}$') THEN strptime(date_text, '%Y/%m/%d')
+                 WHEN regexp_matches(date_text, '^[0-9]{2}-[0-9]{2}-[0-9]{4}$') THEN strptime(date_text, '%d-%m-%Y') END
+            AS DATE) AS order_date
+FROM t
+"""
+
+
+@register("clean_dates", CLEAN_DATES_SQL)
+def q_clean_dates(spark, d):
+    o = T(spark, d, "orders")
+    text = F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", DATE_TEXT_SPARK["F"]))
+    text = text.when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", DATE_TEXT_SPARK["O"]))
+    text = text.otherwise(F.date_format("o_orderdate", DATE_TEXT_SPARK["P"]))
+    src = o.select("o_orderkey", text.alias("date_text"), text.alias("order_date"))
+    return apply_clean_rules(src, [CleanRule("order_date", ("trim_whitespace", "standardize_date"))])
+
+
+CLEAN_DEDUP_EVENTS_SQL = """
+SELECT * FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1
+"""
+
+
+@register("clean_dedup_events", CLEAN_DEDUP_EVENTS_SQL)
+def q_clean_dedup_events(spark, d):
+    return apply_clean_rules(T(spark, d, "events"), [], Dedup(("user_id", "event_type"), ("ts", "event_id"), "last"))
+
+
+CLEAN_CHAIN_SQL = """
+WITH src AS (
+  SELECT p_partkey, concat('  ', p_name, ' ') AS p_name, concat(' ', p_brand) AS p_brand,
+         nullif(p_type, 'SMALL') AS p_type, CAST(p_size AS VARCHAR) AS p_size
+  FROM part),
+c AS (
+  SELECT p_partkey, upper(trim(p_name)) AS p_name, lower(trim(p_brand)) AS p_brand,
+         coalesce(p_type, 'UNSPECIFIED') AS p_type, CAST(trim(p_size) AS INTEGER) AS p_size
+  FROM src)
+SELECT * FROM c
+QUALIFY row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey DESC) = 1
+"""
+
+
+@register("clean_chain", CLEAN_CHAIN_SQL)
+def q_clean_chain(spark, d):
+    p = T(spark, d, "part")
+    src = p.select(
+        "p_partkey",
+        F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("p_name"),
+        F.concat(F.lit(" "), "p_brand").alias("p_brand"),
+        F.nullif(F.col("p_type"), F.lit("SMALL")).alias("p_type"),
+        F.col("p_size").cast("string").alias("p_size"),
+    )
+    rules = [
+        CleanRule("p_name", ("trim_whitespace", "uppercase")),
+        CleanRule("p_brand", ("trim_whitespace", "lowercase")),
+        CleanRule("p_type", ("coalesce_null",), default="UNSPECIFIED"),
+        CleanRule("p_size", ("trim_whitespace", "cast_type"), "INTEGER"),
+    ]
+    return apply_clean_rules(src, rules, Dedup(("p_name", "p_brand"), ("p_partkey",), "last"))
+
+
+# --------------------------------------------------------------------- quality
+
+from kiln.operators import quality as Q  # noqa: E402
+
+QC_ORDERS_SQL = """
+WITH checks AS (
+  SELECT 'not_null_orders_o_orderkey' AS check_name, 'orders' AS table_name, 'not_null' AS check_type, 'o_orderkey' AS field,
+         CAST(count(*) FILTER (WHERE o_orderkey IS NULL) AS BIGINT) AS failures FROM orders
+  UNION ALL SELECT 'not_null_orders_o_custkey', 'orders', 'not_null', 'o_custkey', count(*) FILTER (WHERE o_custkey IS NULL) FROM orders
+  UNION ALL SELECT 'not_null_orders_o_orderdate', 'orders', 'not_null', 'o_orderdate', count(*) FILTER (WHERE o_orderdate IS NULL) FROM orders
+  UNION ALL SELECT 'unique_orders_o_orderkey', 'orders', 'unique', 'o_orderkey',
+         (SELECT count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1))
+  UNION ALL SELECT 'unique_lineitem_l_orderkey_l_linenumber', 'lineitem', 'unique', 'l_orderkey,l_linenumber',
+         (SELECT count(*) FROM (SELECT 1 FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
+                                GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))
+  UNION ALL SELECT 'relationships_orders_o_custkey_customer', 'orders', 'relationships', 'o_custkey',
+         (SELECT count(*) FROM orders o WHERE o.o_custkey IS NOT NULL
+            AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey))
+  UNION ALL SELECT 'relationships_lineitem_l_orderkey_orders', 'lineitem', 'relationships', 'l_orderkey',
+         (SELECT count(*) FROM lineitem l WHERE l.l_orderkey IS NOT NULL
+            AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey))
+  UNION ALL SELECT 'positive_totalprice', 'orders', 'custom', 'o_totalprice',
+         count(*) FILTER (WHERE NOT coalesce(o_totalprice > 0, false)) FROM orders
+  UNION ALL SELECT 'quantity_in_range', 'lineitem', 'custom', 'l_quantity',
+         count(*) FILTER (WHERE NOT coalesce(l_quantity BETWEEN 1 AND 50, false)) FROM lineitem
+)
+SELECT *, CASE WHEN failures = 0 THEN 'pass' ELSE 'fail' END AS status,
+       CASE WHEN failures = 0 THEN 'ok' ELSE CAST(failures AS VARCHAR) || ' failing' END AS message
+FROM checks
+"""
+
+
+@register("qc_orders", QC_ORDERS_SQL)
+def q_qc_orders(spark, d):
+    o, li, c = T(spark, d, "orders"), T(spark, d, "lineitem"), T(spark, d, "customer")
+    return Q.qc_report(
+        [
+            Q.check_not_null(o, ["o_orderkey", "o_custkey", "o_orderdate"], "orders"),
+            Q.check_unique(o, ["o_orderkey"], "orders"),
+            Q.check_unique(li, [("l_orderkey", "l_linenumber")], "lineitem"),
+            Q.check_references(o, "o_custkey", c, "c_custkey", "orders", "customer"),
+            Q.check_references(li, "l_orderkey", o, "o_orderkey", "lineitem", "orders"),
+            Q.check_custom(o, "positive_totalprice", "o_totalprice > 0", "orders", "o_totalprice"),
+            Q.check_custom(li, "quantity_in_range", "l_quantity BETWEEN 1 AND 50", "lineitem", "l_quantity"),
+        ]
+    )
