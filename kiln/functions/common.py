@@ -23,9 +23,13 @@ def ratio4(num: Column | str, den: Column | str) -> Column:
     return F.when(d > 0, whole.cast("double") / 10000.0).otherwise(F.lit(0.0))
 
 
+# fixed value: whitespace stripped around values (ASCII, no-break space, ideographic space)
+WS_CLASS = "[ \\t\\n\\r\\f\\x0B\u00a0\u3000]"
+
+
 def strip_all(c: Column | str) -> Column:
     """Remove leading and trailing whitespace of any kind (``trim`` takes spaces only)."""
-    return F.regexp_replace(col_of(c), r"^[\s　 ]+|[\s　 ]+$", "")
+    return F.regexp_replace(col_of(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
 
 
 def digits_only(c: Column | str) -> Column:

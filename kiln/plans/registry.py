@@ -363,3 +363,145 @@ def q_qc_orders(spark, d):
             Q.check_custom(li, "quantity_in_range", "l_quantity BETWEEN 1 AND 50", "lineitem", "l_quantity"),
         ]
     )
+
+
+# --------------------------------------------------------------------- pii
+
+from kiln.operators import pii as I  # noqa: E402
+from kiln.plans.sqltext import mask_birth_sql, mask_default_sql, mask_name_sql, pii_labels_sql  # noqa: E402
+
+
+def customer_contacts(customer: DataFrame) -> DataFrame:
+    """Customer rows with contact columns derived from the key (driver data has no personal data)."""
+    key = F.col("c_custkey").cast("string")
+    phone = F.concat(F.lit("138"), F.lpad(key, 8, "0"))
+    return customer.select(
+        "c_custkey",
+        "c_name",
+        phone.alias("c_phone"),
+        phone.alias("contact"),
+        F.concat(F.lit("u"), key, F.lit("@example.com")).alias("login"),
+        F.concat_ws(".", F.lit("10"), F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 256).cast("string"),
+                    (F.col("c_custkey") % 200).cast("string")).alias("host_ip"),
+        F.concat(F.lit("9"), F.lpad(key, 11, "0")).alias("order_no"),
+        F.when(F.col("c_mktsegment") == "BUILDING", phone).otherwise(F.col("c_mktsegment")).alias("mixed"),
+        "c_mktsegment",
+    )
+
+
+CONTACTS_SQL = """(SELECT c_custkey, c_name,
+       '138' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS c_phone,
+       '138' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS contact,
+       'u' || CAST(c_custkey AS VARCHAR) || '@example.com' AS login,
+       concat_ws('.', '10', CAST(c_nationkey AS VARCHAR), CAST(c_custkey % 256 AS VARCHAR), CAST(c_custkey % 200 AS VARCHAR)) AS host_ip,
+       '9' || lpad(CAST(c_custkey AS VARCHAR), 11, '0') AS order_no,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN '138' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') ELSE c_mktsegment END AS mixed,
+       c_mktsegment
+FROM customer)"""
+CONTACT_COLS = ["c_custkey", "c_name", "c_phone", "contact", "login", "host_ip", "order_no", "mixed", "c_mktsegment"]
+
+
+def _hint(c: str) -> str:
+    from kiln.functions.pii import name_has_key_hint
+
+    return "true" if name_has_key_hint(c) else "false"
+
+
+PII_VALUES_CUSTOMER_SQL = "\nUNION ALL\n".join(
+    f"SELECT c_custkey, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, {pii_labels_sql(c, _hint(c))} AS pii_types "
+    f"FROM {CONTACTS_SQL} AS t"
+    for c in CONTACT_COLS
+)
+
+
+@register("pii_values_customer", PII_VALUES_CUSTOMER_SQL)
+def q_pii_values_customer(spark, d):
+    v = I.pii_values(customer_contacts(T(spark, d, "customer")), CONTACT_COLS, keep=["c_custkey"])
+    return v.withColumn("pii_types", F.array_join("pii_types", ","))
+
+
+def _scan_sql() -> str:
+    from kiln.plans.names import name_is_sensitive, pii_types_by_name
+
+    branches = []
+    for pos, c in enumerate(CONTACT_COLS):
+        by_name = ",".join(pii_types_by_name(c))
+        branches.append(
+            f"SELECT {pos} AS position, '{c}' AS column_name, '{by_name}' AS name_types, {str(name_is_sensitive(c)).lower()} AS sensitive_name, "
+            f"{pii_labels_sql(c, _hint(c))} AS labels FROM {CONTACTS_SQL} AS t WHERE {c} IS NOT NULL"
+        )
+    long = "\nUNION ALL\n".join(branches)
+    return f"""
+WITH v AS ({long}),
+per_col AS (SELECT position, column_name, name_types, sensitive_name, count(*) AS samples,
+                   count(*) FILTER (WHERE labels <> '') AS hits FROM v GROUP BY ALL),
+lab AS (SELECT column_name, unnest(string_split(labels, ',')) AS label FROM v WHERE labels <> ''),
+lc AS (SELECT column_name, label, count(*) AS n FROM lab GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC,
+          list_position(['china_mobile','phone','email','china_idcard','bank_card','passport','ipv4','chinese_name','address'], label)) AS r FROM lc),
+top AS (SELECT column_name, string_agg(label, ',' ORDER BY r) AS value_types FROM rk WHERE r <= 3 GROUP BY column_name),
+j AS (SELECT p.*, t.value_types, {ratio4_sql('hits', 'samples')} AS ratio FROM per_col p LEFT JOIN top t USING (column_name))
+SELECT column_name,
+       CASE WHEN name_types <> '' THEN 'name' WHEN hits > 0 AND ratio >= 0.3 THEN 'value' ELSE 'none' END AS detected_by,
+       samples, ratio AS pii_ratio,
+       CASE WHEN name_types <> '' THEN name_types WHEN hits > 0 AND ratio >= 0.3 THEN value_types ELSE '' END AS pii_types,
+       sensitive_name
+FROM j
+"""
+
+
+@register("pii_scan_customer", _scan_sql())
+def q_pii_scan_customer(spark, d):
+    return I.pii_scan(customer_contacts(T(spark, d, "customer")), 0.3)
+
+
+PII_TOKENS_DOCUMENTS_SQL = f"""
+WITH tok AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+')) AS token FROM documents),
+lab AS (SELECT doc_id, {pii_labels_sql('token', 'false')} AS labels FROM tok WHERE regexp_matches(token, '[0-9@一-鿿]')),
+x AS (SELECT doc_id, unnest(string_split(labels, ',')) AS label FROM lab WHERE labels <> '')
+SELECT doc_id, label, count(*) AS tokens FROM x GROUP BY ALL
+"""
+
+
+@register("pii_tokens_documents", PII_TOKENS_DOCUMENTS_SQL)
+def q_pii_tokens_documents(spark, d):
+    return I.pii_tokens(T(spark, d, "documents"), "text", keep=["doc_id"])
+
+
+MASK_CUSTOMER_SQL = f"""
+SELECT c_custkey, {mask_name_sql('c_name')} AS c_name, {mask_default_sql('c_phone')} AS c_phone,
+       {mask_default_sql('contact')} AS contact, {mask_default_sql('login')} AS login,
+       {mask_default_sql('host_ip')} AS host_ip, order_no, mixed, c_mktsegment
+FROM {CONTACTS_SQL} AS t
+"""
+
+
+@register("mask_customer", MASK_CUSTOMER_SQL)
+def q_mask_customer(spark, d):
+    contacts = customer_contacts(T(spark, d, "customer"))
+    return I.mask_table(contacts, I.pii_scan(contacts, 0.3))
+
+
+BIRTH_TEXT_SQL = """(SELECT o_orderkey,
+   CASE o_orderpriority WHEN '1-URGENT' THEN strftime(o_orderdate, '%Y-%m-%d')
+                        WHEN '2-HIGH' THEN CAST(year(o_orderdate) AS VARCHAR) || '/' || CAST(month(o_orderdate) AS VARCHAR) || '/' || CAST(day(o_orderdate) AS VARCHAR)
+                        WHEN '3-MEDIUM' THEN CAST(year(o_orderdate) AS VARCHAR) || '-' || CAST(month(o_orderdate) AS VARCHAR) || '/' || CAST(day(o_orderdate) AS VARCHAR)
+                        ELSE strftime(o_orderdate, '%Y%m%d') END AS birth_date
+ FROM orders)"""
+
+MASK_BIRTH_DATES_SQL = f"SELECT o_orderkey, birth_date AS birth_date_raw, {mask_birth_sql('birth_date')} AS birth_date FROM {BIRTH_TEXT_SQL} AS t"
+
+
+@register("mask_birth_dates", MASK_BIRTH_DATES_SQL)
+def q_mask_birth_dates(spark, d):
+    o = T(spark, d, "orders")
+    y, m, dd = (F.year("o_orderdate").cast("string"), F.month("o_orderdate").cast("string"), F.dayofmonth("o_orderdate").cast("string"))
+    p = F.col("o_orderpriority")
+    text = (
+        F.when(p == "1-URGENT", F.date_format("o_orderdate", "yyyy-MM-dd"))
+        .when(p == "2-HIGH", F.concat_ws("/", y, m, dd))
+        .when(p == "3-MEDIUM", F.concat(y, F.lit("-"), m, F.lit("/"), dd))
+        .otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+    )
+    src = o.select("o_orderkey", text.alias("birth_date_raw"), text.alias("birth_date"))
+    return I.mask_table(src, {"birth_date": []})

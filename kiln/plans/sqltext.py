@@ -35,3 +35,63 @@ def long_values_sql(columns: list[tuple[str, str]], source: str) -> str:
     return "\nUNION ALL\n".join(
         f"SELECT '{name}' AS column_name, CAST({expr} AS VARCHAR) AS value FROM {source}" for name, expr in columns
     )
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def strip_sql(v: str) -> str:
+    from kiln.functions.common import WS_CLASS
+
+    return f"regexp_replace({v}, {_q(f'^{WS_CLASS}+|{WS_CLASS}+$')}, '', 'g')"
+
+
+def pii_labels_sql(v: str, key_hint: str = "false") -> str:
+    """Comma-joined PII labels of a value (same rules as ``kiln.functions.pii.pii_types``)."""
+    from kiln.functions import pii as X
+
+    s = strip_sql(f"CAST({v} AS VARCHAR)")
+    digits = f"regexp_replace({s}, '[^0-9]', '', 'g')"
+    nd = f"length({digits})"
+    phone_ok = f"({nd} BETWEEN 7 AND 15 AND NOT ({nd} = 8 AND starts_with({digits}, '20')))"
+    parts = []
+    for label, pat in X.VALUE_PATTERNS:
+        cond = f"regexp_matches({s}, {_q(pat)})"
+        if label in ("china_mobile", "phone"):
+            cond += f" AND {phone_ok}"
+        parts.append(f"CASE WHEN {cond} THEN '{label}' END")
+    addr = f"regexp_matches({s}, {_q(X.ADDRESS_WORDS)}) AND length({s}) >= 6 AND NOT regexp_matches({s}, {_q(X.DATE_LIKE)})"
+    parts.append(f"CASE WHEN {addr} THEN 'address' END")
+    key = (
+        f"(regexp_matches({s}, '^[0-9]+$') AND (length(ltrim({s}, '0')) <= {X.KEY_MAX_VALUE_DIGITS} OR {key_hint}))"
+    )
+    return (
+        f"(CASE WHEN {s} IS NULL OR length({s}) < 2 OR coalesce({key}, false) THEN '' "
+        f"ELSE concat_ws(',', {', '.join(parts)}) END)"
+    )
+
+
+def mask_default_sql(v: str) -> str:
+    n = f"length({v})"
+    return (
+        f"(CASE WHEN {v} IS NULL THEN NULL WHEN {n} <= 1 THEN '*' "
+        f"WHEN {n} <= 6 THEN substr({v}, 1, 1) || repeat('*', greatest({n} - 2, 0)) || substr({v}, {n}, 1) "
+        f"ELSE substr({v}, 1, 2) || repeat('*', {n} - 4) || substr({v}, {n} - 1, 2) END)"
+    )
+
+
+def mask_name_sql(v: str) -> str:
+    n = f"length({v})"
+    return f"(CASE WHEN {v} IS NULL THEN NULL WHEN {n} <= 1 THEN '*' ELSE substr({v}, 1, 1) || repeat('*', {n} - 1) END)"
+
+
+def mask_birth_sql(v: str) -> str:
+    dash = "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
+    slash = "^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"
+    return (
+        f"(CASE WHEN {v} IS NULL THEN NULL WHEN length({v}) <= 1 THEN '*' "
+        f"WHEN regexp_matches({v}, '{dash}') THEN substr({v}, 1, 4) || '-**-**' "
+        f"WHEN regexp_matches({v}, '{slash}') THEN substr({v}, 1, 4) || '/**/**' "
+        f"ELSE {mask_default_sql(v)} END)"
+    )
