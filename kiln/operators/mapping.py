@@ -166,8 +166,10 @@ def year_of(c: Column | str) -> Column:
 
 
 def age_years(birth: Column | str, as_of: Column | str) -> Column:
-    """Whole years between two dates."""
-    return F.floor(F.months_between(col_of(as_of), col_of(birth)) / 12).cast("int")
+    """Whole calendar years from ``birth`` to ``as_of`` (one less before the birthday)."""
+    b, a = col_of(birth), col_of(as_of)
+    before = (F.month(a) < F.month(b)) | ((F.month(a) == F.month(b)) & (F.dayofmonth(a) < F.dayofmonth(b)))
+    return (F.year(a) - F.year(b) - before.cast("int")).cast("int")
 
 
 def flag(c: Column | str, value: object) -> Column:

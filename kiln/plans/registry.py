@@ -505,3 +505,300 @@ def q_mask_birth_dates(spark, d):
     )
     src = o.select("o_orderkey", text.alias("birth_date_raw"), text.alias("birth_date"))
     return I.mask_table(src, {"birth_date": []})
+
+
+# --------------------------------------------------------------------- map layer
+
+from kiln.operators import mapping as M  # noqa: E402
+from kiln.plans.spec import Field, Mapping, Standard  # noqa: E402
+
+
+def party_stack(customer: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Customers and suppliers as one party entity (M8), keys and names merged."""
+    cust = customer.select(
+        F.concat(F.lit("CUST-"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("key_text"),
+        "c_name", F.col("c_nationkey").alias("nation_key"), "c_acctbal", "c_mktsegment",
+    )
+    supp = supplier.select(F.col("s_suppkey").alias("party_id"), "s_name", F.col("s_nationkey").alias("nation_key"), "s_acctbal")
+    stacked = M.stack_sources({"customer": cust, "supplier": supp})
+    maps = [
+        Mapping("source_table", "direct", source_field="source_table"),
+        Mapping("party_key", "merge", sources=("try_cast(regexp_extract(key_text, '([0-9]+)$', 1) AS BIGINT)", "party_id")),
+        Mapping("party_name", "merge", sources=("c_name", "s_name")),
+        Mapping("nation_key", "direct", source_field="nation_key"),
+        Mapping("balance", "merge", sources=("CAST(c_acctbal AS DECIMAL(15,2))", "CAST(s_acctbal AS DECIMAL(15,2))")),
+        Mapping("label", "merge", sources=("source_table", "c_mktsegment"), merge_how="concat"),
+    ]
+    return M.build_map(stacked, maps)
+
+
+MERGE_KEYS_UNION_SQL = """
+SELECT 'customer' AS source_table, c_custkey AS party_key, c_name AS party_name, c_nationkey AS nation_key,
+       CAST(c_acctbal AS DECIMAL(15,2)) AS balance, 'customer ' || c_mktsegment AS label FROM customer
+UNION ALL
+SELECT 'supplier', s_suppkey, s_name, s_nationkey, CAST(s_acctbal AS DECIMAL(15,2)), 'supplier' FROM supplier
+"""
+
+
+@register("merge_keys_union", MERGE_KEYS_UNION_SQL)
+def q_merge_keys_union(spark, d):
+    return party_stack(T(spark, d, "customer"), T(spark, d, "supplier"))
+
+
+NORMALISE_KEYS_SQL = """
+WITH emr AS (SELECT o_orderkey, 'MRN-' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS patient_mrn FROM orders)
+SELECT e.o_orderkey, e.patient_mrn, CAST(regexp_extract(e.patient_mrn, '([0-9]+)$', 1) AS BIGINT) AS customer_key, c.c_name
+FROM emr e LEFT JOIN customer c ON c.c_custkey = CAST(regexp_extract(e.patient_mrn, '([0-9]+)$', 1) AS BIGINT)
+"""
+
+
+@register("normalise_keys", NORMALISE_KEYS_SQL)
+def q_normalise_keys(spark, d):
+    emr = T(spark, d, "orders").select(
+        "o_orderkey", F.concat(F.lit("MRN-"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")).alias("patient_mrn")
+    )
+    keyed = emr.withColumn("customer_key", M.normalise_key("patient_mrn"))
+    return M.enrich(keyed, T(spark, d, "customer"), "customer_key", "c_custkey", ["c_name"])
+
+
+FANOUT_SQL = """
+WITH direct AS (SELECT o.o_orderkey FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey),
+pre AS (SELECT o.o_orderkey FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) a
+        ON o.o_orderkey = a.l_orderkey),
+s AS (SELECT 'direct_join' AS plan, o_orderkey, count(*) AS n FROM direct GROUP BY 1, 2
+      UNION ALL SELECT 'preaggregated', o_orderkey, count(*) FROM pre GROUP BY 1, 2)
+SELECT plan, (SELECT count(*) FROM orders) AS base_rows, CAST(sum(n) AS BIGINT) AS joined_rows,
+       count(*) FILTER (WHERE n > 1) AS repeated_keys, CAST(max(n) AS BIGINT) AS max_rows_per_key,
+       sum(n) > (SELECT count(*) FROM orders) AS inflated
+FROM s GROUP BY plan
+"""
+
+
+@register("fanout_orders_lineitem", FANOUT_SQL)
+def q_fanout(spark, d):
+    o, li = T(spark, d, "orders").select("o_orderkey"), T(spark, d, "lineitem")
+    direct = o.join(li, o.o_orderkey == li.l_orderkey)
+    pre = M.preaggregate_join(o, li, "o_orderkey", "l_orderkey", {"n": F.count(F.lit(1))})
+    a = M.fanout_audit(o, direct, "o_orderkey").select(F.lit("direct_join").alias("plan"), "*")
+    b = M.fanout_audit(o, pre, "o_orderkey").select(F.lit("preaggregated").alias("plan"), "*")
+    return a.unionByName(b)
+
+
+PART_TARGET = Standard(
+    "dim_part",
+    (
+        Field("part_id", "BIGINT", False),
+        Field("part_name", "VARCHAR(55)", False),
+        Field("brand", "VARCHAR(10)"),
+        Field("size", "INTEGER"),
+        Field("suppliers", "BIGINT"),
+        Field("color", "VARCHAR(20)"),
+    ),
+)
+
+GAP_FILL_PART_SQL = """
+SELECT p.p_partkey AS part_id, p.p_name AS part_name, p.p_brand AS brand, CAST(p.p_size AS INTEGER) AS size,
+       CAST(coalesce(s.suppliers, 0) AS BIGINT) AS suppliers, CAST(NULL AS VARCHAR) AS color
+FROM part p LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1) s
+  ON p.p_partkey = s.l_partkey
+"""
+
+
+@register("gap_fill_part", GAP_FILL_PART_SQL)
+def q_gap_fill_part(spark, d):
+    p, li = T(spark, d, "part"), T(spark, d, "lineitem")
+    base = M.build_map(p, [Mapping("part_id", "direct", source_field="p_partkey"), Mapping("part_name", "direct", source_field="p_name")])
+    # the supplier count lives in another table: pre-aggregate it and join first
+    base = base.join(p.select(F.col("p_partkey").alias("part_id"), "p_brand", "p_size"), "part_id")
+    base = M.preaggregate_join(base, li, "part_id", "l_partkey", {"supp_n": F.count_distinct("l_suppkey")}, zero_fill=("supp_n",))
+    gaps = [
+        Mapping("brand", "direct", "part", "p_brand"),
+        Mapping("size", "transform", "part", "p_size", "CAST(p_size AS INT)"),
+        Mapping("suppliers", "direct", "lineitem", "supp_n"),
+        Mapping("color", "direct", "part", "p_color"),  # no such column: filled as typed NULL
+    ]
+    from kiln.operators.standard import conform
+
+    return conform(M.gap_fill(base, gaps, PART_TARGET), PART_TARGET)
+
+
+ORDER_LINES = Standard(
+    "fct_order",
+    (
+        Field("order_id", "BIGINT", False),
+        Field("line_count", "BIGINT", False),
+        Field("revenue", "DECIMAL(18,2)", False),
+        Field("last_ship_date", "DATE", False),
+        Field("status", "VARCHAR(1)", True),
+    ),
+)
+
+
+def order_lines_model(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    agg = {
+        "line_count": F.count(F.lit(1)),
+        "revenue": F.sum(F.col("l_extendedprice").cast("decimal(18,2)")),
+        "last_ship": F.max("l_shipdate"),
+    }
+    j = M.preaggregate_join(orders, lineitem, "o_orderkey", "l_orderkey", agg, zero_fill=("line_count",))
+    return M.build_map(
+        j,
+        [
+            Mapping("order_id", "direct", source_field="o_orderkey"),
+            Mapping("line_count", "direct", source_field="line_count"),
+            Mapping("revenue", "transform", expr="CAST(revenue AS DECIMAL(18,2))"),
+            Mapping("last_ship_date", "transform", expr="CAST(last_ship AS DATE)"),
+            Mapping("status", "direct", source_field="o_orderstatus"),
+        ],
+    )
+
+
+NOT_NULL_AUDIT_SQL = """
+WITH m AS (SELECT o.o_orderkey, coalesce(a.n, 0) AS line_count, a.revenue, a.last_ship
+           FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS revenue,
+                                           max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1) a ON o.o_orderkey = a.l_orderkey),
+w AS (SELECT count(*) FILTER (WHERE o_orderkey IS NULL) AS order_id, count(*) FILTER (WHERE line_count IS NULL) AS line_count,
+             count(*) FILTER (WHERE revenue IS NULL) AS revenue, count(*) FILTER (WHERE last_ship IS NULL) AS last_ship_date FROM m)
+SELECT * FROM (
+  SELECT 'order_id' AS field, order_id AS null_rows FROM w UNION ALL SELECT 'line_count', line_count FROM w
+  UNION ALL SELECT 'revenue', revenue FROM w UNION ALL SELECT 'last_ship_date', last_ship_date FROM w) t
+WHERE null_rows > 0
+"""
+
+
+@register("not_null_audit", NOT_NULL_AUDIT_SQL)
+def q_not_null_audit(spark, d):
+    return M.unprotected_not_null(order_lines_model(T(spark, d, "orders"), T(spark, d, "lineitem")), ORDER_LINES)
+
+
+BUCKET_PRICES_SQL = """
+SELECT o_orderkey, CASE WHEN o_totalprice IS NULL THEN NULL WHEN o_totalprice < 50000 THEN 'small'
+                        WHEN o_totalprice < 150000 THEN 'medium' WHEN o_totalprice < 300000 THEN 'large' ELSE 'huge' END AS price_band
+FROM orders
+"""
+
+
+@register("bucket_prices", BUCKET_PRICES_SQL)
+def q_bucket_prices(spark, d):
+    o = T(spark, d, "orders")
+    return o.select("o_orderkey", M.bucket("o_totalprice", [50000, 150000, 300000], ["small", "medium", "large", "huge"]).alias("price_band"))
+
+
+ORDER_DATES_SQL = """
+SELECT o_orderkey, year(o_orderdate) AS order_year,
+       CAST(2002 - year(o_orderdate) - CASE WHEN 1 < month(o_orderdate) OR (1 = month(o_orderdate) AND 1 < day(o_orderdate))
+                                             THEN 1 ELSE 0 END AS INTEGER) AS age_years,
+       CASE WHEN o_orderstatus IS NULL THEN NULL WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS is_open,
+       coalesce(CAST(o_totalprice AS DECIMAL(12,2)), CAST(0 AS DECIMAL(12,2))) AS total_price
+FROM orders
+"""
+
+
+@register("order_dates", ORDER_DATES_SQL)
+def q_order_dates(spark, d):
+    o = T(spark, d, "orders")
+    return o.select(
+        "o_orderkey",
+        M.year_of("o_orderdate").alias("order_year"),
+        M.age_years(F.col("o_orderdate").cast("date"), F.lit("2002-01-01").cast("date")).alias("age_years"),
+        M.flag("o_orderstatus", "O").alias("is_open"),
+        M.cast_nullsafe("o_totalprice", "DECIMAL(12,2)", 0).alias("total_price"),
+    )
+
+
+# --------------------------------------------------------------------- standard
+
+from kiln.operators.standard import coverage_audit, readiness  # noqa: E402
+
+CUSTOMER_TARGET = Standard(
+    "dim_customer_target",
+    (
+        Field("customer_id", "BIGINT", False),
+        Field("customer_name", "VARCHAR(25)", False),
+        Field("phone", "VARCHAR(20)"),
+        Field("nation_name", "VARCHAR(25)"),
+        Field("market_segment", "VARCHAR(10)"),
+        Field("account_balance", "DOUBLE"),
+        Field("order_count", "BIGINT"),
+        Field("last_order_date", "DATE"),
+        Field("email", "VARCHAR(100)"),
+        Field("birth_date", "DATE"),
+    ),
+)
+_TYPES_360 = {
+    "customer_id": "bigint", "customer_name": "string", "nation_name": "string", "market_segment": "string",
+    "account_balance": "decimal(15,2)", "order_count": "bigint", "last_order_date": "date", "email": "string",
+}
+
+
+def _coverage_sql() -> str:
+    from kiln.plans.spec import spark_type
+
+    parts = []
+    for pos, f in enumerate(CUSTOMER_TARGET.fields):
+        exp = spark_type(f.data_type)
+        got = _TYPES_360.get(f.name)
+        filled = f"count({f.name})" if got else "0"
+        parts.append(
+            f"SELECT 'dim_customer_target' AS table_name, {pos} AS position, '{f.name}' AS field_name, {str(bool(got)).lower()} AS present, "
+            f"count(*) AS row_count, CAST({filled} AS BIGINT) AS filled_rows, {ratio4_sql(filled, 'count(*)')} AS fill_rate, "
+            f"'{exp}' AS expected_type, {repr(got) if got else 'CAST(NULL AS VARCHAR)'} AS actual_type, "
+            f"{str(got == exp).lower()} AS type_match, {str(f.nullable).lower()} AS nullable FROM ({CUSTOMER_360_SQL}) m"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+COVERAGE_CUSTOMER_SQL = _coverage_sql()
+
+
+@register("coverage_customer", COVERAGE_CUSTOMER_SQL)
+def q_coverage_customer(spark, d):
+    return coverage_audit(q_customer_360(spark, d), CUSTOMER_TARGET)
+
+
+READINESS_SQL = f"""
+WITH cov AS ({COVERAGE_CUSTOMER_SQL}),
+t AS (SELECT table_name, count(*) AS fields, count(*) FILTER (WHERE NOT present) AS uncovered,
+             sum(CAST(round(CASE WHEN present THEN fill_rate ELSE 0.0 END * 10000) AS BIGINT)) AS units FROM cov GROUP BY 1)
+SELECT table_name, fields, uncovered, {ratio4_sql('units', 'fields * 10000')} AS confidence,
+       CASE WHEN {ratio4_sql('units', 'fields * 10000')} >= 0.9 AND uncovered = 0 THEN 'auto'
+            WHEN {ratio4_sql('units', 'fields * 10000')} >= 0.7 AND uncovered <= 3 THEN 'suggest' ELSE 'manual' END AS recommendation
+FROM t
+"""
+
+
+@register("readiness", READINESS_SQL)
+def q_readiness(spark, d):
+    return readiness(q_coverage_customer(spark, d))
+
+
+# --------------------------------------------------------------------- sql model
+
+from kiln.sources.model import run_model  # noqa: E402
+from kiln.sources.tables import row_view  # noqa: E402
+
+REVENUE_MODEL = """
+SELECT n.n_name AS nation, year(o.o_orderdate) AS order_year, count(DISTINCT o.o_orderkey) AS orders,
+       sum(CAST(l.l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l.l_discount AS DECIMAL(4,2)))) AS revenue
+FROM {{ source('tpch', 'orders') }} o
+JOIN {{ source('tpch', 'lineitem') }} l ON l.l_orderkey = o.o_orderkey
+JOIN {{ source('tpch', 'customer') }} c ON c.c_custkey = o.o_custkey
+JOIN {{ source('tpch', 'nation') }} n ON n.n_nationkey = c.c_nationkey
+GROUP BY n.n_name, year(o.o_orderdate)
+"""
+SQL_MODEL_REVENUE_SQL = (
+    REVENUE_MODEL.replace("{{ source('tpch', 'orders') }}", "orders")
+    .replace("{{ source('tpch', 'lineitem') }}", "lineitem")
+    .replace("{{ source('tpch', 'customer') }}", "customer")
+    .replace("{{ source('tpch', 'nation') }}", "nation")
+)
+
+
+@register("sql_model_revenue", SQL_MODEL_REVENUE_SQL)
+def q_sql_model_revenue(spark, d):
+    inputs = {}
+    for t in ("orders", "lineitem", "customer", "nation"):
+        df = T(spark, d, t)
+        row_view(spark, "tpch", t, df)  # S1: the row layer stays a lazy view
+        inputs[("tpch", t)] = spark.table(f"row_tpch_{t}")
+    return run_model(spark, REVENUE_MODEL, inputs)
