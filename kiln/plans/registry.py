@@ -802,3 +802,112 @@ def q_sql_model_revenue(spark, d):
         row_view(spark, "tpch", t, df)  # S1: the row layer stays a lazy view
         inputs[("tpch", t)] = spark.table(f"row_tpch_{t}")
     return run_model(spark, REVENUE_MODEL, inputs)
+
+
+# --------------------------------------------------------------------- sync and delivery
+
+from kiln.operators import delivery as D  # noqa: E402
+from kiln.session import shared_dir  # noqa: E402
+from kiln.sources.ods import sync_to_ods, write_table  # noqa: E402
+
+ODS_SYNC_SQL = """
+SELECT 'tpch' AS source_id, 'customer' AS table_name, 'ods_tpch.customer' AS target, 'success' AS status,
+       count(*) AS rows_copied, count(*) AS read_back_rows FROM customer
+UNION ALL SELECT 'tpch', 'nation', 'ods_tpch.nation', 'success', count(*), count(*) FROM nation
+UNION ALL SELECT 'tpch', 'orders', 'ods_tpch.orders', 'success', count(*), count(*) FROM orders
+UNION ALL SELECT 'tpch', 'partsupp', 'ods_tpch.partsupp', 'skipped', NULL, NULL
+"""
+
+
+@register("ods_sync", ODS_SYNC_SQL)
+def q_ods_sync(spark, d):
+    tables = {"customer": T(spark, d, "customer"), "orders": T(spark, d, "orders"), "nation": T(spark, d, "nation"), "partsupp": None}
+    res = sync_to_ods(spark, "tpch", tables)
+    synced = [r.table_name for r in res.filter("status = 'success'").select("table_name").collect()]  # table names only
+    back = None
+    for t in synced:
+        part = spark.table(f"ods_tpch.{t}").agg(F.count(F.lit(1)).alias("read_back_rows")).select(F.lit(t).alias("table_name"), "read_back_rows")
+        back = part if back is None else back.unionByName(part)
+    out = res.join(back, "table_name", "left") if back is not None else res.withColumn("read_back_rows", F.lit(None).cast("long"))
+    return out.select("source_id", "table_name", "target", "status", "rows_copied", "read_back_rows")
+
+
+@register("deliver_replace", CUSTOMER_360_SQL)
+def q_deliver_replace(spark, d):
+    write_table(q_customer_360(spark, d), "clean", "clean_dim_customer_r")
+    res = D.deliver(spark, {"clean_dim_customer_r": "clean.clean_dim_customer_r"}, "replace", prod_db="prod")
+    if res.filter("status <> 'success'").count():
+        raise RuntimeError(res.collect())
+    return spark.table("prod.dim_customer_r")
+
+
+@register("deliver_atomic", CLEAN_CHAIN_SQL)
+def q_deliver_atomic(spark, d):
+    write_table(q_clean_chain(spark, d), "clean", "clean_part_a")
+    res = D.deliver(spark, {"clean_part_a": "clean.clean_part_a"}, "atomic", prod_db="prod")
+    if res.filter("status <> 'success'").count():
+        raise RuntimeError(res.collect())
+    return spark.table("prod.part_a")
+
+
+@register("deliver_copy", "SELECT * FROM customer")
+def q_deliver_copy(spark, d):
+    root = shared_dir(spark, "copy_target")
+    res = D.deliver(spark, {"clean_customer": T(spark, d, "customer")}, "copy", copy_root=root)
+    if res.filter("status <> 'success'").count():
+        raise RuntimeError(res.collect())
+    return spark.read.parquet(f"{root}/customer")
+
+
+DELIVERY_SUMMARY_SQL = """
+SELECT 'clean_dim_customer_s' AS clean_table, 'dim_customer_s' AS prod_table, 'replace' AS strategy, 'success' AS status,
+       count(*) AS "rows" FROM customer
+UNION ALL SELECT 'clean_missing_s', 'missing_s', 'replace', 'failed', NULL
+UNION ALL SELECT 'clean_order_lines_s', 'order_lines_s', 'replace', 'success', count(*) FROM orders
+"""
+
+
+@register("delivery_summary", DELIVERY_SUMMARY_SQL)
+def q_delivery_summary(spark, d):
+    tables = {
+        "clean_dim_customer_s": q_customer_360(spark, d),
+        "clean_order_lines_s": order_lines_model(T(spark, d, "orders"), T(spark, d, "lineitem")),
+        "clean_missing_s": "clean.no_such_table",
+    }
+    res = D.deliver(spark, tables, "replace", prod_db="prod")
+    return res.select("clean_table", "prod_table", "strategy", "status", "rows")
+
+
+RUN_HISTORY_SQL = """
+WITH dedup AS (SELECT * FROM lineitem
+               QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC) = 1),
+r AS (
+  SELECT 1 AS run_id, 'check' AS kind, 'unique_lineitem_l_orderkey_l_linenumber' AS item,
+         (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) AS value
+  UNION ALL SELECT 1, 'check', 'not_null_lineitem_l_orderkey', count(*) FILTER (WHERE l_orderkey IS NULL) FROM lineitem
+  UNION ALL SELECT 1, 'rows', 'lineitem', count(*) FROM lineitem
+  UNION ALL SELECT 2, 'check', 'unique_lineitem_l_orderkey_l_linenumber',
+         (SELECT count(*) FROM (SELECT 1 FROM dedup GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))
+  UNION ALL SELECT 2, 'check', 'not_null_lineitem_l_orderkey', count(*) FILTER (WHERE l_orderkey IS NULL) FROM dedup
+  UNION ALL SELECT 2, 'rows', 'lineitem', count(*) FROM dedup)
+SELECT kind, item, CAST(run_id AS BIGINT) AS run_id, CAST(value AS BIGINT) AS value,
+       CAST(lag(value) OVER (PARTITION BY kind, item ORDER BY run_id) AS BIGINT) AS previous_value,
+       CAST(value - lag(value) OVER (PARTITION BY kind, item ORDER BY run_id) AS BIGINT) AS change
+FROM r
+"""
+
+
+@register("run_history", RUN_HISTORY_SQL)
+def q_run_history(spark, d):
+    import uuid
+
+    path = shared_dir(spark, "history", uuid.uuid4().hex)
+    li = T(spark, d, "lineitem")
+    runs = {1: li, 2: apply_clean_rules(li, [], Dedup(("l_orderkey", "l_linenumber"), ("l_partkey", "l_suppkey"), "last"))}
+    for run_id, df in runs.items():
+        checks = Q.check_unique(df, [("l_orderkey", "l_linenumber")], "lineitem").unionByName(
+            Q.check_not_null(df, ["l_orderkey"], "lineitem")
+        )
+        D.append_history(spark, path, checks.select(F.col("check_name").alias("item"), F.col("failures").alias("value")), run_id, "check")
+        D.append_history(spark, path, df.agg(F.count(F.lit(1)).alias("value")).select(F.lit("lineitem").alias("item"), "value"), run_id, "rows")
+    return D.compare_runs(spark.read.parquet(path))
