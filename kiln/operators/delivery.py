@@ -47,7 +47,7 @@ def deliver_atomic(df: DataFrame, db: str, name: str) -> int:
     spark = df.sparkSession
     ensure_database(spark, db)
     version = f"{name}__v{int(time.time() * 1000)}_{uuid.uuid4().hex[:6]}"
-    rows = write_table(df, db, version)
+    rows = write_table(df, db, version, managed=True)  # unique name: dropping it frees its files
     if _table_exists(spark, db, name) == "TABLE":  # a table delivered by replace before: switch it to a view once
         spark.sql(f"DROP TABLE {db}.{name}")
     spark.sql(f"CREATE OR REPLACE VIEW {db}.{name} AS SELECT * FROM {db}.{version}")

@@ -8,6 +8,7 @@ from an ``Observation`` on the write itself, not a second scan.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -42,14 +43,29 @@ def all_nullable(df: DataFrame) -> DataFrame:
     return df.to(loosen(df.schema))
 
 
-def write_table(df: DataFrame, db: str, name: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> int:
-    """Materialise as a catalog table; returns rows written (observed during the write)."""
+def write_table(
+    df: DataFrame,
+    db: str,
+    name: str,
+    partition_by: list[str] | None = None,
+    mode: str = "overwrite",
+    managed: bool = False,
+) -> int:
+    """Materialise as a catalog table; returns rows written (observed during the write).
+
+    Tables are written at an explicit path under the database folder, so a
+    driver restart (fresh catalog, same shared folder) overwrites cleanly.
+    ``managed=True`` keeps the catalog owner of the files (dropping deletes
+    them); use it only for names that are never reused.
+    """
     spark = df.sparkSession
     ensure_database(spark, db)
-    obs = Observation(f"rows_{db}_{name}")
+    obs = Observation(f"rows_{db}_{name}_{uuid.uuid4().hex[:8]}")
     w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode).format("parquet")
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if not managed:
+        w = w.option("path", shared_dir(spark, "warehouse", f"{db}.db", name.lower()))
     w.saveAsTable(f"{db}.{name}")
     return int(obs.get["rows"])
 
