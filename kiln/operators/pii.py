@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.functions.common import ratio4
-from kiln.functions.pii import LABELS, key_hint_expr, mask_value, name_has_key_hint, pii_types
+from kiln.functions.common import strip_all
+from kiln.functions.common import digits_only
+from kiln.functions.pii import LABELS, key_hint_expr, labels_of_stripped, mask_value, name_has_key_hint
+from kiln.session import spread
 from kiln.plans.names import name_is_sensitive, pii_types_by_name
 
 SCAN_SCHEMA = "column_name string, detected_by string, samples long, pii_ratio double, pii_types string, sensitive_name boolean"
@@ -26,14 +29,17 @@ def _text_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
 
 
 def pii_values(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """I3 + I4 per value: ``keep`` columns, column_name, value, pii_types (array, may be empty)."""
+    """I3 + I4 per value: ``keep`` columns, column_name, value, pii_types (comma-joined, ``''`` when none)."""
     cols = _text_columns(df, columns)
     ids = [f"__keep{i}" for i in range(len(keep))]
     long = df.select(
         *[F.col(f"`{k}`").alias(i) for k, i in zip(keep, ids)], *[F.col(f"`{c}`").cast("string").alias(c) for c in cols]
     ).unpivot(ids, cols, "column_name", "value")
-    long = long.withColumnsRenamed(dict(zip(ids, keep)))
-    return long.withColumn("pii_types", pii_types(F.col("value"), key_hint_expr(F.col("column_name"))))
+    long = spread(long.withColumnsRenamed(dict(zip(ids, keep))))
+    # stripped text and its digits in their own projection: computed once, not per pattern
+    prep = long.withColumn("__s", strip_all(F.col("value"))).withColumn("__d", digits_only(F.col("__s")))
+    labels = labels_of_stripped(F.col("__s"), F.col("__d"), key_hint_expr(F.col("column_name")))
+    return prep.withColumn("pii_types", labels).drop("__s", "__d")
 
 
 def pii_scan(
@@ -53,14 +59,17 @@ def pii_scan(
     cols = _text_columns(df, columns)
     src = df.sample(fraction=sample_fraction, seed=seed) if sample_fraction else df
     labeled = pii_values(src, cols).filter(F.col("value").isNotNull())
-    per_col = labeled.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("samples"), F.count_if(F.size("pii_types") > 0).alias("hits")
+    # one labelling pass: (column, labels) groups feed both the ratio and the label counts
+    groups = labeled.groupBy("column_name", "pii_types").agg(F.count(F.lit(1)).alias("n"))
+    per_col = groups.groupBy("column_name").agg(
+        F.sum("n").alias("samples"), F.coalesce(F.sum(F.when(F.col("pii_types") != "", F.col("n"))), F.lit(0)).alias("hits")
     )
     order = F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col("label"))
     label_counts = (
-        labeled.select("column_name", F.explode("pii_types").alias("label"))
+        groups.filter(F.col("pii_types") != "")
+        .select("column_name", F.explode(F.split("pii_types", ",")).alias("label"), "n")
         .groupBy("column_name", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
     w = Window.partitionBy("column_name").orderBy(F.col("n").desc(), order)
     top = (
@@ -116,8 +125,10 @@ def pii_tokens(df: DataFrame, text_column: str, keep: Sequence[str] = ()) -> Dat
     Tokens without a digit, ``@`` or CJK character cannot match any pattern,
     so they are dropped before the regular expressions run (exact, not a sample).
     """
-    tokens = df.select(*[F.col(k) for k in keep], F.explode(F.split(F.col(f"`{text_column}`"), "[ \\t\\n\\r\\f]+")).alias("token"))
+    tokens = spread(df).select(*[F.col(k) for k in keep], F.explode(F.split(F.col(f"`{text_column}`"), "[ \\t\\n\\r\\f]+")).alias("token"))
     candidates = tokens.filter(F.col("token").rlike("[0-9@一-鿿]"))
     hint = name_has_key_hint(text_column)
-    labeled = candidates.select(*keep, F.explode(pii_types(F.col("token"), hint)).alias("label"))
+    prep = candidates.withColumn("__s", strip_all(F.col("token"))).withColumn("__d", digits_only(F.col("__s")))
+    labels = prep.select(*keep, labels_of_stripped(F.col("__s"), F.col("__d"), hint).alias("labels")).filter(F.col("labels") != "")
+    labeled = labels.select(*keep, F.explode(F.split("labels", ",")).alias("label"))
     return labeled.groupBy(*keep, "label").agg(F.count(F.lit(1)).alias("tokens"))

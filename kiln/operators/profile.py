@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.functions.common import ratio4
+from kiln.session import spread
 
 _UNGROUPABLE = (T.MapType, T.ArrayType, T.StructType, T.BinaryType, T.VariantType) if hasattr(
     T, "VariantType"
@@ -101,6 +102,7 @@ def column_stats(
     Map/array columns get counts only (unique_count NULL).
     """
     fields = _fields(df, columns)
+    df = spread(df)  # both branches read the same (possibly spread) input: one exchange, reused
     wide = _wide_stats(df, fields, approx)
     if approx:
         stats = wide.withColumn("unique_count", F.col("approx_unique"))
@@ -177,6 +179,7 @@ def profile_table(
     df: DataFrame, table_name: str = "", k: int = 5, approx: bool = False, columns: list[str] | None = None
 ) -> DataFrame:
     """Column stats plus bounded ``top_values`` and ``sample_values`` arrays per column."""
+    df = spread(df)
     stats = column_stats(df, table_name, columns, approx)
     vc = value_counts(df, columns)
     top = (
@@ -242,6 +245,7 @@ def key_candidates(df: DataFrame, composites: list[list[str]] | None = None, tab
     the column stats; each composite is one ``groupBy(keys)`` with partial
     aggregation, so hot keys are pre-aggregated map-side.
     """
+    df = spread(df)
     stats = column_stats(df, table_name).filter(F.col("unique_count").isNotNull())
     singles = stats.select(
         "table_name",

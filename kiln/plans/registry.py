@@ -416,8 +416,7 @@ PII_VALUES_CUSTOMER_SQL = "\nUNION ALL\n".join(
 
 @register("pii_values_customer", PII_VALUES_CUSTOMER_SQL)
 def q_pii_values_customer(spark, d):
-    v = I.pii_values(customer_contacts(T(spark, d, "customer")), CONTACT_COLS, keep=["c_custkey"])
-    return v.withColumn("pii_types", F.array_join("pii_types", ","))
+    return I.pii_values(customer_contacts(T(spark, d, "customer")), CONTACT_COLS, keep=["c_custkey"])
 
 
 def _scan_sql() -> str:
@@ -911,3 +910,19 @@ def q_run_history(spark, d):
         D.append_history(spark, path, checks.select(F.col("check_name").alias("item"), F.col("failures").alias("value")), run_id, "check")
         D.append_history(spark, path, df.agg(F.count(F.lit(1)).alias("value")).select(F.lit("lineitem").alias("item"), "value"), run_id, "rows")
     return D.compare_runs(spark.read.parquet(path))
+
+
+LINEITEM_PROFILE_COLS = [
+    (c, "decimal(18,2)" if c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax") else t,
+     f"CAST({c} AS DECIMAL(18,2))" if c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax") else c)
+    for c, t in [
+        ("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
+        ("l_quantity", ""), ("l_extendedprice", ""), ("l_discount", ""), ("l_tax", ""),
+        ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz"),
+    ]
+]
+
+
+@register("profile_lineitem", profile_sql("lineitem", LINEITEM_PROFILE_COLS, "lineitem"))
+def q_profile_lineitem(spark, d):
+    return P.column_stats(decimal_doubles(T(spark, d, "lineitem")), "lineitem")

@@ -48,3 +48,16 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
         sc.setCheckpointDir(root)
     path = "/".join([root.rstrip("/"), *parts]) if parts else root
     return path
+
+
+def spread(df):
+    """Spread a narrow input over the cluster's cores before heavy per-row work.
+
+    Only fires when the input has fewer partitions than the default
+    parallelism (a small file, one row group); a large input already has many
+    scan partitions and is returned unchanged, so no shuffle is added at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
