@@ -106,6 +106,8 @@ def column_stats(
     wide = _wide_stats(df, fields, approx)
     if approx:
         stats = wide.withColumn("unique_count", F.col("approx_unique"))
+    elif not groupable_columns(df, [f.name for f in fields]):
+        stats = wide.withColumn("unique_count", F.lit(None).cast("long"))
     else:
         uniq = (
             value_counts(df, [f.name for f in fields])
