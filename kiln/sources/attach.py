@@ -52,9 +52,10 @@ def list_source_tables(spark: SparkSession, source: dict) -> list[str]:
             q = ("SELECT table_schema, table_name FROM information_schema.tables "
                  "WHERE table_type IN ('BASE TABLE', 'TABLE')")
         rows = _jdbc_reader(spark, source, {"query": q}).load()
-        rows = rows.filter(~rows.table_schema.isin(list(SYSTEM_SCHEMAS)))
+        schema_col, table_col = rows.columns[:2]  # some databases return upper-case names
+        rows = rows.filter(~rows[schema_col].isin(list(SYSTEM_SCHEMAS)))
         # a catalog listing: one row per table, small by nature
-        return sorted({f"{r.table_schema}.{r.table_name}" for r in rows.collect()})
+        return sorted({f"{r[0]}.{r[1]}" for r in rows.collect()})
     path = source["path"]
     suffix = f".{fmt}"
     if re.match(r"^[a-z][a-z0-9+.-]*://", path) and not path.startswith("file:"):

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kiln.operators.cleaning import apply_clean_rules
@@ -34,7 +35,10 @@ def clean_stream(
     if dedup_keys:
         if not event_time:
             raise ValueError("dedup on a stream needs an event-time column for the watermark")
-        out = out.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(list(dedup_keys))
+        # watermarks need TIMESTAMP; a TIMESTAMP_NTZ event time is read in the session time zone
+        wm = "__event_time"
+        out = out.withColumn(wm, F.col(f"`{event_time}`").cast("timestamp"))
+        out = out.withWatermark(wm, watermark).dropDuplicatesWithinWatermark(list(dedup_keys)).drop(wm)
     return out
 
 
