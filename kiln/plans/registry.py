@@ -926,3 +926,67 @@ LINEITEM_PROFILE_COLS = [
 @register("profile_lineitem", profile_sql("lineitem", LINEITEM_PROFILE_COLS, "lineitem"))
 def q_profile_lineitem(spark, d):
     return P.column_stats(decimal_doubles(T(spark, d, "lineitem")), "lineitem")
+
+
+# --------------------------------------------------------------------- more coverage
+
+from kiln.functions.pii import DIVISION_STOP_CHARS, DIVISION_WORDS  # noqa: E402
+
+
+def customer_addresses(customer: DataFrame) -> DataFrame:
+    """Addresses built from customer rows (driver data holds no Chinese text)."""
+    head = (
+        F.when(F.col("c_nationkey") % 4 == 0, F.lit("北京市朝阳区"))
+        .when(F.col("c_nationkey") % 4 == 1, F.lit("浙江省杭州市西湖区"))
+        .when(F.col("c_nationkey") % 4 == 2, F.lit("广东省深圳市"))
+        .otherwise(F.lit("某某"))
+    )
+    tail = F.when(F.col("c_mktsegment") == "BUILDING", F.lit("")).otherwise(
+        F.concat(F.lit("建国路"), F.col("c_custkey").cast("string"), F.lit("号"))
+    )
+    return customer.select("c_custkey", F.concat(head, tail).alias("home_address"))
+
+
+_ADDR_HEAD = f"regexp_extract(a, '^(.*[^{DIVISION_STOP_CHARS}\\s](?:{DIVISION_WORDS}))', 1)"
+MASK_ADDRESS_CUSTOMER_SQL = f"""
+WITH t AS (SELECT c_custkey,
+    (CASE c_nationkey % 4 WHEN 0 THEN '北京市朝阳区' WHEN 1 THEN '浙江省杭州市西湖区' WHEN 2 THEN '广东省深圳市' ELSE '某某' END)
+    || (CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE '建国路' || CAST(c_custkey AS VARCHAR) || '号' END) AS a FROM customer),
+h AS (SELECT c_custkey, a, {_ADDR_HEAD} AS head FROM t)
+SELECT c_custkey,
+  CASE WHEN a IS NULL THEN NULL WHEN length(a) <= 1 THEN '*'
+       WHEN length(head) = 0 THEN (CASE WHEN length(a) <= 4 THEN substr(a, 1, 1) || repeat('*', length(a) - 1)
+                                        ELSE substr(a, 1, 2) || repeat('*', length(a) - 2) END)
+       WHEN length(head) >= length(a) - 1 THEN a
+       ELSE head || repeat('*', greatest(4, length(a) - length(head))) END AS home_address
+FROM h
+"""
+
+
+@register("mask_address_customer", MASK_ADDRESS_CUSTOMER_SQL)
+def q_mask_address_customer(spark, d):
+    addr = customer_addresses(T(spark, d, "customer"))
+    return I.mask_table(addr, I.pii_scan(addr, 0.3))
+
+
+@register("profile_part", None)
+def q_profile_part(spark, d):
+    """P9 in full: stats plus bounded top-value and sample arrays per column (arrays: rows-only check)."""
+    return P.profile_table(decimal_doubles(T(spark, d, "part")), "part", k=5)
+
+
+ATTACH_TPCH_SQL = "\nUNION ALL\n".join(
+    f"SELECT 'src_tpch_{t}' AS view_name, count(*) AS row_count FROM {t}" for t in CATALOG_COLUMNS
+)
+
+
+@register("attach_tpch", ATTACH_TPCH_SQL)
+def q_attach_tpch(spark, d):
+    from kiln.sources.attach import attach_source
+
+    views = attach_source(spark, {"id": "tpch", "format": "parquet", "path": d})
+    out = None
+    for v in views:
+        part = spark.table(v).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(v).alias("view_name"), "row_count")
+        out = part if out is None else out.unionByName(part)
+    return out
