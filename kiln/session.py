@@ -51,13 +51,18 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
 
 
 def spread(df):
-    """Spread a narrow input over the cluster's cores before heavy per-row work.
+    """Spread a tiny input over the cores before heavy per-row work.
 
-    Only fires when the input has fewer partitions than the default
-    parallelism (a small file, one row group); a large input already has many
-    scan partitions and is returned unchanged, so no shuffle is added at scale.
+    Fires only when the input has at most ``kiln.spread.maxInputPartitions``
+    (default 8) scan partitions and fewer than the default parallelism: a small
+    file in one row group, about a gigabyte at most. A large input already has
+    many scan partitions and is returned unchanged, so no shuffle is added at
+    scale.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    small = int(spark.conf.get("kiln.spread.maxInputPartitions", "8"))
+    n = df.rdd.getNumPartitions()
+    if n <= small and n < target:
         return df.repartition(target)
     return df
