@@ -45,18 +45,68 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def _slots(fields: list[T.StructField]) -> dict[str, tuple[str, T.DataType]]:
+    """One typed slot per distinct column type: ``{type string: (slot name, type)}``."""
+    out: dict[str, tuple[str, T.DataType]] = {}
+    for f in fields:
+        key = f.dataType.simpleString()
+        if key not in out:
+            out[key] = (f"v{len(out)}", f.dataType)
+    return out
+
+
+def typed_values(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Unpivot groupable columns to ``(column_name, value)`` keeping their types.
+
+    ``value`` is a struct with one field per distinct column type; a row fills
+    only its own column's field, so nothing is formatted as text before the
+    aggregation. Returns the frame and the slot names.
+    """
+    fields = [f for f in _fields(df, columns) if not isinstance(f.dataType, _UNGROUPABLE)]
+    if not fields:
+        raise ValueError("no groupable columns to profile")
+    slots = _slots(fields)
+
+    def packed(f: T.StructField) -> Column:
+        mine = slots[f.dataType.simpleString()][0]
+        parts = [(F.col(f"`{f.name}`") if name == mine else F.lit(None).cast(t)).alias(name) for name, t in slots.values()]
+        return F.struct(*parts).alias(f.name)
+
+    names = [f.name for f in fields]
+    long = df.select(*[packed(f) for f in fields]).unpivot([], names, "column_name", "value")
+    return long, [name for name, _ in slots.values()]
+
+
+def _value_text(slot_names: list[str]) -> Column:
+    return F.coalesce(*[F.col("value")[n].cast("string") for n in slot_names])
+
+
+def _value_is_null(slot_names: list[str]) -> Column:
+    cond = F.col("value")[slot_names[0]].isNull()
+    for n in slot_names[1:]:
+        cond = cond & F.col("value")[n].isNull()
+    return cond
+
+
+def typed_counts(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """``(column_name, value struct, count)``: one partial-aggregated shuffle for all columns."""
+    long, slot_names = typed_values(df, columns)
+    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count")), slot_names
+
+
 def long_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Unpivot groupable columns to ``(column_name, value: string)``; NULL stays NULL."""
-    cols = groupable_columns(df, columns)
-    if not cols:
-        raise ValueError("no groupable columns to profile")
-    as_text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
-    return as_text.unpivot([], cols, "column_name", "value")
+    long, slot_names = typed_values(df, columns)
+    return long.select("column_name", _value_text(slot_names).alias("value"))
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column_name, value, count)`` with NULL as its own group."""
-    return long_values(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+    """``(column_name, value: string, count)`` with NULL as its own group.
+
+    Grouped on typed values; only the distinct values are formatted as text.
+    """
+    counts, slot_names = typed_counts(df, columns)
+    return counts.select("column_name", _value_text(slot_names).alias("value"), "count")
 
 
 def _wide_stats(df: DataFrame, fields: list[T.StructField], approx: bool) -> DataFrame:
@@ -100,28 +150,55 @@ def column_stats(
     null_count, null_rate, unique_count, is_unique_candidate, min_value,
     max_value. ``unique_count`` is exact (NULL excluded) unless ``approx``.
     Map/array columns get counts only (unique_count NULL).
+
+    Exact mode is one typed long-form aggregation: per ``(column, value)``
+    counts, then per column the number of non-NULL groups, the NULL group's
+    size and the typed min/max over the groups. ``approx`` uses one wide
+    aggregate with HyperLogLog sketches instead (no value shuffle).
     """
     fields = _fields(df, columns)
-    df = spread(df)  # both branches read the same (possibly spread) input: one exchange, reused
-    wide = _wide_stats(df, fields, approx)
-    if approx:
-        stats = wide.withColumn("unique_count", F.col("approx_unique"))
-    elif not groupable_columns(df, [f.name for f in fields]):
-        stats = wide.withColumn("unique_count", F.lit(None).cast("long"))
+    df = spread(df)
+    groupable = [f for f in fields if not isinstance(f.dataType, _UNGROUPABLE)]
+    if approx or not groupable:
+        stats = _wide_stats(df, fields, approx).withColumn(
+            "unique_count", F.col("approx_unique") if approx else F.lit(None).cast("long")
+        )
     else:
-        uniq = (
-            value_counts(df, [f.name for f in fields])
-            .filter(F.col("value").isNotNull())
-            .groupBy("column_name")
-            .agg(F.count(F.lit(1)).alias("unique_count"))
+        counts, slot_names = typed_counts(df, [f.name for f in groupable])
+        is_null = _value_is_null(slot_names)
+        per_col = counts.groupBy("column_name").agg(
+            F.sum("count").alias("row_count"),
+            F.coalesce(F.sum(F.when(is_null, F.col("count"))), F.lit(0)).alias("null_count"),
+            F.count_if(~is_null).alias("unique_count"),
+            *[F.min(F.col("value")[n]).alias(f"lo_{n}") for n in slot_names],
+            *[F.max(F.col("value")[n]).alias(f"hi_{n}") for n in slot_names],
+        ).select(
+            "column_name",
+            "row_count",
+            "null_count",
+            "unique_count",
+            F.coalesce(*[F.col(f"lo_{n}").cast("string") for n in slot_names]).alias("min_value"),
+            F.coalesce(*[F.col(f"hi_{n}").cast("string") for n in slot_names]).alias("max_value"),
+        )
+        meta = df.sparkSession.createDataFrame(
+            [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)],
+            "position int, column_name string, data_type string",
         )
         # one row per column on both sides: a tiny join whatever the table size
-        stats = wide.join(F.broadcast(uniq), "column_name", "left").withColumn(
-            "unique_count",
-            F.when(
-                F.col("column_name").isin(groupable_columns(df, [f.name for f in fields])),
-                F.coalesce(F.col("unique_count"), F.lit(0)),
-            ),
+        stats = meta.join(F.broadcast(per_col), "column_name", "left")
+        others = [f for f in fields if isinstance(f.dataType, _UNGROUPABLE)]
+        if others:  # map/array columns: counts from a wide aggregate over just those columns
+            wide = _wide_stats(df, others, False).select(
+                "column_name", F.col("null_count").alias("__nulls"), F.col("row_count").alias("__rows")
+            )
+            stats = stats.join(F.broadcast(wide), "column_name", "left").withColumn(
+                "null_count", F.coalesce(F.col("null_count"), F.col("__nulls"))
+            ).withColumn("row_count", F.coalesce(F.col("row_count"), F.col("__rows")))
+        # a column is absent from the counts only when the table is empty
+        stats = stats.withColumn("row_count", F.coalesce(F.col("row_count"), F.lit(0)).cast("long")).withColumn(
+            "null_count", F.coalesce(F.col("null_count"), F.lit(0)).cast("long")
+        ).withColumn(
+            "unique_count", F.when(F.col("column_name").isin([f.name for f in groupable]), F.coalesce("unique_count", F.lit(0)))
         )
     return stats.select(
         F.lit(table_name).alias("table_name"),

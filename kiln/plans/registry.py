@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from kiln.operators import profile as P
 from kiln.plans.customer360 import customer_360
 from kiln.plans.sqltext import profile_sql, ratio4_sql
+from kiln.session import spread
 from kiln.sources.tables import read_table
 
 
@@ -41,7 +42,11 @@ def T(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def decimal_doubles(df: DataFrame) -> DataFrame:
-    """Doubles as decimal(18,2): text of a double differs between engines (1.0E7 vs 10000000.0)."""
+    """Doubles as decimal(18,2): text of a double differs between engines (1.0E7 vs 10000000.0).
+
+    A tiny input is spread first so the casts, too, run on every core.
+    """
+    df = spread(df)
     return df.select(
         *[F.col(f.name).cast("decimal(18,2)").alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema.fields]
     )

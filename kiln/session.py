@@ -64,5 +64,11 @@ def spread(df):
     small = int(spark.conf.get("kiln.spread.maxInputPartitions", "8"))
     n = df.rdd.getNumPartitions()
     if n <= small and n < target:
-        return df.repartition(target)
+        # hash of the whole row: deterministic on retry without the local sort
+        # a round-robin repartition needs, and even unless rows are identical
+        from pyspark.sql import functions as F
+        from pyspark.sql import types as T
+
+        keys = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+        return df.repartition(target, F.xxhash64(*keys)) if keys else df.repartition(target)
     return df
