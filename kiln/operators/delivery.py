@@ -64,7 +64,7 @@ def deliver_copy(df: DataFrame, target: dict) -> int:
 
 def deliver(
     spark: SparkSession,
-    tables: dict[str, DataFrame | str],
+    tables: dict[str, DataFrame | str] | str,
     strategy: str = "atomic",
     prod_db: str = "prod",
     copy_root: str | None = None,
@@ -75,8 +75,13 @@ def deliver(
     ``tables`` maps clean table names to DataFrames or catalog names. The prod
     name drops a leading ``clean_``. An unknown strategy gives an error row per
     table; a failing table does not stop the others. Delivered row counts are
-    re-read from the prod table (D6), not trusted from the write.
+    re-read from the prod table (D6), not trusted from the write. A database
+    name instead of a dict delivers all base tables of that database.
     """
+    if isinstance(tables, str):
+        from kiln.plans.helpers import list_tables
+
+        tables = {t: f"{tables}.{t}" for t in list_tables(spark, tables, base_only=True)}
     results = []
     for clean in sorted(tables):
         target = prod_name(clean)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.functions.common import ratio4
@@ -132,3 +132,31 @@ def pii_tokens(df: DataFrame, text_column: str, keep: Sequence[str] = ()) -> Dat
     labels = prep.select(*keep, labels_of_stripped(F.col("__s"), F.col("__d"), hint).alias("labels")).filter(F.col("labels") != "")
     labeled = labels.select(*keep, F.explode(F.split("labels", ",")).alias("label"))
     return labeled.groupBy(*keep, "label").agg(F.count(F.lit(1)).alias("tokens"))
+
+
+def mask_profile(profile: DataFrame, plan: dict[str, list[str]] | DataFrame) -> DataFrame:
+    """I11 for profiles: mask min/max, top values and samples of sensitive columns.
+
+    A profile has one row per column, so the mask is chosen per row with a
+    CASE over the (few) sensitive column names; the profile of a sensitive
+    column never shows a value in clear.
+    """
+    if isinstance(plan, DataFrame):
+        plan = mask_plan(plan)
+
+    def masked(c: Column) -> Column:
+        out = None
+        for name, types in plan.items():
+            m = mask_value(c, types, name)
+            out = F.when(F.col("column_name") == name, m) if out is None else out.when(F.col("column_name") == name, m)
+        return c if out is None else out.otherwise(c)
+
+    out = profile.withColumns({c: masked(F.col(c)) for c in ("min_value", "max_value") if c in profile.columns})
+    if "sample_values" in out.columns:
+        out = out.withColumn("sample_values", F.transform("sample_values", masked))
+    if "top_values" in out.columns:
+        out = out.withColumn(
+            "top_values",
+            F.transform("top_values", lambda s: s.withField("value", masked(s["value"]))),
+        )
+    return out

@@ -995,3 +995,26 @@ def q_attach_tpch(spark, d):
         part = spark.table(v).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(v).alias("view_name"), "row_count")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+CONTACT_PROFILE_COLS = [("c_custkey", "bigint", "c_custkey")] + [(c, "string", c) for c in CONTACT_COLS[1:]]
+_MASKED = {"c_name": mask_name_sql, "c_phone": mask_default_sql, "contact": mask_default_sql,
+           "login": mask_default_sql, "host_ip": mask_default_sql}
+
+
+def _masked_profile_sql() -> str:
+    def case(col: str) -> str:
+        parts = " ".join(f"WHEN column_name = '{c}' THEN {fn(col)}" for c, fn in _MASKED.items())
+        return f"CASE {parts} ELSE {col} END"
+
+    base = profile_sql("customer", CONTACT_PROFILE_COLS, f"{CONTACTS_SQL} AS src")
+    return (
+        "SELECT table_name, position, column_name, data_type, row_count, null_count, null_rate, unique_count, "
+        f"is_unique_candidate, {case('min_value')} AS min_value, {case('max_value')} AS max_value FROM ({base}) AS p"
+    )
+
+
+@register("profile_masked_customer", _masked_profile_sql())
+def q_profile_masked_customer(spark, d):
+    contacts = customer_contacts(T(spark, d, "customer"))
+    return I.mask_profile(P.column_stats(contacts, "customer"), I.pii_scan(contacts, 0.3))

@@ -15,20 +15,38 @@ def model_inputs(sql: str) -> list[tuple[str, str]]:
     return sorted(set(_SOURCE_REF.findall(sql)))
 
 
+def resolve_input(spark: SparkSession, source: str, table: str) -> DataFrame | None:
+    """Find a model input in the catalog: attached view, then synced staging table, then any database."""
+    from kiln.sources.tables import view_name
+
+    attached = view_name("src", source, table)
+    if spark.catalog.tableExists(attached):
+        return spark.table(attached)
+    synced = f"ods_{re.sub(r'[^0-9a-z_]', '_', source.lower())}.{table.lower()}"
+    if spark.catalog.tableExists(synced):
+        return spark.table(synced)
+    for db in spark.catalog.listDatabases():
+        if spark.catalog.tableExists(f"{db.name}.{table}"):
+            return spark.table(f"{db.name}.{table}")
+    return None
+
+
 def run_model(
     spark: SparkSession,
     sql: str,
-    inputs: dict[tuple[str, str] | str, DataFrame],
+    inputs: dict[tuple[str, str] | str, DataFrame] | None = None,
     args: dict | None = None,
 ) -> DataFrame:
     """Run a SQL model whose inputs are named, not physical.
 
-    ``{{ source('s','t') }}`` looks up ``inputs[('s','t')]``, then ``inputs['t']``;
-    ``{{ ref('m') }}`` looks up ``inputs['m']``. Every input is bound as a
+    ``{{ source('s','t') }}`` looks up ``inputs[('s','t')]``, then ``inputs['t']``,
+    then the catalog in the order attached (federated) -> synced -> any
+    database; ``{{ ref('m') }}`` looks up ``inputs['m']``. Every input is bound as a
     DataFrame argument, so the model inlines into one plan with its inputs and
     Catalyst prunes and pushes filters into their scans. Unresolved inputs
     raise with the full missing list.
     """
+    inputs = inputs or {}
     bound: dict[str, DataFrame] = {}
     missing: list[str] = []
 
@@ -36,6 +54,8 @@ def run_model(
         df = inputs.get(key)
         if df is None and isinstance(key, tuple):
             df = inputs.get(key[1])
+        if df is None and isinstance(key, tuple):
+            df = resolve_input(spark, key[0], key[1])
         if df is None:
             missing.append(label)
             return "__missing__"

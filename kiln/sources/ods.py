@@ -116,3 +116,23 @@ def sync_to_ods(
         except Exception as e:  # per-table failure does not stop the sync
             results.append((source_id, name, target, "failed", None, str(e).splitlines()[0][:300]))
     return spark.createDataFrame(results, RESULT_SCHEMA)
+
+
+def sync_source(
+    spark: SparkSession, source: dict, tables: list[str] | None = None, ods: str | None = None
+) -> DataFrame:
+    """S3 from a source description: the named tables, or every table the source lists.
+
+    A named table the source lacks is ``skipped``; reading happens inside the
+    per-table write, so a failing table is ``failed`` and the rest continue.
+    """
+    from kiln.sources.attach import list_source_tables, read_source_table
+
+    present = list_source_tables(spark, source)
+    by_lower = {t.split(".")[-1].lower(): t for t in present}
+    names = tables if tables is not None else [t.split(".")[-1] for t in present]
+    frames: dict[str, DataFrame | None] = {}
+    for name in names:
+        real = by_lower.get(name.split(".")[-1].lower())
+        frames[name] = read_source_table(spark, source, real) if real else None
+    return sync_to_ods(spark, source.get("id", "src"), frames, ods)

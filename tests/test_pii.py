@@ -119,3 +119,24 @@ def test_tokens_in_whole_text(spark):
 
 def test_prod_name():
     assert prod_name("clean_patients") == "patients" and prod_name("CLEAN_x") == "x" and prod_name("dim") == "dim"
+
+
+@pytest.mark.parametrize("name", ["group_name", "username", "patientName", "hotel", "email_address", "gender", "患者姓名", "user_name", "bank_account"])
+def test_name_rule_expression_matches_python(spark, name):
+    from kiln.plans.names import name_is_sensitive_expr, pii_types_by_name_expr
+
+    r = spark.range(1).select(name_is_sensitive_expr(F.lit(name)).alias("s"), pii_types_by_name_expr(F.lit(name)).alias("t")).first()
+    assert r.s == name_is_sensitive(name)
+    assert sorted(r.t) == sorted(pii_types_by_name(name))
+
+
+def test_mask_profile_hides_values(spark):
+    from kiln.operators.profile import profile_table
+
+    df = spark.createDataFrame([("13812345678", "x"), ("13900000000", "y")], "phone string, note string")
+    prof = I.mask_profile(profile_table(df, "t", k=2), {"phone": ["phone"]})
+    rows = {r.column_name: r for r in prof.collect()}
+    assert rows["phone"].min_value == "13*******78"
+    assert all("*" in v for v in rows["phone"].sample_values)
+    assert all("*" in s.value for s in rows["phone"].top_values)
+    assert rows["note"].min_value == "x"

@@ -181,3 +181,33 @@ def test_stream_clean_mask_dedup(spark):
     got = spark.read.parquet(f"{base}/out")
     assert got.count() == spark.read.parquet(f"{SF001}/events.parquet").count()
     assert got.filter(F.col("event_type") != F.upper("event_type")).count() == 0
+
+
+def test_sync_source_all_and_subset(spark):
+    from kiln.sources.ods import sync_source
+
+    src = {"id": f"tp{uid()}", "format": "parquet", "path": SF001}
+    res = {r.table_name: r.status for r in sync_source(spark, src, ["nation", "partsupp"]).collect()}
+    assert res == {"nation": "success", "partsupp": "skipped"}
+    every = sync_source(spark, src)
+    assert every.filter("status = 'success'").count() == 14
+
+
+def test_run_model_resolves_catalog(spark):
+    sid = f"s{uid()}"
+    attach_source(spark, {"id": sid, "format": "parquet", "path": SF001}, ["region"])
+    sql = f"SELECT count(*) AS n FROM {{{{ source('{sid}', 'region') }}}}"
+    assert run_model(spark, sql).first().n == 5  # found as the attached view
+    sync_to_ods(spark, sid, {"nation": spark.read.parquet(f"{SF001}/nation.parquet")})
+    sql2 = f"SELECT count(*) AS n FROM {{{{ source('{sid}', 'nation') }}}}"
+    assert run_model(spark, sql2).first().n == 25  # found in staging
+
+
+def test_deliver_all_tables_of_a_database(spark):
+    from kiln.sources.ods import write_table
+
+    clean = f"clean{uid()}"
+    write_table(spark.range(3), clean, "clean_a")
+    write_table(spark.range(4), clean, "clean_b")
+    res = {r.prod_table: r.rows for r in D.deliver(spark, clean, "replace", f"prod{uid()}").collect()}
+    assert res == {"a": 3, "b": 4}
