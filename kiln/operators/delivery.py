@@ -134,7 +134,12 @@ def append_history(spark: SparkSession, path: str, rows: DataFrame, run_id: int,
         F.current_timestamp().alias("recorded_at"),
         F.lit(spark.sparkContext.sparkUser()).alias("recorded_by"),
     )
-    out.write.mode("append").parquet(path)
+    (
+        out.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id", "kind")
+        .parquet(path)
+    )
 
 
 def compare_runs(history: DataFrame) -> DataFrame:

@@ -93,10 +93,16 @@ def check_custom(df: DataFrame, name: str, predicate: str | Column, table_name:
 def check_references(
     child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, table_name: str = "", parent_name: str = ""
 ) -> DataFrame:
-    """Q4 (relationships): child rows whose non-NULL key has no parent (a ``left_anti`` join)."""
+    """Q4 (relationships): child rows whose non-NULL key has no parent.
+
+    Child keys are counted first (partial aggregation: a key holding a third
+    of the rows crosses the shuffle as one row per task), then anti-joined
+    with the parent's keys, and the orphan rows summed.
+    """
+    per_key = child.filter(_c(child_key).isNotNull()).groupBy(_c(child_key).alias("__ck")).agg(F.count(F.lit(1)).alias("n"))
     keys = parent.select(_c(parent_key).alias("__pk"))
-    orphans = child.filter(_c(child_key).isNotNull()).join(keys, _c(child_key) == F.col("__pk"), "left_anti")
-    return orphans.agg(F.count(F.lit(1)).cast("long").alias("failures")).select(
+    orphans = per_key.join(keys, F.col("__ck") == F.col("__pk"), "left_anti")
+    return orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("failures")).select(
         F.lit(f"relationships_{table_name}_{child_key}_{parent_name}").alias("check_name"),
         F.lit(table_name).alias("table_name"),
         F.lit("relationships").alias("check_type"),

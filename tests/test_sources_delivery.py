@@ -211,3 +211,18 @@ def test_deliver_all_tables_of_a_database(spark):
     write_table(spark.range(4), clean, "clean_b")
     res = {r.prod_table: r.rows for r in D.deliver(spark, clean, "replace", f"prod{uid()}").collect()}
     assert res == {"a": 3, "b": 4}
+
+
+def test_history_rerun_replaces_its_run(spark):
+    path = shared_dir(spark, "hist", uid())
+    for run, v in ((1, 5), (2, 2), (2, 3)):  # run 2 written twice: the second replaces the first
+        D.append_history(spark, path, spark.createDataFrame([("chk", v)], "item string, value long"), run, "check")
+    rows = D.compare_runs(spark.read.parquet(path)).orderBy("run_id").collect()
+    assert [(r.run_id, r.value) for r in rows] == [(1, 5), (2, 3)]
+
+
+def test_orphans_with_hot_key(spark):
+    child = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 50).alias("k"))
+    parent = spark.range(50).select(F.col("id").alias("k"))
+    r = Q.check_references(child, "k", parent, "k", "c", "p").first()
+    assert r.failures == 1000
