@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kiln.plans.names import prod_name
-from kiln.sources.ods import bulk_copy, ensure_database, write_table
+from kiln.sources.ods import bulk_copy, ensure_database, run_per_table, write_table
 
 RESULT_SCHEMA = "clean_table string, prod_table string, strategy string, status string, rows long, message string"
 STRATEGIES = ("atomic", "replace", "copy")
@@ -69,6 +69,7 @@ def deliver(
     prod_db: str = "prod",
     copy_root: str | None = None,
     dry_run: bool = False,
+    max_parallel: int = 4,
 ) -> DataFrame:
     """Deliver clean tables to prod; one result row per table.
 
@@ -82,15 +83,13 @@ def deliver(
         from kiln.plans.helpers import list_tables
 
         tables = {t: f"{tables}.{t}" for t in list_tables(spark, tables, base_only=True)}
-    results = []
-    for clean in sorted(tables):
+
+    def one(clean: str) -> tuple:
         target = prod_name(clean)
         if strategy not in STRATEGIES:
-            results.append((clean, target, strategy, "error", None, f"unknown strategy: {strategy}"))
-            continue
+            return (clean, target, strategy, "error", None, f"unknown strategy: {strategy}")
         if dry_run:
-            results.append((clean, target, strategy, "planned", None, f"{clean} -> {prod_db}.{target}"))
-            continue
+            return (clean, target, strategy, "planned", None, f"{clean} -> {prod_db}.{target}")
         try:
             src = tables[clean]
             df = spark.table(src) if isinstance(src, str) else src
@@ -104,9 +103,13 @@ def deliver(
                 path = f"{(copy_root or '').rstrip('/')}/{target}"
                 deliver_copy(df, {"format": "parquet", "path": path})
                 rows = spark.read.parquet(path).count()
-            results.append((clean, target, strategy, "success", rows, ""))
+            return (clean, target, strategy, "success", rows, "")
         except Exception as e:  # keep delivering the others
-            results.append((clean, target, strategy, "failed", None, str(e).splitlines()[0][:300]))
+            return (clean, target, strategy, "failed", None, str(e).splitlines()[0][:300])
+
+    if not dry_run and strategy in ("replace", "atomic"):
+        ensure_database(spark, prod_db)  # once, before the per-table threads
+    results = run_per_table(sorted(tables), one, max_parallel)
     return spark.createDataFrame(results, RESULT_SCHEMA)
 
 

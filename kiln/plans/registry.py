@@ -1018,3 +1018,12 @@ def _masked_profile_sql() -> str:
 def q_profile_masked_customer(spark, d):
     contacts = customer_contacts(T(spark, d, "customer"))
     return I.mask_profile(P.column_stats(contacts, "customer"), I.pii_scan(contacts, 0.3))
+
+
+@register("profile_lineitem_approx", None)
+def q_profile_lineitem_approx(spark, d):
+    """P1-P6 with HyperLogLog distinct counts: one wide aggregate, no value shuffle (the 100 TB setting).
+
+    Approximate by design, so only rows are checked; exact counts are ``profile_lineitem``.
+    """
+    return P.column_stats(decimal_doubles(T(spark, d, "lineitem")), "lineitem", approx=True)

@@ -34,6 +34,21 @@ def get_spark(master: str | None = None, app: str = "kiln", shuffle_partitions:
     return spark
 
 
+def size_shuffle(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> int:
+    """Set ``spark.sql.shuffle.partitions`` so a full shuffle of ``input_bytes`` lands near
+    ``partition_bytes`` per partition (at least twice the cores); AQE then coalesces
+    what turns out smaller and splits skewed partitions. Returns the number set.
+
+    100 TB at 256 MB is about 400,000 partitions: sized for the first, largest
+    shuffle; later, pre-aggregated shuffles are coalesced by AQE.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    n = max(2 * cores, -(-input_bytes // partition_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(min(partition_bytes, 256 * 1024 * 1024)))
+    return n
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder every executor can reach: under ``spark.checkpoint.dir``.
 

@@ -95,7 +95,11 @@ def ods_name(source_id: str) -> str:
 
 
 def sync_to_ods(
-    spark: SparkSession, source_id: str, tables: dict[str, DataFrame | None], ods: str | None = None
+    spark: SparkSession,
+    source_id: str,
+    tables: dict[str, DataFrame | None],
+    ods: str | None = None,
+    max_parallel: int = 4,
 ) -> DataFrame:
     """S3: full-refresh copy of each table into ``ods_<source>``; one result row per table.
 
@@ -103,21 +107,36 @@ def sync_to_ods(
     table is ``failed`` and the others still run; success reports rows copied.
     """
     db = ensure_database(spark, ods or ods_name(source_id))
-    results = []
-    for name in sorted(tables):
+
+    def one(name: str) -> tuple:
         df = tables[name]
         target = f"{db}.{name.lower()}"
         if df is None:
-            results.append((source_id, name, target, "skipped", None, "absent at source"))
-            continue
+            return (source_id, name, target, "skipped", None, "absent at source")
         try:
             n = write_table(all_nullable(df), db, name.lower())
-            results.append((source_id, name, target, "success", n, ""))
+            return (source_id, name, target, "success", n, "")
         except Exception as e:  # per-table failure does not stop the sync
-            results.append((source_id, name, target, "failed", None, str(e).splitlines()[0][:300]))
+            return (source_id, name, target, "failed", None, str(e).splitlines()[0][:300])
+
+    results = run_per_table(sorted(tables), one, max_parallel)
     return spark.createDataFrame(results, RESULT_SCHEMA)
 
 
+def run_per_table(names: list[str], fn, max_parallel: int = 4) -> list:
+    """Run one Spark job per table from a few driver threads (Spark schedules them side by side).
+
+    Results come back in ``names`` order; each table's data still moves as one
+    distributed job.
+    """
+    if max_parallel <= 1 or len(names) <= 1:
+        return [fn(n) for n in names]
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max_parallel) as pool:
+        return list(pool.map(fn, names))
+
+
 def sync_source(
     spark: SparkSession, source: dict, tables: list[str] | None = None, ods: str | None = None
 ) -> DataFrame:

@@ -96,3 +96,14 @@ def test_hot_value_is_preaggregated(spark):
     plan = P.top_values(df, 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert P.top_values(df, 1).first()["count"] == 1000
+
+
+def test_size_shuffle(spark):
+    from kiln.session import size_shuffle
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffle(spark, 100 * 1024**4) == 409600
+        assert size_shuffle(spark, 1) == 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
