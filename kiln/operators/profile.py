@@ -66,10 +66,11 @@ def typed_values(df: DataFrame, columns: list[str] | None = None) -> tuple[DataF
     if not fields:
         raise ValueError("no groupable columns to profile")
     slots = _slots(fields)
+    nulls = {name: F.lit(None).cast(key).alias(name) for key, (name, _) in slots.items()}  # built once, shared
 
     def packed(f: T.StructField) -> Column:
         mine = slots[f.dataType.simpleString()][0]
-        parts = [(F.col(f"`{f.name}`") if name == mine else F.lit(None).cast(t)).alias(name) for name, t in slots.values()]
+        parts = [F.col(f"`{f.name}`").alias(name) if name == mine else nulls[name] for name, _ in slots.values()]
         return F.struct(*parts).alias(f.name)
 
     names = [f.name for f in fields]
@@ -142,7 +143,7 @@ def _wide_stats(df: DataFrame, fields: list[T.StructField], approx: bool) -> Dat
 
 
 def column_stats(
-    df: DataFrame, table_name: str = "", columns: list[str] | None = None, approx: bool = False
+    df: DataFrame, table_name: str = "", columns: list[str] | None = None, approx: bool = False, _spread: bool = True
 ) -> DataFrame:
     """P1-P6 per column: one row per column, in schema order.
 
@@ -157,7 +158,8 @@ def column_stats(
     aggregate with HyperLogLog sketches instead (no value shuffle).
     """
     fields = _fields(df, columns)
-    df = spread(df)
+    if _spread:
+        df = spread(df)
     groupable = [f for f in fields if not isinstance(f.dataType, _UNGROUPABLE)]
     if approx or not groupable:
         stats = _wide_stats(df, fields, approx).withColumn(
@@ -225,7 +227,7 @@ def top_values(
     NULL is a group. Ties break on the value (NULL last) so results repeat.
     Columns: table_name, column_name, rank, value, count, frequency.
     """
-    vc = counts if counts is not None else value_counts(df, columns)
+    vc = counts if counts is not None else value_counts(spread(df), columns)
     w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc_nulls_last())
     ranked = vc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     # rows per column = sum of its group counts; one row per column, so the join is tiny
@@ -244,7 +246,7 @@ def sample_values(
     df: DataFrame, k: int = 5, table_name: str = "", columns: list[str] | None = None, counts: DataFrame | None = None
 ) -> DataFrame:
     """``k`` distinct non-NULL values per column, the smallest by text order."""
-    vc = counts if counts is not None else value_counts(df, columns)
+    vc = counts if counts is not None else value_counts(spread(df), columns)
     w = Window.partitionBy("column_name").orderBy(F.col("value").asc())
     return (
         vc.filter(F.col("value").isNotNull())
@@ -259,7 +261,7 @@ def profile_table(
 ) -> DataFrame:
     """Column stats plus bounded ``top_values`` and ``sample_values`` arrays per column."""
     df = spread(df)
-    stats = column_stats(df, table_name, columns, approx)
+    stats = column_stats(df, table_name, columns, approx, _spread=False)
     vc = value_counts(df, columns)
     top = (
         top_values(df, k, table_name, columns, counts=vc)
@@ -325,7 +327,7 @@ def key_candidates(df: DataFrame, composites: list[list[str]] | None = None, tab
     aggregation, so hot keys are pre-aggregated map-side.
     """
     df = spread(df)
-    stats = column_stats(df, table_name).filter(F.col("unique_count").isNotNull())
+    stats = column_stats(df, table_name, _spread=False).filter(F.col("unique_count").isNotNull())
     singles = stats.select(
         "table_name",
         F.col("column_name").alias("key_columns"),

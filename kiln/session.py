@@ -28,6 +28,8 @@ def get_spark(master: str | None = None, app: str = "kiln", shuffle_partitions:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 2))
         .config("spark.driver.memory", os.environ.get("KILN_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # call-site capture costs JVM round trips per Column call; plans here are built from many Columns
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -68,22 +70,35 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
 def spread(df):
     """Spread a tiny input over the cores before heavy per-row work.
 
-    Fires only when the input has at most ``kiln.spread.maxInputPartitions``
-    (default 8) scan partitions and fewer than the default parallelism: a small
-    file in one row group, about a gigabyte at most. A large input already has
-    many scan partitions and is returned unchanged, so no shuffle is added at
-    scale.
+    Decided from plan metadata only (``inputFiles``; nothing runs): the input
+    must come from at most ``kiln.spread.maxInputFiles`` (8) local files of at
+    most ``kiln.spread.maxInputBytes`` (1 GiB) in total, e.g. a small file in
+    one row group that would otherwise be read by a single task. A large
+    input has many files and scan partitions and is returned unchanged, so no
+    shuffle is added at scale. Operators call it once, on their input.
     """
+    import os
+    from urllib.parse import urlparse
+
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism
-    small = int(spark.conf.get("kiln.spread.maxInputPartitions", "8"))
-    n = df.rdd.getNumPartitions()
-    if n <= small and n < target:
-        # hash of the whole row: deterministic on retry without the local sort
-        # a round-robin repartition needs, and even unless rows are identical
-        from pyspark.sql import functions as F
-        from pyspark.sql import types as T
-
-        keys = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-        return df.repartition(target, F.xxhash64(*keys)) if keys else df.repartition(target)
-    return df
+    max_files = int(spark.conf.get("kiln.spread.maxInputFiles", "8"))
+    max_bytes = int(spark.conf.get("kiln.spread.maxInputBytes", str(1 << 30)))
+    files = df.inputFiles()
+    if not files or len(files) > max_files or len(files) >= target:
+        return df
+    total = 0
+    for f in files:
+        u = urlparse(f)
+        if u.scheme not in ("", "file"):
+            return df  # remote storage: leave the scan's own partitioning alone
+        total += os.path.getsize(u.path)
+    if total > max_bytes:
+        return df
+    # hash of the whole row: deterministic on retry without the local sort a
+    # round-robin repartition needs, and even unless rows are identical
+    keys = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return df.repartition(target, F.xxhash64(*keys)) if keys else df.repartition(target)
