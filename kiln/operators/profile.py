@@ -143,7 +143,7 @@ def _wide_stats(df: DataFrame, fields: list[T.StructField], approx: bool) -> Dat
 
 
 def column_stats(
-    df: DataFrame, table_name: str = "", columns: list[str] | None = None, approx: bool = False, _spread: bool = True
+    df: DataFrame, table_name: str = "", columns: list[str] | None = None, approx: bool = False, spread_input: bool = True
 ) -> DataFrame:
     """P1-P6 per column: one row per column, in schema order.
 
@@ -158,7 +158,7 @@ def column_stats(
     aggregate with HyperLogLog sketches instead (no value shuffle).
     """
     fields = _fields(df, columns)
-    if _spread:
+    if spread_input:  # callers that already spread their input pass False
         df = spread(df)
     groupable = [f for f in fields if not isinstance(f.dataType, _UNGROUPABLE)]
     if approx or not groupable:
@@ -261,7 +261,7 @@ def profile_table(
 ) -> DataFrame:
     """Column stats plus bounded ``top_values`` and ``sample_values`` arrays per column."""
     df = spread(df)
-    stats = column_stats(df, table_name, columns, approx, _spread=False)
+    stats = column_stats(df, table_name, columns, approx, spread_input=False)
     vc = value_counts(df, columns)
     top = (
         top_values(df, k, table_name, columns, counts=vc)
@@ -327,7 +327,7 @@ def key_candidates(df: DataFrame, composites: list[list[str]] | None = None, tab
     aggregation, so hot keys are pre-aggregated map-side.
     """
     df = spread(df)
-    stats = column_stats(df, table_name, _spread=False).filter(F.col("unique_count").isNotNull())
+    stats = column_stats(df, table_name, spread_input=False).filter(F.col("unique_count").isNotNull())
     singles = stats.select(
         "table_name",
         F.col("column_name").alias("key_columns"),

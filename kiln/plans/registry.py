@@ -98,12 +98,12 @@ EVENTS_PROFILE_COLS = [
 
 @register("profile_orders", profile_sql("orders", ORDERS_PROFILE_COLS, "orders"))
 def q_profile_orders(spark, d):
-    return P.column_stats(decimal_doubles(T(spark, d, "orders")), "orders")
+    return P.column_stats(decimal_doubles(spread(T(spark, d, "orders"))), "orders", spread_input=False)
 
 
 @register("profile_events", profile_sql("events", EVENTS_PROFILE_COLS, "events"))
 def q_profile_events(spark, d):
-    return P.column_stats(decimal_doubles(T(spark, d, "events")), "events")
+    return P.column_stats(decimal_doubles(spread(T(spark, d, "events"))), "events", spread_input=False)
 
 
 PART_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
@@ -926,7 +926,7 @@ LINEITEM_PROFILE_COLS = [
 
 @register("profile_lineitem", profile_sql("lineitem", LINEITEM_PROFILE_COLS, "lineitem"))
 def q_profile_lineitem(spark, d):
-    return P.column_stats(decimal_doubles(T(spark, d, "lineitem")), "lineitem")
+    return P.column_stats(decimal_doubles(spread(T(spark, d, "lineitem"))), "lineitem", spread_input=False)
 
 
 # --------------------------------------------------------------------- more coverage
@@ -1022,4 +1022,4 @@ def q_profile_lineitem_approx(spark, d):
 
     Approximate by design, so only rows are checked; exact counts are ``profile_lineitem``.
     """
-    return P.column_stats(decimal_doubles(T(spark, d, "lineitem")), "lineitem", approx=True)
+    return P.column_stats(decimal_doubles(spread(T(spark, d, "lineitem"))), "lineitem", approx=True, spread_input=False)
