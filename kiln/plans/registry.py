@@ -1023,3 +1023,38 @@ def q_profile_lineitem_approx(spark, d):
     Approximate by design, so only rows are checked; exact counts are ``profile_lineitem``.
     """
     return P.column_stats(decimal_doubles(spread(T(spark, d, "lineitem"))), "lineitem", approx=True, spread_input=False)
+
+
+PROFILE_EMBEDDINGS_SQL = f"""
+SELECT 'embeddings' AS table_name, 0 AS position, 'vec_id' AS column_name, 'bigint' AS data_type, count(*) AS row_count,
+       count(*) - count(vec_id) AS null_count, {ratio4_sql('count(*) - count(vec_id)', 'count(*)')} AS null_rate,
+       count(DISTINCT vec_id) AS unique_count, (count(DISTINCT vec_id) = count(*) AND count(*) > 0) AS is_unique_candidate,
+       CAST(min(vec_id) AS VARCHAR) AS min_value, CAST(max(vec_id) AS VARCHAR) AS max_value FROM embeddings
+UNION ALL
+SELECT 'embeddings', 1, 'embedding', 'array<float>', count(*), count(*) - count(embedding),
+       {ratio4_sql('count(*) - count(embedding)', 'count(*)')}, CAST(NULL AS BIGINT), false,
+       CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM embeddings
+UNION ALL
+SELECT 'embeddings', 2, 'label', 'int', count(*), count(*) - count(label), {ratio4_sql('count(*) - count(label)', 'count(*)')},
+       count(DISTINCT label), (count(DISTINCT label) = count(*) AND count(*) > 0),
+       CAST(min(label) AS VARCHAR), CAST(max(label) AS VARCHAR) FROM embeddings
+"""
+
+
+@register("profile_embeddings", PROFILE_EMBEDDINGS_SQL)
+def q_profile_embeddings(spark, d):
+    """Vectors are counted only (no distinct values or ranges for arrays)."""
+    return P.column_stats(T(spark, d, "embeddings"), "embeddings")
+
+
+PII_TOKENS_CONVERSATIONS_SQL = f"""
+WITH tok AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+')) AS token FROM conversations),
+lab AS (SELECT conv_id, turn, {pii_labels_sql('token', 'false')} AS labels FROM tok WHERE regexp_matches(token, '[0-9@一-鿿]')),
+x AS (SELECT conv_id, turn, unnest(string_split(labels, ',')) AS label FROM lab WHERE labels <> '')
+SELECT conv_id, turn, label, count(*) AS tokens FROM x GROUP BY ALL
+"""
+
+
+@register("pii_tokens_conversations", PII_TOKENS_CONVERSATIONS_SQL)
+def q_pii_tokens_conversations(spark, d):
+    return I.pii_tokens(T(spark, d, "conversations"), "text", keep=["conv_id", "turn"])
