@@ -1058,3 +1058,19 @@ SELECT conv_id, turn, label, count(*) AS tokens FROM x GROUP BY ALL
 @register("pii_tokens_conversations", PII_TOKENS_CONVERSATIONS_SQL)
 def q_pii_tokens_conversations(spark, d):
     return I.pii_tokens(T(spark, d, "conversations"), "text", keep=["conv_id", "turn"])
+
+
+PII_TOKENS_PAGES_SQL = f"""
+WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS body FROM pages),
+tok AS (SELECT page_id, unnest(regexp_split_to_array(body, '[ \\t\\n\\r\\f]+')) AS token FROM t),
+lab AS (SELECT page_id, {pii_labels_sql('token', 'false')} AS labels FROM tok WHERE regexp_matches(token, '[0-9@一-鿿]')),
+x AS (SELECT page_id, unnest(string_split(labels, ',')) AS label FROM lab WHERE labels <> '')
+SELECT page_id, label, count(*) AS tokens FROM x GROUP BY ALL
+"""
+
+
+@register("pii_tokens_pages", PII_TOKENS_PAGES_SQL)
+def q_pii_tokens_pages(spark, d):
+    """Page text is the HTML with its tags replaced by spaces; every whole page is scanned."""
+    pages = T(spark, d, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("body"))
+    return I.pii_tokens(pages, "body", keep=["page_id"])
