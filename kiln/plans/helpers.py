@@ -101,6 +101,7 @@ def check_mappings(mappings: DataFrame, catalog: DataFrame) -> DataFrame:
         F.concat(F.lit("field not found: "), F.col("source_table"), F.lit("."), F.col("source_field")).alias("error"),
     )
     errors = no_table.unionByName(no_field)
+    # numbering needs one ordered pass; errors are bounded by the mapping count (hundreds at most)
     return errors.withColumn("n", F.row_number().over(Window.orderBy("target_field", "error")))
 
 

@@ -27,6 +27,7 @@ def read_standard_csv(spark: SparkSession, path: str) -> DataFrame:
     first = rows.groupBy("table_name").agg(
         F.min("__row").alias("__first"), F.min_by(F.coalesce(F.col("table_comment"), F.lit("")), F.col("__row")).alias("table_description")
     )
+    # one row per table of the standard: a global order over a bounded, small frame
     order = first.withColumn("table_order", F.dense_rank().over(Window.orderBy("__first")) - 1)
     return (
         rows.withColumn("position", F.row_number().over(per_table) - 1)

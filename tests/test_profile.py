@@ -107,3 +107,18 @@ def test_size_shuffle(spark):
         assert size_shuffle(spark, 1) == 2 * spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_spread_only_for_tiny_file_inputs(spark):
+    from kiln.session import spread
+    from tests.conftest import SF001
+
+    small = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    assert spread(small) is not small  # one small local file: spread over the cores
+    generated = spark.range(10)
+    assert spread(generated) is generated  # no input files: unchanged
+    spark.conf.set("kiln.spread.maxInputBytes", "10")
+    try:
+        assert spread(small) is small  # above the size bound: unchanged
+    finally:
+        spark.conf.unset("kiln.spread.maxInputBytes")
