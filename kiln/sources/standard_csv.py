@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kiln.functions.common import strip_all
 from kiln.plans.spec import Field, Standard
 
 # fixed value: the standard file's header
@@ -17,7 +18,7 @@ def read_standard_csv(spark: SparkSession, path: str) -> DataFrame:
     row's comment describes the table; ``module`` and ``example`` are read and dropped.
     """
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    rows = raw.select(*[F.trim(F.col(c)).alias(c) for c in STANDARD_COLUMNS if c in raw.columns]).withColumn(
+    rows = raw.select(*[strip_all(F.col(c)).alias(c) for c in STANDARD_COLUMNS if c in raw.columns]).withColumn(
         "__row", F.monotonically_increasing_id()
     )
     ftype = F.coalesce(F.col("field_type"), F.lit(""))
