@@ -15,7 +15,15 @@ from pyspark.sql import functions as F
 from kiln.functions.common import ratio4
 from kiln.functions.common import strip_all
 from kiln.functions.common import digits_only
-from kiln.functions.pii import LABELS, key_hint_expr, labels_of_stripped, mask_value, name_has_key_hint
+from kiln.functions.pii import (
+    LABELS,
+    key_hint_expr,
+    labels_of_stripped,
+    mask_by_kind,
+    mask_kind_expr,
+    mask_value,
+    name_has_key_hint,
+)
 from kiln.session import spread
 from kiln.plans.names import name_is_sensitive, pii_types_by_name
 
@@ -28,14 +36,18 @@ def _text_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     return groupable_columns(df, list(columns) if columns else None)
 
 
-def pii_values(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def pii_values(
+    df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = (), spread_input: bool = True
+) -> DataFrame:
     """I3 + I4 per value: ``keep`` columns, column_name, value, pii_types (comma-joined, ``''`` when none)."""
     cols = _text_columns(df, columns)
     ids = [f"__keep{i}" for i in range(len(keep))]
     long = df.select(
         *[F.col(f"`{k}`").alias(i) for k, i in zip(keep, ids)], *[F.col(f"`{c}`").cast("string").alias(c) for c in cols]
     ).unpivot(ids, cols, "column_name", "value")
-    long = spread(long.withColumnsRenamed(dict(zip(ids, keep))))
+    long = long.withColumnsRenamed(dict(zip(ids, keep)))
+    if spread_input:  # callers that already spread their input pass False
+        long = spread(long)
     # stripped text and its digits in their own projection: computed once, not per pattern
     prep = long.withColumn("__s", strip_all(F.col("value"))).withColumn("__d", digits_only(F.col("__s")))
     labels = labels_of_stripped(F.col("__s"), F.col("__d"), key_hint_expr(F.col("column_name")))
@@ -48,6 +60,7 @@ def pii_scan(
     columns: Sequence[str] | None = None,
     sample_fraction: float | None = None,
     seed: int = 17,
+    spread_input: bool = True,
 ) -> DataFrame:
     """Which columns hold personal data, and of which types.
 
@@ -58,7 +71,7 @@ def pii_scan(
     """
     cols = _text_columns(df, columns)
     src = df.sample(fraction=sample_fraction, seed=seed) if sample_fraction else df
-    labeled = pii_values(src, cols).filter(F.col("value").isNotNull())
+    labeled = pii_values(src, cols, spread_input=spread_input).filter(F.col("value").isNotNull())
     # one labelling pass: (column, labels) groups feed both the ratio and the label counts
     groups = labeled.groupBy("column_name", "pii_types").agg(F.count(F.lit(1)).alias("n"))
     per_col = groups.groupBy("column_name").agg(
@@ -137,26 +150,39 @@ def pii_tokens(df: DataFrame, text_column: str, keep: Sequence[str] = ()) -> Dat
 def mask_profile(profile: DataFrame, plan: dict[str, list[str]] | DataFrame) -> DataFrame:
     """I11 for profiles: mask min/max, top values and samples of sensitive columns.
 
-    A profile has one row per column, so the mask is chosen per row with a
-    CASE over the (few) sensitive column names; the profile of a sensitive
-    column never shows a value in clear.
+    ``plan`` is a scan result (joined by column name, one row per column, so
+    nothing reaches the driver and the mask kind is a Column expression) or a
+    ``{column: types}`` dict (the mask is then chosen per row with a CASE over
+    the few sensitive column names). The profile of a sensitive column never
+    shows a value in clear.
     """
     if isinstance(plan, DataFrame):
-        plan = mask_plan(plan)
+        flags = plan.select(
+            F.col("column_name").alias("__col"),
+            ((F.col("detected_by") != "none") | F.col("sensitive_name")).alias("__flag"),
+            mask_kind_expr(F.col("pii_types"), F.col("column_name")).alias("__kind"),
+        )
+        joined = profile.join(F.broadcast(flags), profile["column_name"] == flags["__col"], "left")
+
+        def masked(c: Column) -> Column:
+            return F.when(F.coalesce(F.col("__flag"), F.lit(False)), mask_by_kind(c, F.col("__kind"))).otherwise(c)
 
-    def masked(c: Column) -> Column:
+        return _mask_profile_columns(joined, masked).drop("__col", "__flag", "__kind")
+
+    def masked_by_name(c: Column) -> Column:
         out = None
         for name, types in plan.items():
             m = mask_value(c, types, name)
             out = F.when(F.col("column_name") == name, m) if out is None else out.when(F.col("column_name") == name, m)
         return c if out is None else out.otherwise(c)
 
+    return _mask_profile_columns(profile, masked_by_name)
+
+
+def _mask_profile_columns(profile: DataFrame, masked) -> DataFrame:
     out = profile.withColumns({c: masked(F.col(c)) for c in ("min_value", "max_value") if c in profile.columns})
     if "sample_values" in out.columns:
         out = out.withColumn("sample_values", F.transform("sample_values", masked))
     if "top_values" in out.columns:
-        out = out.withColumn(
-            "top_values",
-            F.transform("top_values", lambda s: s.withField("value", masked(s["value"]))),
-        )
+        out = out.withColumn("top_values", F.transform("top_values", lambda s: s.withField("value", masked(s["value"]))))
     return out

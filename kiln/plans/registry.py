@@ -1074,3 +1074,52 @@ def q_pii_tokens_pages(spark, d):
     """Page text is the HTML with its tags replaced by spaces; every whole page is scanned."""
     pages = T(spark, d, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("body"))
     return I.pii_tokens(pages, "body", keep=["page_id"])
+
+
+# --------------------------------------------------------------------- source explore
+
+from kiln.plans.explore import explore  # noqa: E402
+from kiln.plans.sqltext import mask_address_sql, scan_sql  # noqa: E402
+
+STAR_SCHEMAS = {
+    "customer": [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string")],
+    "lineitem": [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
+                 ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
+                 ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")],
+    "nation": [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")],
+    "orders": [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+               ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")],
+    "part": [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"),
+             ("p_retailprice", "double")],
+    "region": [("r_regionkey", "int"), ("r_name", "string")],
+    "supplier": [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal", "double")],
+}
+
+
+def _explore_sql() -> str:
+    masks = {"name": mask_name_sql, "address": mask_address_sql, "birth_date": mask_birth_sql, "default": mask_default_sql}
+    stats, scans = [], []
+    for t, cols in STAR_SCHEMAS.items():
+        typed = [(c, "decimal(18,2)" if k == "double" else k, f"CAST({c} AS DECIMAL(18,2))" if k == "double" else c) for c, k in cols]
+        src = f"(SELECT {', '.join(f'{e} AS {c}' for c, _, e in typed)} FROM {t})"
+        stats.append(profile_sql(t, typed, f"{src} AS s"))
+        scans.append(scan_sql(t, [(c, c) for c, _, _ in typed], f"{src} AS s"))
+
+    def masked(col: str) -> str:
+        kinds = " ".join(f"WHEN c.mask_kind = '{k}' THEN {fn(col)}" for k, fn in masks.items())
+        return f"CASE WHEN c.detected_by <> 'none' OR c.sensitive_name THEN (CASE {kinds} END) ELSE {col} END"
+
+    return f"""
+WITH st AS ({' UNION ALL '.join(f'({s})' for s in stats)}),
+c AS ({' UNION ALL '.join(f'SELECT * FROM {s} AS x' for s in scans)})
+SELECT st.table_name, st.position, st.column_name, st.data_type, st.row_count, st.null_count, st.null_rate, st.unique_count,
+       st.is_unique_candidate, {masked('st.min_value')} AS min_value, {masked('st.max_value')} AS max_value,
+       c.detected_by, c.pii_types
+FROM st JOIN c ON st.table_name = c.table_name AND st.column_name = c.column_name
+"""
+
+
+@register("explore_tpch", _explore_sql())
+def q_explore_tpch(spark, d):
+    src = {"id": "tpch", "format": "parquet", "path": d}
+    return explore(spark, src, tables=list(STAR_SCHEMAS), prepare=decimal_doubles).columns

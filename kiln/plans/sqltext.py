@@ -95,3 +95,66 @@ def mask_birth_sql(v: str) -> str:
         f"WHEN regexp_matches({v}, '{slash}') THEN substr({v}, 1, 4) || '/**/**' "
         f"ELSE {mask_default_sql(v)} END)"
     )
+
+
+def mask_address_sql(v: str) -> str:
+    from kiln.functions.pii import DIVISION_STOP_CHARS, DIVISION_WORDS
+
+    head = f"regexp_extract({v}, '^(.*[^{DIVISION_STOP_CHARS}\\s](?:{DIVISION_WORDS}))', 1)"
+    n = f"length({v})"
+    return (
+        f"(CASE WHEN {v} IS NULL THEN NULL WHEN {n} <= 1 THEN '*' "
+        f"WHEN length({head}) = 0 THEN (CASE WHEN {n} <= 4 THEN substr({v}, 1, 1) || repeat('*', {n} - 1) "
+        f"ELSE substr({v}, 1, 2) || repeat('*', {n} - 2) END) "
+        f"WHEN length({head}) >= {n} - 1 THEN {v} "
+        f"ELSE {head} || repeat('*', greatest(4, {n} - length({head}))) END)"
+    )
+
+
+def scan_sql(table: str, columns: list[tuple[str, str]], source: str, threshold: float = 0.3) -> str:
+    """PII scan of one table as SQL: one row per column (table_name, column_name, detected_by,
+    samples, pii_ratio, pii_types, sensitive_name, mask_kind); mirrors ``kiln.operators.pii.pii_scan``."""
+    from kiln.functions.pii import LABELS, mask_kind, name_has_key_hint
+    from kiln.plans.names import name_is_sensitive, pii_types_by_name
+
+    order = "[" + ",".join(f"'{x}'" for x in LABELS) + "]"
+    meta = ", ".join(
+        f"({i}, '{c}', '{','.join(pii_types_by_name(c))}', {str(name_is_sensitive(c)).lower()})" for i, (c, _) in enumerate(columns)
+    )
+    long = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, {pii_labels_sql(expr, 'true' if name_has_key_hint(c) else 'false')} AS labels "
+        f"FROM {source} WHERE {expr} IS NOT NULL"
+        for c, expr in columns
+    )
+    # the mask for a flagged column: decided from its labels and its name (kiln.functions.pii.mask_kind)
+    kinds = []
+    for c, _ in columns:
+        fixed = {k: mask_kind([k], c) for k in ("chinese_name", "address", "birth_date")}
+        base = mask_kind([], c)
+        kinds.append(
+            f"WHEN column_name = '{c}' THEN (CASE "
+            + (f"WHEN '{base}' = 'name' THEN 'name' " if base == "name" else "")
+            + f"WHEN list_contains(string_split(types, ','), 'chinese_name') THEN '{fixed['chinese_name']}' "
+            + (f"WHEN '{base}' = 'address' THEN 'address' " if base == "address" else "")
+            + f"WHEN list_contains(string_split(types, ','), 'address') THEN '{fixed['address']}' "
+            + (f"WHEN '{base}' = 'birth_date' THEN 'birth_date' " if base == "birth_date" else "")
+            + f"WHEN list_contains(string_split(types, ','), 'birth_date') THEN '{fixed['birth_date']}' "
+            + f"ELSE '{base}' END)"
+        )
+    return f"""
+(WITH names(position, column_name, name_types, sensitive_name) AS (VALUES {meta}),
+v AS ({long}),
+per_col AS (SELECT column_name, count(*) AS samples, count(*) FILTER (WHERE labels <> '') AS hits FROM v GROUP BY column_name),
+lab AS (SELECT column_name, unnest(string_split(labels, ',')) AS label FROM v WHERE labels <> ''),
+lc AS (SELECT column_name, label, count(*) AS n FROM lab GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, list_position({order}, label)) AS r FROM lc),
+top AS (SELECT column_name, string_agg(label, ',' ORDER BY r) AS value_types FROM rk WHERE r <= 3 GROUP BY column_name),
+j AS (SELECT m.*, coalesce(p.samples, 0) AS samples, coalesce(p.hits, 0) AS hits, t.value_types,
+             {ratio4_sql('coalesce(p.hits, 0)', 'coalesce(p.samples, 0)')} AS ratio
+      FROM names m LEFT JOIN per_col p USING (column_name) LEFT JOIN top t USING (column_name)),
+d AS (SELECT *, CASE WHEN name_types <> '' THEN 'name' WHEN hits > 0 AND ratio >= {threshold} THEN 'value' ELSE 'none' END AS detected_by,
+             CASE WHEN name_types <> '' THEN name_types WHEN hits > 0 AND ratio >= {threshold} THEN value_types ELSE '' END AS types
+      FROM j)
+SELECT '{table}' AS table_name, column_name, detected_by, CAST(samples AS BIGINT) AS samples, ratio AS pii_ratio, types AS pii_types,
+       sensitive_name, CASE {' '.join(kinds)} END AS mask_kind
+FROM d)"""
