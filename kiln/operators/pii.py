@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiln.functions.common import ratio4
@@ -72,32 +72,29 @@ def pii_scan(
     cols = _text_columns(df, columns)
     src = df.sample(fraction=sample_fraction, seed=seed) if sample_fraction else df
     labeled = pii_values(src, cols, spread_input=spread_input).filter(F.col("value").isNotNull())
-    # one labelling pass: (column, labels) groups feed both the ratio and the label counts
-    groups = labeled.groupBy("column_name", "pii_types").agg(F.count(F.lit(1)).alias("n"))
-    per_col = groups.groupBy("column_name").agg(
-        F.sum("n").alias("samples"), F.coalesce(F.sum(F.when(F.col("pii_types") != "", F.col("n"))), F.lit(0)).alias("hits")
-    )
-    order = F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col("label"))
-    label_counts = (
-        groups.filter(F.col("pii_types") != "")
-        .select("column_name", F.explode(F.split("pii_types", ",")).alias("label"), "n")
-        .groupBy("column_name", "label")
-        .agg(F.sum("n").alias("n"))
-    )
-    w = Window.partitionBy("column_name").orderBy(F.col("n").desc(), order)
-    top = (
-        label_counts.withColumn("rk", F.row_number().over(w))
-        .filter(F.col("rk") <= 3)
+    # values are labelled once and folded by one partial aggregation per column:
+    # the share with any label and a count per label (a fixed, small set)
+    tagged = F.concat(F.lit(","), F.col("pii_types"), F.lit(","))
+    per_col = (
+        labeled.select("column_name", tagged.alias("__p"))
         .groupBy("column_name")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "label"))), lambda s: s["label"]), ",").alias("value_types"))
+        .agg(
+            F.count(F.lit(1)).alias("samples"),
+            F.count_if(F.col("__p") != ",,").alias("hits"),
+            *[F.count_if(F.col("__p").contains(f",{lab},")).alias(f"__n{i}") for i, lab in enumerate(LABELS)],
+        )
     )
+    # up to three labels by count, ties in label order: struct order (-count, position)
+    ranked = F.array(*[F.struct((-F.col(f"__n{i}")).alias("k"), F.lit(i).alias("o"), F.lit(lab).alias("label")) for i, lab in enumerate(LABELS)])
+    top3 = F.slice(F.array_sort(F.filter(ranked, lambda x: x["k"] < 0)), 1, 3)
+    per_col = per_col.select("column_name", "samples", "hits", F.array_join(F.transform(top3, lambda x: x["label"]), ",").alias("value_types"))
     spark = df.sparkSession
     names = spark.createDataFrame(
         [(c, ",".join(pii_types_by_name(c)), name_is_sensitive(c), i) for i, c in enumerate(cols)],
         "column_name string, name_types string, sensitive_name boolean, position int",
     )
     # every frame here has one row per column: tiny joins whatever the table size
-    j = names.join(F.broadcast(per_col), "column_name", "left").join(F.broadcast(top), "column_name", "left")
+    j = names.join(F.broadcast(per_col), "column_name", "left")
     samples = F.coalesce(F.col("samples"), F.lit(0)).cast("long")
     ratio = ratio4(F.coalesce(F.col("hits"), F.lit(0)), samples)
     by_value = (samples > 0) & (F.coalesce(F.col("hits"), F.lit(0)) > 0) & (ratio >= threshold)
