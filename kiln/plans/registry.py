@@ -798,7 +798,7 @@ SQL_MODEL_REVENUE_SQL = (
 def q_sql_model_revenue(spark, d):
     inputs = {}
     for t in ("orders", "lineitem", "customer", "nation"):
-        df = T(spark, d, t)
+        df = spread(T(spark, d, t))
         row_view(spark, "tpch", t, df)  # S1: the row layer stays a lazy view
         inputs[("tpch", t)] = spark.table(f"row_tpch_{t}")
     return run_model(spark, REVENUE_MODEL, inputs)

@@ -98,7 +98,16 @@ def spread(df):
         total += os.path.getsize(u.path)
     if total > max_bytes:
         return df
-    # hash of the whole row: deterministic on retry without the local sort a
-    # round-robin repartition needs, and even unless rows are identical
+    # A file scan is spread by the row's place in its file (hidden ``_metadata``
+    # columns): deterministic on retry without the local sort a round-robin
+    # repartition needs, and it references no data column, so column pruning and
+    # filters still reach the scan below the shuffle. Other inputs hash the whole row.
+    from pyspark.errors import AnalysisException
+
+    try:
+        place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+        return df.repartition(target, place)
+    except AnalysisException:
+        pass
     keys = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     return df.repartition(target, F.xxhash64(*keys)) if keys else df.repartition(target)
