@@ -133,10 +133,15 @@ def pii_tokens(df: DataFrame, text_column: str, keep: Sequence[str] = ()) -> Dat
     """I3 over whitespace tokens of whole texts: ``keep``, label, tokens (count per row and label).
 
     Tokens without a digit, ``@`` or CJK character cannot match any pattern,
-    so they are dropped before the regular expressions run (exact, not a sample).
+    so they are never extracted (exact, not a sample).
     """
-    tokens = spread(df).select(*[F.col(k) for k in keep], F.explode(F.split(F.col(f"`{text_column}`"), "[ \\t\\n\\r\\f]+")).alias("token"))
-    candidates = tokens.filter(F.col("token").rlike("[0-9@一-鿿]"))
+    # Only candidate tokens become rows: a whole token (run of non-whitespace that
+    # starts after whitespace or at the start) holding a candidate character.
+    # Same tokens as splitting on whitespace and filtering, without a row per word.
+    token = "(?<![^ \\t\\n\\r\\f])[^ \\t\\n\\r\\f]*?[0-9@一-鿿][^ \\t\\n\\r\\f]*"
+    candidates = spread(df).select(
+        *[F.col(k) for k in keep], F.explode(F.regexp_extract_all(F.col(f"`{text_column}`"), F.lit(token), 0)).alias("token")
+    )
     hint = name_has_key_hint(text_column)
     prep = candidates.withColumn("__s", strip_all(F.col("token"))).withColumn("__d", digits_only(F.col("__s")))
     labels = prep.select(*keep, labels_of_stripped(F.col("__s"), F.col("__d"), hint).alias("labels")).filter(F.col("labels") != "")
