@@ -140,3 +140,22 @@ def test_mask_profile_hides_values(spark):
     assert all("*" in v for v in rows["phone"].sample_values)
     assert all("*" in s.value for s in rows["phone"].top_values)
     assert rows["note"].min_value == "x"
+
+
+def test_candidate_tokens_equal_split_and_filter(spark):
+    from pyspark.sql import functions as F
+
+    texts = [
+        (1, " 13812345678\tword x@y.com\n\n10.0.0.1"),
+        (2, "a1b2  13900001111  张三 end\f20240101 "),
+        (3, "no candidates here at all"),
+        (4, ""),
+        (5, "@@ 1 99999999999999999 a@b.c\r\nIP:10.1.1.1"),
+    ]
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = {(r.id, r.label, r.tokens) for r in I.pii_tokens(df, "text", ["id"]).collect()}
+    # the plain form: every whitespace token, filtered, labelled
+    toks = df.select("id", F.explode(F.split("text", "[ \\t\\n\\r\\f]+")).alias("t")).filter(F.col("t").rlike("[0-9@一-鿿]"))
+    lab = toks.select("id", F.explode(F.split(X.pii_labels(F.col("t")), ",")).alias("label")).filter("label <> ''")
+    want = {(r.id, r.label, r["count"]) for r in lab.groupBy("id", "label").count().collect()}
+    assert got == want and got

@@ -122,3 +122,16 @@ def test_spread_only_for_tiny_file_inputs(spark):
         assert spread(small) is small  # above the size bound: unchanged
     finally:
         spark.conf.unset("kiln.spread.maxInputBytes")
+
+
+def test_spread_keeps_pruning_and_filters_at_the_scan(spark):
+    from kiln.session import spread
+    from tests.conftest import SF001
+
+    src = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    q = spread(src).filter("l_quantity > 10").select("l_orderkey")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in plan
+    read = plan.split("ReadSchema: ")[1].split("\n")[0]
+    assert "l_comment" not in read and "l_orderkey" in read  # only used columns are read
+    assert q.count() == src.filter("l_quantity > 10").count()  # same rows, spread or not
