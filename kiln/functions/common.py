@@ -34,3 +34,29 @@ def strip_all(c: Column | str) -> Column:
 
 def digits_only(c: Column | str) -> Column:
     return F.regexp_replace(col_of(c), "[^0-9]", "")
+
+
+_FIXED: dict = {}
+
+
+def fixed_expr(builder):
+    """Build a Column expression (or a tuple of them) once per JVM and reuse it.
+
+    For expressions that name fixed columns only (``value``, ``min_value``...),
+    such as the PII labels and masks: each Column call is a JVM round trip, and
+    a catalog profile would otherwise rebuild the same large expression for
+    every table. The expression is unresolved, so every plan resolves it anew.
+    """
+    import functools
+
+    @functools.wraps(builder)
+    def get(*args):
+        from pyspark import SparkContext
+
+        sc = SparkContext._active_spark_context
+        key = (builder.__module__, builder.__qualname__, args, id(sc._jsc) if sc is not None else None)
+        if key not in _FIXED:
+            _FIXED[key] = builder(*args)
+        return _FIXED[key]
+
+    return get

@@ -12,9 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiln.functions.common import ratio4
-from kiln.functions.common import strip_all
-from kiln.functions.common import digits_only
+from kiln.functions.common import digits_only, fixed_expr, ratio4, strip_all
 from kiln.functions.pii import (
     LABELS,
     key_hint_expr,
@@ -49,11 +47,37 @@ def pii_values(
     if spread_input:  # callers that already spread their input pass False
         long = spread(long)
     # stripped text and its digits in their own projection: computed once, not per pattern
-    prep = long.withColumn("__s", strip_all(F.col("value"))).withColumn("__d", digits_only(F.col("__s")))
-    labels = labels_of_stripped(F.col("__s"), F.col("__d"), key_hint_expr(F.col("column_name")))
+    strip, digits, labels = _label_exprs()
+    prep = long.withColumn("__s", strip).withColumn("__d", digits)
     return prep.withColumn("pii_types", labels).drop("__s", "__d")
 
 
+@fixed_expr
+def _label_exprs() -> tuple[Column, Column, Column]:
+    hint = key_hint_expr(F.col("column_name"))
+    return strip_all(F.col("value")), digits_only(F.col("__s")), labels_of_stripped(F.col("__s"), F.col("__d"), hint)
+
+
+@fixed_expr
+def _token_label_exprs(hint: bool) -> tuple[Column, Column, Column]:
+    return strip_all(F.col("token")), digits_only(F.col("__s")), labels_of_stripped(F.col("__s"), F.col("__d"), hint)
+
+
+@fixed_expr
+def _scan_exprs() -> tuple[Column, tuple[Column, ...], Column]:
+    """Per-column folding of labelled values: tagged labels, the aggregates, the top three labels."""
+    tagged = F.concat(F.lit(","), F.col("pii_types"), F.lit(",")).alias("__p")
+    aggs = (
+        F.count(F.lit(1)).alias("samples"),
+        F.count_if(F.col("__p") != ",,").alias("hits"),
+        *[F.count_if(F.col("__p").contains(f",{lab},")).alias(f"__n{i}") for i, lab in enumerate(LABELS)],
+    )
+    # up to three labels by count, ties in label order: struct order (-count, position)
+    ranked = F.array(*[F.struct((-F.col(f"__n{i}")).alias("k"), F.lit(i).alias("o"), F.lit(lab).alias("label")) for i, lab in enumerate(LABELS)])
+    top3 = F.slice(F.array_sort(F.filter(ranked, lambda x: x["k"] < 0)), 1, 3)
+    return tagged, aggs, F.array_join(F.transform(top3, lambda x: x["label"]), ",").alias("value_types")
+
+
 def pii_scan(
     df: DataFrame,
     threshold: float = 0.3,
@@ -74,20 +98,9 @@ def pii_scan(
     labeled = pii_values(src, cols, spread_input=spread_input).filter(F.col("value").isNotNull())
     # values are labelled once and folded by one partial aggregation per column:
     # the share with any label and a count per label (a fixed, small set)
-    tagged = F.concat(F.lit(","), F.col("pii_types"), F.lit(","))
-    per_col = (
-        labeled.select("column_name", tagged.alias("__p"))
-        .groupBy("column_name")
-        .agg(
-            F.count(F.lit(1)).alias("samples"),
-            F.count_if(F.col("__p") != ",,").alias("hits"),
-            *[F.count_if(F.col("__p").contains(f",{lab},")).alias(f"__n{i}") for i, lab in enumerate(LABELS)],
-        )
-    )
-    # up to three labels by count, ties in label order: struct order (-count, position)
-    ranked = F.array(*[F.struct((-F.col(f"__n{i}")).alias("k"), F.lit(i).alias("o"), F.lit(lab).alias("label")) for i, lab in enumerate(LABELS)])
-    top3 = F.slice(F.array_sort(F.filter(ranked, lambda x: x["k"] < 0)), 1, 3)
-    per_col = per_col.select("column_name", "samples", "hits", F.array_join(F.transform(top3, lambda x: x["label"]), ",").alias("value_types"))
+    tagged, aggs, value_types = _scan_exprs()
+    per_col = labeled.select("column_name", tagged).groupBy("column_name").agg(*aggs)
+    per_col = per_col.select("column_name", "samples", "hits", value_types)
     spark = df.sparkSession
     names = spark.createDataFrame(
         [(c, ",".join(pii_types_by_name(c)), name_is_sensitive(c), i) for i, c in enumerate(cols)],
@@ -142,9 +155,9 @@ def pii_tokens(df: DataFrame, text_column: str, keep: Sequence[str] = ()) -> Dat
     candidates = spread(df).select(
         *[F.col(k) for k in keep], F.explode(F.regexp_extract_all(F.col(f"`{text_column}`"), F.lit(token), 0)).alias("token")
     )
-    hint = name_has_key_hint(text_column)
-    prep = candidates.withColumn("__s", strip_all(F.col("token"))).withColumn("__d", digits_only(F.col("__s")))
-    labels = prep.select(*keep, labels_of_stripped(F.col("__s"), F.col("__d"), hint).alias("labels")).filter(F.col("labels") != "")
+    strip, digits, label_expr = _token_label_exprs(name_has_key_hint(text_column))
+    prep = candidates.withColumn("__s", strip).withColumn("__d", digits)
+    labels = prep.select(*keep, label_expr.alias("labels")).filter(F.col("labels") != "")
     labeled = labels.select(*keep, F.explode(F.split("labels", ",")).alias("label"))
     return labeled.groupBy(*keep, "label").agg(F.count(F.lit(1)).alias("tokens"))
 
@@ -159,17 +172,10 @@ def mask_profile(profile: DataFrame, plan: dict[str, list[str]] | DataFrame) ->
     shows a value in clear.
     """
     if isinstance(plan, DataFrame):
-        flags = plan.select(
-            F.col("column_name").alias("__col"),
-            ((F.col("detected_by") != "none") | F.col("sensitive_name")).alias("__flag"),
-            mask_kind_expr(F.col("pii_types"), F.col("column_name")).alias("__kind"),
-        )
+        flag_cols, masks = _profile_mask_exprs(tuple(c for c in PROFILE_VALUE_COLUMNS if c in profile.columns))
+        flags = plan.select(*flag_cols)
         joined = profile.join(F.broadcast(flags), profile["column_name"] == flags["__col"], "left")
-
-        def masked(c: Column) -> Column:
-            return F.when(F.coalesce(F.col("__flag"), F.lit(False)), mask_by_kind(c, F.col("__kind"))).otherwise(c)
-
-        return _mask_profile_columns(joined, masked).drop("__col", "__flag", "__kind")
+        return joined.withColumns(masks).drop("__col", "__flag", "__kind")
 
     def masked_by_name(c: Column) -> Column:
         out = None
@@ -181,10 +187,32 @@ def mask_profile(profile: DataFrame, plan: dict[str, list[str]] | DataFrame) ->
     return _mask_profile_columns(profile, masked_by_name)
 
 
-def _mask_profile_columns(profile: DataFrame, masked) -> DataFrame:
-    out = profile.withColumns({c: masked(F.col(c)) for c in ("min_value", "max_value") if c in profile.columns})
-    if "sample_values" in out.columns:
-        out = out.withColumn("sample_values", F.transform("sample_values", masked))
-    if "top_values" in out.columns:
-        out = out.withColumn("top_values", F.transform("top_values", lambda s: s.withField("value", masked(s["value"]))))
+PROFILE_VALUE_COLUMNS = ("min_value", "max_value", "sample_values", "top_values")
+
+
+@fixed_expr
+def _profile_mask_exprs(present: tuple[str, ...]) -> tuple[tuple[Column, ...], dict[str, Column]]:
+    """Scan flags (one row per column) and the masks of a profile's value columns, chosen by ``__kind``."""
+    flags = (
+        F.col("column_name").alias("__col"),
+        ((F.col("detected_by") != "none") | F.col("sensitive_name")).alias("__flag"),
+        mask_kind_expr(F.col("pii_types"), F.col("column_name")).alias("__kind"),
+    )
+
+    def masked(c: Column) -> Column:
+        return F.when(F.coalesce(F.col("__flag"), F.lit(False)), mask_by_kind(c, F.col("__kind"))).otherwise(c)
+
+    return flags, _value_masks(present, masked)
+
+
+def _value_masks(present, masked) -> dict[str, Column]:
+    out = {c: masked(F.col(c)) for c in ("min_value", "max_value") if c in present}
+    if "sample_values" in present:
+        out["sample_values"] = F.transform("sample_values", masked)
+    if "top_values" in present:
+        out["top_values"] = F.transform("top_values", lambda s: s.withField("value", masked(s["value"])))
     return out
+
+
+def _mask_profile_columns(profile: DataFrame, masked) -> DataFrame:
+    return profile.withColumns(_value_masks(tuple(profile.columns), masked))
