@@ -70,9 +70,10 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
 def spread(df):
     """Spread a tiny input over the cores before heavy per-row work.
 
-    Decided from plan metadata only (``inputFiles``; nothing runs): the input
-    must come from at most ``kiln.spread.maxInputFiles`` (8) local files of at
-    most ``kiln.spread.maxInputBytes`` (1 GiB) in total, e.g. a small file in
+    Decided from plan metadata only (nothing runs): Catalyst's size estimate
+    must be at most ``kiln.spread.maxInputBytes`` (1 GiB), checked before any
+    file list is fetched, and the input must come from at most
+    ``kiln.spread.maxInputFiles`` (8) local files of at most that size, e.g. a small file in
     one row group that would otherwise be read by a single task. A large
     input has many files and scan partitions and is returned unchanged, so no
     shuffle is added at scale. Operators call it once, on their input.
@@ -87,6 +88,15 @@ def spread(df):
     target = spark.sparkContext.defaultParallelism
     max_files = int(spark.conf.get("kiln.spread.maxInputFiles", "8"))
     max_bytes = int(spark.conf.get("kiln.spread.maxInputBytes", str(1 << 30)))
+    # Catalyst's size estimate first (JVM side, no file list): a large input
+    # returns here, so the driver never fetches the paths of a big table.
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # a BigInt, arrives as int
+        estimate = size if isinstance(size, int) else int(size.toString())
+    except Exception:  # no estimate (e.g. another DataFrame implementation): decide from the files
+        estimate = 0
+    if estimate > max_bytes:
+        return df
     files = df.inputFiles()
     if not files or len(files) > max_files or len(files) >= target:
         return df

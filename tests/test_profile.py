@@ -135,3 +135,20 @@ def test_spread_keeps_pruning_and_filters_at_the_scan(spark):
     read = plan.split("ReadSchema: ")[1].split("\n")[0]
     assert "l_comment" not in read and "l_orderkey" in read  # only used columns are read
     assert q.count() == src.filter("l_quantity > 10").count()  # same rows, spread or not
+
+
+def test_spread_never_lists_files_of_a_large_input(spark):
+    from kiln.session import spread
+    from tests.conftest import SF001
+
+    big = spark.read.parquet(f"{SF001}/lineitem.parquet")
+
+    def no_listing():
+        raise AssertionError("file list fetched for a large input")
+
+    big.inputFiles = no_listing  # the size estimate alone must decide
+    spark.conf.set("kiln.spread.maxInputBytes", "10")
+    try:
+        assert spread(big) is big
+    finally:
+        spark.conf.unset("kiln.spread.maxInputBytes")
