@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kiln.functions.common import ratio4
+from kiln.functions.common import fixed_expr, ratio4
 from kiln.session import spread
 
 _UNGROUPABLE = (T.MapType, T.ArrayType, T.StructType, T.BinaryType, T.VariantType) if hasattr(
@@ -167,21 +167,8 @@ def column_stats(
         )
     else:
         counts, slot_names = typed_counts(df, [f.name for f in groupable])
-        is_null = _value_is_null(slot_names)
-        per_col = counts.groupBy("column_name").agg(
-            F.sum("count").alias("row_count"),
-            F.coalesce(F.sum(F.when(is_null, F.col("count"))), F.lit(0)).alias("null_count"),
-            F.count_if(~is_null).alias("unique_count"),
-            *[F.min(F.col("value")[n]).alias(f"lo_{n}") for n in slot_names],
-            *[F.max(F.col("value")[n]).alias(f"hi_{n}") for n in slot_names],
-        ).select(
-            "column_name",
-            "row_count",
-            "null_count",
-            "unique_count",
-            F.coalesce(*[F.col(f"lo_{n}").cast("string") for n in slot_names]).alias("min_value"),
-            F.coalesce(*[F.col(f"hi_{n}").cast("string") for n in slot_names]).alias("max_value"),
-        )
+        aggs, picks = _per_column_exprs(tuple(slot_names))
+        per_col = counts.groupBy("column_name").agg(*aggs).select(*picks)
         meta = df.sparkSession.createDataFrame(
             [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)],
             "position int, column_name string, data_type string",
@@ -202,7 +189,34 @@ def column_stats(
         ).withColumn(
             "unique_count", F.when(F.col("column_name").isin([f.name for f in groupable]), F.coalesce("unique_count", F.lit(0)))
         )
-    return stats.select(
+    return stats.select(*_stats_columns(table_name))
+
+
+@fixed_expr
+def _per_column_exprs(slot_names: tuple[str, ...]) -> tuple[tuple[Column, ...], tuple[Column | str, ...]]:
+    """Per column, over the ``(column_name, value, count)`` groups: rows, NULLs, distinct values, typed min/max."""
+    is_null = _value_is_null(list(slot_names))
+    aggs = (
+        F.sum("count").alias("row_count"),
+        F.coalesce(F.sum(F.when(is_null, F.col("count"))), F.lit(0)).alias("null_count"),
+        F.count_if(~is_null).alias("unique_count"),
+        *[F.min(F.col("value")[n]).alias(f"lo_{n}") for n in slot_names],
+        *[F.max(F.col("value")[n]).alias(f"hi_{n}") for n in slot_names],
+    )
+    picks = (
+        "column_name",
+        "row_count",
+        "null_count",
+        "unique_count",
+        F.coalesce(*[F.col(f"lo_{n}").cast("string") for n in slot_names]).alias("min_value"),
+        F.coalesce(*[F.col(f"hi_{n}").cast("string") for n in slot_names]).alias("max_value"),
+    )
+    return aggs, picks
+
+
+@fixed_expr
+def _stats_columns(table_name: str) -> tuple[Column | str, ...]:
+    return (
         F.lit(table_name).alias("table_name"),
         "position",
         "column_name",
