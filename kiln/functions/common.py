@@ -54,9 +54,11 @@ def fixed_expr(builder):
         from pyspark import SparkContext
 
         sc = SparkContext._active_spark_context
-        key = (builder.__module__, builder.__qualname__, args, id(sc._jsc) if sc is not None else None)
-        if key not in _FIXED:
-            _FIXED[key] = builder(*args)
-        return _FIXED[key]
+        owner = sc._jsc if sc is not None else None
+        key = (builder.__module__, builder.__qualname__, args)
+        hit = _FIXED.get(key)
+        if hit is None or hit[0] is not owner:  # built under another context: build again
+            hit = _FIXED[key] = (owner, builder(*args))
+        return hit[1]
 
     return get

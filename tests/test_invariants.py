@@ -59,3 +59,13 @@ def test_delivered_count_equals_clean_count(spark):
     for strategy in ("replace", "atomic"):
         r = D.deliver(spark, {"clean_t": clean}, strategy, db).first()
         assert r.status == "success" and r.rows == clean.count()
+
+
+def test_fixed_expressions_are_reused_and_give_same_rows(spark):
+    from kiln.operators import pii as I
+
+    assert I._label_exprs() is I._label_exprs()  # built once per context
+    df = spark.createDataFrame([("13812345678",), ("x@y.cn",), ("hello",)], "contact string")
+    a = sorted(r.pii_types for r in I.pii_values(df).collect())
+    b = sorted(r.pii_types for r in I.pii_values(df).collect())
+    assert a == b == ["", "china_mobile,phone", "email"]
