@@ -45,6 +45,21 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def null_count(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """P2 + P3 on their own: column_name, row_count, null_count, null_rate (0.0 on an empty table).
+
+    One aggregate pass over all columns (``count_if`` per column, no shuffle
+    but the one-row partials), then one row per column in schema order.
+    """
+    fields = _fields(df, columns)
+    wide = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"n{i}") for i, f in enumerate(fields)])
+    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"), F.col(f"n{i}").alias("null_count")) for i, f in enumerate(fields)])
+    long = wide.select(F.col("__rows").alias("row_count"), F.inline(rows))
+    return long.select(
+        "column_name", "row_count", F.col("null_count").cast("long").alias("null_count"), ratio4("null_count", "row_count").alias("null_rate")
+    )
+
+
 def _slots(fields: list[T.StructField]) -> dict[str, tuple[str, T.DataType]]:
     """One typed slot per distinct column type: ``{type string: (slot name, type)}``."""
     out: dict[str, tuple[str, T.DataType]] = {}

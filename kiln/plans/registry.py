@@ -170,6 +170,30 @@ def q_null_profile_events(spark, d):
     return P.column_stats(src, "events").select("column_name", "row_count", "null_count", "null_rate", "is_unique_candidate")
 
 
+def _null_count_sql() -> str:
+    src = ", ".join(f"{expr} AS {name}" for name, _, expr in NULL_EVENTS_COLS)
+    branches = [
+        f"SELECT '{name}' AS column_name, count(*) AS row_count, count(*) FILTER (WHERE {name} IS NULL) AS null_count FROM s"
+        for name, _, _ in NULL_EVENTS_COLS
+    ]
+    return (
+        f"WITH s AS (SELECT {src} FROM events), c AS ({' UNION ALL '.join(branches)}) "
+        f"SELECT column_name, row_count, null_count, {ratio4_sql('null_count', 'row_count')} AS null_rate FROM c"
+    )
+
+
+@register("null_count_events", _null_count_sql())
+def q_null_count_events(spark, d):
+    ev = T(spark, d, "events")
+    src = ev.select(
+        "event_id",
+        "user_id",
+        F.nullif(F.col("event_type"), F.lit("error")).alias("event_type"),
+        F.when(F.col("event_type") == "view", F.lit(None)).otherwise(F.col("props")).alias("props"),
+    )
+    return P.null_count(src)
+
+
 CATALOG_COLUMNS = {
     "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11,
     "events": 6, "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,

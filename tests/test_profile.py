@@ -152,3 +152,11 @@ def test_spread_never_lists_files_of_a_large_input(spark):
         assert spread(big) is big
     finally:
         spark.conf.unset("kiln.spread.maxInputBytes")
+
+
+def test_null_count_alone(spark):
+    df = spark.createDataFrame([(1, None), (2, "x"), (None, None)], "a int, b string")
+    got = {r.column_name: (r.row_count, r.null_count, r.null_rate) for r in P.null_count(df).collect()}
+    assert got == {"a": (3, 1, 0.3333), "b": (3, 2, 0.6667)}
+    empty = {r.column_name: (r.row_count, r.null_count, r.null_rate) for r in P.null_count(df.limit(0)).collect()}
+    assert empty == {"a": (0, 0, 0.0), "b": (0, 0, 0.0)}
