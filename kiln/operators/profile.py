@@ -248,6 +248,21 @@ def _stats_columns(table_name: str) -> tuple[Column | str, ...]:
     )
 
 
+def unique_count(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
+    """P4 + P5: column_name, row_count, unique_count (NULL excluded), is_unique_candidate.
+
+    A projection of :func:`column_stats`: Catalyst drops the min/max
+    aggregates nobody reads, so only the distinct counting runs.
+    """
+    return column_stats(df, columns=columns, approx=approx).select("column_name", "row_count", "unique_count", "is_unique_candidate")
+
+
+def min_max(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column_name, min_value, max_value: typed MIN/MAX rendered as text, one wide pass (no value shuffle)."""
+    fields = _fields(df, columns)
+    return _wide_stats(df, fields, False).select("column_name", "min_value", "max_value")
+
+
 def top_values(
     df: DataFrame, k: int = 5, table_name: str = "", columns: list[str] | None = None, counts: DataFrame | None = None
 ) -> DataFrame:

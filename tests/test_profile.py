@@ -160,3 +160,13 @@ def test_null_count_alone(spark):
     assert got == {"a": (3, 1, 0.3333), "b": (3, 2, 0.6667)}
     empty = {r.column_name: (r.row_count, r.null_count, r.null_rate) for r in P.null_count(df.limit(0)).collect()}
     assert empty == {"a": (0, 0, 0.0), "b": (0, 0, 0.0)}
+
+
+def test_unique_count_and_min_max_alone(spark):
+    from datetime import date
+
+    df = spark.createDataFrame([(9, "b", date(2024, 1, 5)), (10, "a", None), (10, None, date(2023, 12, 31))], "k int, s string, d date")
+    u = {r.column_name: (r.row_count, r.unique_count, r.is_unique_candidate) for r in P.unique_count(df).collect()}
+    assert u == {"k": (3, 2, False), "s": (3, 2, False), "d": (3, 2, False)}
+    m = {r.column_name: (r.min_value, r.max_value) for r in P.min_max(df).collect()}
+    assert m == {"k": ("9", "10"), "s": ("a", "b"), "d": ("2023-12-31", "2024-01-05")}  # typed order: 9 < 10
