@@ -325,7 +325,8 @@ def profile_table(
     return (
         stats.join(F.broadcast(top), "column_name", "left")
         .join(F.broadcast(samples), "column_name", "left")
-        .orderBy("position")
+        .repartition(1)  # one row per column: a local sort, no range sampling job
+        .sortWithinPartitions("position")
     )
 
 
