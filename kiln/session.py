@@ -14,10 +14,16 @@ def get_spark(master: str | None = None, app: str = "kiln", shuffle_partitions:
     AQE stays on so joins pick broadcast only when the measured side is under
     ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and skewed shuffle
     partitions get split at run time.
+
+    The shuffle partition count is set small (twice the cores) only for a
+    local master. On a cluster it is left to the cluster's settings or to
+    :func:`size_shuffle`: AQE can merge partitions but never makes more than
+    the first shuffle has, so a small number would cap a 100 TB shuffle.
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
+    master = master or f"local[{cpus}]"
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
+        SparkSession.builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -25,17 +31,26 @@ def get_spark(master: str | None = None, app: str = "kiln", shuffle_partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 2))
         .config("spark.driver.memory", os.environ.get("KILN_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # call-site capture costs JVM round trips per Column call; plans here are built from many Columns
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
+    partitions = shuffle_partitions_for(master, shuffle_partitions, int(cpus))
+    if partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def shuffle_partitions_for(master: str, requested: int | None, cores: int) -> int | None:
+    """Shuffle partitions to set: the requested number, twice the cores on a local master, else none."""
+    if requested:
+        return requested
+    return 2 * cores if master.startswith("local") else None
+
+
 def size_shuffle(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> int:
     """Set ``spark.sql.shuffle.partitions`` so a full shuffle of ``input_bytes`` lands near
     ``partition_bytes`` per partition (at least twice the cores); AQE then coalesces

@@ -170,3 +170,11 @@ def test_unique_count_and_min_max_alone(spark):
     assert u == {"k": (3, 2, False), "s": (3, 2, False), "d": (3, 2, False)}
     m = {r.column_name: (r.min_value, r.max_value) for r in P.min_max(df).collect()}
     assert m == {"k": ("9", "10"), "s": ("a", "b"), "d": ("2023-12-31", "2024-01-05")}  # typed order: 9 < 10
+
+
+def test_cluster_sessions_keep_their_shuffle_partitions():
+    from kiln.session import shuffle_partitions_for
+
+    assert shuffle_partitions_for("local[8]", None, 8) == 16
+    assert shuffle_partitions_for("yarn", None, 8) is None  # cluster: its own setting or size_shuffle
+    assert shuffle_partitions_for("spark://host:7077", 4000, 8) == 4000
