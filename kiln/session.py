@@ -69,13 +69,17 @@ def size_shuffle(spark: SparkSession, input_bytes: int, partition_bytes: int = 2
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder every executor can reach: under ``spark.checkpoint.dir``.
 
-    On a cluster the setting names shared storage and is used as is. Only
-    when it is unset (tests, local runs) a private folder is made and set,
-    so ``DataFrame.checkpoint()`` and written tables land in the same place.
+    On a cluster the setting names shared storage and is used as is; when it
+    is missing there, this raises rather than fall back to a folder only one
+    machine sees. Only on a local master with the setting unset (tests,
+    local runs) a private folder is made and set, so ``DataFrame.checkpoint()``
+    and written tables land in the same place.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach (shared storage)")
         root = tempfile.mkdtemp(prefix="kiln-shared-")
         sc.setCheckpointDir(root)
     path = "/".join([root.rstrip("/"), *parts]) if parts else root
