@@ -44,3 +44,14 @@ def text_crc32(text: Column) -> Column:
 def held_out(doc_id: Column, mod: int, part: int) -> Column:
     """True where crc32 of the id's decimal text leaves ``part`` modulo ``mod`` (null id: false)."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % mod == part, F.lit(False))
+
+
+#: Rows in one Arrow batch: bounds the memory a Python worker needs for a batch of long texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's Arrow batch size to ``rows`` where it is larger (the default of 10,000 rows ignores their size)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import table
+from kiln.llm.common import small_batches, table
 from kiln.llm.words import Hasher, find_words, mix64, sums_by_doc, text_slices
 
 SYMBOLS = b"#*$%&|<>"
@@ -108,6 +108,7 @@ def measure_texts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the key and the measurements (longs). Null and empty texts measure 0."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
