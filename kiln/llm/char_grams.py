@@ -1,13 +1,21 @@
-"""Character n-grams inside words, as 64-bit hashes."""
+"""Character n-grams inside words: hashes, counts by group of documents, and class-conditional models."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from kiln.llm.words import mix64
+from kiln.llm.common import materialise, small_batches
+from kiln.llm.scoring import texts_of
+from kiln.llm.words import mix64, text_slices
 
 _U = np.uint64
 BEGIN, END = 2, 3
+DISCOUNT = 0.75
 #: Marks cut from both ends of a word that holds more than them.
 EDGE = ".,;:!?\"()[]{}*#$%&|<>'=-_/\\«»“”„…"
 
@@ -35,3 +43,88 @@ def char_grams(words: list[str], most: int) -> tuple[np.ndarray, np.ndarray, lis
         h[k - 1 :] = mix64(hashes[-1][k - 1 :] * _U(3) + own)
         hashes.append(h)
     return np.cumsum(begins) - 1, place, hashes
+
+
+def gram_counts(
+    sample: DataFrame, groups: int, order: int, max_grams: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents that have each n-gram, by group: (length, hash, hash of its context, counts with a column per group).
+
+    ``sample`` has text and group (0 to ``groups`` - 1) and is summed by Spark. The most frequent n-grams up to
+    ``max_grams`` come to the driver: the least count that is kept follows from a histogram of the counts.
+    """
+    names = ["k", "gram", "context", *[f"c{g}" for g in range(groups)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = batch.column("group").to_pylist()
+            for a, b, data, offsets in text_slices(batch.column("text")):
+                seen: dict[str, np.ndarray] = {}
+                for text, g in zip(texts_of(data, offsets), group[a:b], strict=True):
+                    for w in {plain(w) for w in text.split()}:
+                        seen.setdefault(w, np.zeros(groups, np.int64))[g] += 1
+                word, place, hashes = char_grams(list(seen), order)
+                weight = np.array(list(seen.values())).reshape(len(seen), groups)
+                for k in range(1, order + 1):
+                    at = np.flatnonzero(place >= max(k - 1, 1))
+                    gram, one, back = np.unique(hashes[k][at], return_index=True, return_inverse=True)
+                    sums = [np.bincount(back, weight[word[at], g], len(gram)).astype(np.int64) for g in range(groups)]
+                    context = np.concatenate([hashes[0][:1], hashes[k - 1][:-1]])[at[one]]
+                    columns = [np.full(len(gram), k, np.int32), gram.view(np.int64), context.view(np.int64), *sums]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    schema = "k int, gram bigint, context bigint, " + ", ".join(f"c{g} bigint" for g in range(groups))
+    small_batches(sample.sparkSession)
+    sums = sample.mapInArrow(run, schema).groupBy("k", "gram", "context").agg(*[F.sum(c).alias(c) for c in names[3:]])
+    sums = materialise(sums.withColumn("n", sum(F.col(c) for c in names[3:])), "grams")
+    sizes = sums.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 1000 rows
+    total, least = 0, 1
+    for r in sizes:
+        total += r["count"]
+        if total > max_grams:
+            least = r["n"] + 1
+            break
+    got = sums.where(F.col("n") >= least).drop("n").toArrow()
+    gram, context = (got[c].to_numpy().view(np.uint64) for c in ("gram", "context"))
+    return got["k"].to_numpy(), gram, context, np.stack([got[c].to_numpy() for c in names[3:]], axis=1)
+
+
+class CharModels:
+    """Likelihoods of words under one character model per class (a column of ``counts``): interpolated
+    absolute discounting over n-grams inside a word, as sorted arrays. The ``shared`` lowest orders are counted over all classes.
+    """
+
+    def __init__(self, k: np.ndarray, gram: np.ndarray, context: np.ndarray, counts: np.ndarray, shared: int):
+        self.classes, self.order, self.levels = counts.shape[1], int(k.max(initial=1)), []
+        for level in range(1, self.order + 1):
+            mine = (k == level) & (counts.sum(axis=1) > 0)
+            at = np.argsort(gram[mine])
+            g, x, c = gram[mine][at], context[mine][at], counts[mine][at].astype(np.float32)
+            if level <= shared:
+                c = c.sum(axis=1, keepdims=True)
+            known, back = np.unique(x, return_inverse=True)
+            facts = np.zeros((len(known), 2 * c.shape[1]), np.float32)  # sums and kinds of what follows the context
+            np.add.at(facts, back, np.concatenate([c, c > 0], axis=1))
+            self.levels.append((g, c, known, facts))
+
+    @staticmethod
+    def _find(keys: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros((len(wanted), rows.shape[1]), np.float32)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where((keys[at] == wanted)[:, None], rows[at], np.float32(0))
+
+    def log_likelihoods(self, words: list[str]) -> np.ndarray:
+        word, place, hashes = char_grams(words, self.order)
+        p = np.full((len(word), self.classes), 0.5 / (len(self.levels[0][0]) + 1))
+        for level, (keys, counts, known, facts) in enumerate(self.levels, 1):
+            at = np.flatnonzero(place >= max(level - 1, 1))
+            c = self._find(keys, counts, hashes[level][at]).astype(np.float64)
+            f = self._find(known, facts, np.concatenate([hashes[0][:1], hashes[level - 1][:-1]])[at]).astype(np.float64)
+            total, kinds = f[:, : c.shape[1]], f[:, c.shape[1] :]
+            seen = np.maximum(total, 1)
+            back = np.minimum(DISCOUNT * kinds / seen, 1) * p[at]
+            p[at] = np.where(total > 0, np.maximum(c - DISCOUNT, 0) / seen + back, p[at])
+        gain = np.log(p)
+        gain[place == 0] = 0
+        return np.stack([np.bincount(word, gain[:, j], len(words)) for j in range(self.classes)], axis=1)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from kiln.llm.common import small_batches
@@ -25,14 +26,14 @@ def add_scores(docs: DataFrame, text: str, schema: str, make: Callable[[], Calla
     small_batches(docs.sparkSession)
     new = StructType.fromDDL(schema)
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in new.names])
-    place = docs.columns.index(text)
+    place, kinds = docs.columns.index(text), to_arrow_schema(new).types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = None
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(place)):
                 score = score or make()
-                added = [pa.array(x) for x in score(data, offsets)]
+                added = [pa.array(x, kind) for x, kind in zip(score(data, offsets), kinds, strict=True)]
                 columns = [*batch.slice(a, b - a).columns, *added]
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *new.names])
 

@@ -16,20 +16,17 @@ Spark; the model that every worker gets is bounded by ``max_grams`` (about 24 by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.char_grams import char_grams, plain
-from kiln.llm.common import held_out, materialise, small_batches, table
+from kiln.llm.char_grams import CharModels, gram_counts, plain
+from kiln.llm.common import held_out, materialise, table
 from kiln.llm.scoring import WordTable, add_scores, texts_of
-from kiln.llm.words import sums_by_doc, text_slices
+from kiln.llm.words import sums_by_doc
 
 ORDER = 4
-DISCOUNT = 0.75
 FOLDS = 3
 PER_CLASS = 4000
 MAX_GRAMS = 1_500_000
@@ -57,90 +54,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
     return materialise(sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), fold), "toxic-sample"), counts
 
 
-def gram_counts(sample: DataFrame, max_grams: int) -> pa.Table:
-    """Documents that have each n-gram, by class and fold: k, gram, context and the counts c0, c1, ... (toxic * FOLDS + fold).
-
-    The most frequent n-grams up to ``max_grams``: the least count that is kept follows from a histogram of the counts.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kind = batch.column("toxic").to_numpy(zero_copy_only=False) * FOLDS
-            kind = kind + batch.column("fold").to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in text_slices(batch.column("text")):
-                seen: dict[str, np.ndarray] = {}
-                for text, g in zip(texts_of(data, offsets), kind[a:b].tolist(), strict=True):
-                    for w in {plain(w) for w in text.split()}:
-                        seen.setdefault(w, np.zeros(2 * FOLDS, np.int64))[g] += 1
-                word, place, hashes = char_grams(list(seen), ORDER)
-                weight = np.array(list(seen.values())).reshape(len(seen), 2 * FOLDS)
-                for k in range(1, ORDER + 1):
-                    at = np.flatnonzero(place >= max(k - 1, 1))
-                    gram, one, back = np.unique(hashes[k][at], return_index=True, return_inverse=True)
-                    sums = np.stack([np.bincount(back, weight[word[at], g], len(gram)) for g in range(2 * FOLDS)])
-                    context = np.concatenate([hashes[0][:1], hashes[k - 1][:-1]])[at[one]]
-                    columns = [np.full(len(gram), k, np.int32), gram.view(np.int64), context.view(np.int64), *sums.astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    names = ["k", "gram", "context", *[f"c{g}" for g in range(2 * FOLDS)]]
-    schema = "k int, gram bigint, context bigint, " + ", ".join(f"c{g} bigint" for g in range(2 * FOLDS))
-    small_batches(sample.sparkSession)
-    sums = sample.mapInArrow(run, schema).groupBy("k", "gram", "context").agg(*[F.sum(c).alias(c) for c in names[3:]])
-    sums = materialise(sums.withColumn("n", sum(F.col(c) for c in names[3:])), "grams")
-    sizes = sums.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 1000 rows
-    total, least = 0, 1
-    for r in sizes:
-        total += r["count"]
-        if total > max_grams:
-            least = r["n"] + 1
-            break
-    return sums.where(F.col("n") >= least).drop("n").toArrow()
-
-
-class Models:
-    """Both class models from counts (columns: ordinary, toxic), as sorted arrays."""
-
-    def __init__(self, k: np.ndarray, gram: np.ndarray, context: np.ndarray, counts: np.ndarray):
-        self.levels = []
-        for level in range(1, ORDER + 1):
-            mine = (k == level) & (counts.sum(axis=1) > 0)
-            order = np.argsort(gram[mine])
-            g, x, c = gram[mine][order], context[mine][order], counts[mine][order].astype(np.float32)
-            known, back = np.unique(x, return_inverse=True)
-            facts = np.zeros((len(known), 5), np.float32)  # totals and kinds by class, kinds in either class
-            np.add.at(facts, back, np.concatenate([c, c > 0, np.ones((len(c), 1))], axis=1))
-            self.levels.append((g, c, known, facts))
-        # shared continuation counts: in how many contexts each character was seen
-        pairs = self.levels[1] if ORDER > 1 else self.levels[0]
-        self.kinds = max(len(self.levels[0][0]), 1)
-        self.pairs = max(len(pairs[0]), 1)
-
-    @staticmethod
-    def _find(keys: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.zeros((len(wanted), rows.shape[1]), np.float32)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where((keys[at] == wanted)[:, None], rows[at], np.float32(0))
-
-    def differences(self, words: list[str]) -> np.ndarray:
-        """Toxic minus ordinary log-likelihood of every word."""
-        word, place, hashes = char_grams(words, ORDER)
-        p = np.full((len(word), 2), 0.5 / (self.kinds + 1))
-        for level, (keys, counts, known, facts) in enumerate(self.levels, 1):
-            at = np.flatnonzero(place >= max(level - 1, 1))
-            c = self._find(keys, counts, hashes[level][at]).astype(np.float64)
-            f = self._find(known, facts, np.concatenate([hashes[0][:1], hashes[level - 1][:-1]])[at]).astype(np.float64)
-            if level == 1:  # the same for both classes
-                c, f = c.sum(axis=1, keepdims=True), np.concatenate([f[:, :2].sum(axis=1, keepdims=True), f[:, 4:]], axis=1)
-            total, kinds = f[:, : f.shape[1] // 2], f[:, f.shape[1] // 2 :][:, : c.shape[1]]
-            seen = np.maximum(total, 1)
-            back = np.minimum(DISCOUNT * kinds / seen, 1) * p[at]
-            p[at] = np.where(total > 0, np.maximum(c - DISCOUNT, 0) / seen + back, p[at])
-        gain = np.log(p[:, 1]) - np.log(p[:, 0])
-        gain[place == 0] = 0
-        return np.bincount(word, gain, len(words)) if len(word) else np.zeros(len(words))
-
-
 def features(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Length-normalised evidence of texts from the differences of their words (``first``: where each text's words begin)."""
     n = np.diff(first)
@@ -186,8 +99,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 class Scorer:
     """Scores slices of texts; built in each task from the broadcast model."""
 
-    def __init__(self, models: Models, curve: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
-        self.words = WordTable(1, lambda ws: models.differences([plain(w) for w in ws]))
+    def __init__(self, models: CharModels, curve: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        def differences(words: list[bytes]) -> np.ndarray:
+            both = models.log_likelihoods([plain(w) for w in words])
+            return both[:, 1] - both[:, 0]
+
+        self.words = WordTable(1, differences)
         self.curve = curve
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -214,14 +131,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     if len(sizes) < 2:
         ordinary, toxic = counts.get(0, 0), counts.get(1, 0)
         return docs.withColumn("toxic_score", F.lit((toxic + 0.5) / (ordinary + toxic + 2)))
-    grams = gram_counts(sample, max_grams)
-    k = grams["k"].to_numpy()
-    gram, context = (grams[c].to_numpy().view(np.uint64) for c in ("gram", "context"))
-    c = np.stack([grams[f"c{g}"].to_numpy() for g in range(2 * FOLDS)], axis=1).reshape(-1, 2, FOLDS)
+    group = (F.col("toxic") * FOLDS + F.col("fold")).alias("group")
+    k, gram, context, counts_by = gram_counts(sample.select("text", group), 2 * FOLDS, ORDER, max_grams)
+    c = counts_by.reshape(-1, 2, FOLDS)
     width = len(features(np.zeros(0), np.zeros(2, np.int64))[0])
     fitted = []
     for fold in range(FOLDS):  # documents of a fold are judged by models that have not counted them
-        rest = spark.sparkContext.broadcast(Models(k, gram, context, c.sum(axis=2) - c[:, :, fold]))
+        rest = spark.sparkContext.broadcast(CharModels(k, gram, context, c.sum(axis=2) - c[:, :, fold], shared=1))
         seen = add_scores(
             sample.where(F.col("fold") == fold).select("toxic", "text"),
             "text",
@@ -234,7 +150,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     x = np.stack([got[f"f{i}"].to_numpy() for i in range(width)], axis=1)
     y = got["toxic"].to_numpy().astype(float)
     weight = np.where(y == 1, counts[1] / sizes[1], counts[0] / sizes[0])
-    ready = spark.sparkContext.broadcast((Models(k, gram, context, c.sum(axis=2)), fit_logistic(x, y, weight)))
+    models = CharModels(k, gram, context, c.sum(axis=2), shared=1)
+    ready = spark.sparkContext.broadcast((models, fit_logistic(x, y, weight)))
     return add_scores(docs, "text", "toxic_score double", lambda: Scorer(*ready.value))
 
 
