@@ -108,20 +108,15 @@ def hash_thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return settled.unionByName(edge)
 
 
-def mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """How often the mix takes every document of ``docs`` (doc_id, source, text).
-
-    Returns doc_id, size (words; null text 0), source, source_size, target, taken (size times the
-    number of repeats, 0 to ``most``). A source's target over its size gives a number of whole passes and a
-    remainder; the remainder is filled by hash threshold, first with the documents above 1 % of the source (at most
-    100 a source), then with the others, which absorb most of the error the large ones leave.
-    Null sources form a source of their own; repeated rows are taken alike; an empty table gives
-    no rows; other columns are not read.
+def mix_plan(sized: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """One row per source of ``sized`` (source, size, hash): source_size, target, passes (whole passes over its documents), and
+    the hash thresholds under which large and other documents are taken once more.
+
+    A source's target over its size gives the passes and a remainder; the remainder is filled by hash threshold, first with the
+    documents above 1 % of the source (at most 100 a source), then with the others, which absorb most of the error
+    the large ones leave. ``sized`` should be narrow: it is read several times.
     """
-    narrow = materialise(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("hash")), "mix"
-    )
-    sizes = narrow.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    sizes = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     targets = materialise(source_targets(sizes, cycle, share, float(most)), "targets")
     passes = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))
     plan = targets.select(
@@ -130,38 +125,56 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
         "target",
         F.when(F.col("source_size") > 0, passes).otherwise(0).cast("long").alias("passes"),
     ).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    sized = narrow.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn(
-        "large", F.col("size") > F.col("source_size") * LARGE_SHARE
-    )
-    large, small = sized.where("large"), sized.where("NOT large")
+    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("large", is_large())
+    large, small = joined.where("large"), joined.where("NOT large")
     cols = ["source", "size", "hash"]
-    of_large = large.groupBy("source").agg(
-        (F.sum("size") * F.first("rest") / F.first("source_size")).alias("budget")
+    of_large = large.groupBy("source").agg((F.sum("size") * F.first("rest") / F.first("source_size")).alias("budget"))
+    first = materialise(hash_thresholds(large.select(*cols), of_large), "large").select(
+        F.col("source").alias("_f"), F.col("threshold").alias("large_below"), "taken"
     )
-    first = materialise(hash_thresholds(large.select(*cols), of_large), "large")
-    rest = plan.join(first.withColumnRenamed("source", "_f"), F.col("_s").eqNullSafe(F.col("_f")), "left").select(
+    planned = materialise(plan.join(first, F.col("_s").eqNullSafe(F.col("_f")), "left").drop("_f"), "plan")
+    rest = planned.select(
         F.col("_s").alias("source"),
         F.greatest(F.col("rest") - F.coalesce(F.col("taken"), F.lit(0)), F.lit(0.0)).alias("budget"),
     )
-    second = hash_thresholds(small.select(*cols), rest)
-    cut = first.select("source", F.lit(True).alias("large"), "threshold").unionByName(
-        second.select("source", F.lit(False).alias("large"), "threshold")
+    second = materialise(hash_thresholds(small.select(*cols), rest), "small").select(
+        F.col("source").alias("_f"), F.col("threshold").alias("small_below")
     )
-    cut = materialise(cut, "cuts").select(F.col("source").alias("_c"), F.col("large").alias("_large"), "threshold")
-    chosen = sized.join(cut, F.col("source").eqNullSafe(F.col("_c")) & (F.col("large") == F.col("_large")), "left")
-    again = F.when(F.col("hash") < F.coalesce(F.col("threshold"), F.lit(0)), 1).otherwise(0)
+    done = planned.join(second, F.col("_s").eqNullSafe(F.col("_f")), "left").drop("_f", "taken", "rest")
+    return materialise(done, "mix-plan")
+
+
+def is_large() -> Column:
+    return F.col("size") > F.col("source_size") * LARGE_SHARE
+
+
+def mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """How often the mix takes every document of ``docs`` (doc_id, source, text and any other columns).
+
+    Adds size (words; null text 0), source_size, target and times (0 to ``most``; the words taken are size * times).
+    Null sources form a source of their own; repeated rows are taken alike; an empty table stays
+    empty; other columns pass through (columns of ``docs`` that have the name of a new one are replaced).
+    """
+    added = ["size", "source_size", "target", "times", "hash"]
+    docs = docs.drop(*added)
+    sized = docs.withColumns({"size": word_count(F.col("text")), "hash": id_hash(F.col("doc_id"))})
+    plan = mix_plan(materialise(sized.select("source", "size", "hash"), "mix"), cycle, share, most)
+    below = F.when(is_large(), F.col("large_below")).otherwise(F.col("small_below"))
+    again = F.when(F.col("hash") < F.coalesce(below, F.lit(0)), 1).otherwise(0)
+    chosen = sized.join(plan, F.col("source").eqNullSafe(F.col("_s")))
     return chosen.select(
-        "doc_id",
+        *[F.col(f"`{c}`") for c in docs.columns],
         "size",
-        "source",
         "source_size",
         "target",
-        (F.col("size") * F.least(F.col("passes") + again, F.lit(most))).cast("long").alias("taken"),
+        F.least(F.col("passes") + again, F.lit(most)).cast("long").alias("times"),
     )
 
 
 def op9_mix_threshold(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents"))
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    taken = (F.col("size") * F.col("times")).alias("taken")
+    return mixed.select("doc_id", "size", "source", "source_size", "target", taken)
 
 
 MIX_SQL = r"""

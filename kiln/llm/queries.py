@@ -1,10 +1,26 @@
 """The queries of the training-data operators and their DuckDB SQL."""
 
-from kiln.llm import chat_parts, hilbert_shards, mix_threshold, pii_score, rule_ledger
+from kiln.llm import (
+    bitplane_tokens,
+    chat_parts,
+    decontaminate,
+    fast_minhash,
+    hilbert_shards,
+    lang_viterbi,
+    mix_threshold,
+    pii_score,
+    rule_ledger,
+    toxicity,
+)
 
 QUERIES = {
+    "op1_kneser_ney_toxicity": toxicity.op1_kneser_ney_toxicity,
     "op2_hilbert_shards": hilbert_shards.op2_hilbert_shards,
     "op3_chat_parts": chat_parts.op3_chat_parts,
+    "op4_latent_decontamination": decontaminate.op4_latent_decontamination,
+    "op5_fast_minhash": fast_minhash.op5_fast_minhash,
+    "op6_bitplane_tokens": bitplane_tokens.op6_bitplane_tokens,
+    "op7_lang_viterbi": lang_viterbi.op7_lang_viterbi,
     "op8_pii_score": pii_score.op8_pii_score,
     "op9_mix_threshold": mix_threshold.op9_mix_threshold,
     "op10_rule_ledger": rule_ledger.op10_rule_ledger,

@@ -68,10 +68,10 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Runs of bytes that are not ASCII white space, cut at the text borders ``offsets``."""
+def find_words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> Words:
+    """Runs of bytes that are not ASCII white space (or not in the table ``space``), cut at the text borders ``offsets``."""
     word = np.zeros(len(data) + 2, bool)
-    word[1:-1] = ~_SPACE[data]
+    word[1:-1] = ~space[data]
     begin, end = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
     inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
     begin[inner] |= word[1:-1][inner]
@@ -84,6 +84,18 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
+#: Everything in ASCII but letters and digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def fold_case(data: np.ndarray) -> np.ndarray:
+    """Lower case for ASCII and for Latin-1 letters in UTF-8."""
+    out = lower_ascii(data)
+    after = np.zeros(len(data), bool)
+    after[1:] = data[:-1] == 0xC3
+    return np.where(after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97), out + 0x20, out).astype(np.uint8)
+
+
 def text_slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of the rows in them); a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
