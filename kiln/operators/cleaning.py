@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from kiln.plans.spec import CleanRule, Dedup, Standard, spark_type
 
 # --- fixed values: date formats tried by standardize_date, in order ---------
-DEFAULT_DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy/M/d", "yyyy-M-d", "yyyyMMdd", "dd-MM-yyyy", "dd/MM/yyyy")
+DEFAULT_DATE_FORMATS = (
+    "yyyy-MM-dd", "yyyy/MM/dd", "yyyy/M/d", "yyyy-M-d", "yyyyMMdd", "dd-MM-yyyy", "dd/MM/yyyy",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]", "yyyy/MM/dd HH:mm:ss",
+)
 RULE_NAMES = ("trim_whitespace", "uppercase", "lowercase", "cast_type", "coalesce_null", "standardize_date", "deduplicate")
 # --- end of fixed values ------------------------------------------------------
 
@@ -38,7 +41,7 @@ def cast_type(c: Column, data_type: str | None, on_error: str = "raise") -> Colu
     """C4: CAST; bad values raise (ANSI) or become NULL with ``on_error='null'``."""
     if not data_type:
         return c
-    t = spark_type(data_type) if any(ch.isupper() for ch in data_type) else data_type
+    t = spark_type(data_type)
     return c.try_cast(t) if on_error == "null" else c.cast(t)
 
 
@@ -50,10 +53,33 @@ def coalesce_null(c: Column, default: object | None, data_type: str | None = Non
     return F.coalesce(c, d.cast(data_type) if data_type else d)
 
 
-def standardize_date(c: Column, formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> Column:
-    """Date text in any listed format -> DATE (first format that parses wins, else NULL)."""
-    text = c.cast("string")
-    return F.coalesce(*[F.try_to_date(text, f) for f in formats])
+def standardize_date(
+    c: Column, formats: Sequence[str] = DEFAULT_DATE_FORMATS, data_type: str = "string", on_error: str = "null"
+) -> Column:
+    """Date or date-time text in any listed format -> DATE (first format that parses wins).
+
+    A column that is a date or timestamp already (``data_type``) is cast. Blank text is NULL; other text that no
+    format reads raises, or becomes NULL with ``on_error='null'`` (see :func:`unparsed_dates` for their number).
+    """
+    if data_type == "date" or data_type.startswith("timestamp"):
+        return c.cast("date")
+    text = F.trim(c.cast("string"))
+    parsed = F.coalesce(*[F.try_to_date(text, f) for f in formats])
+    if on_error == "null":
+        return parsed
+    bad = parsed.isNull() & (text != "")
+    return F.when(bad, F.raise_error(F.concat(F.lit("not a date: "), text)).cast("date")).otherwise(parsed)
+
+
+def unparsed_dates(df: DataFrame, fields: Sequence[str], formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> DataFrame:
+    """Per field, how many values hold text that no date format reads: one row (one column per field), one pass."""
+
+    def bad(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        parsed = standardize_date(c, formats, df.select(c).schema[0].dataType.simpleString())
+        return F.count_if(parsed.isNull() & (F.trim(c.cast("string")) != "")).alias(name)
+
+    return df.agg(*[bad(f) for f in fields])
 
 
 def clean_column(df: DataFrame, name: str, rule: CleanRule) -> Column:
@@ -72,7 +98,8 @@ def clean_column(df: DataFrame, name: str, rule: CleanRule) -> Column:
             current = df.select(expr.alias("x")).schema["x"].dataType.simpleString()
             expr = coalesce_null(expr, rule.default, current)
         elif r == "standardize_date":
-            expr = standardize_date(expr, rule.date_formats or DEFAULT_DATE_FORMATS)
+            current = df.select(expr.alias("x")).schema["x"].dataType.simpleString()
+            expr = standardize_date(expr, rule.date_formats or DEFAULT_DATE_FORMATS, current, rule.on_error)
         elif r == "deduplicate":
             continue  # table-level, see deduplicate()
         else:
@@ -112,6 +139,8 @@ def apply_clean_rules(
     missing = set(by_field) - set(df.columns)
     if missing:
         raise ValueError(f"rules for unknown fields: {sorted(missing)}")
+    if not dedup and any("deduplicate" in r.rules for r in rules):
+        raise ValueError("a deduplicate rule needs keys: pass dedup=Dedup(keys, order_by)")
     out = df.select(*[clean_column(df, c, by_field[c]) if c in by_field else F.col(f"`{c}`") for c in df.columns])
     if dedup:
         out = deduplicate(out, dedup.keys, dedup.order_by, dedup.keep)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kiln.plans.names import prod_name
+from kiln.session import shared_dir
+from kiln.sources.attach import list_folder, remove_folder
 from kiln.sources.ods import bulk_copy, ensure_database, run_per_table, write_table
 
 RESULT_SCHEMA = "clean_table string, prod_table string, strategy string, status string, rows long, message string"
@@ -29,31 +31,46 @@ def _table_exists(spark: SparkSession, db: str, name: str) -> str | None:
 
 
 def deliver_replace(df: DataFrame, db: str, name: str) -> int:
-    """Drop and re-create the prod table from the clean data (overwrite)."""
+    """Replace the prod table by one with the clean data.
+
+    The data is written to a folder of its own first; only when it is complete the table is dropped and
+    created again over the new folder (two catalog operations on an external table, no data moves). A failed write leaves
+    the old table as it is. The folder before the last is removed, so that a reader of the old table can finish.
+    """
     spark = df.sparkSession
     ensure_database(spark, db)
-    if _table_exists(spark, db, name) == "VIEW":
-        spark.sql(f"DROP VIEW {db}.{name}")
-    return write_table(df, db, name)
+    base = shared_dir(spark, "warehouse", f"{db}.db")
+    folder = f"{name.lower()}__r{time.time_ns() // 1_000_000:014d}_{uuid.uuid4().hex[:6]}"
+    rows = bulk_copy(df, {"format": "parquet", "path": f"{base}/{folder}"}, loosen=False)
+    kind = _table_exists(spark, db, name)
+    if kind:
+        spark.sql(f"DROP {kind} {db}.{name}")
+    spark.catalog.createTable(f"{db}.{name}", path=f"{base}/{folder}", source="parquet")
+    older = [f for f in list_folder(spark, base) if re.fullmatch(rf"{re.escape(name.lower())}__r\d{{14}}_[0-9a-f]+", f) and f < folder]
+    for f in sorted(older)[:-1]:
+        remove_folder(spark, f"{base}/{f}")
+    return rows
 
 
 def deliver_atomic(df: DataFrame, db: str, name: str) -> int:
     """D3: build a new version, then switch readers to it in one catalog operation.
 
     ``<name>__v<ms>`` is written in full first; ``CREATE OR REPLACE VIEW <name>``
-    then points at it (a single metadata change), and older versions are
-    dropped afterwards. Readers see the old or the new version, never a mix.
+    then points at it (a single metadata change). Readers see the old or the new version, never a mix, and
+    the version before stays for one cycle, so that a reader of it can finish; only versions
+    older than that are dropped, never one that another delivery has written meanwhile.
     """
     spark = df.sparkSession
     ensure_database(spark, db)
-    version = f"{name}__v{int(time.time() * 1000)}_{uuid.uuid4().hex[:6]}"
+    version = f"{name.lower()}__v{time.time_ns() // 1_000_000:014d}_{uuid.uuid4().hex[:6]}"
     rows = write_table(df, db, version, managed=True)  # unique name: dropping it frees its files
     if _table_exists(spark, db, name) == "TABLE":  # a table delivered by replace before: switch it to a view once
         spark.sql(f"DROP TABLE {db}.{name}")
     spark.sql(f"CREATE OR REPLACE VIEW {db}.{name} AS SELECT * FROM {db}.{version}")
-    for t in spark.catalog.listTables(db):
-        if re.fullmatch(rf"{re.escape(name.lower())}__v\d+_[0-9a-f]+", t.name) and t.name != version.lower():
-            spark.sql(f"DROP TABLE IF EXISTS {db}.{t.name}")
+    pattern = rf"{re.escape(name.lower())}__v\d{{14}}_[0-9a-f]+"  # sorts by time
+    older = sorted(t.name for t in spark.catalog.listTables(db) if re.fullmatch(pattern, t.name) and t.name < version)
+    for t in older[:-1]:
+        spark.sql(f"DROP TABLE IF EXISTS {db}.{t}")
     return rows
 
 
@@ -105,7 +122,7 @@ def deliver(
                 rows = spark.read.parquet(path).count()
             return (clean, target, strategy, "success", rows, "")
         except Exception as e:  # keep delivering the others
-            return (clean, target, strategy, "failed", None, str(e).splitlines()[0][:300])
+            return (clean, target, strategy, "failed", None, str(e))
 
     if not dry_run and strategy in ("replace", "atomic"):
         ensure_database(spark, prod_db)  # once, before the per-table threads
@@ -123,12 +140,16 @@ def delivery_summary(results: DataFrame) -> DataFrame:
     ).withColumn("status", F.when(F.col("failed") == 0, "delivered").otherwise("partial"))
 
 
-def append_history(spark: SparkSession, path: str, rows: DataFrame, run_id: int, kind: str) -> None:
-    """Append one run's rows (check results or delivered counts) to the history table.
+def append_history(
+    spark: SparkSession, path: str, rows: DataFrame, run_id: int, kind: str, operation: str = "", target: str = "", details: str = ""
+) -> None:
+    """Append one attempt's rows (check results or delivered counts) to the history table.
 
     ``rows`` needs ``item`` (check or table name) and ``value`` (failures or
-    rows); time is UTC, the user is the Spark user. No secrets are written.
+    rows); time is UTC, the user is the Spark user. No secrets are written. Nothing is ever replaced: what a rerun
+    writes counts instead of its earlier attempt's rows of the same items (:func:`latest_attempts`).
     """
+    attempt = f"{time.time_ns() // 1_000:020d}_{uuid.uuid4().hex[:6]}"
     out = rows.select(
         F.lit(run_id).cast("long").alias("run_id"),
         F.lit(kind).alias("kind"),
@@ -136,19 +157,25 @@ def append_history(spark: SparkSession, path: str, rows: DataFrame, run_id: int,
         F.col("value").cast("long").alias("value"),
         F.current_timestamp().alias("recorded_at"),
         F.lit(spark.sparkContext.sparkUser()).alias("recorded_by"),
+        F.lit(operation).alias("operation"),
+        F.lit(target).alias("target"),
+        F.lit(details).alias("details"),
+        F.lit(attempt).alias("attempt"),
     )
-    (
-        out.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id", "kind")
-        .parquet(path)
-    )
+    out.write.mode("append").partitionBy("run_id", "kind").parquet(path)
+
+
+def latest_attempts(history: DataFrame) -> DataFrame:
+    """The history with one row per run, kind and item: that of the last attempt that wrote the item."""
+    rest = [c for c in history.columns if c not in ("run_id", "kind", "item")]
+    last = F.max_by(F.struct(*rest), F.col("attempt")).alias("r")
+    return history.groupBy(F.col("run_id").cast("long").alias("run_id"), "kind", "item").agg(last).select("run_id", "kind", "item", "r.*")
 
 
 def compare_runs(history: DataFrame) -> DataFrame:
-    """Every item with the value of its previous run and the change."""
+    """Every item with the value of its previous run and the change (last attempts only)."""
     w = Window.partitionBy("kind", "item").orderBy("run_id")  # one row per run and item: bounded by run count
     prev = F.lag("value").over(w)
-    return history.select(
+    return latest_attempts(history).select(
         "kind", "item", "run_id", "value", prev.alias("previous_value"), (F.col("value") - prev).alias("change")
     )

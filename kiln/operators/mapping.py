@@ -7,7 +7,9 @@ shuffled side at run time) says it fits, and sort-merge join is used otherwise.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from kiln.functions.common import col_of
 from kiln.plans.spec import Mapping, Standard, spark_type
 
+log = logging.getLogger(__name__)
+
 
 def _c(name: str) -> Column:
     return F.col(f"`{name}`") if "." not in name else F.col(name)
@@ -99,19 +103,62 @@ def stack_sources(frames: dict[str, DataFrame], source_column: str = "source_tab
     return out
 
 
-def gap_fill(df: DataFrame, gaps: Sequence[Mapping], standard: Standard | None = None) -> DataFrame:
-    """M9: add uncovered target fields (transform, else source field, else typed NULL).
+@dataclass(frozen=True)
+class SideTable:
+    """A table that gaps may take fields from: joined on its key (left join; the key should be unique)."""
+
+    frame: DataFrame
+    left_on: str
+    right_on: str
+
+
+def _has(df: DataFrame, name: str) -> bool:
+    """Whether the session resolves ``name`` in ``df`` (its letter-case rule included)."""
+    if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+        return name in df.columns
+    return name.lower() in {c.lower() for c in df.columns}
+
+
+def missing_gaps(df: DataFrame, gaps: Sequence[Mapping], others: dict[str, SideTable] | None = None) -> list[str]:
+    """Targets :func:`gap_fill` can only fill with NULL: missing by kind, or no table at hand holds their field."""
+    out = []
+    for g in gaps:
+        side = (others or {}).get(g.source_table or "")
+        known = _has(df, g.source_field or g.target) or (side is not None and _has(side.frame, g.source_field or g.target))
+        if g.kind == "missing" or g.kind == "direct" and not known:
+            out.append(g.target)
+    return out
+
+
+def gap_fill(
+    df: DataFrame, gaps: Sequence[Mapping], standard: Standard | None = None, others: dict[str, SideTable] | None = None
+) -> DataFrame:
+    """M9: add uncovered target fields (transform, merge, else source field, else typed NULL).
 
-    A field from another table is added by joining that table first (``enrich``).
+    A direct field of another table in ``others`` is brought in by joining that table once (M6). Fields that no
+    table holds become NULL, with a warning; :func:`missing_gaps` lists them.
     """
     types = {f.name: f.data_type for f in standard.fields} if standard else {}
-    cols = {}
+    empty = set(missing_gaps(df, gaps, others))
+    if empty:
+        log.warning("filled with NULL: %s", sorted(empty))
+    taken: dict[str, list[str]] = {}
+    cols, brought = {}, []
     for g in gaps:
-        kind = g.kind
-        if kind == "direct" and g.source_field and g.source_field not in df.columns:
-            kind = "missing"
-        cols[g.target] = map_column(Mapping(g.target, kind, g.source_table, g.source_field, g.expr, g.sources), types.get(g.target))
-    return df.withColumns(cols)
+        if g.target in empty:
+            g = replace(g, kind="missing")
+        elif g.kind == "direct" and not _has(df, g.source_field or g.target):
+            taken.setdefault(g.source_table, []).append(g.source_field or g.target)
+            g = replace(g, source_field=f"__{g.source_table}__{g.source_field or g.target}")
+            brought.append(g.source_field)
+        cols[g.target] = map_column(g, types.get(g.target))
+    for table, fields in taken.items():
+        side = others[table]
+        named = side.frame.select(
+            _c(side.right_on).alias("__on"), *[_c(f).alias(f"__{table}__{f}") for f in dict.fromkeys(fields)]
+        )
+        df = enrich(df, named, side.left_on, "__on")
+    return df.withColumns(cols).drop(*brought)
 
 
 def fanout_audit(base: DataFrame, joined: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -180,6 +227,6 @@ def flag(c: Column | str, value: object) -> Column:
 
 def cast_nullsafe(c: Column | str, data_type: str, default: object | None = None, strict: bool = True) -> Column:
     """CAST to the target type (``try_cast`` when not strict) and COALESCE for NOT NULL targets."""
-    t = spark_type(data_type) if data_type.upper() == data_type else data_type
+    t = spark_type(data_type)
     x = col_of(c).cast(t) if strict else col_of(c).try_cast(t)
     return F.coalesce(x, F.lit(default).cast(t)) if default is not None else x

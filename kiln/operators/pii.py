@@ -22,7 +22,6 @@ from kiln.functions.pii import (
     mask_value,
     name_has_key_hint,
 )
-from kiln.session import spread
 from kiln.plans.names import name_is_sensitive, pii_types_by_name
 
 SCAN_SCHEMA = "column_name string, detected_by string, samples long, pii_ratio double, pii_types string, sensitive_name boolean"
@@ -34,18 +33,14 @@ def _text_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     return groupable_columns(df, list(columns) if columns else None)
 
 
-def pii_values(
-    df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = (), spread_input: bool = True
-) -> DataFrame:
+def pii_values(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """I3 + I4 per value: ``keep`` columns, column_name, value, pii_types (comma-joined, ``''`` when none)."""
     cols = _text_columns(df, columns)
     ids = [f"__keep{i}" for i in range(len(keep))]
     long = df.select(
         *[F.col(f"`{k}`").alias(i) for k, i in zip(keep, ids)], *[F.col(f"`{c}`").cast("string").alias(c) for c in cols]
-    ).unpivot(ids, cols, "column_name", "value")
+    ).unpivot(ids, [f"`{c}`" for c in cols], "column_name", "value")
     long = long.withColumnsRenamed(dict(zip(ids, keep)))
-    if spread_input:  # callers that already spread their input pass False
-        long = spread(long)
     # stripped text and its digits in their own projection: computed once, not per pattern
     strip, digits, labels = _label_exprs()
     prep = long.withColumn("__s", strip).withColumn("__d", digits)
@@ -84,7 +79,6 @@ def pii_scan(
     columns: Sequence[str] | None = None,
     sample_fraction: float | None = None,
     seed: int = 17,
-    spread_input: bool = True,
 ) -> DataFrame:
     """Which columns hold personal data, and of which types.
 
@@ -95,7 +89,7 @@ def pii_scan(
     """
     cols = _text_columns(df, columns)
     src = df.sample(fraction=sample_fraction, seed=seed) if sample_fraction else df
-    labeled = pii_values(src, cols, spread_input=spread_input).filter(F.col("value").isNotNull())
+    labeled = pii_values(src, cols).filter(F.col("value").isNotNull())
     # values are labelled once and folded by one partial aggregation per column:
     # the share with any label and a count per label (a fixed, small set)
     tagged, aggs, value_types = _scan_exprs()
@@ -130,16 +124,20 @@ def mask_plan(scan: DataFrame) -> dict[str, list[str]]:
     return {r["column_name"]: [t for t in (r["pii_types"] or "").split(",") if t] for r in rows}
 
 
-def mask_table(df: DataFrame, plan: dict[str, list[str]] | DataFrame | None = None, threshold: float = 0.3) -> DataFrame:
+def mask_table(
+    df: DataFrame, plan: dict[str, list[str]] | DataFrame | None = None, threshold: float = 0.3, strict: bool = False
+) -> DataFrame:
     """Mask every sensitive column of the whole table (name rule, address, birth date, default).
 
+    ``strict`` also hides the second character of two-character values.
+
     ``plan`` is a scan result, a ``{column: types}`` dict, or None (scan first).
     """
     if plan is None:
         plan = pii_scan(df, threshold)
     if isinstance(plan, DataFrame):
         plan = mask_plan(plan)
-    return df.withColumns({c: mask_value(F.col(f"`{c}`"), types, c) for c, types in plan.items() if c in df.columns})
+    return df.withColumns({c: mask_value(F.col(f"`{c}`"), types, c, strict) for c, types in plan.items() if c in df.columns})
 
 
 def pii_tokens(df: DataFrame, text_column: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -152,7 +150,7 @@ def pii_tokens(df: DataFrame, text_column: str, keep: Sequence[str] = ()) -> Dat
     # starts after whitespace or at the start) holding a candidate character.
     # Same tokens as splitting on whitespace and filtering, without a row per word.
     token = "(?<![^ \\t\\n\\r\\f])[^ \\t\\n\\r\\f]*?[0-9@一-鿿][^ \\t\\n\\r\\f]*"
-    candidates = spread(df).select(
+    candidates = df.select(
         *[F.col(k) for k in keep], F.explode(F.regexp_extract_all(F.col(f"`{text_column}`"), F.lit(token), 0)).alias("token")
     )
     strip, digits, label_expr = _token_label_exprs(name_has_key_hint(text_column))
@@ -162,25 +160,27 @@ def pii_tokens(df: DataFrame, text_column: str, keep: Sequence[str] = ()) -> Dat
     return labeled.groupBy(*keep, "label").agg(F.count(F.lit(1)).alias("tokens"))
 
 
-def mask_profile(profile: DataFrame, plan: dict[str, list[str]] | DataFrame) -> DataFrame:
+def mask_profile(
+    profile: DataFrame, plan: dict[str, list[str]] | DataFrame, strict: bool = False, keep: Sequence[str] = ()
+) -> DataFrame:
     """I11 for profiles: mask min/max, top values and samples of sensitive columns.
 
     ``plan`` is a scan result (joined by column name, one row per column, so
     nothing reaches the driver and the mask kind is a Column expression) or a
     ``{column: types}`` dict (the mask is then chosen per row with a CASE over
     the few sensitive column names). The profile of a sensitive column never
-    shows a value in clear.
+    shows a value in clear. ``keep`` names scan columns to carry along.
     """
     if isinstance(plan, DataFrame):
-        flag_cols, masks = _profile_mask_exprs(tuple(c for c in PROFILE_VALUE_COLUMNS if c in profile.columns))
-        flags = plan.select(*flag_cols)
+        flag_cols, masks = _profile_mask_exprs(tuple(c for c in PROFILE_VALUE_COLUMNS if c in profile.columns), strict)
+        flags = plan.select(*flag_cols, *keep)
         joined = profile.join(F.broadcast(flags), profile["column_name"] == flags["__col"], "left")
         return joined.withColumns(masks).drop("__col", "__flag", "__kind")
 
     def masked_by_name(c: Column) -> Column:
         out = None
         for name, types in plan.items():
-            m = mask_value(c, types, name)
+            m = mask_value(c, types, name, strict)
             out = F.when(F.col("column_name") == name, m) if out is None else out.when(F.col("column_name") == name, m)
         return c if out is None else out.otherwise(c)
 
@@ -191,7 +191,7 @@ PROFILE_VALUE_COLUMNS = ("min_value", "max_value", "sample_values", "top_values"
 
 
 @fixed_expr
-def _profile_mask_exprs(present: tuple[str, ...]) -> tuple[tuple[Column, ...], dict[str, Column]]:
+def _profile_mask_exprs(present: tuple[str, ...], strict: bool) -> tuple[tuple[Column, ...], dict[str, Column]]:
     """Scan flags (one row per column) and the masks of a profile's value columns, chosen by ``__kind``."""
     flags = (
         F.col("column_name").alias("__col"),
@@ -200,7 +200,7 @@ def _profile_mask_exprs(present: tuple[str, ...]) -> tuple[tuple[Column, ...], d
     )
 
     def masked(c: Column) -> Column:
-        return F.when(F.coalesce(F.col("__flag"), F.lit(False)), mask_by_kind(c, F.col("__kind"))).otherwise(c)
+        return F.when(F.coalesce(F.col("__flag"), F.lit(False)), mask_by_kind(c, F.col("__kind"), strict)).otherwise(c)
 
     return flags, _value_masks(present, masked)
 

@@ -1,33 +1,33 @@
-"""Profiling (P1-P13) as two shuffles per table, not five statements per column.
+"""Profiling (P1-P13): a wide pass and one value exchange per table, not five statements per column.
 
-Job shape for ``column_stats``:
+* a **wide** aggregate gives the row count and per column null count, typed min/max and, with ``approx=True``,
+  the approximate distinct count: fixed-size partial results, no value shuffle;
+* a **long** aggregate unpivots every groupable column to ``(column_name, value)`` and groups it, with map-side
+  partial aggregation, so a value that holds a third of the table collapses to one row per task before
+  the shuffle. Exact distinct counts, top values and samples come from this one ``value_counts`` frame;
+  inside one query Spark reuses its exchange.
 
-* a **wide** aggregate: one row with row count and per column null count, typed
-  min/max (and the approximate distinct count when ``approx=True``);
-* a **long** aggregate: every groupable column is unpivoted to
-  ``(column_name, value)`` and grouped, with map-side partial aggregation, so a
-  value that holds a third of the table collapses to one row per task before
-  the shuffle. Distinct counts, top values and samples all come from this one
-  ``value_counts`` frame; inside one query Spark reuses its exchange.
-
-Top-k and sample ranking use ``row_number() <= k`` over ``column_name``; Spark
-plans that as a partial ``WindowGroupLimit`` before the shuffle, so no task ever
-holds more than ``k`` rows per column and partition.
+Top-k and sample ranking use ``row_number() <= k`` over ``column_name``; Spark plans that as a partial
+``WindowGroupLimit`` before the shuffle, so no task ever holds more than ``k`` rows per column and partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import logging
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.functions.common import fixed_expr, ratio4
-from kiln.session import spread
+from kiln.sources.ods import run_per_table
+
+log = logging.getLogger(__name__)
 
-_UNGROUPABLE = (T.MapType, T.ArrayType, T.StructType, T.BinaryType, T.VariantType) if hasattr(
-    T, "VariantType"
-) else (T.MapType, T.ArrayType, T.StructType, T.BinaryType)
-_UNORDERED = (T.MapType, T.ArrayType, T.StructType, T.BinaryType)
+#: Types without an order or equality Spark can group by: they get counts only.
+_COUNTS_ONLY = (T.MapType, T.ArrayType, T.StructType, T.BinaryType, T.VariantType)
+#: The sketch's relative standard deviation (Spark's default), and how many of them count as within its error.
+SKETCH_RSD, SKETCH_SIGMAS = 0.05, 3
 
 
 def _fields(df: DataFrame, columns: list[str] | None = None) -> list[T.StructField]:
@@ -37,7 +37,7 @@ def _fields(df: DataFrame, columns: list[str] | None = None) -> list[T.StructFie
 
 def groupable_columns(df: DataFrame, columns: list[str] | None = None) -> list[str]:
     """Columns whose values can be grouped (skip map/array/struct: counts only)."""
-    return [f.name for f in _fields(df, columns) if not isinstance(f.dataType, _UNGROUPABLE)]
+    return [f.name for f in _fields(df, columns) if not isinstance(f.dataType, _COUNTS_ONLY)]
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def typed_values(df: DataFrame, columns: list[str] | None = None) -> tuple[DataF
     only its own column's field, so nothing is formatted as text before the
     aggregation. Returns the frame and the slot names.
     """
-    fields = [f for f in _fields(df, columns) if not isinstance(f.dataType, _UNGROUPABLE)]
+    fields = [f for f in _fields(df, columns) if not isinstance(f.dataType, _COUNTS_ONLY)]
     if not fields:
         raise ValueError("no groupable columns to profile")
     slots = _slots(fields)
@@ -88,7 +88,7 @@ def typed_values(df: DataFrame, columns: list[str] | None = None) -> tuple[DataF
         parts = [F.col(f"`{f.name}`").alias(name) if name == mine else nulls[name] for name, _ in slots.values()]
         return F.struct(*parts).alias(f.name)
 
-    names = [f.name for f in fields]
+    names = [f"`{f.name}`" for f in fields]
     long = df.select(*[packed(f) for f in fields]).unpivot([], names, "column_name", "value")
     return long, [name for name, _ in slots.values()]
 
@@ -130,10 +130,10 @@ def _wide_stats(df: DataFrame, fields: list[T.StructField], approx: bool) -> Dat
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
         aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
-        orderable = not isinstance(f.dataType, _UNORDERED)
+        orderable = not isinstance(f.dataType, _COUNTS_ONLY)
         aggs.append((F.min(c).cast("string") if orderable else F.lit(None).cast("string")).alias(f"lo{i}"))
         aggs.append((F.max(c).cast("string") if orderable else F.lit(None).cast("string")).alias(f"hi{i}"))
-        if approx and not isinstance(f.dataType, _UNGROUPABLE):
+        if approx and not isinstance(f.dataType, _COUNTS_ONLY):
             aggs.append(F.approx_count_distinct(c).alias(f"u{i}"))
         else:
             aggs.append(F.lit(None).cast("long").alias(f"u{i}"))
@@ -158,81 +158,51 @@ def _wide_stats(df: DataFrame, fields: list[T.StructField], approx: bool) -> Dat
 
 
 def column_stats(
-    df: DataFrame, table_name: str = "", columns: list[str] | None = None, approx: bool = False, spread_input: bool = True
+    df: DataFrame,
+    table_name: str = "",
+    columns: list[str] | None = None,
+    approx: bool = False,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """P1-P6 per column: one row per column, in schema order.
 
     Columns: table_name, position, column_name, data_type, row_count,
     null_count, null_rate, unique_count, is_unique_candidate, min_value,
     max_value. ``unique_count`` is exact (NULL excluded) unless ``approx``.
-    Map/array columns get counts only (unique_count NULL).
+    Map, array, struct, binary and variant columns get counts only (unique_count NULL).
 
-    Exact mode is one typed long-form aggregation: per ``(column, value)``
-    counts, then per column the number of non-NULL groups, the NULL group's
-    size and the typed min/max over the groups. ``approx`` uses one wide
-    aggregate with HyperLogLog sketches instead (no value shuffle).
+    One wide pass gives everything but the exact distinct counts, which come from the typed long form. With
+    ``approx`` the distinct count is a sketch's estimate; ``is_unique_candidate`` is then NULL (not known) where the
+    estimate lies within the sketch's error of the row count, to be confirmed with ``approx=False`` on these columns.
+    ``counts`` are the table's :func:`value_counts` where the caller has them.
     """
     fields = _fields(df, columns)
-    if spread_input:  # callers that already spread their input pass False
-        df = spread(df)
-    groupable = [f for f in fields if not isinstance(f.dataType, _UNGROUPABLE)]
+    stats = _wide_stats(df, fields, approx)
+    groupable = [f.name for f in fields if not isinstance(f.dataType, _COUNTS_ONLY)]
     if approx or not groupable:
-        stats = _wide_stats(df, fields, approx).withColumn(
-            "unique_count", F.col("approx_unique") if approx else F.lit(None).cast("long")
-        )
+        stats = stats.withColumn("unique_count", F.col("approx_unique"))
+        near = F.abs(F.col("unique_count") - F.col("row_count")) <= SKETCH_SIGMAS * SKETCH_RSD * F.col("row_count")
+        unique = F.when((F.col("row_count") > 0) & (F.col("null_count") == 0) & near, F.lit(None)).otherwise(F.lit(False))
     else:
-        counts, slot_names = typed_counts(df, [f.name for f in groupable])
-        aggs, picks = _per_column_exprs(tuple(slot_names))
-        per_col = counts.groupBy("column_name").agg(*aggs).select(*picks)
-        meta = df.sparkSession.createDataFrame(
-            [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)],
-            "position int, column_name string, data_type string",
-        )
+        if counts is None:
+            typed, slot_names = typed_counts(df, groupable)
+            known = typed.groupBy("column_name").agg(F.count_if(~_value_is_null(slot_names)).alias("unique_count"))
+        else:
+            is_value = F.col("value").isNotNull() & (F.col("count") > 0)
+            known = counts.groupBy("column_name").agg(F.count_if(is_value).alias("unique_count"))
         # one row per column on both sides: a tiny join whatever the table size
-        stats = meta.join(F.broadcast(per_col), "column_name", "left")
-        others = [f for f in fields if isinstance(f.dataType, _UNGROUPABLE)]
-        if others:  # map/array columns: counts from a wide aggregate over just those columns
-            wide = _wide_stats(df, others, False).select(
-                "column_name", F.col("null_count").alias("__nulls"), F.col("row_count").alias("__rows")
-            )
-            stats = stats.join(F.broadcast(wide), "column_name", "left").withColumn(
-                "null_count", F.coalesce(F.col("null_count"), F.col("__nulls"))
-            ).withColumn("row_count", F.coalesce(F.col("row_count"), F.col("__rows")))
-        # a column is absent from the counts only when the table is empty
-        stats = stats.withColumn("row_count", F.coalesce(F.col("row_count"), F.lit(0)).cast("long")).withColumn(
-            "null_count", F.coalesce(F.col("null_count"), F.lit(0)).cast("long")
-        ).withColumn(
-            "unique_count", F.when(F.col("column_name").isin([f.name for f in groupable]), F.coalesce("unique_count", F.lit(0)))
+        stats = stats.join(F.broadcast(known), "column_name", "left").withColumn(
+            "unique_count", F.when(F.col("column_name").isin(groupable), F.coalesce("unique_count", F.lit(0)))
         )
-    return stats.select(*_stats_columns(table_name))
-
-
-@fixed_expr
-def _per_column_exprs(slot_names: tuple[str, ...]) -> tuple[tuple[Column, ...], tuple[Column | str, ...]]:
-    """Per column, over the ``(column_name, value, count)`` groups: rows, NULLs, distinct values, typed min/max."""
-    is_null = _value_is_null(list(slot_names))
-    aggs = (
-        F.sum("count").alias("row_count"),
-        F.coalesce(F.sum(F.when(is_null, F.col("count"))), F.lit(0)).alias("null_count"),
-        F.count_if(~is_null).alias("unique_count"),
-        *[F.min(F.col("value")[n]).alias(f"lo_{n}") for n in slot_names],
-        *[F.max(F.col("value")[n]).alias(f"hi_{n}") for n in slot_names],
-    )
-    picks = (
-        "column_name",
-        "row_count",
-        "null_count",
-        "unique_count",
-        F.coalesce(*[F.col(f"lo_{n}").cast("string") for n in slot_names]).alias("min_value"),
-        F.coalesce(*[F.col(f"hi_{n}").cast("string") for n in slot_names]).alias("max_value"),
+        unique = F.coalesce((F.col("unique_count") == F.col("row_count")) & (F.col("row_count") > 0), F.lit(False))
+    return stats.withColumn("is_unique_candidate", unique.cast("boolean")).select(
+        F.lit(table_name).alias("table_name"), *_stats_columns()
     )
-    return aggs, picks
 
 
 @fixed_expr
-def _stats_columns(table_name: str) -> tuple[Column | str, ...]:
+def _stats_columns() -> tuple[Column | str, ...]:
     return (
-        F.lit(table_name).alias("table_name"),
         "position",
         "column_name",
         "data_type",
@@ -240,9 +210,7 @@ def _stats_columns(table_name: str) -> tuple[Column | str, ...]:
         "null_count",
         ratio4("null_count", "row_count").alias("null_rate"),
         F.col("unique_count").cast("long").alias("unique_count"),
-        F.coalesce((F.col("unique_count") == F.col("row_count")) & (F.col("row_count") > 0), F.lit(False)).alias(
-            "is_unique_candidate"
-        ),
+        "is_unique_candidate",
         "min_value",
         "max_value",
     )
@@ -271,7 +239,7 @@ def top_values(
     NULL is a group. Ties break on the value (NULL last) so results repeat.
     Columns: table_name, column_name, rank, value, count, frequency.
     """
-    vc = counts if counts is not None else value_counts(spread(df), columns)
+    vc = counts if counts is not None else value_counts(df, columns)
     w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc_nulls_last())
     ranked = vc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     # rows per column = sum of its group counts; one row per column, so the join is tiny
@@ -290,12 +258,12 @@ def sample_values(
     df: DataFrame, k: int = 5, table_name: str = "", columns: list[str] | None = None, counts: DataFrame | None = None
 ) -> DataFrame:
     """``k`` distinct non-NULL values per column, the smallest by text order."""
-    vc = counts if counts is not None else value_counts(spread(df), columns)
-    w = Window.partitionBy("column_name").orderBy(F.col("value").asc())
+    vc = counts if counts is not None else value_counts(df, columns)
+    # NULL ranks last and goes after ranking: a filter before it would sink below the counts and split their exchange
+    w = Window.partitionBy("column_name").orderBy(F.col("value").asc_nulls_last())
     return (
-        vc.filter(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= k)
+        vc.withColumn("rank", F.row_number().over(w))
+        .filter((F.col("rank") <= k) & F.col("value").isNotNull() & (F.col("count") > 0))  # reads the count: same exchange
         .select(F.lit(table_name).alias("table_name"), "column_name", F.col("rank").cast("int").alias("rank"), "value")
     )
 
@@ -304,9 +272,8 @@ def profile_table(
     df: DataFrame, table_name: str = "", k: int = 5, approx: bool = False, columns: list[str] | None = None
 ) -> DataFrame:
     """Column stats plus bounded ``top_values`` and ``sample_values`` arrays per column."""
-    df = spread(df)
-    stats = column_stats(df, table_name, columns, approx, spread_input=False)
     vc = value_counts(df, columns)
+    stats = column_stats(df, table_name, columns, approx, None if approx else vc)
     top = (
         top_values(df, k, table_name, columns, counts=vc)
         .groupBy("column_name")
@@ -330,36 +297,37 @@ def profile_table(
     )
 
 
-def profile_catalog(tables: dict[str, DataFrame], max_tables: int = 0) -> DataFrame:
+CATALOG_SCHEMA = "table_name string, row_count long, column_count int"
+
+
+def profile_catalog(tables: dict[str, DataFrame | None], max_tables: int = 0) -> DataFrame:
     """P10: one row per table (rows, columns) in name order; ``max_tables`` caps the list (0 = all).
 
-    A table that cannot be analysed gets ``row_count = -1`` and adds nothing to totals.
+    A table that cannot be analysed or read (None, or its files do not open) gets ``row_count = -1`` and adds
+    nothing to totals. Counting is one small job per table, so that a damaged table fails alone. No tables give no rows.
     """
+    spark = SparkSession.active()
     names = sorted(tables)
     if max_tables:
         names = names[:max_tables]
-    parts = []
-    for name in names:
-        df = tables[name]
+
+    def one(name: str) -> tuple:
         try:
-            n_cols = len(df.columns)
-            part = row_count(df).select(F.lit(name).alias("table_name"), "row_count", F.lit(n_cols).alias("column_count"))
-        except Exception:  # unreadable source: mark it, keep going
-            spark = next(iter(tables.values())).sparkSession
-            part = spark.createDataFrame([(name, -1, 0)], "table_name string, row_count long, column_count int")
-        parts.append(part)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            return name, tables[name].count(), len(tables[name].columns)
+        except Exception as e:  # unreadable source: mark it, keep going
+            log.warning("table %s cannot be read: %s", name, e)
+            return name, -1, 0
+
+    return spark.createDataFrame(run_per_table(names, one), CATALOG_SCHEMA)
 
 
-def catalog_summary(catalog: DataFrame) -> DataFrame:
-    """Totals of a :func:`profile_catalog` frame: tables, rows (readable only), columns."""
+def catalog_summary(catalog: DataFrame, left_out: int = 0) -> DataFrame:
+    """Totals of a :func:`profile_catalog` frame: tables, rows (readable only), columns, and how many tables a cap left out."""
     return catalog.agg(
         F.count(F.lit(1)).alias("total_tables"),
-        F.sum(F.when(F.col("row_count") >= 0, F.col("row_count")).otherwise(0)).cast("long").alias("total_rows"),
-        F.sum("column_count").cast("long").alias("total_columns"),
+        F.coalesce(F.sum(F.when(F.col("row_count") >= 0, F.col("row_count"))), F.lit(0)).cast("long").alias("total_rows"),
+        F.coalesce(F.sum("column_count"), F.lit(0)).cast("long").alias("total_columns"),
+        F.lit(left_out).cast("long").alias("tables_left_out"),
     )
 
 
@@ -371,8 +339,7 @@ def key_candidates(df: DataFrame, composites: list[list[str]] | None = None, tab
     the column stats; each composite is one ``groupBy(keys)`` with partial
     aggregation, so hot keys are pre-aggregated map-side.
     """
-    df = spread(df)
-    stats = column_stats(df, table_name, spread_input=False).filter(F.col("unique_count").isNotNull())
+    stats = column_stats(df, table_name).filter(F.col("unique_count").isNotNull())
     singles = stats.select(
         "table_name",
         F.col("column_name").alias("key_columns"),

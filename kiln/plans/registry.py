@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from kiln.operators import profile as P
 from kiln.plans.customer360 import customer_360
 from kiln.plans.sqltext import profile_sql, ratio4_sql
-from kiln.session import spread
 from kiln.sources.tables import read_table
 
 
@@ -98,12 +97,12 @@ EVENTS_PROFILE_COLS = [
 
 @register("profile_orders", profile_sql("orders", ORDERS_PROFILE_COLS, "orders"))
 def q_profile_orders(spark, d):
-    return P.column_stats(decimal_doubles(spread(T(spark, d, "orders"))), "orders", spread_input=False)
+    return P.column_stats(decimal_doubles(T(spark, d, "orders")), "orders")
 
 
 @register("profile_events", profile_sql("events", EVENTS_PROFILE_COLS, "events"))
 def q_profile_events(spark, d):
-    return P.column_stats(decimal_doubles(spread(T(spark, d, "events"))), "events", spread_input=False)
+    return P.column_stats(decimal_doubles(T(spark, d, "events")), "events")
 
 
 PART_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
@@ -147,10 +146,24 @@ def q_sample_values_part(spark, d):
 
 NULL_EVENTS_COLS = [
     ("event_id", "bigint", "event_id"),
+    ("ts", "timestamp_ntz", "ts"),
     ("user_id", "bigint", "user_id"),
     ("event_type", "string", "nullif(event_type, 'error')"),
+    ("value", "decimal(18,2)", "CAST(value AS DECIMAL(18,2))"),
     ("props", "string", "CASE WHEN event_type = 'view' THEN NULL ELSE props END"),
 ]
+
+
+def events_with_nulls(events: DataFrame) -> DataFrame:
+    return decimal_doubles(events).withColumns(
+        {
+            "event_type": F.nullif(F.col("event_type"), F.lit("error")),
+            "props": F.when(F.col("event_type") == "view", F.lit(None)).otherwise(F.col("props")),
+        }
+    )
+
+
+
 NULL_PROFILE_EVENTS_SQL = (
     "SELECT column_name, row_count, null_count, null_rate, is_unique_candidate FROM ("
     + profile_sql("events", NULL_EVENTS_COLS, "events")
@@ -160,14 +173,7 @@ NULL_PROFILE_EVENTS_SQL = (
 
 @register("null_profile_events", NULL_PROFILE_EVENTS_SQL)
 def q_null_profile_events(spark, d):
-    ev = T(spark, d, "events")
-    src = ev.select(
-        "event_id",
-        "user_id",
-        F.nullif(F.col("event_type"), F.lit("error")).alias("event_type"),
-        F.when(F.col("event_type") == "view", F.lit(None)).otherwise(F.col("props")).alias("props"),
-    )
-    return P.column_stats(src, "events").select("column_name", "row_count", "null_count", "null_rate", "is_unique_candidate")
+    return P.column_stats(events_with_nulls(T(spark, d, "events")), "events").select("column_name", "row_count", "null_count", "null_rate", "is_unique_candidate")
 
 
 def _null_count_sql() -> str:
@@ -184,14 +190,7 @@ def _null_count_sql() -> str:
 
 @register("null_count_events", _null_count_sql())
 def q_null_count_events(spark, d):
-    ev = T(spark, d, "events")
-    src = ev.select(
-        "event_id",
-        "user_id",
-        F.nullif(F.col("event_type"), F.lit("error")).alias("event_type"),
-        F.when(F.col("event_type") == "view", F.lit(None)).otherwise(F.col("props")).alias("props"),
-    )
-    return P.null_count(src)
+    return P.null_count(events_with_nulls(T(spark, d, "events")))
 
 
 CATALOG_COLUMNS = {
@@ -379,13 +378,14 @@ def q_qc_orders(spark, d):
     o, li, c = T(spark, d, "orders"), T(spark, d, "lineitem"), T(spark, d, "customer")
     return Q.qc_report(
         [
-            Q.check_not_null(o, ["o_orderkey", "o_custkey", "o_orderdate"], "orders"),
+            Q.check_rows(
+                o, "orders", ["o_orderkey", "o_custkey", "o_orderdate"], [("positive_totalprice", "o_totalprice > 0", "o_totalprice")]
+            ),
+            Q.check_rows(li, "lineitem", custom=[("quantity_in_range", "l_quantity BETWEEN 1 AND 50", "l_quantity")]),
             Q.check_unique(o, ["o_orderkey"], "orders"),
             Q.check_unique(li, [("l_orderkey", "l_linenumber")], "lineitem"),
             Q.check_references(o, "o_custkey", c, "c_custkey", "orders", "customer"),
             Q.check_references(li, "l_orderkey", o, "o_orderkey", "lineitem", "orders"),
-            Q.check_custom(o, "positive_totalprice", "o_totalprice > 0", "orders", "o_totalprice"),
-            Q.check_custom(li, "quantity_in_range", "l_quantity BETWEEN 1 AND 50", "lineitem", "l_quantity"),
         ]
     )
 
@@ -631,9 +631,11 @@ FROM part p LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS suppliers
 @register("gap_fill_part", GAP_FILL_PART_SQL)
 def q_gap_fill_part(spark, d):
     p, li = T(spark, d, "part"), T(spark, d, "lineitem")
-    base = M.build_map(p, [Mapping("part_id", "direct", source_field="p_partkey"), Mapping("part_name", "direct", source_field="p_name")])
+    kept = [Mapping("p_brand"), Mapping("p_size")]  # what the gaps will need from the same table
+    base = M.build_map(
+        p, [Mapping("part_id", "direct", source_field="p_partkey"), Mapping("part_name", "direct", source_field="p_name"), *kept]
+    )
     # the supplier count lives in another table: pre-aggregate it and join first
-    base = base.join(p.select(F.col("p_partkey").alias("part_id"), "p_brand", "p_size"), "part_id")
     base = M.preaggregate_join(base, li, "part_id", "l_partkey", {"supp_n": F.count_distinct("l_suppkey")}, zero_fill=("supp_n",))
     gaps = [
         Mapping("brand", "direct", "part", "p_brand"),
@@ -822,7 +824,7 @@ SQL_MODEL_REVENUE_SQL = (
 def q_sql_model_revenue(spark, d):
     inputs = {}
     for t in ("orders", "lineitem", "customer", "nation"):
-        df = spread(T(spark, d, t))
+        df = T(spark, d, t)
         row_view(spark, "tpch", t, df)  # S1: the row layer stays a lazy view
         inputs[("tpch", t)] = spark.table(f"row_tpch_{t}")
     return run_model(spark, REVENUE_MODEL, inputs)
@@ -950,7 +952,7 @@ LINEITEM_PROFILE_COLS = [
 
 @register("profile_lineitem", profile_sql("lineitem", LINEITEM_PROFILE_COLS, "lineitem"))
 def q_profile_lineitem(spark, d):
-    return P.column_stats(decimal_doubles(spread(T(spark, d, "lineitem"))), "lineitem", spread_input=False)
+    return P.column_stats(decimal_doubles(T(spark, d, "lineitem")), "lineitem")
 
 
 # --------------------------------------------------------------------- more coverage
@@ -994,10 +996,29 @@ def q_mask_address_customer(spark, d):
     return I.mask_table(addr, I.pii_scan(addr, 0.3))
 
 
-@register("profile_part", None)
+PART_PROFILE_COLS = [
+    ("p_partkey", "bigint", "p_partkey"),
+    ("p_name", "string", "p_name"),
+    ("p_brand", "string", "p_brand"),
+    ("p_type", "string", "p_type"),
+    ("p_size", "int", "p_size"),
+    ("p_retailprice", "decimal(18,2)", "CAST(p_retailprice AS DECIMAL(18,2))"),
+]
+PROFILE_PART_SQL = f"""
+WITH st AS ({profile_sql("part", PART_PROFILE_COLS, "part")}),
+top AS (SELECT column_name, string_agg(coalesce(value, 'NULL') || '=' || "count", ' | ' ORDER BY rank) AS top_values
+        FROM ({TOP_VALUES_PART_SQL}) AS tv GROUP BY column_name),
+sam AS (SELECT column_name, string_agg(value, ' | ' ORDER BY rank) AS sample_values FROM ({SAMPLE_VALUES_PART_SQL}) AS sv GROUP BY column_name)
+SELECT st.*, top.top_values, sam.sample_values FROM st JOIN top USING (column_name) JOIN sam USING (column_name)
+"""
+
+
+@register("profile_part", PROFILE_PART_SQL)
 def q_profile_part(spark, d):
-    """P9 in full: stats plus bounded top-value and sample arrays per column (arrays: rows-only check)."""
-    return P.profile_table(decimal_doubles(T(spark, d, "part")), "part", k=5)
+    """P9 in full: stats plus bounded top-value and sample arrays per column, the arrays written as text."""
+    full = P.profile_table(decimal_doubles(T(spark, d, "part")), "part", k=5)
+    top = F.transform("top_values", lambda t: F.concat(F.coalesce(t["value"], F.lit("NULL")), F.lit("="), t["count"].cast("string")))
+    return full.withColumns({"top_values": F.array_join(top, " | "), "sample_values": F.array_join("sample_values", " | ")})
 
 
 ATTACH_TPCH_SQL = "\nUNION ALL\n".join(
@@ -1040,13 +1061,38 @@ def q_profile_masked_customer(spark, d):
     return I.mask_profile(P.column_stats(contacts, "customer"), I.pii_scan(contacts, 0.3))
 
 
-@register("profile_lineitem_approx", None)
+PROFILE_APPROX_SQL = (
+    "SELECT table_name, position, column_name, data_type, row_count, null_count, null_rate, min_value, max_value, "
+    f"true AS estimate_in_range FROM ({profile_sql('lineitem', LINEITEM_PROFILE_COLS, 'lineitem')}) AS p"
+)
+
+
+@register("profile_lineitem_approx", PROFILE_APPROX_SQL)
 def q_profile_lineitem_approx(spark, d):
     """P1-P6 with HyperLogLog distinct counts: one wide aggregate, no value shuffle (the 100 TB setting).
 
-    Approximate by design, so only rows are checked; exact counts are ``profile_lineitem``.
+    The exact columns, and whether the estimate lies within the possible range and its error.
     """
-    return P.column_stats(decimal_doubles(spread(T(spark, d, "lineitem"))), "lineitem", approx=True, spread_input=False)
+    most = F.col("row_count") * (1 + P.SKETCH_SIGMAS * P.SKETCH_RSD)
+    stats = P.column_stats(decimal_doubles(T(spark, d, "lineitem")), "lineitem", approx=True)
+    return stats.withColumn("estimate_in_range", F.col("unique_count").between(1, most)).drop("unique_count", "is_unique_candidate")
+
+
+SKETCH_ERROR_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS exact, true AS within_error, "
+    f"(count(DISTINCT {c}) = count(*) AND count(*) > 0) AS is_key FROM lineitem"
+    for c in LINEITEM_COLS
+)
+
+
+@register("sketch_error_lineitem", SKETCH_ERROR_SQL)
+def q_sketch_error_lineitem(spark, d):
+    """P4 and P5 both ways: every estimate lies within the sketch's error of the exact count."""
+    li = T(spark, d, "lineitem")
+    guess = P.unique_count(li, approx=True).select("column_name", F.col("unique_count").alias("guess"))
+    both = P.unique_count(li).join(F.broadcast(guess), "column_name")  # one row per column
+    near = F.abs(F.col("guess") - F.col("unique_count")) <= P.SKETCH_SIGMAS * P.SKETCH_RSD * F.col("unique_count")
+    return both.select("column_name", F.col("unique_count").alias("exact"), near.alias("within_error"), F.col("is_unique_candidate").alias("is_key"))
 
 
 PROFILE_EMBEDDINGS_SQL = f"""
@@ -1117,6 +1163,14 @@ STAR_SCHEMAS = {
              ("p_retailprice", "double")],
     "region": [("r_regionkey", "int"), ("r_name", "string")],
     "supplier": [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal", "double")],
+    "events": [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double"),
+               ("props", "string")],
+    "documents": [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")],
+    "embeddings": [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")],
+    "pages": [("page_id", "bigint"), ("url", "string"), ("html", "string")],
+    "benchmark": [("item_id", "bigint"), ("text", "string")],
+    "labels": [("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")],
+    "conversations": [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string")],
 }
 
 
@@ -1127,7 +1181,7 @@ def _explore_sql() -> str:
         typed = [(c, "decimal(18,2)" if k == "double" else k, f"CAST({c} AS DECIMAL(18,2))" if k == "double" else c) for c, k in cols]
         src = f"(SELECT {', '.join(f'{e} AS {c}' for c, _, e in typed)} FROM {t})"
         stats.append(profile_sql(t, typed, f"{src} AS s"))
-        scans.append(scan_sql(t, [(c, c) for c, _, _ in typed], f"{src} AS s"))
+        scans.append(scan_sql(t, [(c, c) for c, k, _ in typed if not k.startswith("array")], f"{src} AS s"))
 
     def masked(col: str) -> str:
         kinds = " ".join(f"WHEN c.mask_kind = '{k}' THEN {fn(col)}" for k, fn in masks.items())
@@ -1139,11 +1193,220 @@ c AS ({' UNION ALL '.join(f'SELECT * FROM {s} AS x' for s in scans)})
 SELECT st.table_name, st.position, st.column_name, st.data_type, st.row_count, st.null_count, st.null_rate, st.unique_count,
        st.is_unique_candidate, {masked('st.min_value')} AS min_value, {masked('st.max_value')} AS max_value,
        c.detected_by, c.pii_types
-FROM st JOIN c ON st.table_name = c.table_name AND st.column_name = c.column_name
+FROM st LEFT JOIN c ON st.table_name = c.table_name AND st.column_name = c.column_name
 """
 
 
 @register("explore_tpch", _explore_sql())
 def q_explore_tpch(spark, d):
     src = {"id": "tpch", "format": "parquet", "path": d}
-    return explore(spark, src, tables=list(STAR_SCHEMAS), prepare=decimal_doubles).columns
+    return explore(spark, src, prepare=decimal_doubles).columns
+
+
+CATALOG_SUMMARY_SQL = f"""
+SELECT count(*) AS total_tables, CAST(sum(row_count) AS BIGINT) AS total_rows, CAST(sum(column_count) AS BIGINT) AS total_columns,
+       CAST(0 AS BIGINT) AS tables_left_out FROM ({PROFILE_CATALOG_SQL}) AS c
+"""
+
+
+@register("catalog_summary", CATALOG_SUMMARY_SQL)
+def q_catalog_summary(spark, d):
+    return P.catalog_summary(q_profile_catalog(spark, d))
+
+
+# --------------------------------------------------------------------- more cases of the same operators
+
+QC_TOTALS_SQL = f"""
+SELECT count(*) + 1 AS checks, count(*) FILTER (WHERE status = 'pass') AS passed, count(*) FILTER (WHERE status = 'fail') AS failed,
+       CAST(1 AS BIGINT) AS errors, false AS gate_open FROM ({QC_ORDERS_SQL}) AS r
+"""
+
+
+@register("qc_totals", QC_TOTALS_SQL)
+def q_qc_totals(spark, d):
+    """Q5 with a check that cannot run: it counts as an error and closes the gate."""
+    o = T(spark, d, "orders")
+    broken = Q.run_checks(spark, [Q.Check("not_null_orders_o_gone", "orders", "not_null", "o_gone", lambda: Q.check_not_null(o, ["o_gone"], "orders"))])
+    good = q_qc_orders(spark, d).select(*Q.CHECK_COLUMNS)
+    return Q.qc_totals(Q.qc_report([good, broken]))
+
+
+QC_SQL_CHECK_SQL = """
+SELECT 'late_shipments' AS check_name, 'lineitem' AS table_name, 'custom' AS check_type, 'l_shipdate' AS field,
+       count(*) AS failures, CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END AS status,
+       CASE WHEN count(*) = 0 THEN 'ok' ELSE CAST(count(*) AS VARCHAR) || ' failing' END AS message
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_shipdate < o.o_orderdate
+"""
+
+
+@register("qc_sql_check", QC_SQL_CHECK_SQL)
+def q_qc_sql_check(spark, d):
+    """Q4 in its SQL form: a query for bad rows."""
+    for t in ("orders", "lineitem"):
+        row_view(spark, "qc", t, T(spark, d, t))
+    sql = "SELECT * FROM row_qc_lineitem l JOIN row_qc_orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_shipdate < o.o_orderdate"
+    return Q.qc_report([Q.check_custom_sql(spark, "late_shipments", sql, "lineitem", "l_shipdate")])
+
+
+LENGTHS_SQL = """
+SELECT 'length_part_std_' || f AS check_name, 'part_std' AS table_name, 'custom' AS check_type, f AS field, n AS failures
+FROM (SELECT 'p_name' AS f, count(*) FILTER (WHERE length(p_name) > 12) AS n FROM part
+      UNION ALL SELECT 'p_type', count(*) FILTER (WHERE length(p_type) > 5) FROM part)
+"""
+
+
+@register("check_lengths_part", LENGTHS_SQL)
+def q_check_lengths_part(spark, d):
+    std = Standard("part_std", (Field("p_name", "VARCHAR(12)"), Field("p_type", "CHAR(5) NOT NULL"), Field("p_size", "INTEGER")))
+    return Q.check_lengths(T(spark, d, "part"), std)
+
+
+CLEAN_TIMESTAMPS_SQL = """
+SELECT event_id, CAST(ts AS DATE) AS day_of_timestamp, CAST(ts AS DATE) AS day_of_text,
+       CASE WHEN event_type = 'error' THEN NULL ELSE CAST(ts AS DATE) END AS day_or_null FROM events
+"""
+
+
+@register("clean_timestamps", CLEAN_TIMESTAMPS_SQL)
+def q_clean_timestamps(spark, d):
+    """C6 on a timestamp column, on date-time text, and on text that is no date (made NULL on request)."""
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    src = T(spark, d, "events").select(
+        "event_id",
+        F.col("ts").alias("day_of_timestamp"),
+        text.alias("day_of_text"),
+        F.when(F.col("event_type") == "error", "no date").otherwise(text).alias("day_or_null"),
+    )
+    rules = [CleanRule(c, ("standardize_date",)) for c in ("day_of_timestamp", "day_of_text")]
+    return apply_clean_rules(src, [*rules, CleanRule("day_or_null", ("standardize_date",), on_error="null")])
+
+
+NUMERIC_TYPES_SQL = """
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(38,18)) AS price,
+       CAST(o_custkey AS DOUBLE) AS customer, CAST(o_orderdate AS TIMESTAMP) AS placed FROM orders
+"""
+
+
+@register("numeric_types", NUMERIC_TYPES_SQL)
+def q_numeric_types(spark, d):
+    """Type names with digits and NUMERIC without precision keep all digits."""
+    src = T(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"),
+        F.col("o_custkey").alias("customer"),
+        F.col("o_orderdate").cast("string").alias("placed"),
+    )
+    types = {"o_orderkey": "INT8", "price": "numeric", "customer": "FLOAT8", "placed": "timestamp without time zone"}
+    return apply_clean_rules(src, [CleanRule(c, ("cast_type",), t) for c, t in types.items()])
+
+
+GAP_MERGE_SQL = """
+SELECT c_custkey, c_name || '-' || c_mktsegment AS label, c_acctbal AS balance, n_name AS nation, CAST(NULL AS VARCHAR) AS email
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+"""
+
+
+@register("gap_merge_customer", GAP_MERGE_SQL)
+def q_gap_merge_customer(spark, d):
+    """M9: a merge with a separator, a field in another letter case, a field of another table, a field nobody has."""
+    gaps = [
+        Mapping("label", "merge", sources=("c_name", "c_mktsegment"), merge_how="concat", separator="-"),
+        Mapping("balance", "direct", "customer", "C_ACCTBAL"),
+        Mapping("nation", "direct", "nation", "n_name"),
+        Mapping("email", "direct", "customer", "c_email"),
+    ]
+    others = {"nation": M.SideTable(T(spark, d, "nation"), "c_nationkey", "n_nationkey")}
+    return M.gap_fill(T(spark, d, "customer"), gaps, others=others).select("c_custkey", *[g.target for g in gaps])
+
+
+HISTORY_ATTEMPTS_SQL = """
+SELECT CAST(1 AS BIGINT) AS run_id, 'rows' AS kind, 'customer' AS item, count(*) AS value, 'profile' AS operation FROM customer
+UNION ALL SELECT 1, 'rows', 'orders', count(*) FILTER (WHERE o_totalprice > 0), 'recount' FROM orders
+UNION ALL SELECT 1, 'rows', 'nation', count(*), 'profile' FROM nation
+"""
+
+
+@register("history_attempts", HISTORY_ATTEMPTS_SQL)
+def q_history_attempts(spark, d):
+    """Two appends to one run add up; a rerun counts for its own items only."""
+    import uuid
+
+    path = shared_dir(spark, "history", uuid.uuid4().hex)
+
+    def rows(name, df):
+        return df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("item"), "value")
+
+    o = T(spark, d, "orders")
+    D.append_history(spark, path, rows("customer", T(spark, d, "customer")).unionByName(rows("orders", o)), 1, "rows", "profile")
+    D.append_history(spark, path, rows("nation", T(spark, d, "nation")), 1, "rows", "profile")
+    D.append_history(spark, path, rows("orders", o.where("o_totalprice > 0")), 1, "rows", "recount", "orders", "positive prices")
+    return D.latest_attempts(spark.read.parquet(path)).select("run_id", "kind", "item", "value", "operation")
+
+
+DELIVERY_TOTALS_SQL = """
+SELECT CAST(3 AS BIGINT) AS tables, CAST(2 AS BIGINT) AS succeeded, CAST(1 AS BIGINT) AS failed,
+       (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) AS total_rows, 'partial' AS status
+"""
+
+
+@register("delivery_totals", DELIVERY_TOTALS_SQL)
+def q_delivery_totals(spark, d):
+    """Totals of a delivery in which one table fails."""
+    tables = {
+        "clean_customer_t": T(spark, d, "customer"),
+        "clean_orders_t": T(spark, d, "orders"),
+        "clean_missing_t": "clean.no_such_table",
+    }
+    return D.delivery_summary(D.deliver(spark, tables, "replace", prod_db="prod"))
+
+
+STANDARD_CSV_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, {k} AS table_order, {i} AS position, '{c}' AS field_name, '{kind.upper()}' AS data_type, "
+    f"{str(i > 0).lower()} AS nullable, 'column {c} of ' || count(*) || ' rows' AS description, 'table {t}' AS table_description FROM {t}"
+    for k, t in enumerate(("customer", "orders"))
+    for i, (c, kind) in enumerate(STAR_SCHEMAS[t])
+)
+
+
+@register("standard_csv", STANDARD_CSV_SQL)
+def q_standard_csv(spark, d):
+    """A standard written as CSV from two tables' schemas and row counts, and read back."""
+    import uuid
+
+    from kiln.sources.standard_csv import read_standard_csv
+
+    parts = []
+    for t in ("customer", "orders"):
+        n = T(spark, d, t).agg(F.count(F.lit(1)).cast("string").alias("n"))
+        fields = [
+            F.struct(
+                F.lit(f" {f.name} ").alias("field_name"),
+                F.lit(f.dataType.simpleString().upper() + ("" if i else " not  null")).alias("field_type"),
+                F.concat(F.lit(f"column {f.name} of "), F.col("n"), F.lit(" rows")).alias("field_comment"),
+            )
+            for i, f in enumerate(T(spark, d, t).schema.fields)
+        ]
+        head = [F.lit("demo").alias("module"), F.lit(t).alias("table_name"), F.lit(f"table {t}").alias("table_comment")]
+        parts.append(n.select(*head, F.inline(F.array(*fields))).withColumn("example", F.lit("")))
+    path = shared_dir(spark, "standard", uuid.uuid4().hex)
+    # a standard is one small file in reading order: a row per field
+    parts[0].unionByName(parts[1]).coalesce(1).write.option("header", True).csv(path)
+    return read_standard_csv(spark, path)
+
+
+PII_CONTACT_TURNS_SQL = f"""
+WITH src AS (SELECT conv_id, turn, text || ' u' || conv_id || '@example.com 138' || lpad(CAST(conv_id AS VARCHAR), 8, '0') AS text FROM conversations),
+tok AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+')) AS token FROM src),
+lab AS (SELECT conv_id, turn, {pii_labels_sql('token', 'false')} AS labels FROM tok WHERE regexp_matches(token, '[0-9@一-鿿]')),
+x AS (SELECT conv_id, turn, unnest(string_split(labels, ',')) AS label FROM lab WHERE labels <> '')
+SELECT conv_id, turn, label, count(*) AS tokens FROM x GROUP BY ALL
+"""
+
+
+@register("pii_contact_turns", PII_CONTACT_TURNS_SQL)
+def q_pii_contact_turns(spark, d):
+    """Conversations whose turns end with an e-mail address and a mobile number made from their id."""
+    key = F.col("conv_id").cast("string")
+    contact = F.concat(F.lit("u"), key, F.lit("@example.com 138"), F.lpad(key, 8, "0"))
+    turns = T(spark, d, "conversations").withColumn("text", F.concat_ws(" ", "text", contact))
+    return I.pii_tokens(turns, "text", keep=["conv_id", "turn"])

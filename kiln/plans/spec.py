@@ -27,17 +27,30 @@ _TYPE_NAMES = {
     "STRING": "string",
     "VARCHAR": "string",
     "CHAR": "string",
+    "CHARACTER": "string",
     "CHARACTER VARYING": "string",
     "DATE": "date",
     "TIMESTAMP": "timestamp_ntz",
     "DATETIME": "timestamp_ntz",
     "TIMESTAMPTZ": "timestamp",
+    "TIMESTAMP WITH TIME ZONE": "timestamp",
+    "TIMESTAMP WITHOUT TIME ZONE": "timestamp_ntz",
+    "TIME": "string",
+    "UUID": "string",
+    "JSON": "string",
+    "CLOB": "string",
+    "BYTEA": "binary",
+    "BLOB": "binary",
+    "BINARY": "binary",
+    "VARBINARY": "binary",
     "BOOLEAN": "boolean",
     "BOOL": "boolean",
 }
 # --- end of fixed values ------------------------------------------------------
 
-_SIZED = re.compile(r"^\s*([A-Za-z ]+?)\s*(?:\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\))?\s*$")
+_SIZED = re.compile(r"^([A-Z][A-Z0-9_]*(?: [A-Z]+)*?) ?(?:\( ?(\d+) ?(?:, ?(\d+) ?)?\))?(?: ([A-Z ]+))?$")
+#: NUMERIC without precision holds any number of digits: as many whole digits as places after the point.
+UNBOUNDED_NUMERIC = "decimal(38,18)"
 
 
 def parse_field_type(text: str) -> tuple[str, bool]:
@@ -49,25 +62,37 @@ def parse_field_type(text: str) -> tuple[str, bool]:
 
 
 def spark_type(type_text: str) -> str:
-    """Standard type string -> Spark SQL type name used in ``cast``."""
+    """Type string, in any letter case -> Spark SQL type name used in ``cast``.
+
+    Standard names come first, then anything Spark itself reads as a type (``array<int>``); other text raises. An
+    empty type is text.
+    """
     clean, _ = parse_field_type(type_text)
-    m = _SIZED.match(clean)
-    if not m:
+    base, length, scale = _parts(clean)
+    if not base:
         return "string"
-    base = m.group(1).upper().strip()
-    if base in ("NUMERIC", "DECIMAL", "NUMBER"):
-        p, s = m.group(2) or "38", m.group(3) or "0"
-        return f"decimal({p},{s})"
-    return _TYPE_NAMES.get(base, "string")
+    if base in ("NUMERIC", "DECIMAL", "DEC", "NUMBER"):
+        return f"decimal({length},{scale or 0})" if length else UNBOUNDED_NUMERIC
+    if base in _TYPE_NAMES:
+        return _TYPE_NAMES[base]
+    try:
+        return T._parse_datatype_string(clean).simpleString()
+    except Exception as e:
+        raise ValueError(f"unknown type: {type_text}") from e
+
+
+def _parts(clean: str) -> tuple[str, str | None, str | None]:
+    """Base name (with words after the size, as in TIMESTAMP(3) WITH TIME ZONE), length and scale."""
+    m = _SIZED.match(" ".join(clean.upper().split()))
+    if not m:
+        return clean.upper(), None, None
+    return " ".join(x for x in (m.group(1), m.group(4)) if x), m.group(2), m.group(3)
 
 
 def max_length(type_text: str) -> int | None:
     """Length bound of VARCHAR(n)/CHAR(n), else None (becomes an optional QC check)."""
-    clean, _ = parse_field_type(type_text)
-    m = _SIZED.match(clean)
-    if m and m.group(1).upper().strip() in ("VARCHAR", "CHAR", "CHARACTER VARYING") and m.group(2):
-        return int(m.group(2))
-    return None
+    base, length, _ = _parts(parse_field_type(type_text)[0])
+    return int(length) if length and base in ("VARCHAR", "CHAR", "CHARACTER", "CHARACTER VARYING") else None
 
 
 @dataclass(frozen=True)

@@ -20,6 +20,14 @@ def profile_sql(table: str, columns: list[tuple[str, str, str]], source: str) ->
     parts = []
     for pos, (name, dtype, _) in enumerate(columns):
         nulls = f"(count(*) - count({name}))"
+        if dtype.startswith("array"):  # counts only
+            parts.append(
+                f"SELECT '{table}' AS table_name, {pos} AS position, '{name}' AS column_name, '{dtype}' AS data_type, "
+                f"count(*) AS row_count, {nulls} AS null_count, {ratio4_sql(nulls, 'count(*)')} AS null_rate, "
+                "CAST(NULL AS BIGINT) AS unique_count, false AS is_unique_candidate, "
+                f"CAST(NULL AS VARCHAR) AS min_value, CAST(NULL AS VARCHAR) AS max_value FROM {inner}"
+            )
+            continue
         parts.append(
             f"SELECT '{table}' AS table_name, {pos} AS position, '{name}' AS column_name, '{dtype}' AS data_type, "
             f"count(*) AS row_count, {nulls} AS null_count, {ratio4_sql(nulls, 'count(*)')} AS null_rate, "

@@ -15,16 +15,16 @@ def get_spark(master: str | None = None, app: str = "kiln", shuffle_partitions:
     ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and skewed shuffle
     partitions get split at run time.
 
+    A master is set only when one is passed, so that the one given to spark-submit (or the default) holds.
     The shuffle partition count is set small (twice the cores) only for a
     local master. On a cluster it is left to the cluster's settings or to
     :func:`size_shuffle`: AQE can merge partitions but never makes more than
     the first shuffle has, so a small number would cap a 100 TB shuffle.
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or f"local[{cpus}]"
+    builder = SparkSession.builder.master(master) if master else SparkSession.builder
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app)
+        builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -44,11 +44,11 @@ def get_spark(master: str | None = None, app: str = "kiln", shuffle_partitions:
     return spark
 
 
-def shuffle_partitions_for(master: str, requested: int | None, cores: int) -> int | None:
+def shuffle_partitions_for(master: str | None, requested: int | None, cores: int) -> int | None:
     """Shuffle partitions to set: the requested number, twice the cores on a local master, else none."""
     if requested:
         return requested
-    return 2 * cores if master.startswith("local") else None
+    return 2 * cores if (master or "").startswith("local[") else None
 
 
 def size_shuffle(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> int:
@@ -62,7 +62,7 @@ def size_shuffle(spark: SparkSession, input_bytes: int, partition_bytes: int = 2
     cores = spark.sparkContext.defaultParallelism
     n = max(2 * cores, -(-input_bytes // partition_bytes))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(min(partition_bytes, 256 * 1024 * 1024)))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(partition_bytes))
     return n
 
 
@@ -78,65 +78,9 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach (shared storage)")
         root = tempfile.mkdtemp(prefix="kiln-shared-")
         sc.setCheckpointDir(root)
     path = "/".join([root.rstrip("/"), *parts]) if parts else root
     return path
-
-
-def spread(df):
-    """Spread a tiny input over the cores before heavy per-row work.
-
-    Decided from plan metadata only (nothing runs): Catalyst's size estimate
-    must be at most ``kiln.spread.maxInputBytes`` (1 GiB), checked before any
-    file list is fetched, and the input must come from at most
-    ``kiln.spread.maxInputFiles`` (8) local files of at most that size, e.g. a small file in
-    one row group that would otherwise be read by a single task. A large
-    input has many files and scan partitions and is returned unchanged, so no
-    shuffle is added at scale. Operators call it once, on their input.
-    """
-    import os
-    from urllib.parse import urlparse
-
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    max_files = int(spark.conf.get("kiln.spread.maxInputFiles", "8"))
-    max_bytes = int(spark.conf.get("kiln.spread.maxInputBytes", str(1 << 30)))
-    # Catalyst's size estimate first (JVM side, no file list): a large input
-    # returns here, so the driver never fetches the paths of a big table.
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # a BigInt, arrives as int
-        estimate = size if isinstance(size, int) else int(size.toString())
-    except Exception:  # no estimate (e.g. another DataFrame implementation): decide from the files
-        estimate = 0
-    if estimate > max_bytes:
-        return df
-    files = df.inputFiles()
-    if not files or len(files) > max_files or len(files) >= target:
-        return df
-    total = 0
-    for f in files:
-        u = urlparse(f)
-        if u.scheme not in ("", "file"):
-            return df  # remote storage: leave the scan's own partitioning alone
-        total += os.path.getsize(u.path)
-    if total > max_bytes:
-        return df
-    # A file scan is spread by the row's place in its file (hidden ``_metadata``
-    # columns): deterministic on retry without the local sort a round-robin
-    # repartition needs, and it references no data column, so column pruning and
-    # filters still reach the scan below the shuffle. Other inputs hash the whole row.
-    from pyspark.errors import AnalysisException
-
-    try:
-        place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-        return df.repartition(target, place)
-    except AnalysisException:
-        pass
-    keys = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    return df.repartition(target, F.xxhash64(*keys)) if keys else df.repartition(target)

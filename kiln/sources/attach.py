@@ -3,11 +3,13 @@
 A source is a dict of reader options:
 
 * folder source: ``{"id": "crm", "format": "parquet", "path": "/data/crm"}``; each
-  ``<name>.<format>`` entry (file or folder) under ``path`` is a table;
+  ``<name>.<format>`` entry (file or folder) under ``path`` is a table; CSV tables may declare their columns as
+  ``"schemas": {"orders": "id long, day date"}``;
 * JDBC source: ``{"id": "his", "format": "jdbc", "url": ..., "driver": ...,
   "user": ..., "password": ...}``; credentials are passed at call time and
   never stored. Partitioned reads take ``partitionColumn``/``lowerBound``/
-  ``upperBound``/``numPartitions`` per table through ``table_options``.
+  ``upperBound``/``numPartitions`` per table through ``table_options``; with the column alone, bounds are read
+  from the table and the number of partitions is the cluster's parallelism.
 
 Attached tables are temp views; Catalyst pushes filters, projections, limits
 and aggregates into the JDBC query or the parquet scan.
@@ -16,8 +18,6 @@ and aggregates into the JDBC query or the parquet scan.
 from __future__ import annotations
 
 import logging
-import os
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +41,29 @@ def _jdbc_reader(spark: SparkSession, source: dict, extra: dict | None = None):
     return r
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system Spark reaches."""
+    fs, p = _hadoop(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of files this library has written."""
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def short_names(tables: list[str]) -> dict[str, str]:
+    """Table -> its name without the schema, or with it where two schemas hold a table of that name."""
+    last = [t.split(".")[-1].lower() for t in tables]
+    return {t: t if last.count(t.split(".")[-1].lower()) > 1 else t.split(".")[-1] for t in tables}
+
+
 def list_source_tables(spark: SparkSession, source: dict) -> list[str]:
     """Table names of a source (S5 for sources): folder entries or JDBC catalog rows."""
     fmt = source.get("format", "parquet")
@@ -56,47 +79,58 @@ def list_source_tables(spark: SparkSession, source: dict) -> list[str]:
         rows = rows.filter(~rows[schema_col].isin(list(SYSTEM_SCHEMAS)))
         # a catalog listing: one row per table, small by nature
         return sorted({f"{r[0]}.{r[1]}" for r in rows.collect()})
-    path = source["path"]
     suffix = f".{fmt}"
-    if re.match(r"^[a-z][a-z0-9+.-]*://", path) and not path.startswith("file:"):
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-    else:
-        names = os.listdir(path.removeprefix("file:"))
+    names = list_folder(spark, source["path"])
     return sorted({n[: -len(suffix)] for n in names if n.endswith(suffix) and not n.startswith(("_", "."))})
 
 
 def read_source_table(spark: SparkSession, source: dict, table: str, table_options: dict | None = None) -> DataFrame:
     fmt = source.get("format", "parquet")
+    options = dict(table_options or {})
     if fmt == "jdbc":
-        return _jdbc_reader(spark, source, {"dbtable": table, **(table_options or {})}).load()
+        if options.get("partitionColumn") and not {"lowerBound", "upperBound"} <= set(options):
+            column = options["partitionColumn"]
+            query = f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}"
+            low, high = _jdbc_reader(spark, source, {"query": query}).load().first()
+            if low is None:  # no row or no key to divide by
+                options.pop("partitionColumn")
+                options.pop("numPartitions", None)
+            else:
+                options |= {"lowerBound": low, "upperBound": high}
+                options.setdefault("numPartitions", spark.sparkContext.defaultParallelism)
+        return _jdbc_reader(spark, source, {"dbtable": table, **options}).load()
     reader = spark.read.format(fmt)
+    for k, v in options.items():
+        reader = reader.option(k, str(v))
     if fmt == "csv":
-        reader = reader.option("header", True).option("inferSchema", True)
+        reader = reader.option("header", True)
+        declared = source.get("schemas", {}).get(table)
+        # without a declared schema, types are found by reading every file once more
+        reader = reader.schema(declared) if declared else reader.option("inferSchema", True)
     return reader.load(f"{source['path'].rstrip('/')}/{table}.{fmt}")
 
 
 def attach_source(
     spark: SparkSession, source: dict, tables: list[str] | None = None, table_options: dict[str, dict] | None = None
 ) -> list[str]:
-    """Register each table as temp view ``<id>_<table>``; return sorted, de-duplicated view names.
+    """Register each table as temp view ``<id>_<table>``; return sorted view names.
 
-    A table that fails to resolve is skipped with a warning; the others attach.
+    Tables of one name in two schemas become ``<id>_<schema>_<table>``. A table that fails to resolve is
+    skipped with a warning; the others attach.
     """
     from kiln.sources.tables import view_name
 
     names = tables if tables is not None else list_source_tables(spark, source)
+    short = short_names(names)
     attached = set()
     for t in names:
         try:
             df = read_source_table(spark, source, t, (table_options or {}).get(t))
             df.schema  # resolve now: a missing table fails here, not later
         except Exception as e:  # keep going, as the reference does
-            log.warning("skip %s.%s: %s", source.get("id"), t, str(e).splitlines()[0])
+            log.warning("skip %s.%s: %s", source.get("id"), t, e)
             continue
-        v = view_name("src", source.get("id", "src"), t.split(".")[-1])
+        v = view_name("src", source.get("id", "src"), short[t])
         df.createOrReplaceTempView(v)
         attached.add(v)
     return sorted(attached)

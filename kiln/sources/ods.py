@@ -70,18 +70,19 @@ def write_table(
     return int(obs.get["rows"])
 
 
-def bulk_copy(df: DataFrame, target: dict, batch_size: int = 10000, mode: str = "overwrite") -> int:
+def bulk_copy(df: DataFrame, target: dict, batch_size: int = 10000, mode: str = "overwrite", loosen: bool = True) -> int:
     """Copy rows to a path/format or a JDBC table; returns rows copied.
 
-    JDBC writes go in batches of ``batch_size`` per task (``batchsize``); the
-    copy is a plain overwrite, so a failed attempt never leaves duplicates.
+    JDBC writes go in batches of ``batch_size`` per task (``batchsize``), over at most ``numPartitions``
+    connections; the copy is a plain overwrite, so a failed attempt never leaves duplicates. ``loosen`` makes all
+    columns nullable.
     """
-    obs = Observation("bulk_copy")
-    out = all_nullable(df).observe(obs, F.count(F.lit(1)).alias("rows"))
+    obs = Observation(f"bulk_copy_{uuid.uuid4().hex[:8]}")
+    out = (all_nullable(df) if loosen else df).observe(obs, F.count(F.lit(1)).alias("rows"))
     fmt = target.get("format", "parquet")
     if fmt == "jdbc":
         w = out.write.format("jdbc").mode(mode).option("batchsize", str(batch_size))
-        for k in ("url", "driver", "user", "password", "dbtable", "truncate", "isolationLevel"):
+        for k in ("url", "driver", "user", "password", "dbtable", "truncate", "isolationLevel", "numPartitions"):
             if target.get(k) is not None:
                 w = w.option(k, str(target[k]))
         w.save()
@@ -110,14 +111,14 @@ def sync_to_ods(
 
     def one(name: str) -> tuple:
         df = tables[name]
-        target = f"{db}.{name.lower()}"
+        target = f"{db}.{re.sub(r'[^0-9a-z_]', '_', name.lower())}"
         if df is None:
             return (source_id, name, target, "skipped", None, "absent at source")
         try:
-            n = write_table(all_nullable(df), db, name.lower())
+            n = write_table(all_nullable(df), db, target.partition(".")[2])
             return (source_id, name, target, "success", n, "")
         except Exception as e:  # per-table failure does not stop the sync
-            return (source_id, name, target, "failed", None, str(e).splitlines()[0][:300])
+            return (source_id, name, target, "failed", None, str(e))
 
     results = run_per_table(sorted(tables), one, max_parallel)
     return spark.createDataFrame(results, RESULT_SCHEMA)
@@ -138,20 +139,39 @@ def run_per_table(names: list[str], fn, max_parallel: int = 4) -> list:
 
 
 def sync_source(
-    spark: SparkSession, source: dict, tables: list[str] | None = None, ods: str | None = None
+    spark: SparkSession,
+    source: dict,
+    tables: list[str] | None = None,
+    ods: str | None = None,
+    table_options: dict[str, dict] | None = None,
 ) -> DataFrame:
     """S3 from a source description: the named tables, or every table the source lists.
 
-    A named table the source lacks is ``skipped``; reading happens inside the
-    per-table write, so a failing table is ``failed`` and the rest continue.
+    Tables are named without their schema where that is unambiguous, else ``schema.table`` (staged as
+    ``schema_table``). ``table_options`` gives reader options by table, for example ``{"orders": {"partitionColumn": "id"}}``
+    for a JDBC read in several tasks (bounds and count are found when left out). A named table the
+    source lacks is ``skipped``; an ambiguous or failing one is ``failed`` and the rest continue.
     """
-    from kiln.sources.attach import list_source_tables, read_source_table
+    from kiln.sources.attach import list_source_tables, read_source_table, short_names
 
     present = list_source_tables(spark, source)
-    by_lower = {t.split(".")[-1].lower(): t for t in present}
-    names = tables if tables is not None else [t.split(".")[-1] for t in present]
+    short = short_names(present)
+    by_name = {t.lower(): t for t in present} | {s.lower(): t for t, s in short.items()}
+    by_last: dict[str, list[str]] = {}
+    for t in present:
+        by_last.setdefault(t.split(".")[-1].lower(), []).append(t)
     frames: dict[str, DataFrame | None] = {}
-    for name in names:
-        real = by_lower.get(name.split(".")[-1].lower())
-        frames[name] = read_source_table(spark, source, real) if real else None
-    return sync_to_ods(spark, source.get("id", "src"), frames, ods)
+    failed = []
+    for name in tables if tables is not None else list(short.values()):
+        real = by_name.get(name.lower())
+        if real is None and "." not in name and len(by_last.get(name.lower(), [])) > 1:
+            failed.append((source.get("id", "src"), name, "", "failed", None, f"in several schemas: {by_last[name.lower()]}"))
+            continue
+        real = real or next(iter(by_last.get(name.split(".")[-1].lower(), [])), None)
+        options = (table_options or {}).get(name) or (table_options or {}).get(real or "")
+        try:
+            frames[name] = read_source_table(spark, source, real, options) if real else None
+        except Exception as e:  # reported as a row
+            failed.append((source.get("id", "src"), name, "", "failed", None, str(e)))
+    done = sync_to_ods(spark, source.get("id", "src"), frames, ods)
+    return done.unionByName(spark.createDataFrame(failed, RESULT_SCHEMA)) if failed else done

@@ -32,7 +32,7 @@ def test_cast_raises_or_nulls(spark):
 
 def test_standardize_date_formats(spark):
     df = spark.createDataFrame([("2024/01/05",), ("05-01-2024",), ("2024-01-05",), ("junk",)], "d string")
-    out = [r.d for r in apply_clean_rules(df, [CleanRule("d", ("standardize_date",))]).collect()]
+    out = [r.d for r in apply_clean_rules(df, [CleanRule("d", ("standardize_date",), on_error="null")]).collect()]
     assert [str(x) if x else None for x in out] == ["2024-01-05", "2024-01-05", "2024-01-05", None]
 
 
@@ -79,6 +79,51 @@ def test_spark_types():
     assert spark_type("NUMERIC(10,2)") == "decimal(10,2)"
     assert spark_type("TIMESTAMP") == "timestamp_ntz"
     assert spark_type("SMALLINT") == "smallint"
+    assert [spark_type(t) for t in ("INT4", "INT8", "FLOAT8", "float8")] == ["int", "bigint", "double", "double"]
+    assert spark_type("NUMERIC") == "decimal(38,18)" and spark_type("decimal(12)") == "decimal(12,0)"
+    assert spark_type("TIMESTAMP WITH TIME ZONE") == spark_type("timestamp(3) with time zone") == "timestamp"
+    assert spark_type("BYTEA") == "binary" and spark_type("array<int>") == "array<int>" and spark_type("text") == "string"
+    with pytest.raises(ValueError):
+        spark_type("GEOMETRY")
+
+
+def test_max_length():
+    from kiln.plans.spec import max_length
+
+    assert (max_length("VARCHAR(40) NOT NULL"), max_length("char(3)"), max_length("TEXT"), max_length("NUMERIC(4,2)")) == (40, 3, None, None)
+
+
+def test_dates_from_timestamps_and_bad_text(spark):
+    from kiln.operators.cleaning import unparsed_dates
+
+    df = spark.sql("SELECT timestamp'2024-01-05 10:00:00' AS t, '2024-01-05 10:00:00' AS s, 'soon' AS bad, ' ' AS blank")
+    good = apply_clean_rules(df, [CleanRule(c, ("standardize_date",)) for c in ("t", "s", "blank")]).first()
+    assert str(good.t) == str(good.s) == "2024-01-05" and good.blank is None
+    assert apply_clean_rules(df, [CleanRule("bad", ("standardize_date",), on_error="null")]).first().bad is None
+    with pytest.raises(Exception, match="not a date: soon"):
+        apply_clean_rules(df, [CleanRule("bad", ("standardize_date",))]).collect()
+    assert unparsed_dates(df, ["t", "s", "bad", "blank"]).first().asDict() == {"t": 0, "s": 0, "bad": 1, "blank": 0}
+
+
+def test_dedup_rule_needs_keys(spark):
+    df = spark.createDataFrame([(1,), (1,)], "k int")
+    with pytest.raises(ValueError, match="deduplicate"):
+        apply_clean_rules(df, [CleanRule("k", ("deduplicate",))])
+
+
+def test_gap_fill_merge_case_and_side_table(spark):
+    df = spark.createDataFrame([("x", "y", 7, 1)], "a string, b string, Age int, k int")
+    side = spark.createDataFrame([(1, "one")], "id int, word string")
+    gaps = [
+        Mapping("m", "merge", sources=("a", "b"), merge_how="concat", separator="-"),
+        Mapping("age2", "direct", "t", "age"),
+        Mapping("w", "direct", "s", "word"),
+        Mapping("none", "direct", "s", "absent"),
+    ]
+    others = {"s": M.SideTable(side, "k", "id")}
+    r = M.gap_fill(df, gaps, others=others).first()
+    assert (r.m, r.age2, r.w, r.none) == ("x-y", 7, "one", None)
+    assert M.missing_gaps(df, gaps, others) == ["none"]
 
 
 @pytest.mark.parametrize(

@@ -121,13 +121,37 @@ def test_prod_name():
     assert prod_name("clean_patients") == "patients" and prod_name("CLEAN_x") == "x" and prod_name("dim") == "dim"
 
 
-@pytest.mark.parametrize("name", ["group_name", "username", "patientName", "hotel", "email_address", "gender", "患者姓名", "user_name", "bank_account"])
-def test_name_rule_expression_matches_python(spark, name):
-    from kiln.plans.names import name_is_sensitive_expr, pii_types_by_name_expr
+@pytest.mark.parametrize(
+    "column,types,kind",
+    [
+        ("patient_name", [], "name"), ("name", [], "name"), ("user_name", [], "default"), ("user_name", ["chinese_name"], "name"),
+        ("home_address", [], "address"), ("x", ["address"], "address"), ("dob", [], "birth_date"), ("amount", [], "default"),
+        ("Name_First", [], "name"), ("患者姓名", [], "name"), ("group_name", ["birth_date"], "birth_date"),
+    ],
+)
+def test_mask_rules_same_in_both_forms(spark, column, types, kind):
+    from kiln.functions.pii import mask_kind, mask_kind_expr
+
+    assert mask_kind(types, column) == kind
+    assert spark.range(1).select(mask_kind_expr(F.lit(",".join(types)), F.lit(column)).alias("k")).first().k == kind
+
+
+def test_compound_surnames(spark):
+    got = [r[0] for r in spark.createDataFrame([("太史慈",), ("独孤信",), ("欧阳修",)], "v string").select(X.pii_labels("v")).collect()]
+    assert got == ["chinese_name"] * 3
+
+
+def test_strict_masks_reach_tables_and_profiles(spark):
+    df = spark.createDataFrame([("ab", "李四"), ("abcdef", "某某")], "code string, home_address string")
+    rows = I.mask_table(df, {"code": [], "home_address": []}, strict=True).collect()
+    assert rows[0] == ("a*", "李*")
+    prof = spark.createDataFrame([("code", "ab", "cd")], "column_name string, min_value string, max_value string")
+    assert I.mask_profile(prof, {"code": []}, strict=True).first()[1:] == ("a*", "c*")
+
 
-    r = spark.range(1).select(name_is_sensitive_expr(F.lit(name)).alias("s"), pii_types_by_name_expr(F.lit(name)).alias("t")).first()
-    assert r.s == name_is_sensitive(name)
-    assert sorted(r.t) == sorted(pii_types_by_name(name))
+def test_scan_of_a_column_with_a_dot(spark):
+    df = spark.createDataFrame([("a@b.cn",)], "`a.b` string")
+    assert I.pii_scan(df).first().pii_types == "email"
 
 
 def test_mask_profile_hides_values(spark):

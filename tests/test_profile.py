@@ -109,49 +109,69 @@ def test_size_shuffle(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
-def test_spread_only_for_tiny_file_inputs(spark):
-    from kiln.session import spread
-    from tests.conftest import SF001
+def test_plan_does_not_depend_on_input_size(spark, tmp_path):
+    import re
 
-    small = spark.read.parquet(f"{SF001}/lineitem.parquet")
-    assert spread(small) is not small  # one small local file: spread over the cores
-    generated = spark.range(10)
-    assert spread(generated) is generated  # no input files: unchanged
-    spark.conf.set("kiln.spread.maxInputBytes", "10")
-    try:
-        assert spread(small) is small  # above the size bound: unchanged
-    finally:
-        spark.conf.unset("kiln.spread.maxInputBytes")
+    def shape(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return re.findall(r"(Exchange \w+|\w+Join|HashAggregate|SortAggregate|Expand|Window\w*)", plan)
 
+    small, large = str(tmp_path / "small"), str(tmp_path / "large")
+    cols = [F.col("id"), (F.col("id") % 10).cast("string").alias("s")]
+    spark.range(10).select(*cols).coalesce(1).write.parquet(small)
+    spark.range(200_000).select(*cols).repartition(12).write.parquet(large)
+    assert shape(P.column_stats(spark.read.parquet(small))) == shape(P.column_stats(spark.read.parquet(large)))
 
-def test_spread_keeps_pruning_and_filters_at_the_scan(spark):
-    from kiln.session import spread
+
+def test_profile_has_one_value_exchange_and_no_sort_of_values(spark):
     from tests.conftest import SF001
 
-    src = spark.read.parquet(f"{SF001}/lineitem.parquet")
-    q = spread(src).filter("l_quantity > 10").select("l_orderkey")
-    plan = q._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in plan
-    read = plan.split("ReadSchema: ")[1].split("\n")[0]
-    assert "l_comment" not in read and "l_orderkey" in read  # only used columns are read
-    assert q.count() == src.filter("l_quantity > 10").count()  # same rows, spread or not
+    df = spark.read.parquet(f"{SF001}/part.parquet")
+    stats = P.column_stats(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate(key=[column_name" not in stats  # the wide pass has no key, so nothing to sort
+    full = P.profile_table(df, "part")
+    full.collect()  # reuse is decided when the plan runs
+    text = full._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    by_value = [line for line in text.splitlines() if "Exchange hashpartitioning(column_name" in line and ", value#" in line]
+    assert "SortAggregate(key=[column_name" not in text
+    assert len([line for line in by_value if "ReusedExchange" not in line]) == 1
 
 
-def test_spread_never_lists_files_of_a_large_input(spark):
-    from kiln.session import spread
-    from tests.conftest import SF001
+def test_unique_flag_is_unknown_near_the_row_count(spark):
+    df = spark.range(5000).select(F.col("id"), (F.col("id") % 10).alias("few"))
+    got = {r.column_name: r.is_unique_candidate for r in P.column_stats(df, approx=True).collect()}
+    assert got == {"id": None, "few": False}  # the sketch cannot tell; confirm exactly
+    assert P.column_stats(df, columns=["id"]).first().is_unique_candidate
 
-    big = spark.read.parquet(f"{SF001}/lineitem.parquet")
 
-    def no_listing():
-        raise AssertionError("file list fetched for a large input")
+def test_odd_column_names_and_types(spark):
+    df = spark.sql("SELECT 1 AS `a.b`, 'x' AS `c d`, parse_json('{\"k\": 1}') AS v")
+    got = {r.column_name: (r.unique_count, r.row_count) for r in P.column_stats(df).collect()}
+    assert got == {"a.b": (1, 1), "c d": (1, 1), "v": (None, 1)}
 
-    big.inputFiles = no_listing  # the size estimate alone must decide
-    spark.conf.set("kiln.spread.maxInputBytes", "10")
-    try:
-        assert spread(big) is big
-    finally:
-        spark.conf.unset("kiln.spread.maxInputBytes")
+
+def test_unreadable_table_is_minus_one(spark, tmp_path):
+    path = tmp_path / "t.parquet"
+    spark.range(5).write.parquet(str(path))
+    bad = spark.read.parquet(str(path))
+    for f in path.glob("part-*"):
+        f.write_bytes(b"damaged")
+    cat = P.profile_catalog({"good": spark.range(3), "bad": bad, "absent": None})
+    assert {r.table_name: r.row_count for r in cat.collect()} == {"good": 3, "bad": -1, "absent": -1}
+    s = P.catalog_summary(cat, left_out=2).first()
+    assert (s.total_tables, s.total_rows, s.tables_left_out) == (3, 3, 2)
+    assert P.profile_catalog({}).count() == 0
+
+
+def test_master_only_when_passed(monkeypatch):
+    from pyspark.sql import SparkSession
+
+    from kiln import session
+
+    seen = []
+    monkeypatch.setattr(SparkSession.builder, "master", lambda m: seen.append(m) or SparkSession.builder)
+    session.get_spark()
+    assert seen == []
 
 
 def test_null_count_alone(spark):
@@ -178,3 +198,4 @@ def test_cluster_sessions_keep_their_shuffle_partitions():
     assert shuffle_partitions_for("local[8]", None, 8) == 16
     assert shuffle_partitions_for("yarn", None, 8) is None  # cluster: its own setting or size_shuffle
     assert shuffle_partitions_for("spark://host:7077", 4000, 8) == 4000
+    assert shuffle_partitions_for(None, None, 8) is None

@@ -1,5 +1,6 @@
 """Sources, staging sync, SQL models, delivery, quality gate, helpers and streaming."""
 
+import os
 import uuid
 
 import pytest
@@ -58,6 +59,65 @@ def test_jdbc_round_trip_with_embedded_derby(spark):
     assert "PushedFilters: [*IsNotNull(n_regionkey), *EqualTo(n_regionkey,1)]" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_jdbc_reads_in_partitions_and_schemas_keep_apart(spark):
+    from kiln.sources.attach import read_source_table
+    from kiln.sources.ods import sync_source
+
+    url = f"jdbc:derby:memory:kiln{uid()};create=true"
+    src = {"id": f"his{uid()}", "format": "jdbc", "url": url, "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = spark.read.parquet(f"{SF001}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    bulk_copy(df, {**src, "dbtable": "HR.ORDERS", "numPartitions": 2})
+    bulk_copy(df.limit(7), {**src, "dbtable": "SALES.ORDERS"})
+    part = read_source_table(spark, src, "HR.ORDERS", {"partitionColumn": '"o_orderkey"', "numPartitions": 4})
+    assert part.rdd.getNumPartitions() == 4 and part.count() == df.count()
+    views = attach_source(spark, src)
+    assert [v.removeprefix(f"src_{src['id']}_") for v in views] == ["hr_orders", "sales_orders"]
+    res = {r.table_name: (r.status, r.rows_copied) for r in sync_source(spark, src, table_options={"HR.ORDERS": {"partitionColumn": '"o_orderkey"'}}).collect()}
+    assert res == {"HR.ORDERS": ("success", df.count()), "SALES.ORDERS": ("success", 7)}
+    assert sync_source(spark, src, ["orders"]).first().status == "failed"  # which one?
+
+
+def test_same_names_in_a_folder_source(spark):
+    root = shared_dir(spark, "two", uid())
+    for name, n in (("hr.orders", 3), ("sales.orders", 7)):
+        spark.range(n).write.parquet(f"{root}/{name}.parquet")
+    from kiln.sources.ods import sync_source
+
+    res = sync_source(spark, {"id": f"f{uid()}", "format": "parquet", "path": root})
+    assert sorted((r.table_name, r.rows_copied) for r in res.collect()) == [("hr.orders", 3), ("sales.orders", 7)]
+
+
+def test_csv_source_with_declared_schema(spark):
+    root = shared_dir(spark, "csv", uid())
+    spark.range(3).selectExpr("id", "id * 2 AS v").write.option("header", True).csv(f"{root}/t.csv")
+    from kiln.sources.attach import read_source_table
+
+    df = read_source_table(spark, {"format": "csv", "path": root, "schemas": {"t": "id long, v decimal(9,2)"}}, "t")
+    assert df.schema["v"].dataType.simpleString() == "decimal(9,2)" and df.count() == 3
+
+
+def test_old_reader_finishes_after_a_new_delivery(spark):
+    db = f"prod{uid()}"
+    for deliver in (D.deliver_atomic, D.deliver_replace):
+        name = deliver.__name__
+        deliver(spark.range(1000), db, name)
+        reader = spark.table(f"{db}.{name}")
+        plan = reader.selectExpr("sum(id) AS s")
+        deliver(spark.range(5), db, name)
+        assert plan.first().s == 999 * 500  # the version before is still there
+        assert spark.table(f"{db}.{name}").count() == 5
+        deliver(spark.range(6), db, name)
+        assert spark.table(f"{db}.{name}").count() == 6
+
+
+def test_failed_replace_leaves_the_old_table(spark):
+    db = f"prod{uid()}"
+    D.deliver_replace(spark.range(3), db, "t")
+    with pytest.raises(Exception):
+        D.deliver_replace(spark.range(3).select(F.raise_error(F.lit("no")).alias("x")), db, "t")
+    assert spark.table(f"{db}.t").count() == 3
+
+
 def test_standard_csv(spark, tmp_path):
     p = tmp_path / "std.csv"
     p.write_text(
@@ -90,10 +150,10 @@ def test_delivery_strategies(spark):
     v1 = spark.range(3)
     v2 = spark.range(5)
     assert D.deliver_atomic(v1, db, "t") == 3
-    assert D.deliver_atomic(v2, db, "t") == 5  # the switch replaces the view; old version is dropped
+    assert D.deliver_atomic(v2, db, "t") == 5  # the switch replaces the view; the old version stays for one cycle
     assert spark.table(f"{db}.t").count() == 5
     versions = [t.name for t in spark.catalog.listTables(db) if t.name.startswith("t__v")]
-    assert len(versions) == 1
+    assert len(versions) == 2  # the new version and the one before it
     assert D.deliver_replace(v1, db, "t") == 3  # replace after atomic: the view becomes a table
     assert spark.table(f"{db}.t").count() == 3
     assert D.deliver_atomic(v2, db, "t") == 5  # and back
@@ -213,6 +273,55 @@ def test_deliver_all_tables_of_a_database(spark):
     assert res == {"a": 3, "b": 4}
 
 
+def test_history_appends_add_up(spark):
+    path = shared_dir(spark, "hist", uid())
+    for item in ("a", "b"):  # two appends to one run and kind
+        D.append_history(spark, path, spark.createDataFrame([(item, 1)], "item string, value long"), 1, "check", "qc", "t", "note")
+    got = D.latest_attempts(spark.read.parquet(path)).collect()
+    assert sorted((r.item, r.operation, r.target, r.details) for r in got) == [("a", "qc", "t", "note"), ("b", "qc", "t", "note")]
+
+
+def test_checks_that_cannot_run_and_empty_reports(spark):
+    df = spark.createDataFrame([(1, "a")], "id int, `n.m` string")
+    checks = [
+        Q.Check("ok", "t", "not_null", "id", lambda: Q.check_not_null(df, ["id"], "t")),
+        Q.Check("gone", "t", "not_null", "zz", lambda: Q.check_not_null(df, ["zz"], "t")),
+        Q.Check("breaks", "t", "custom", "id", lambda: Q.check_custom(df, "breaks", "raise_error('bad row') > 0", "t", "id")),
+    ]
+    report = Q.qc_report([Q.run_checks(spark, checks)])
+    got = {r.check_name: (r.status, r.message) for r in report.collect()}
+    assert got["not_null_t_id"][0] == "pass" and got["gone"][0] == "error" and "zz" in got["gone"][1] and got["breaks"][0] == "error"
+    t = Q.qc_totals(report).first()
+    assert (t.checks, t.passed, t.errors, t.gate_open) == (3, 1, 2, False)
+    assert Q.qc_report([]).count() == 0
+    assert Q.check_unique(df, ["n.m"], "t").first().failures == 0
+
+
+def test_gate_names_every_failing_check(spark):
+    rows = [(f"c{i}", "t", "custom", "x", 1) for i in range(80)]
+    report = Q.qc_report([spark.createDataFrame(rows, Q.CHECK_SCHEMA)])
+    with pytest.raises(RuntimeError, match="c79"):
+        H.require_gate(report)
+
+
+def test_explore_goes_on_past_a_damaged_table(spark):
+    from kiln.plans.explore import explore
+
+    root = shared_dir(spark, "explore", uid())
+    spark.range(4).write.parquet(f"{root}/good.parquet")
+    spark.range(4).write.parquet(f"{root}/bad.parquet")
+    folder = root.removeprefix("file:") + "/bad.parquet"
+    for f in os.listdir(folder):
+        if f.startswith("part-"):
+            with open(f"{folder}/{f}", "wb") as out:
+                out.write(b"damaged")
+    report = explore(spark, {"id": "x", "format": "parquet", "path": root})
+    assert {r.table_name: r.row_count for r in report.catalog.collect()} == {"bad": -1, "good": 4}
+    assert [r.column_name for r in report.columns.collect()] == ["id"]
+    assert explore(spark, {"id": "x", "format": "parquet", "path": root}, max_tables=1).summary.first().tables_left_out == 1
+    assert explore(spark, {"id": "x", "format": "parquet", "path": root}, tables=[]).columns.count() == 0
+
+
 def test_history_rerun_replaces_its_run(spark):
     path = shared_dir(spark, "hist", uid())
     for run, v in ((1, 5), (2, 2), (2, 3)):  # run 2 written twice: the second replaces the first
