@@ -393,7 +393,15 @@ def q_qc_orders(spark, d):
 # --------------------------------------------------------------------- pii
 
 from kiln.operators import pii as I  # noqa: E402
-from kiln.plans.sqltext import mask_birth_sql, mask_default_sql, mask_name_sql, pii_labels_sql  # noqa: E402
+from kiln.plans.sqltext import (  # noqa: E402
+    key_hint_sql,
+    mask_birth_sql,
+    mask_default_sql,
+    mask_name_sql,
+    name_types_sql,
+    pii_labels_sql,
+    sensitive_name_sql,
+)
 
 
 def customer_contacts(customer: DataFrame) -> DataFrame:
@@ -426,14 +434,8 @@ FROM customer)"""
 CONTACT_COLS = ["c_custkey", "c_name", "c_phone", "contact", "login", "host_ip", "order_no", "mixed", "c_mktsegment"]
 
 
-def _hint(c: str) -> str:
-    from kiln.functions.pii import name_has_key_hint
-
-    return "true" if name_has_key_hint(c) else "false"
-
-
 PII_VALUES_CUSTOMER_SQL = "\nUNION ALL\n".join(
-    f"SELECT c_custkey, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, {pii_labels_sql(c, _hint(c))} AS pii_types "
+    f"SELECT c_custkey, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, {pii_labels_sql(c, key_hint_sql(c))} AS pii_types "
     f"FROM {CONTACTS_SQL} AS t"
     for c in CONTACT_COLS
 )
@@ -445,14 +447,11 @@ def q_pii_values_customer(spark, d):
 
 
 def _scan_sql() -> str:
-    from kiln.plans.names import name_is_sensitive, pii_types_by_name
-
     branches = []
     for pos, c in enumerate(CONTACT_COLS):
-        by_name = ",".join(pii_types_by_name(c))
         branches.append(
-            f"SELECT {pos} AS position, '{c}' AS column_name, '{by_name}' AS name_types, {str(name_is_sensitive(c)).lower()} AS sensitive_name, "
-            f"{pii_labels_sql(c, _hint(c))} AS labels FROM {CONTACTS_SQL} AS t WHERE {c} IS NOT NULL"
+            f"SELECT {pos} AS position, '{c}' AS column_name, {name_types_sql(c)} AS name_types, {sensitive_name_sql(c)} AS sensitive_name, "
+            f"{pii_labels_sql(c, key_hint_sql(c))} AS labels FROM {CONTACTS_SQL} AS t WHERE {c} IS NOT NULL"
         )
     long = "\nUNION ALL\n".join(branches)
     return f"""

@@ -55,24 +55,86 @@ def strip_sql(v: str) -> str:
     return f"regexp_replace({v}, {_q(f'^{WS_CLASS}+|{WS_CLASS}+$')}, '', 'g')"
 
 
+# The rules on personal data are written out here a second time, so that a wrong pattern or word in
+# kiln.functions.pii or kiln.plans.names shows as a difference. Only the text of surnames is shared.
+_VALUE_RULES = (
+    ("china_mobile", "^1[3-9][0-9]{9}$"),
+    ("phone", r"^(\+[0-9]{1,4}[-\s]?)?[0-9]{7,15}$"),
+    ("email", r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"),
+    ("china_idcard", "^([0-9]{15}|[0-9]{17}[0-9Xx])$"),
+    ("bank_card", "^[0-9]{16,19}$"),
+    ("passport", "^([A-Z][0-9]{7,9}|[0-9]{9})$"),
+    ("ipv4", r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"),
+)
+_ADDRESS = "省|自治区|直辖市|市|地区|自治州|盟|县|自治县|区|市辖区|旗|自治旗|林区|乡|镇|街道|路|街|巷|号|栋|单元|室|层|楼"
+_DATE = "^([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{4})$"
+_NAME_RULES = (
+    ("chinese_name", "name|姓名|联系人|负责人|患者姓名", "username,groupname,filename,classname,tablename,columnname,dbname"),
+    ("birth_date", "dob|birth|birthday|出生日期|生日|出生年月|出生时间", ""),
+    ("address", "address|addr|地址|住址|居住地|户籍|籍贯", ""),
+    ("phone", "phone|mobile|tel|电话|手机|手机号|联系方式|联系电话", ""),
+    ("email", "email|mail|邮箱|邮件|电子邮箱|电邮", ""),
+    ("china_idcard", "idcard|身份证|身份证号|证件号|居民身份证", ""),
+)
+
+
+def key_hint_sql(name: str) -> str:
+    return f"regexp_matches('{name.lower()}', 'id|no|code|seq|num|sn|编号|序号')"
+
+
+def name_types_sql(name: str) -> str:
+    """Comma-joined types a column name suggests."""
+    bare = f"lower(replace('{name}', '_', ''))"
+    picks = [
+        f"CASE WHEN regexp_matches({bare}, '^({words})|({words})$') AND NOT list_contains(string_split('{excluded}', ','), {bare}) THEN '{kind}' END"
+        for kind, words, excluded in _NAME_RULES
+    ]
+    return f"concat_ws(',', {', '.join(picks)})"
+
+
+def sensitive_name_sql(name: str) -> str:
+    x = f"('_' || lower(regexp_replace(regexp_replace('{name}', '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[-\\s]+', '_', 'g')) || '_')"
+    words = "phone|tel|mobile|email|mail|card|identity|address|addr|password|passwd|pwd|ssn|social|bank|account"
+    return (
+        f"(regexp_matches({x}, '_({words})_') OR (regexp_matches({x}, '_name_') "
+        f"AND NOT regexp_matches({x}, '_(group|type|class|schema|table|user)_name_')) "
+        f"OR regexp_matches({x}, '姓名|电话|手机|邮箱|身份证|地址|住址|密码|卡号|账号'))"
+    )
+
+
+def mask_kind_sql(name: str, types: str) -> str:
+    """Which mask a flagged column takes, from its types (an SQL expression) and its name."""
+    low = name.lower()
+    has = lambda t: f"list_contains(string_split({types}, ','), '{t}')"
+    named = (
+        f"(('{low}' = 'name' OR ends_with('{low}', '_name') OR starts_with('{low}', 'name_') OR contains('{low}', '姓名')) "
+        f"AND NOT contains('{low}', 'user') AND NOT contains('{low}', 'group'))"
+    )
+    return (
+        f"(CASE WHEN {has('chinese_name')} OR {named} THEN 'name' "
+        f"WHEN {has('address')} OR regexp_matches('{low}', 'address|addr|地址|住址') THEN 'address' "
+        f"WHEN {has('birth_date')} OR regexp_matches('{low}', 'dob|birth|出生日期|生日') THEN 'birth_date' ELSE 'default' END)"
+    )
+
+
 def pii_labels_sql(v: str, key_hint: str = "false") -> str:
-    """Comma-joined PII labels of a value (same rules as ``kiln.functions.pii.pii_types``)."""
-    from kiln.functions import pii as X
+    """Comma-joined PII labels of a value."""
+    from kiln.functions.pii import CHINESE_NAME
 
     s = strip_sql(f"CAST({v} AS VARCHAR)")
     digits = f"regexp_replace({s}, '[^0-9]', '', 'g')"
     nd = f"length({digits})"
     phone_ok = f"({nd} BETWEEN 7 AND 15 AND NOT ({nd} = 8 AND starts_with({digits}, '20')))"
     parts = []
-    for label, pat in X.VALUE_PATTERNS:
+    for label, pat in (*_VALUE_RULES, ("chinese_name", CHINESE_NAME)):
         cond = f"regexp_matches({s}, {_q(pat)})"
         if label in ("china_mobile", "phone"):
             cond += f" AND {phone_ok}"
         parts.append(f"CASE WHEN {cond} THEN '{label}' END")
-    addr = f"regexp_matches({s}, {_q(X.ADDRESS_WORDS)}) AND length({s}) >= 6 AND NOT regexp_matches({s}, {_q(X.DATE_LIKE)})"
+    addr = f"regexp_matches({s}, {_q(_ADDRESS)}) AND length({s}) >= 6 AND NOT regexp_matches({s}, {_q(_DATE)})"
     parts.append(f"CASE WHEN {addr} THEN 'address' END")
     key = (
-        f"(regexp_matches({s}, '^[0-9]+$') AND (length(ltrim({s}, '0')) <= {X.KEY_MAX_VALUE_DIGITS} OR {key_hint}))"
+        f"(regexp_matches({s}, '^[0-9]+$') AND (length(ltrim({s}, '0')) <= 6 OR {key_hint}))"
     )
     return (
         f"(CASE WHEN {s} IS NULL OR length({s}) < 2 OR coalesce({key}, false) THEN '' "
@@ -122,33 +184,14 @@ def mask_address_sql(v: str) -> str:
 def scan_sql(table: str, columns: list[tuple[str, str]], source: str, threshold: float = 0.3) -> str:
     """PII scan of one table as SQL: one row per column (table_name, column_name, detected_by,
     samples, pii_ratio, pii_types, sensitive_name, mask_kind); mirrors ``kiln.operators.pii.pii_scan``."""
-    from kiln.functions.pii import LABELS, mask_kind, name_has_key_hint
-    from kiln.plans.names import name_is_sensitive, pii_types_by_name
-
-    order = "[" + ",".join(f"'{x}'" for x in LABELS) + "]"
-    meta = ", ".join(
-        f"({i}, '{c}', '{','.join(pii_types_by_name(c))}', {str(name_is_sensitive(c)).lower()})" for i, (c, _) in enumerate(columns)
-    )
+    order = "['china_mobile','phone','email','china_idcard','bank_card','passport','ipv4','chinese_name','address']"
+    meta = ", ".join(f"({i}, '{c}', {name_types_sql(c)}, {sensitive_name_sql(c)})" for i, (c, _) in enumerate(columns))
     long = "\nUNION ALL\n".join(
-        f"SELECT '{c}' AS column_name, {pii_labels_sql(expr, 'true' if name_has_key_hint(c) else 'false')} AS labels "
+        f"SELECT '{c}' AS column_name, {pii_labels_sql(expr, key_hint_sql(c))} AS labels "
         f"FROM {source} WHERE {expr} IS NOT NULL"
         for c, expr in columns
     )
-    # the mask for a flagged column: decided from its labels and its name (kiln.functions.pii.mask_kind)
-    kinds = []
-    for c, _ in columns:
-        fixed = {k: mask_kind([k], c) for k in ("chinese_name", "address", "birth_date")}
-        base = mask_kind([], c)
-        kinds.append(
-            f"WHEN column_name = '{c}' THEN (CASE "
-            + (f"WHEN '{base}' = 'name' THEN 'name' " if base == "name" else "")
-            + f"WHEN list_contains(string_split(types, ','), 'chinese_name') THEN '{fixed['chinese_name']}' "
-            + (f"WHEN '{base}' = 'address' THEN 'address' " if base == "address" else "")
-            + f"WHEN list_contains(string_split(types, ','), 'address') THEN '{fixed['address']}' "
-            + (f"WHEN '{base}' = 'birth_date' THEN 'birth_date' " if base == "birth_date" else "")
-            + f"WHEN list_contains(string_split(types, ','), 'birth_date') THEN '{fixed['birth_date']}' "
-            + f"ELSE '{base}' END)"
-        )
+    kinds = [f"WHEN column_name = '{c}' THEN {mask_kind_sql(c, 'types')}" for c, _ in columns]
     return f"""
 (WITH names(position, column_name, name_types, sensitive_name) AS (VALUES {meta}),
 v AS ({long}),
