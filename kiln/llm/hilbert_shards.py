@@ -129,7 +129,8 @@ def hilbert_rank(df: DataFrame, dims: list[Dim], tie: list[str], bits: int = 4,
         .withColumn("_buckets", F.ceil(F.col("_rows") / rows_per_bucket).cast("long"))
         .drop("_rows")
     )
-    # at most 2**MAX_CELL_BITS rows of a few numbers
+    # at most 2**MAX_CELL_BITS rows of a few numbers; written, so that no filter on the curve is evaluated per input row
+    cells = materialise(cells, "cells")
     placed = coded.join(F.broadcast(cells), names).withColumn("_bucket", F.shiftright(F.col("_hash") * F.col("_buckets"), 32))
     first = (
         placed.groupBy("curve", "_bucket")
