@@ -14,9 +14,10 @@ pair at the similarity 0.8 is missed with a probability of 3e-6, at 0.85 of 4e-9
 Copies and large groups cost no quadratic work:
 
 * documents with equal sets form one class and only its smallest id goes on;
-* in every band bucket, members are compared with the bucket's smallest member (as many pairs as members);
+* in every band bucket, members are compared with the bucket's smallest member, the pivot (as many pairs as members);
 * components are found from the confirmed links, and only in buckets that still hold several components are members
-  of different components compared, so no link that could join two components is lost.
+  of different components considered, so no link that could join two components is lost. Of these pairs, those stay that
+  their differences from the pivot allow (an exact bound) and that a second, longer sketch does not rule out.
 """
 
 from __future__ import annotations
@@ -30,14 +31,13 @@ from pyspark.sql import functions as F
 
 from kiln.llm.common import materialise, small_batches, table
 from kiln.llm.components import connected_components
-from kiln.llm.words import Hasher, find_words, lower_ascii, mix64, powers, text_slices
+from kiln.llm.words import Hasher, find_words, lower_ascii, mix64, text_slices
 
 BAND_ROWS, BANDS = 6, 42
-#: Bins: those of the bands, and some more to fill four 64-bit words of one bit a bin.
-T = 256
-#: Bins of 256 whose lowest bit must agree before the full sets are compared. At similarity 0.8 the mean
-#: is 230 and the standard deviation 4.8, so this is 6 deviations below.
-LEAST_BITS = 200
+T = BAND_ROWS * BANDS
+#: Bins of the second sketch, of which one bit each is kept; two sets may be linked when no fewer bits agree than this many
+#: standard deviations below the mean at the similarity asked for (one linked pair in 50 million lies below).
+LONG_T, DEVIATIONS = 2048, 5.5
 _U = np.uint64
 _EMPTY = _U(2**64 - 1)
 
@@ -60,8 +60,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     whole = np.zeros(len(short), _U)
     for j, i in enumerate(short.tolist()):
         x = np.zeros(1, _U)
-        for k, one in enumerate(h[w.first[i] : w.first[i + 1]]):
-            x = mix64(x + one * _U(2 * k + 1))
+        for k, p in enumerate(range(w.first[i], w.first[i + 1])):
+            x = mix64(x + h[p : p + 1] * _U(2 * k + 1))
         whole[j] = mix64(x + _U(counts[i]))[0]
     of = np.concatenate([doc[at], short])
     key = np.concatenate([key[at], whole])
@@ -118,16 +118,27 @@ def band_keys(bins: np.ndarray, rows: int = BAND_ROWS, bands: int = BANDS) -> np
 
 
 def one_bits(bins: np.ndarray) -> np.ndarray:
-    """The lowest bit of each of 256 bins in four 64-bit words."""
-    return np.packbits((bins & _U(1)).astype(np.uint8), axis=1).view(_U).reshape(len(bins), 4)
+    """The lowest bit of each bin, in 64-bit words."""
+    return np.packbits((bins & _U(1)).astype(np.uint8), axis=1).view(_U).reshape(len(bins), -1)
+
+
+def least_bits(percent: int) -> int:
+    """Bits of the second sketch that must agree."""
+    p = (1 + percent / 100) / 2
+    return int(LONG_T * p - DEVIATIONS * (LONG_T * p * (1 - p)) ** 0.5)
+
+
+def _rows(values: np.ndarray, full: np.ndarray) -> pa.Array:
+    """Rows of numbers as lists; rows outside ``full`` (booleans) are empty lists."""
+    ends = np.concatenate([[0], np.cumsum(full * values.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values).reshape(-1).view(np.int64)))
 
 
 def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (128 bits of the set, whatever its order), bands, bits. Empty sets have empty arrays."""
-    schema = "doc_id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>, bits array<bigint>"
+    """doc_id, n (set size), s1 and s2 (128 bits of the set, whatever its order), bands. Empty sets have no bands."""
+    schema = "doc_id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = pa.list_(pa.int64())
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(1)):
                 key, first = shingle_sets(data, offsets, width)
@@ -137,24 +148,32 @@ def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
                     total = np.concatenate([np.zeros(1, _U), np.cumsum(mix64(key ^ _U(salt)))])
                     sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
                 full = np.flatnonzero(n)
-                bins = sketch(key, np.concatenate([first[full], first[-1:]]))
-                columns = []
-                for got in (band_keys(bins), one_bits(bins)):
-                    ends = np.concatenate([[0], np.cumsum((n > 0) * got.shape[1])]).astype(np.int32)
-                    flat = pa.array(np.ascontiguousarray(got).reshape(-1).view(np.int64))
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), flat).cast(lists))
-                arrays = [batch.column(0).slice(a, b - a), pa.array(n), *map(pa.array, sums), *columns]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", "bands", "bits"])
+                keys = band_keys(sketch(key, np.concatenate([first[full], first[-1:]])))
+                arrays = [batch.column(0).slice(a, b - a), pa.array(n), *map(pa.array, sums), _rows(keys, n > 0)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Keep the pairs (u, v) whose full sets reach the similarity: 100 * intersection >= percent * union."""
+def long_bits(texts: DataFrame, width: int) -> DataFrame:
+    """doc_id and the bits of the second sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column(1), 1 << 17):
+                key, first = shingle_sets(data, offsets, width)
+                bits = one_bits(sketch(key, first, LONG_T))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _rows(bits, np.ones(b - a, bool))], ["id", "bits"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "id bigint, bits array<bigint>")
+
+
+def common_sizes(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """For pairs (u, v): ``both``, the size of the intersection of their full sets, and the sizes u_n and v_n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links = []
+            found = []
             for row in range(0, len(batch), 64):
                 sets = []
                 for c in ("u_text", "v_text"):
@@ -162,23 +181,39 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
                         key, first = shingle_sets(data, offsets, width)
                         sets += [key[x:y] for x, y in zip(first[:-1], first[1:], strict=True)]
                 half = len(sets) // 2
-                for k in range(half):
-                    both = len(np.intersect1d(sets[k], sets[half + k], assume_unique=True))
-                    if 100 * both >= percent * (len(sets[k]) + len(sets[half + k]) - both):
-                        links.append(row + k)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(links, pa.int64())) for c in ("u", "v")], ["u", "v"])
+                for a, b in zip(sets[:half], sets[half:], strict=True):
+                    found.append((len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)))
+            sizes = [pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), *sizes], ["u", "v", "both", "u_n", "v_n"])
 
     of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
-    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(run, "u bigint, v bigint")
+    joined = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_text", "v_text")
+    return joined.mapInArrow(run, "u bigint, v bigint, both bigint, u_n bigint, v_n bigint")
 
 
-def _plausible(a: str, b: str, percent: int) -> F.Column:
-    """Sizes that allow the similarity, and sketches that do not rule it out."""
-    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
-    differ = sum(
-        (F.bit_count(F.col(f"{a}_bits")[k].bitwiseXOR(F.col(f"{b}_bits")[k])) for k in range(4)), start=F.lit(0)
-    )
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (T - differ >= LEAST_BITS)
+def linked(percent: int) -> F.Column:
+    return 100 * F.col("both") >= percent * (F.col("u_n") + F.col("v_n") - F.col("both"))
+
+
+def sizes_allow(percent: int) -> F.Column:
+    return 100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")
+
+
+def pivot_allows(percent: int) -> F.Column:
+    """Whether two members of a bucket can reach the similarity, from what each lacks (``_less``) and adds (``_more``) to the pivot.
+
+    The intersection is the pivot's size less what either lacks, plus what both lack or both add; the last two are bounded
+    by the smaller of the two. Unknown differences allow everything.
+    """
+    shared = F.least("u_less", "v_less") + F.least("u_more", "v_more")
+    most = F.col("pivot_n") - F.col("u_less") - F.col("v_less") + shared
+    return F.coalesce((100 + percent) * most >= percent * (F.col("u_n") + F.col("v_n")), F.lit(True))
+
+
+def sketches_allow(percent: int) -> F.Column:
+    words = range(LONG_T // 64)
+    differ = sum((F.bit_count(F.col("u_bits")[k].bitwiseXOR(F.col("v_bits")[k])) for k in words), start=F.lit(0))
+    return LONG_T - differ >= least_bits(percent)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -196,45 +231,52 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = (
         marked.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("s1", "s2", "n")
-        .agg(F.min(F.struct("doc_id", "bands", "bits")).alias("r"))
-        .select("s1", "s2", "n", F.col("r.doc_id").alias("id"), F.col("r.bands").alias("bands"), F.col("r.bits").alias("bits"))
+        .agg(F.min(F.struct("doc_id", "bands")).alias("r"))
+        .select("s1", "s2", "n", F.col("r.doc_id").alias("id"), F.col("r.bands").alias("bands"))
     )
     classes = materialise(classes, "classes")
-    spread = classes.select("id", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    spread = classes.select("id", "n", F.explode("bands").alias("key"))
+    shared = spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = shared.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
     members = materialise(spread.join(shared, "key"), "members")
     involved = members.select(F.col("id").alias("doc_id")).distinct()
     texts = materialise(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id", "left_semi"), "texts"
     )
-    facts = lambda c: classes.select(
-        F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")
+    stars = members.where("id <> pivot").select(
+        F.col("pivot").alias("u"), F.col("id").alias("v"), F.col("pivot_n").alias("u_n"), F.col("n").alias("v_n")
     )
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return materialise(verify(pairs, texts, width, percent), "links")
-
-    stars = members.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
-    stars = stars.join(facts("u"), "u").join(facts("v"), "v").where(_plausible("u", "v", percent))
-    links = confirmed(stars.select("u", "v"))
-    found = materialise(connected_components(links), "components")
+    stars = stars.distinct().where(sizes_allow(percent)).select("u", "v")
+    measured = materialise(common_sizes(stars, texts, width), "stars")
+    found = materialise(connected_components(measured.where(linked(percent)).select("u", "v")), "components")
 
     # buckets whose members are not all in one component yet
     labelled = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     rest = labelled.where("id <> pivot").join(mixed.select("key"), "key", "left_semi")
-    rest = rest.join(classes.select("id", "n", "bits"), "id")
-    side = lambda c: rest.select(
-        "key", F.col("id").alias(c), F.col("component").alias(f"{c}_in"), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")
-    )
-    across = (
-        side("u")
-        .join(side("v"), "key")
-        .where((F.col("u") < F.col("v")) & (F.col("u_in") != F.col("v_in")) & _plausible("u", "v", percent))
-        .select("u", "v")
-        .distinct()
-    )
-    more = confirmed(across)
+    rest = rest.join(measured.select(F.col("u").alias("pivot"), F.col("v").alias("id"), "both"), ["pivot", "id"], "left")
+    rest = materialise(rest, "rest")
+    unsettled = rest.select(F.col("id").alias("doc_id")).distinct()
+    rest = rest.join(long_bits(texts.join(unsettled, "doc_id", "left_semi"), width), "id").join(classes.select("id", "bands"), "id")
+
+    def side(c: str) -> DataFrame:
+        values = {
+            c: F.col("id"),
+            f"{c}_in": F.col("component"),
+            f"{c}_n": F.col("n"),
+            f"{c}_less": F.col("pivot_n") - F.col("both"),
+            f"{c}_more": F.col("n") - F.col("both"),
+            f"{c}_bits": F.col("bits"),
+            f"{c}_bands": F.col("bands"),
+        }
+        return rest.select("key", *[v.alias(k) for k, v in values.items()], *(["pivot_n"] if c == "u" else []))
+
+    allowed = sizes_allow(percent) & pivot_allows(percent) & sketches_allow(percent)
+    apart = (F.col("u") < F.col("v")) & (F.col("u_in") != F.col("v_in"))
+    # a pair comes out of one bucket only; if one of the two is the pivot there, it has been compared already
+    here = F.array_min(F.array_intersect("u_bands", "v_bands")) == F.col("key")
+    across = side("u").join(side("v"), "key").where(apart & allowed & here).select("u", "v").distinct()
+    more = materialise(common_sizes(across, texts, width), "across").where(linked(percent)).select("u", "v")
     if more.isEmpty():
         final = found
     else:
