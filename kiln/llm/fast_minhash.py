@@ -300,3 +300,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def op5_fast_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+places AS (SELECT doc_id, words, unnest(range(1, greatest(len(words), 2))) AS i FROM w WHERE len(words) > 0),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(words) >= 2 THEN words[i] || ' ' || words[i + 1] ELSE words[1] END AS shingle FROM places),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM pairs JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+steps AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT u AS id, v AS other FROM steps UNION SELECT r.id, t.v FROM reach r JOIN steps t ON r.other = t.u),
+least_id AS (SELECT id, min(other) AS other FROM reach GROUP BY id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(l.other, w.doc_id)) AS component_id,
+       w.doc_id <= coalesce(l.other, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_id l ON l.id = w.doc_id
+"""

@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op5_fast_minhash": fast_minhash.ORACLE,
     "op3_chat_parts": chat_parts.ORACLE,
     "op9_mix_threshold": mix_threshold.ORACLE,
     "op10_rule_ledger": rule_ledger.ORACLE,
