@@ -27,20 +27,6 @@ def conform(df: DataFrame, standard: Standard, strict: bool = False) -> DataFram
     return df.select(*cols)
 
 
-def standard_frame(spark, standards: list[Standard]) -> DataFrame:
-    """The standards as ``target_fields`` rows (table, pos, name, data_type, nullable, ...)."""
-    rows = [
-        (s.table, i, f.name, f.data_type, f.spark_type, f.nullable, f.description, list(f.constraints))
-        for s in standards
-        for i, f in enumerate(s.fields)
-    ]
-    schema = (
-        "table_name string, position int, field_name string, data_type string, spark_type string, "
-        "nullable boolean, description string, constraints array<string>"
-    )
-    return spark.createDataFrame(rows, schema)
-
-
 def coverage_audit(df: DataFrame, standard: Standard) -> DataFrame:
     """T4: per target field: present?, filled rows, fill rate, expected vs actual type.
 
