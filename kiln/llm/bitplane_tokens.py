@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,45 +40,103 @@ from kiln.session import shared_dir
 
 MAGIC = b"KBP1"
 BLOCK_IDS = 1 << 16
-#: Words remembered by an encoder; the memory is emptied when full.
-WORDS_KEPT = 200_000
+#: Words in one generation of an encoder's memory (about 200 bytes each).
+WORDS_KEPT = 300_000
 LEVEL = 3
 
 
+#: Words of these letters (lower case, composed) pass a lower-casing tokenizer's normaliser and splitter as they are.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
     """Ids of whole texts for tokenizers that drop white space and never look across it.
 
-    The text is cut at ASCII white space and every distinct word is encoded once. The result equals
-    ``tokenizer.encode(text, add_special_tokens=False).ids``.
+    The text is cut at ASCII white space and every distinct word is encoded once; words are remembered in two generations,
+    so that those in use outlive the others. The result equals ``tokenizer.encode(text, add_special_tokens=False).ids``.
+
+    With a tokenizer that lower-cases and splits letters from marks, a word of plain letters, with or without full stops and
+    commas after it, goes straight to the tokenizer's model.
     """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if not os.path.isabs(vocabulary):
             import public_tokenizers
 
             vocabulary = public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        with open(vocabulary, encoding="utf-8") as f:
+            parts = json.load(f)
+        steps = lambda k, of: [x["type"] for x in (parts.get(k) or {}).get(of, [])]
+        self.letters = (
+            steps("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"]
+            and steps("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+            and "[\\p{L}]+" in parts["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", "")
+        )
+        self.model = self.tokenizer.model
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {chr(c): spell.pre_tokenize_str(chr(c))[0][0] for c in [*range(0xDF, 0x100)]}
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
+
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [_packed(c.ids) for c in coded]
+
+    def _learn(self, words: set[bytes]) -> None:
+        rest = []
+        for w in words:
+            known = self.older.get(w)
+            if known is None and self.letters:
+                bare = w.rstrip(b".,")
+                text = bare.decode("utf-8", "replace").lower()
+                if _LETTERS.fullmatch(text):
+                    tail = w[len(bare) :]
+                    if tail not in self.tails:
+                        if len(self.tails) > 1000:
+                            self.tails = {b"": b""}
+                        self.tails[tail] = self._whole([tail])[0]
+                    if not text.isascii():
+                        text = "".join([self.spelled.get(c, c) for c in text])
+                    known = _packed([t.id for t in self.model.tokenize(text)]) + self.tails[tail]
+            if known is None:
+                rest.append(w)
+            else:
+                self.known[w] = known
+        self.known.update(zip(rest, self._whole(rest), strict=True))
 
     def encode(self, texts: list[bytes], end: int | None) -> list[bytes]:
         """Per text its ids as little-endian 32-bit numbers."""
+        if self.letters:  # special tokens keep their spelling
+            texts = [t if b"<|" in t else t.lower() for t in texts]
         words = [t.split() for t in texts]
-        fresh = {w for ws in words for w in ws}.difference(self.known)
-        if len(self.known) + len(fresh) > WORDS_KEPT:
-            self.known = {}
-            fresh = {w for ws in words for w in ws}
-        if fresh:
-            names = list(fresh)
-            coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in names], add_special_tokens=False)
-            self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(names, coded, strict=True))
+        fresh = {w for ws in words for w in ws}
+        if len(self.known) > WORDS_KEPT:
+            self.known, self.older = {}, self.known
+        self._learn(fresh.difference(self.known))
         tail = b"" if end is None else end.to_bytes(4, "little")
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) + tail for ws in words]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(vocabulary: str) -> WordEncoder:
+    """The encoder of this Python worker: kept from task to task."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = WordEncoder(vocabulary)
+    return _ENCODERS[vocabulary]
+
+
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
     """Byte planes (4) or bit planes (32) of 32-bit ids."""
     raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -218,7 +278,7 @@ def write_tokens(
             ids = batch.column("doc_id").to_pylist()
             for a, b, data, offsets in text_slices(texts):
                 if writer is None:
-                    encoder = WordEncoder(vocabulary)
+                    encoder = encoder_of(vocabulary)
                     files.create_dir(folder, recursive=True)
                     stream = files.open_output_stream(temporary)
                     writer = Writer(stream, block_ids, bits)
