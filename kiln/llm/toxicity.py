@@ -17,7 +17,6 @@ Spark; the model that every worker gets is bounded by ``max_grams`` (about 24 by
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
