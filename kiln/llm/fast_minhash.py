@@ -37,7 +37,7 @@ BAND_ROWS, BANDS = 6, 42
 T = BAND_ROWS * BANDS
 #: Bins of the second sketch, of which one bit each is kept; two sets may be linked when no fewer bits agree than this many
 #: standard deviations below the mean at the similarity asked for (one linked pair in 50 million lies below).
-LONG_T, DEVIATIONS = 2048, 5.5
+LONG_T, DEVIATIONS = 4096, 5.5
 _U = np.uint64
 _EMPTY = _U(2**64 - 1)
 
