@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +46,19 @@ def char_grams(words: list[str], most: int) -> tuple[np.ndarray, np.ndarray, lis
 
 
 def gram_counts(
-    sample: DataFrame, groups: int, order: int, max_grams: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    sample: DataFrame, groups: int, order: int, max_grams: int, without: Sequence[Sequence[int]] = ()
+) -> tuple[np.ndarray, ...]:
     """Documents that have each n-gram, by group: (length, hash, hash of its context, counts with a column per group).
 
     ``sample`` has text and group (0 to ``groups`` - 1) and is summed by Spark. The most frequent n-grams up to
     ``max_grams`` come to the driver: the least count that is kept follows from a histogram of the counts.
+
+    With ``without`` (sets of groups) two more arrays follow: whether the n-gram begins its word, and a column per set with the
+    continuation counts: before how many different characters the n-gram was seen in the groups outside the set. These are
+    counted by Spark over all n-grams, also those that are not kept.
     """
-    names = ["k", "gram", "context", *[f"c{g}" for g in range(groups)]]
+    keys = ["k", "gram", "context", *(["suffix", "start"] if without else [])]
+    names = [*keys, *[f"c{g}" for g in range(groups)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,13 +75,16 @@ def gram_counts(
                     gram, one, back = np.unique(hashes[k][at], return_index=True, return_inverse=True)
                     sums = [np.bincount(back, weight[word[at], g], len(gram)).astype(np.int64) for g in range(groups)]
                     context = np.concatenate([hashes[0][:1], hashes[k - 1][:-1]])[at[one]]
-                    columns = [np.full(len(gram), k, np.int32), gram.view(np.int64), context.view(np.int64), *sums]
+                    columns = [np.full(len(gram), k, np.int32), gram.view(np.int64), context.view(np.int64)]
+                    columns += [hashes[k - 1][at[one]].view(np.int64), place[at[one]] == k - 1] if without else []
+                    columns += sums
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    schema = "k int, gram bigint, context bigint, " + ", ".join(f"c{g} bigint" for g in range(groups))
+    schema = "k int, gram bigint, context bigint, " + ("suffix bigint, start boolean, " if without else "")
+    schema += ", ".join(f"c{g} bigint" for g in range(groups))
     small_batches(sample.sparkSession)
-    sums = sample.mapInArrow(run, schema).groupBy("k", "gram", "context").agg(*[F.sum(c).alias(c) for c in names[3:]])
-    sums = materialise(sums.withColumn("n", sum(F.col(c) for c in names[3:])), "grams")
+    sums = sample.mapInArrow(run, schema).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names[len(keys) :]])
+    sums = materialise(sums.withColumn("n", sum(F.col(c) for c in names[len(keys) :])), "grams")
     sizes = sums.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 1000 rows
     total, least = 0, 1
     for r in sizes:
@@ -84,24 +92,39 @@ def gram_counts(
         if total > max_grams:
             least = r["n"] + 1
             break
-    got = sums.where(F.col("n") >= least).drop("n").toArrow()
+    kept = sums.where(F.col("n") >= least).drop("n")
+    if without:  # each longer n-gram is one more character before its suffix
+        seen = [F.count_if(F.col("n") > sum((F.col(f"c{g}") for g in gs), F.lit(0))).alias(f"left{i}") for i, gs in enumerate(without)]
+        left = sums.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("suffix").alias("gram")).agg(*seen)
+        kept = kept.drop("suffix").join(left, ["k", "gram"], "left").fillna(0, [f"left{i}" for i in range(len(without))])
+    got = kept.toArrow()
     gram, context = (got[c].to_numpy().view(np.uint64) for c in ("gram", "context"))
-    return got["k"].to_numpy(), gram, context, np.stack([got[c].to_numpy() for c in names[3:]], axis=1)
+    out = got["k"].to_numpy(), gram, context, np.stack([got[c].to_numpy() for c in names[len(keys) :]], axis=1)
+    if without:
+        start = got["start"].to_numpy()
+        out += start, np.stack([got[f"left{i}"].to_numpy() for i in range(len(without))], axis=1)
+    return out
+
+
+def kneser_ney(k: np.ndarray, counts: np.ndarray, start: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Counts for ``CharModels`` by Kneser-Ney: those of the longest n-grams (of the full order, or from the word's beginning)
+    are by class, all shorter ones have the same continuation counts in every class."""
+    return np.where(((k < k.max(initial=1)) & ~start)[:, None], left[:, None], counts)
 
 
 class CharModels:
     """Likelihoods of words under one character model per class (a column of ``counts``): interpolated
-    absolute discounting over n-grams inside a word, as sorted arrays. The ``shared`` lowest orders are counted over all classes.
+    absolute discounting over n-grams inside a word, as sorted arrays.
+
+    Raw counts give plain absolute discounting, those of ``kneser_ney`` give Kneser-Ney with a back-off shared by the classes.
     """
 
-    def __init__(self, k: np.ndarray, gram: np.ndarray, context: np.ndarray, counts: np.ndarray, shared: int):
+    def __init__(self, k: np.ndarray, gram: np.ndarray, context: np.ndarray, counts: np.ndarray):
         self.classes, self.order, self.levels = counts.shape[1], int(k.max(initial=1)), []
         for level in range(1, self.order + 1):
             mine = (k == level) & (counts.sum(axis=1) > 0)
             at = np.argsort(gram[mine])
             g, x, c = gram[mine][at], context[mine][at], counts[mine][at].astype(np.float32)
-            if level <= shared:
-                c = c.sum(axis=1, keepdims=True)
             known, back = np.unique(x, return_inverse=True)
             facts = np.zeros((len(known), 2 * c.shape[1]), np.float32)  # sums and kinds of what follows the context
             np.add.at(facts, back, np.concatenate([c, c > 0], axis=1))

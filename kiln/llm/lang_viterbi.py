@@ -168,7 +168,7 @@ def identify(
     chance = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 20)) / (1 << 20)
     sample = learn.where(chance < below[F.col("lang")]).select("text", number[F.col("lang")].alias("group"))
     k, gram, context, c = gram_counts(sample, len(langs), ORDER, max_grams)
-    models = CharModels(k, gram, context, c, shared=0)
+    models = CharModels(k, gram, context, c)
     scripts = sample.select("group", "text")
     letters = add_scores(
         scripts, "text", ", ".join(f"s{j} bigint" for j in range(SCRIPTS)), lambda: script_counts

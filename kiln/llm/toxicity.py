@@ -1,8 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two interpolated models with absolute discounting, one of toxic and one of ordinary documents, give each
-word a likelihood from its characters; both back off to the same continuation counts (in how many contexts of
-either class a character was seen), so an expression that neither class knows says nothing. The difference of the
+word a likelihood from its characters. Only n-grams of the full order, and shorter ones at the beginning of a word, are counted
+by class; both models back off to the same continuation counts (after how many different characters of either class
+a shorter n-gram was seen), so an expression that neither class knows says nothing. N-grams do not reach over the
+borders of words. The difference of the
 log-likelihoods is compared per word and normalised by length: the share of words beyond some differences, the mean, and
 the strongest run of words. A logistic curve over these, fitted on documents that the models in question did not
 see (cross-fitting), gives the score.
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.char_grams import CharModels, gram_counts, plain
+from kiln.llm.char_grams import CharModels, gram_counts, kneser_ney, plain
 from kiln.llm.common import held_out, materialise, table
 from kiln.llm.scoring import WordTable, add_scores, texts_of
 from kiln.llm.words import sums_by_doc
@@ -132,12 +134,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
         ordinary, toxic = counts.get(0, 0), counts.get(1, 0)
         return docs.withColumn("toxic_score", F.lit((toxic + 0.5) / (ordinary + toxic + 2)))
     group = (F.col("toxic") * FOLDS + F.col("fold")).alias("group")
-    k, gram, context, counts_by = gram_counts(sample.select("text", group), 2 * FOLDS, ORDER, max_grams)
+    without = [[], *[[fold, FOLDS + fold] for fold in range(FOLDS)]]
+    k, gram, context, counts_by, start, left = gram_counts(sample.select("text", group), 2 * FOLDS, ORDER, max_grams, without)
     c = counts_by.reshape(-1, 2, FOLDS)
     width = len(features(np.zeros(0), np.zeros(2, np.int64))[0])
     fitted = []
     for fold in range(FOLDS):  # documents of a fold are judged by models that have not counted them
-        rest = spark.sparkContext.broadcast(CharModels(k, gram, context, c.sum(axis=2) - c[:, :, fold], shared=1))
+        others = kneser_ney(k, c.sum(axis=2) - c[:, :, fold], start, left[:, 1 + fold])
+        rest = spark.sparkContext.broadcast(CharModels(k, gram, context, others))
         seen = add_scores(
             sample.where(F.col("fold") == fold).select("toxic", "text"),
             "text",
@@ -150,7 +154,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     x = np.stack([got[f"f{i}"].to_numpy() for i in range(width)], axis=1)
     y = got["toxic"].to_numpy().astype(float)
     weight = np.where(y == 1, counts[1] / sizes[1], counts[0] / sizes[0])
-    models = CharModels(k, gram, context, c.sum(axis=2), shared=1)
+    models = CharModels(k, gram, context, kneser_ney(k, c.sum(axis=2), start, left[:, 0]))
     ready = spark.sparkContext.broadcast((models, fit_logistic(x, y, weight)))
     return add_scores(docs, "text", "toxic_score double", lambda: Scorer(*ready.value))
 
