@@ -7,6 +7,7 @@ from kiln.llm import (
     fast_minhash,
     hilbert_shards,
     lang_viterbi,
+    merkle_manifest,
     mix_threshold,
     pii_score,
     rule_ledger,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_pii_score": pii_score.op8_pii_score,
     "op9_mix_threshold": mix_threshold.op9_mix_threshold,
     "op10_rule_ledger": rule_ledger.op10_rule_ledger,
+    "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
 }
 
 ORACLE = {
@@ -31,4 +33,5 @@ ORACLE = {
     "op3_chat_parts": chat_parts.ORACLE,
     "op9_mix_threshold": mix_threshold.ORACLE,
     "op10_rule_ledger": rule_ledger.ORACLE,
+    "op12_merkle_manifest": merkle_manifest.ORACLE,
 }
