@@ -5,7 +5,9 @@ from kiln.llm import (
     chat_parts,
     decontaminate,
     fast_minhash,
+    gram_index,
     hilbert_shards,
+    itq_dedup,
     lang_viterbi,
     merkle_manifest,
     mix_threshold,
@@ -25,7 +27,9 @@ QUERIES = {
     "op8_pii_score": pii_score.op8_pii_score,
     "op9_mix_threshold": mix_threshold.op9_mix_threshold,
     "op10_rule_ledger": rule_ledger.op10_rule_ledger,
+    "op11_gram_variants": gram_index.op11_gram_variants,
     "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+    "op13_itq_vectors": itq_dedup.op13_itq_vectors,
 }
 
 ORACLE = {
@@ -33,5 +37,7 @@ ORACLE = {
     "op3_chat_parts": chat_parts.ORACLE,
     "op9_mix_threshold": mix_threshold.ORACLE,
     "op10_rule_ledger": rule_ledger.ORACLE,
+    "op11_gram_variants": gram_index.ORACLE,
     "op12_merkle_manifest": merkle_manifest.ORACLE,
+    "op13_itq_vectors": itq_dedup.ORACLE,
 }
