@@ -6,7 +6,6 @@ tables); each table's data moves as one distributed write.
 
 from __future__ import annotations
 
-import re
 import time
 import uuid
 
@@ -14,82 +13,78 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kiln.plans.names import prod_name
-from kiln.session import shared_dir
-from kiln.sources.attach import list_folder, remove_folder
+from kiln.sources.attach import read_source_table
 from kiln.sources.ods import bulk_copy, ensure_database, run_per_table, write_table
+from kiln.sources.publish import GRACE, new_attempt, switch_view
 
 RESULT_SCHEMA = "clean_table string, prod_table string, strategy string, status string, rows long, message string"
 STRATEGIES = ("atomic", "replace", "copy")
 
 
-def _table_exists(spark: SparkSession, db: str, name: str) -> str | None:
-    """``TABLE``/``VIEW`` when ``db.name`` exists (views: MANAGED/EXTERNAL -> table)."""
-    if not spark.catalog.tableExists(f"{db}.{name}"):
-        return None
-    kind = [t.tableType for t in spark.catalog.listTables(db) if t.name == name.lower()]
-    return "VIEW" if kind and kind[0] == "VIEW" else "TABLE"
-
-
-def deliver_replace(df: DataFrame, db: str, name: str) -> int:
+def deliver_replace(df: DataFrame, db: str, name: str, grace: float = GRACE) -> int:
     """Replace the prod table by one with the clean data.
 
-    The data is written to a folder of its own first; only when it is complete the table is dropped and
-    created again over the new folder (two catalog operations on an external table, no data moves). A failed write leaves
-    the old table as it is. The folder before the last is removed, so that a reader of the old table can finish.
+    The data is written to a folder of its own, and the table is pointed at it when it is complete
+    (:func:`kiln.sources.publish.switch_location`). A failed write leaves the old table as it is. The version before stays for
+    one cycle, so that a reader of it can finish, whatever other attempts have left behind.
     """
-    spark = df.sparkSession
-    ensure_database(spark, db)
-    base = shared_dir(spark, "warehouse", f"{db}.db")
-    folder = f"{name.lower()}__r{time.time_ns() // 1_000_000:014d}_{uuid.uuid4().hex[:6]}"
-    rows = bulk_copy(df, {"format": "parquet", "path": f"{base}/{folder}"}, loosen=False)
-    kind = _table_exists(spark, db, name)
-    if kind:
-        spark.sql(f"DROP {kind} {db}.{name}")
-    spark.catalog.createTable(f"{db}.{name}", path=f"{base}/{folder}", source="parquet")
-    older = [f for f in list_folder(spark, base) if re.fullmatch(rf"{re.escape(name.lower())}__r\d{{14}}_[0-9a-f]+", f) and f < folder]
-    for f in sorted(older)[:-1]:
-        remove_folder(spark, f"{base}/{f}")
-    return rows
+    return write_table(df, db, name, grace=grace)
 
 
-def deliver_atomic(df: DataFrame, db: str, name: str) -> int:
+def deliver_atomic(df: DataFrame, db: str, name: str, grace: float = GRACE) -> int:
     """D3: build a new version, then switch readers to it in one catalog operation.
 
     ``<name>__v<ms>`` is written in full first; ``CREATE OR REPLACE VIEW <name>``
     then points at it (a single metadata change). Readers see the old or the new version, never a mix, and
-    the version before stays for one cycle, so that a reader of it can finish; only versions
-    older than that are dropped, never one that another delivery has written meanwhile.
+    the version before, which the view's own definition names, stays for one cycle, so that a reader of it can
+    finish. Versions that were never published go after ``grace`` seconds; another delivery may be writing a younger one.
     """
     spark = df.sparkSession
     ensure_database(spark, db)
-    version = f"{name.lower()}__v{time.time_ns() // 1_000_000:014d}_{uuid.uuid4().hex[:6]}"
+    version = new_attempt(name)
     rows = write_table(df, db, version, managed=True)  # unique name: dropping it frees its files
-    if _table_exists(spark, db, name) == "TABLE":  # a table delivered by replace before: switch it to a view once
-        spark.sql(f"DROP TABLE {db}.{name}")
-    spark.sql(f"CREATE OR REPLACE VIEW {db}.{name} AS SELECT * FROM {db}.{version}")
-    pattern = rf"{re.escape(name.lower())}__v\d{{14}}_[0-9a-f]+"  # sorts by time
-    older = sorted(t.name for t in spark.catalog.listTables(db) if re.fullmatch(pattern, t.name) and t.name < version)
-    for t in older[:-1]:
-        spark.sql(f"DROP TABLE IF EXISTS {db}.{t}")
+    switch_view(spark, db, name, version, grace)
     return rows
 
 
 def deliver_copy(df: DataFrame, target: dict) -> int:
-    """Copy to another store (path + format, or JDBC); all columns nullable, overwrite."""
+    """Copy to another store (path + format, or JDBC); all columns nullable; a failed copy leaves the old rows."""
     return bulk_copy(df, target)
 
 
+def choose_strategy(target: dict | None) -> str:
+    """The atomic switch on this platform's own catalog, a copy where the target is another database or folder."""
+    return "atomic" if target is None else "copy"
+
+
+def copy_target(target: dict, name: str) -> dict:
+    """Where a table goes: a folder under ``path``, or a table of the JDBC target (in its ``schema``, if it names one)."""
+    if target.get("format") == "jdbc":
+        return {**target, "dbtable": f"{target['schema']}.{name}" if target.get("schema") else name}
+    return {"format": target.get("format", "parquet"), "path": f"{target['path'].rstrip('/')}/{name}"}
+
+
+def _read_back(spark: SparkSession, target: dict) -> DataFrame:
+    if target.get("format") == "jdbc":
+        return read_source_table(spark, target, target["dbtable"])
+    return spark.read.format(target["format"]).load(target["path"])
+
+
 def deliver(
     spark: SparkSession,
     tables: dict[str, DataFrame | str] | str,
-    strategy: str = "atomic",
+    strategy: str = "auto",
     prod_db: str = "prod",
     copy_root: str | None = None,
     dry_run: bool = False,
     max_parallel: int = 4,
+    target: dict | None = None,
 ) -> DataFrame:
     """Deliver clean tables to prod; one result row per table.
 
+    Without a strategy the target decides (:func:`choose_strategy`): none is this platform's database ``prod_db``, else
+    ``target`` is a folder (``path``, ``format``) or another database (``format`` jdbc, ``url``, ``driver``, ``user``,
+    ``password``, ``schema``), to which the tables are copied. ``copy_root`` is short for a parquet folder.
     ``tables`` maps clean table names to DataFrames or catalog names. The prod
     name drops a leading ``clean_``. An unknown strategy gives an error row per
     table; a failing table does not stop the others. Delivered row counts are
@@ -100,13 +95,18 @@ def deliver(
         from kiln.plans.helpers import list_tables
 
         tables = {t: f"{tables}.{t}" for t in list_tables(spark, tables, base_only=True)}
+    other = target or ({"path": copy_root} if copy_root else None)
+    strategy = choose_strategy(other) if strategy == "auto" else strategy
 
     def one(clean: str) -> tuple:
         target = prod_name(clean)
         if strategy not in STRATEGIES:
             return (clean, target, strategy, "error", None, f"unknown strategy: {strategy}")
+        if strategy == "copy" and other is None:
+            return (clean, target, strategy, "error", None, "a copy needs a target")
         if dry_run:
-            return (clean, target, strategy, "planned", None, f"{clean} -> {prod_db}.{target}")
+            to = copy_target(other, target) if strategy == "copy" else {}
+            return (clean, target, strategy, "planned", None, f"{clean} -> {to.get('dbtable') or to.get('path') or f'{prod_db}.{target}'}")
         try:
             src = tables[clean]
             df = spark.table(src) if isinstance(src, str) else src
@@ -117,9 +117,9 @@ def deliver(
                 deliver_atomic(df, prod_db, target)
                 rows = spark.table(f"{prod_db}.{target}").count()
             else:
-                path = f"{(copy_root or '').rstrip('/')}/{target}"
-                deliver_copy(df, {"format": "parquet", "path": path})
-                rows = spark.read.parquet(path).count()
+                to = copy_target(other, target)
+                deliver_copy(df, to)
+                rows = _read_back(spark, to).count()
             return (clean, target, strategy, "success", rows, "")
         except Exception as e:  # keep delivering the others
             return (clean, target, strategy, "failed", None, str(e))

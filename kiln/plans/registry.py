@@ -1409,3 +1409,167 @@ def q_pii_contact_turns(spark, d):
     contact = F.concat(F.lit("u"), key, F.lit("@example.com 138"), F.lpad(key, 8, "0"))
     turns = T(spark, d, "conversations").withColumn("text", F.concat_ws(" ", "text", contact))
     return I.pii_tokens(turns, "text", keep=["conv_id", "turn"])
+
+
+# --------------------------------------------------------------------- publishing, fan-out, gaps, evidence
+
+from kiln.operators.standard import JoinEvidence, readiness_report  # noqa: E402
+
+ODS_FAILED_REFRESH_SQL = """
+SELECT 'customer' AS table_name, 'success' AS status, count(*) AS readable_rows, CAST(sum(c_custkey) AS BIGINT) AS key_sum
+FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT 'orders', 'failed', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders
+UNION ALL SELECT 'copy of orders', 'failed', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders
+"""
+
+
+@register("ods_failed_refresh", ODS_FAILED_REFRESH_SQL)
+def q_ods_failed_refresh(spark, d):
+    """A second refresh of which one table and its copy fail; the old rows stay readable."""
+    from kiln.sources.ods import bulk_copy
+
+    customer, orders = T(spark, d, "customer"), T(spark, d, "orders")
+    sync_to_ods(spark, "tpch_refresh", {"customer": customer, "orders": orders})
+    path = shared_dir(spark, "copy_target", "orders_refresh")
+    bulk_copy(orders, {"path": path})
+    broken = orders.withColumn("o_orderkey", F.when(F.col("o_orderkey") > 3, F.raise_error(F.lit("source lost"))).otherwise(F.col("o_orderkey")))
+    res = sync_to_ods(spark, "tpch_refresh", {"customer": customer.where("c_custkey % 2 = 0"), "orders": broken})
+    try:
+        bulk_copy(broken, {"path": path})
+        copied = "success"
+    except Exception:  # what the query shows
+        copied = "failed"
+    status = {r.table_name: r.status for r in res.collect()} | {"copy of orders": copied}
+    frames = {
+        "customer": (spark.table("ods_tpch_refresh.customer"), "c_custkey"),
+        "orders": (spark.table("ods_tpch_refresh.orders"), "o_orderkey"),
+        "copy of orders": (spark.read.parquet(path), "o_orderkey"),
+    }
+    out = None
+    for name, (df, key) in frames.items():
+        row = df.agg(F.count(F.lit(1)).alias("readable_rows"), F.sum(key).alias("key_sum"))
+        row = row.select(F.lit(name).alias("table_name"), F.lit(status[name]).alias("status"), "readable_rows", "key_sum")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+DELIVER_AUTO_SQL = """
+SELECT 'prod' AS target, 'atomic' AS strategy, 'success' AS status, count(*) AS "rows" FROM supplier
+UNION ALL SELECT 'folder', 'copy', 'success', count(*) FROM supplier
+UNION ALL SELECT 'prod, planned', 'atomic', 'planned', NULL
+"""
+
+
+@register("deliver_auto", DELIVER_AUTO_SQL)
+def q_deliver_auto(spark, d):
+    """The target decides between the atomic switch and a copy."""
+    tables = {"clean_supplier_auto": T(spark, d, "supplier")}
+    folder = {"format": "parquet", "path": shared_dir(spark, "copy_auto")}
+    runs = {
+        "prod": D.deliver(spark, tables),
+        "folder": D.deliver(spark, tables, target=folder),
+        "prod, planned": D.deliver(spark, tables, dry_run=True),
+    }
+    out = None
+    for name, res in runs.items():
+        row = res.select(F.lit(name).alias("target"), "strategy", "status", "rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+FANOUT_FORECAST_SQL = """
+WITH j AS (
+  SELECT 'orders to lineitem' AS plan, o.o_orderkey AS k, (SELECT count(*) FROM orders) AS base_rows
+  FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
+  UNION ALL
+  SELECT 'customer to orders, left', c_custkey, (SELECT count(*) FROM customer) FROM customer LEFT JOIN orders ON c_custkey = o_custkey
+  UNION ALL
+  SELECT 'events to itself', a.user_id, (SELECT count(*) FROM events) FROM events a JOIN events b ON a.user_id = b.user_id),
+n AS (SELECT plan, k, base_rows, count(*) AS n FROM j GROUP BY ALL)
+SELECT plan, base_rows, CAST(sum(n) AS BIGINT) AS joined_rows, count(*) FILTER (WHERE n > 1) AS repeated_keys,
+       max(n) AS max_rows_per_key, sum(n) > base_rows AS inflated
+FROM n GROUP BY plan, base_rows
+"""
+
+
+@register("fanout_forecast", FANOUT_FORECAST_SQL)
+def q_fanout_forecast(spark, d):
+    """The rows of three joins, predicted; the oracle makes the joins."""
+    orders, events = T(spark, d, "orders"), T(spark, d, "events")
+    a = M.fanout_forecast(orders, T(spark, d, "lineitem"), "o_orderkey", "l_orderkey")
+    b = M.fanout_forecast(T(spark, d, "customer"), orders, "c_custkey", "o_custkey", "left")
+    c = M.fanout_forecast(events, events, "user_id")
+    plans = {"orders to lineitem": a, "customer to orders, left": b, "events to itself": c}
+    frames = [df.select(F.lit(name).alias("plan"), "*") for name, df in plans.items()]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+FANOUT_KEYS_SQL = """
+WITH a AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_suppkey, n AS base_rows, n AS side_rows, n * n AS joined_rows FROM a WHERE n > 1 ORDER BY n * n DESC, l_suppkey LIMIT 20
+"""
+
+
+@register("fanout_keys_lineitem", FANOUT_KEYS_SQL)
+def q_fanout_keys(spark, d):
+    """The keys that a join of lineitem with itself by supplier would multiply most (a top-k report)."""
+    li = T(spark, d, "lineitem")
+    return M.fanout_keys(li, li, "l_suppkey", k=20)
+
+
+GAP_EXPRESSIONS_SQL = """
+WITH o AS (SELECT o_custkey, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS spent FROM orders GROUP BY 1)
+SELECT c_custkey, upper(n_name) || '/' || c_mktsegment AS place, CAST(coalesce(o.n, 0) AS BIGINT) AS orders,
+       coalesce(o.spent, 0) > 1000000 AS big, concat_ws('-', c_name, n_name, r_name) AS label, r_name AS region
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN o ON o_custkey = c_custkey
+"""
+
+
+@register("gap_fill_expressions", GAP_EXPRESSIONS_SQL)
+def q_gap_fill_expressions(spark, d):
+    """M9: expressions and merges over new tables, each of which is found and joined once."""
+    spent = T(spark, d, "orders").groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("spent")
+    )
+    nation = T(spark, d, "nation").join(T(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    others = {"nation": M.SideTable(nation, "c_nationkey", "n_nationkey"), "spent": M.SideTable(spent, "c_custkey", "o_custkey")}
+    gaps = [
+        Mapping("place", "transform", "nation", expr="upper(n_name) || '/' || c_mktsegment"),
+        Mapping("orders", "transform", "spent", expr="coalesce(spent.n, 0)"),
+        Mapping("big", "transform", "spent", expr="coalesce(spent.spent, 0) > 1000000"),
+        Mapping("label", "merge", "nation", sources=("c_name", "n_name", "r_name"), merge_how="concat", separator="-"),
+        Mapping("region", "direct", "nation", "r_name"),
+    ]
+    return M.gap_fill(T(spark, d, "customer"), gaps, others=others).select("c_custkey", *[g.target for g in gaps])
+
+
+EVIDENCE_TARGET = Standard(
+    "dim_party", (Field("id", "BIGINT", False), Field("nation", "VARCHAR(25)", False), Field("orders", "BIGINT"), Field("email", "TEXT"))
+)
+NO_SOURCE_TARGET = Standard("dim_branch", (Field("id", "BIGINT", False), Field("city", "TEXT")))
+EVIDENCE_SQL = f"""
+WITH m AS (
+  SELECT c_custkey AS id, coalesce(n_name, 'unknown') AS nation, n_nationkey IS NOT NULL AS has_nation, coalesce(n, 0) AS orders, n IS NOT NULL AS has_orders
+  FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 2) ON c_nationkey = n_nationkey
+  LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey),
+s AS (SELECT {ratio4_sql('count(*) FILTER (WHERE has_nation)', 'count(*)')} AS a, {ratio4_sql('count(*) FILTER (WHERE has_orders)', 'count(*)')} AS b FROM m),
+c AS (SELECT CAST(round((1 + a + b) * 10000) AS BIGINT) AS units FROM s)
+SELECT 'dim_party' AS table_name, 4 AS fields, 1 AS uncovered, {ratio4_sql('units', '40000')} AS confidence,
+       CASE WHEN {ratio4_sql('units', '40000')} >= 0.7 THEN 'suggest' ELSE 'manual' END AS recommendation, 'low' AS risk FROM c
+UNION ALL SELECT 'dim_branch', 2, 2, 0.0, 'manual', 'high'
+"""
+
+
+@register("readiness_evidence", EVIDENCE_SQL)
+def q_readiness_evidence(spark, d):
+    """Two joins that do not always match, filled with defaults, and a target that has no source."""
+    nation = T(spark, d, "nation").where("n_regionkey < 2")
+    counts = T(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    model = M.enrich(T(spark, d, "customer"), nation, "c_nationkey", "n_nationkey", ["n_name"], matched="has_nation")
+    model = M.enrich(model, counts, "c_custkey", "o_custkey", ["n"], matched="has_orders")
+    model = model.select(
+        F.col("c_custkey").alias("id"), F.coalesce("n_name", F.lit("unknown")).alias("nation"), F.coalesce("n", F.lit(0)).alias("orders"),
+        "has_nation", "has_orders",
+    )
+    joins = [JoinEvidence("nation", "has_nation", ("nation",)), JoinEvidence("orders", "has_orders", ("orders",))]
+    return readiness_report(coverage_audit(model, EVIDENCE_TARGET, joins), [EVIDENCE_TARGET, NO_SOURCE_TARGET])

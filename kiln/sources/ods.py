@@ -7,6 +7,7 @@ from an ``Observation`` on the write itself, not a second scan.
 
 from __future__ import annotations
 
+import logging
 import re
 import uuid
 
@@ -15,6 +16,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.session import shared_dir
+from kiln.sources.publish import (
+    GRACE,
+    attempt_path,
+    can_swap_tables,
+    drop_jdbc_table,
+    new_attempt,
+    pointer_kind,
+    restore_folder,
+    suffixed,
+    swap_folder,
+    swap_tables,
+    switch_location,
+)
+
+log = logging.getLogger(__name__)
 
 RESULT_SCHEMA = "source_id string, table_name string, target string, status string, rows_copied long, message string"
 
@@ -50,42 +66,73 @@ def write_table(
     partition_by: list[str] | None = None,
     mode: str = "overwrite",
     managed: bool = False,
+    grace: float = GRACE,
 ) -> int:
     """Materialise as a catalog table; returns rows written (observed during the write).
 
-    Tables are written at an explicit path under the database folder, so a
-    driver restart (fresh catalog, same shared folder) overwrites cleanly.
-    ``managed=True`` keeps the catalog owner of the files (dropping deletes
-    them); use it only for names that are never reused.
+    An overwrite writes a folder of its own under the database folder and points the table at it when it is
+    complete (:mod:`kiln.sources.publish`): a failed one leaves the old rows as they are, and a reader of the old
+    rows can finish. Other modes write into the table's folder. ``managed=True`` keeps the catalog owner of the
+    files (dropping deletes them); use it only for names that are never reused.
     """
     spark = df.sparkSession
     ensure_database(spark, db)
     obs = Observation(f"rows_{db}_{name}_{uuid.uuid4().hex[:8]}")
-    w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode).format("parquet")
+    w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.format("parquet")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    if not managed:
-        w = w.option("path", shared_dir(spark, "warehouse", f"{db}.db", name.lower()))
-    w.saveAsTable(f"{db}.{name}")
+    if managed:
+        w.mode(mode).saveAsTable(f"{db}.{name}")
+    elif mode == "overwrite":
+        base, attempt = shared_dir(spark, "warehouse", f"{db}.db"), new_attempt(name)
+        w.save(f"{base}/{attempt}")
+        switch_location(spark, db, name, base, attempt, partition_by, grace)
+    elif pointer_kind(spark, db, name):
+        w.mode(mode).saveAsTable(f"{db}.{name}")
+    else:
+        w.mode(mode).option("path", shared_dir(spark, "warehouse", f"{db}.db", new_attempt(name))).saveAsTable(f"{db}.{name}")
     return int(obs.get["rows"])
 
 
-def bulk_copy(df: DataFrame, target: dict, batch_size: int = 10000, mode: str = "overwrite", loosen: bool = True) -> int:
+def bulk_copy(
+    df: DataFrame, target: dict, batch_size: int = 10000, mode: str = "overwrite", loosen: bool = True, grace: float = GRACE
+) -> int:
     """Copy rows to a path/format or a JDBC table; returns rows copied.
 
-    JDBC writes go in batches of ``batch_size`` per task (``batchsize``), over at most ``numPartitions``
-    connections; the copy is a plain overwrite, so a failed attempt never leaves duplicates. ``loosen`` makes all
-    columns nullable.
+    An overwrite copies to a folder or table beside the target, which takes the target's name when it is
+    complete: a failed copy leaves the old rows readable and never duplicates any. Over JDBC this takes a database whose
+    way of renaming tables is known (:data:`kiln.sources.publish.RENAMES`); others are overwritten in place by Spark, with a
+    warning. JDBC writes go in batches of ``batch_size`` per task (``batchsize``), over at most ``numPartitions``
+    connections. ``loosen`` makes all columns nullable.
     """
+    spark = df.sparkSession
     obs = Observation(f"bulk_copy_{uuid.uuid4().hex[:8]}")
     out = (all_nullable(df) if loosen else df).observe(obs, F.count(F.lit(1)).alias("rows"))
     fmt = target.get("format", "parquet")
     if fmt == "jdbc":
-        w = out.write.format("jdbc").mode(mode).option("batchsize", str(batch_size))
-        for k in ("url", "driver", "user", "password", "dbtable", "truncate", "isolationLevel", "numPartitions"):
+        swap = mode == "overwrite" and can_swap_tables(target["url"])
+        if mode == "overwrite" and not swap:
+            log.warning("overwriting %s in place: no known way to rename its tables", target["dbtable"])
+        table = suffixed(target["dbtable"], f"_{uuid.uuid4().hex[:8]}") if swap else target["dbtable"]
+        w = out.write.format("jdbc").mode(mode).option("batchsize", str(batch_size)).option("dbtable", table)
+        for k in ("url", "driver", "user", "password", "isolationLevel", "numPartitions"):
             if target.get(k) is not None:
                 w = w.option(k, str(target[k]))
-        w.save()
+        if not swap and target.get("truncate") is not None:
+            w = w.option("truncate", str(target["truncate"]))
+        try:
+            w.save()
+            if swap:
+                swap_tables(spark, target, table)
+        except BaseException:
+            if swap:
+                drop_jdbc_table(spark, target, table)
+            raise
+    elif mode == "overwrite":
+        restore_folder(spark, target["path"])
+        attempt = attempt_path(target["path"])
+        out.write.format(fmt).save(attempt)
+        swap_folder(spark, attempt, target["path"], grace)
     else:
         out.write.format(fmt).mode(mode).save(target["path"])
     return int(obs.get["rows"])

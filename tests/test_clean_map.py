@@ -212,3 +212,43 @@ def test_readiness_levels(spark):
     assert (r.confidence, r.recommendation) == (0.75, "suggest")
     none = spark.createDataFrame([("x",)], "z string")
     assert readiness(coverage_audit(none, std)).first().recommendation == "manual"
+
+
+def test_gap_fill_finds_the_tables_of_an_expression(spark):
+    base = spark.createDataFrame([(1, 10, 2.0), (2, 20, 3.0), (3, 99, 4.0)], "id int, k int, v double")
+    side = spark.createDataFrame([(10, 5.0, "a"), (20, 7.0, "b"), (None, 0.0, "c"), (None, 1.0, "d")], "key int, w double, v string")
+    other = spark.createDataFrame([(10, 1.5, 100)], "key int, w double, u int")
+    others = {"side": M.SideTable(side, "k", "key"), "other": M.SideTable(other, "k", "key")}
+    gaps = [
+        Mapping("total", "transform", "side", expr="v + W"),  # v is the base's own, w the gap table's
+        Mapping("text", "transform", "side", expr="concat(side.v, '/', id)"),
+        Mapping("both", "merge", "other", sources=("other.w", "u"), merge_how="sum"),
+        Mapping("u", "transform", expr="coalesce(u, -1)"),  # a target with the name of a field
+    ]
+    out = M.gap_fill(base, gaps, others=others)
+    assert out.columns == ["id", "k", "v", "total", "text", "both", "u"]
+    assert sorted(map(tuple, out.collect())) == [
+        (1, 10, 2.0, 7.0, "a/1", 101.5, 100), (2, 20, 3.0, 10.0, "b/2", None, -1), (3, 99, 4.0, None, None, None, -1)]
+    with pytest.raises(ValueError, match="w is a field of"):
+        M.gap_fill(base, [Mapping("x", "transform", expr="w + 1")], others=others)
+
+
+def test_gap_fill_raises_where_a_side_key_repeats(spark):
+    base = spark.createDataFrame([(1, 10)], "id int, k int")
+    side = spark.createDataFrame([(10, "a"), (10, "b")], "key int, w string")
+    out = M.gap_fill(base, [Mapping("w", "direct", "side")], others={"side": M.SideTable(side, "k", "key")})
+    with pytest.raises(Exception, match="key key of side repeats: 10"):
+        out.collect()
+
+
+def test_fanout_forecast_makes_no_join_of_rows(spark):
+    base = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,), (None,)], "k int")
+    side = spark.createDataFrame([(1,), (1,), (1,), (3,), (None,)], "j int")
+    assert tuple(M.fanout_forecast(base, side, "k", "j").first()) == (6, 7, 1, 6, True)
+    assert tuple(M.fanout_forecast(base, side, "k", "j", "left").first()) == (6, 10, 2, 6, True)
+    assert base.join(side, F.col("k") == F.col("j"), "left").count() == 10
+    assert tuple(M.fanout_forecast(base.limit(0), side, "k", "j").first()) == (0, 0, 0, 0, False)
+    assert [tuple(r) for r in M.fanout_keys(base, side, "k", "j").collect()] == [(1, 2, 3, 6)]
+    plan = M.fanout_forecast(base, side, "k", "j")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :]
+    assert below.count("Aggregate") == 2  # both sides are counted before they meet

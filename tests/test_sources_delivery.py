@@ -335,3 +335,120 @@ def test_orphans_with_hot_key(spark):
     parent = spark.range(50).select(F.col("id").alias("k"))
     r = Q.check_references(child, "k", parent, "k", "c", "p").first()
     assert r.failures == 1000
+
+
+def boom(df):
+    return df.select(F.raise_error(F.lit("source lost")).cast("long").alias("id"))
+
+
+def test_failed_refresh_and_copy_leave_the_old_rows(spark):
+    sid = f"s{uid()}"
+    sync_to_ods(spark, sid, {"a": spark.range(4), "b": spark.range(5)})
+    reader = spark.table(f"ods_{sid}.b").selectExpr("sum(id) AS s")
+    res = {r.table_name: r.status for r in sync_to_ods(spark, sid, {"a": boom(spark.range(3)), "b": spark.range(7)}).collect()}
+    assert res == {"a": "failed", "b": "success"}
+    assert spark.table(f"ods_{sid}.a").count() == 4 and spark.table(f"ods_{sid}.b").count() == 7
+    assert reader.first().s == 10  # a reader of the version before can finish
+    path = shared_dir(spark, "copy", uid(), "t")
+    bulk_copy(spark.range(6), {"path": path})
+    with pytest.raises(Exception):
+        bulk_copy(boom(spark.range(3)), {"path": path})
+    assert spark.read.parquet(path).count() == 6
+    assert bulk_copy(spark.read.parquet(path).where("id < 2"), {"path": path}) == 2  # a table may be copied onto itself
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_refresh_with_other_columns_and_partitions(spark):
+    from kiln.sources.ods import write_table
+
+    db = f"w{uid()}"
+    write_table(spark.range(3), db, "t")
+    write_table(spark.range(4).selectExpr("id", "id * 2 AS twice"), db, "t")
+    assert spark.table(f"{db}.t").columns == ["id", "twice"] and spark.table(f"{db}.t").count() == 4
+    write_table(spark.table(f"{db}.t").where("id > 1"), db, "t")
+    assert spark.table(f"{db}.t").count() == 2
+    for n in (5, 6):
+        assert write_table(spark.range(n).selectExpr("id", "id % 2 AS part"), db, "p", ["part"]) == n
+        assert spark.table(f"{db}.p").where("part = 1").count() == n // 2
+    write_table(spark.range(2), db, "t2", mode="append")
+    write_table(spark.range(3), db, "t2", mode="append")
+    assert spark.table(f"{db}.t2").count() == 5
+
+
+def versions(spark, db, name):
+    from kiln.sources.attach import list_folder
+
+    tables = {t.name for t in spark.catalog.listTables(db) if t.name.startswith(f"{name}__v")}
+    return tables | {f for f in list_folder(spark, shared_dir(spark, "warehouse", f"{db}.db")) if f.startswith(f"{name}__v")}
+
+
+@pytest.mark.parametrize("kind", ["atomic", "replace"])
+def test_a_dead_delivery_costs_no_live_version(spark, kind):
+    from kiln.sources.ods import ensure_database, write_table
+    from kiln.sources.publish import new_attempt
+
+    db, deliver = f"prod{uid()}", {"atomic": D.deliver_atomic, "replace": D.deliver_replace}[kind]
+    deliver(spark.range(10), db, "t")
+    live = versions(spark, db, "t")
+    reader = spark.table(f"{db}.t").selectExpr("sum(id) AS s")
+    orphan = new_attempt("t")  # a delivery that dies before it switches
+    ensure_database(spark, db)
+    if kind == "atomic":
+        write_table(spark.range(99), db, orphan, managed=True)
+    else:
+        spark.range(99).write.parquet(shared_dir(spark, "warehouse", f"{db}.db", orphan))
+    deliver(spark.range(5), db, "t", grace=3600)
+    assert live < versions(spark, db, "t") and orphan in versions(spark, db, "t")  # it may still be at work
+    assert reader.first().s == 45 and spark.table(f"{db}.t").count() == 5
+    now = versions(spark, db, "t") - live - {orphan}
+    deliver(spark.range(6), db, "t", grace=0)
+    left = versions(spark, db, "t")
+    assert orphan not in left and not live & left and now < left and len(left) == 2
+    assert spark.table(f"{db}.t").count() == 6
+
+
+def test_a_copy_that_died_between_the_renames_is_restored(spark):
+    from kiln.sources import publish
+
+    path = shared_dir(spark, "copy", uid(), "t")
+    bulk_copy(spark.range(6), {"path": path})
+    publish._rename(spark, path, f"{path}__old")
+    with pytest.raises(Exception):
+        bulk_copy(boom(spark.range(3)), {"path": path})
+    assert spark.read.parquet(path).count() == 6
+
+
+def derby(schema=None):
+    # embedded, in-memory Derby in the driver JVM: no server, no port (local mode only)
+    url = f"jdbc:derby:memory:kiln{uid()};create=true"
+    out = {"id": "prod", "format": "jdbc", "url": url, "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    return out | ({"schema": schema} if schema else {})
+
+
+def test_a_failed_jdbc_copy_leaves_the_old_table(spark):
+    from kiln.sources.attach import read_source_table
+
+    target = derby()
+    rows = lambda: read_source_table(spark, target, "T").count()
+    assert bulk_copy(spark.range(6), {**target, "dbtable": "T"}) == 6
+    with pytest.raises(Exception):
+        bulk_copy(boom(spark.range(3)), {**target, "dbtable": "T"})
+    assert rows() == 6
+    assert bulk_copy(spark.range(4), {**target, "dbtable": "T"}) == 4 and rows() == 4
+    assert list_source_tables(spark, target) == ["APP.T"]  # nothing is left beside it
+
+
+def test_the_target_decides_the_strategy(spark):
+    from kiln.sources.attach import read_source_table
+
+    target = derby("SALES")
+    tables = {"clean_orders": spark.range(5), "clean_bad": boom(spark.range(1))}
+    for n in (5, 8):
+        res = {r.prod_table: r for r in D.deliver(spark, tables | {"clean_orders": spark.range(n)}, target=target).collect()}
+        assert (res["orders"].strategy, res["orders"].status, res["orders"].rows) == ("copy", "success", n)
+        assert res["bad"].status == "failed"
+    assert read_source_table(spark, target, "SALES.ORDERS").count() == 8
+    assert D.deliver(spark, {"clean_a": spark.range(1)}, prod_db=f"p{uid()}").first().strategy == "atomic"
+    assert D.deliver(spark, {"clean_a": spark.range(1)}, "copy").first().status == "error"
+    planned = D.deliver(spark, {"clean_a": spark.range(1)}, target=target, dry_run=True).first()
+    assert planned.message == "clean_a -> SALES.a"
