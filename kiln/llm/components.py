@@ -7,22 +7,33 @@ from pyspark.sql import functions as F
 
 from kiln.llm.common import materialise
 
+#: Parts of a node's edges.
+PARTS = 8
+
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Join every edge with its node's ``m``. A node with very many edges is divided into ``PARTS`` by the other end, and ``low``,
+    one row per node, is repeated for each."""
+    part = F.pmod(F.xxhash64("v"), F.lit(PARTS))
+    spread = low.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumn("part", F.col("part").cast("bigint"))
+    return edges.withColumn("part", part).join(spread, ["u", "part"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the smallest in the node's neighbourhood."""
     both = _both(edges)
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_low(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours move to the smallest of them; ``edges`` has u > v."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_low(edges, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -31,13 +42,14 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Alternates the two star operations (Kiveris et al., "Connected Components in MapReduce and Beyond",
     2014) until the edges stop changing; the rounds grow with the logarithm of the longest chain. Every
-    round is written to the shared folder. Only two numbers a round reach the driver. Links of a row with
+    round is written to the shared folder. Only three numbers a round reach the driver. Links of a row with
     itself and null ends are ignored.
     """
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, seen = materialise(edges, "edges"), None
     while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        # equal sets of edges: by their number and 128 bits
+        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first()
         if not state[0] or state == seen:
             break
         seen = state

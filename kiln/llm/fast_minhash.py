@@ -195,19 +195,69 @@ def linked(percent: int) -> F.Column:
     return 100 * F.col("both") >= percent * (F.col("u_n") + F.col("v_n") - F.col("both"))
 
 
-def sizes_allow(percent: int) -> F.Column:
-    return 100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")
+def sizes_allow(percent: int, u: str = "u_n", v: str = "v_n") -> F.Column:
+    return 100 * F.least(u, v) >= percent * F.greatest(u, v)
 
 
-def pivot_allows(percent: int) -> F.Column:
+def pivot_allows(percent: int, u: str = "u", v: str = "v") -> F.Column:
     """Whether two members of a bucket can reach the similarity, from what each lacks (``_less``) and adds (``_more``) to the pivot.
 
     The intersection is the pivot's size less what either lacks, plus what both lack or both add; the last two are bounded
-    by the smaller of the two. Unknown differences allow everything.
+    by the smaller of the two. Bounds may stand for what is not known: less may be too small, more too large.
     """
-    shared = F.least("u_less", "v_less") + F.least("u_more", "v_more")
-    most = F.col("pivot_n") - F.col("u_less") - F.col("v_less") + shared
-    return F.coalesce((100 + percent) * most >= percent * (F.col("u_n") + F.col("v_n")), F.lit(True))
+    most = F.col("pivot_n") - F.greatest(f"{u}_less", f"{v}_less") + F.least(f"{u}_more", f"{v}_more")
+    return (100 + percent) * most >= percent * (F.col(f"{u}_n") + F.col(f"{v}_n"))
+
+
+def unsettled(members: DataFrame, stars: DataFrame, measured: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The members of buckets that may be linked with a member of another component there: one row per id.
+
+    Strangers are members outside the pivot's component; a bucket without any is settled. Else a stranger is compared with all,
+    and a member of the pivot's component only if it can reach the similarity with some stranger: with one that would lack as
+    little, add as much and be as small as any stranger of the bucket. Returns id, component, n and hits, an array (one
+    entry per bucket, no more than there are bands) of key, pivot_n, less, more and stranger.
+    """
+    component = found.select("id", "component")
+    of_pivot = component.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component"))
+    both = measured.select(F.col("u").alias("pivot"), F.col("v").alias("id"), "both")
+    own = F.coalesce("component", "id")
+    info = stars.join(both, ["pivot", "id"], "left").join(component, "id", "left").join(of_pivot, "pivot", "left")
+    info = info.select(
+        "pivot", "pivot_n", "id", "n", own.alias("component"), (own != F.coalesce("pivot_component", "pivot")).alias("stranger"),
+        # pairs whose sizes rule out a link were not measured
+        F.coalesce(F.col("pivot_n") - F.col("both"), F.greatest(F.col("pivot_n") - F.col("n"), F.lit(0))).alias("less"),
+        F.coalesce(F.col("n") - F.col("both"), F.col("n")).alias("more"),
+    )
+    rows = members.join(materialise(info, "star-info"), ["pivot", "pivot_n", "id", "n"])
+    when = lambda c: F.when(F.col("stranger"), F.col(c))
+    mixed = rows.groupBy("key").agg(
+        F.min(when("less")).alias("any_less"), F.max(when("more")).alias("any_more"), F.min(when("n")).alias("any_n")
+    ).where("any_n IS NOT NULL")
+    able = pivot_allows(percent, "own", "any")
+    kept = rows.withColumns({"own_less": F.col("less"), "own_more": F.col("more"), "own_n": F.col("n")}).join(
+        mixed.withColumnRenamed("key", "in_key"), (F.col("key") == F.col("in_key")) & (F.col("stranger") | able)
+    )
+    hit = F.struct("key", "pivot_n", "less", "more", "stranger")
+    return kept.groupBy("id").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.collect_list(hit).alias("hits"))
+
+
+def pairs_between(rest: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components that share a bucket and may be linked; each pair once."""
+    wanted = rest.select(F.col("id").alias("doc_id"))
+    bits = long_bits(texts.join(wanted, "doc_id", "left_semi"), width)
+    wide = materialise(rest.join(bits, "id").join(classes.select("id", "bands"), "id"), "unsettled")
+    wide = wide.withColumn("hit", F.explode("hits")).select("id", "component", "n", "bits", "bands", "hit.*")
+
+    def side(c: str) -> DataFrame:
+        names = {"id": c, "component": f"{c}_in", "n": f"{c}_n", "less": f"{c}_less", "more": f"{c}_more", "bits": f"{c}_bits",
+                 "bands": f"{c}_bands", "stranger": f"{c}_stranger"}
+        return wide.select("key", *[F.col(k).alias(v) for k, v in names.items()], *(["pivot_n"] if c == "u" else []))
+
+    apart = (F.col("u") < F.col("v")) & (F.col("u_in") != F.col("v_in")) & (F.col("u_stranger") | F.col("v_stranger"))
+    allowed = sizes_allow(percent) & pivot_allows(percent) & sketches_allow(percent)
+    # a pair comes out of one bucket only; if one of the two is the pivot there, it has been compared already
+    here = F.array_min(F.array_intersect("u_bands", "v_bands")) == F.col("key")
+    return side("u").join(side("v"), "key").where(apart & allowed & here).select("u", "v").distinct()
 
 
 def sketches_allow(percent: int) -> F.Column:
@@ -238,44 +288,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spread = classes.select("id", "n", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = shared.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    members = materialise(spread.join(shared, "key"), "members")
-    involved = members.select(F.col("id").alias("doc_id")).distinct()
+    members = materialise(spread.join(shared, "key").where("id <> pivot"), "members")
+    stars = materialise(members.select("pivot", "pivot_n", "id", "n").distinct(), "stars")
+    involved = stars.select(F.col("id").alias("doc_id")).unionByName(stars.select(F.col("pivot").alias("doc_id"))).distinct()
     texts = materialise(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id", "left_semi"), "texts"
     )
-    stars = members.where("id <> pivot").select(
-        F.col("pivot").alias("u"), F.col("id").alias("v"), F.col("pivot_n").alias("u_n"), F.col("n").alias("v_n")
-    )
-    stars = stars.distinct().where(sizes_allow(percent)).select("u", "v")
-    measured = materialise(common_sizes(stars, texts, width), "stars")
+    likely = stars.where(sizes_allow(percent, "pivot_n", "n")).select(F.col("pivot").alias("u"), F.col("id").alias("v"))
+    measured = materialise(common_sizes(likely, texts, width), "measured")
     found = materialise(connected_components(measured.where(linked(percent)).select("u", "v")), "components")
-
-    # buckets whose members are not all in one component yet
-    labelled = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rest = labelled.where("id <> pivot").join(mixed.select("key"), "key", "left_semi")
-    rest = rest.join(measured.select(F.col("u").alias("pivot"), F.col("v").alias("id"), "both"), ["pivot", "id"], "left")
-    rest = materialise(rest, "rest")
-    unsettled = rest.select(F.col("id").alias("doc_id")).distinct()
-    rest = rest.join(long_bits(texts.join(unsettled, "doc_id", "left_semi"), width), "id").join(classes.select("id", "bands"), "id")
-
-    def side(c: str) -> DataFrame:
-        values = {
-            c: F.col("id"),
-            f"{c}_in": F.col("component"),
-            f"{c}_n": F.col("n"),
-            f"{c}_less": F.col("pivot_n") - F.col("both"),
-            f"{c}_more": F.col("n") - F.col("both"),
-            f"{c}_bits": F.col("bits"),
-            f"{c}_bands": F.col("bands"),
-        }
-        return rest.select("key", *[v.alias(k) for k, v in values.items()], *(["pivot_n"] if c == "u" else []))
-
-    allowed = sizes_allow(percent) & pivot_allows(percent) & sketches_allow(percent)
-    apart = (F.col("u") < F.col("v")) & (F.col("u_in") != F.col("v_in"))
-    # a pair comes out of one bucket only; if one of the two is the pivot there, it has been compared already
-    here = F.array_min(F.array_intersect("u_bands", "v_bands")) == F.col("key")
-    across = side("u").join(side("v"), "key").where(apart & allowed & here).select("u", "v").distinct()
+    rest = materialise(unsettled(members, stars, measured, found, percent), "rest")
+    across = pairs_between(rest, classes, texts, width, percent)
     more = materialise(common_sizes(across, texts, width), "across").where(linked(percent)).select("u", "v")
     if more.isEmpty():
         final = found

@@ -6,6 +6,7 @@ Python worker follows the longest text, not the batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,24 +39,58 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-class Hasher:
-    """64-bit hashes of any byte ranges of one buffer, from prefix sums of byte * R**position."""
+class RangeHasher:
+    """64-bit hashes of any ranges of a sequence of numbers, from prefix sums of number * R**position.
+
+    A sum modulo 2**64: there are different ranges with the same hash, so equality has to be confirmed.
+    """
 
     _up = np.zeros(0, _U)
     _down = np.zeros(0, _U)
 
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
-        if len(Hasher._up) < n:
-            Hasher._up, Hasher._down = powers(_R, n), powers(_R_INVERSE, n)
+        if len(RangeHasher._up) < n:
+            RangeHasher._up, RangeHasher._down = powers(_R, n), powers(_R_INVERSE, n)
         self.sums = np.zeros(n, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * Hasher._up[: n - 1], out=self.sums[1:])
+        np.cumsum((data.astype(_U) + _U(1)) * RangeHasher._up[: n - 1], out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * Hasher._down[starts]
+        raw = (self.sums[ends] - self.sums[starts]) * RangeHasher._down[starts]
         return mix64(raw + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+#: Longer byte ranges are hashed one by one.
+_LONG = 256
+#: The bytes of a 64-bit number that belong to a range of which so many bytes are left.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], _U)
+
+
+class Hasher:
+    """64-bit hashes of any byte ranges of one buffer.
+
+    Eight bytes at a time are mixed into the hash by a bijection that is not linear, so neither repetitive nor
+    constructed texts collide more often than random ones; ranges of over 256 bytes are hashed by BLAKE2.
+    """
+
+    def __init__(self, data: np.ndarray):
+        self.raw = np.concatenate([data, np.zeros(8, np.uint8)]).tobytes()
+        self.windows = np.ndarray(len(data) + 1, "<u8", self.raw, strides=(1,))  # the 8 bytes from every place on
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        h = mix64(size.astype(_U) * _U(0xD6E8FEB86659FD93) + _U(1))
+        row = np.flatnonzero((size > 0) & (size <= _LONG))
+        at, left = starts[row], size[row]
+        while len(row):
+            h[row] = mix64(h[row] ^ (self.windows[at] & _BYTES[np.minimum(left, 8)]))
+            more = left > 8
+            row, at, left = row[more], at[more] + 8, left[more] - 8
+        for k in np.flatnonzero(size > _LONG).tolist():
+            h[k] ^= _U(int.from_bytes(hashlib.blake2b(self.raw[starts[k] : ends[k]], digest_size=8).digest(), "little"))
+        return h
+
+
 @dataclass
 class Words:
     """Words of the texts of a slice: byte ranges, and ``first[i]:first[i + 1]`` are those of text i."""

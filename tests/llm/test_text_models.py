@@ -2,8 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from kiln.llm import decontaminate
 from kiln.llm import lang_viterbi as L
 from kiln.llm import rule_ledger as R
 from kiln.llm import toxicity as T
@@ -32,6 +34,31 @@ def test_hashes_depend_on_bytes_only():
     w = find_words(data, np.array([0, len(data)]))
     h = Hasher(data)(w.starts, w.ends).tolist()
     assert h[0] == h[1] and len(set(h)) == 5
+    long = np.frombuffer(b"x" * 300 + b" " + b"x" * 300 + b" " + b"x" * 299 + b"y", np.uint8)
+    w = find_words(long, np.array([0, len(long)]))
+    h = Hasher(long)(w.starts, w.ends).tolist()
+    assert h[0] == h[1] != h[2]
+    assert len(Hasher(data[:0])(np.zeros(0, int), np.zeros(0, int))) == 0
+    assert len({*Hasher(np.full(600, 97, np.uint8))(np.zeros(600, int), np.arange(600)).tolist()}) == 600
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [2**k for k in (4, 8, 10, 12, 14)])
+def test_constructed_texts_do_not_collide(n):
+    from kiln.llm import fast_minhash, rule_ledger
+
+    one, two = thue_morse(n), thue_morse(n, "b", "a")
+    arrays = lambda *texts: next(text_slices(pa.array(list(texts)), 1 << 24))[2:]
+    data, offsets = arrays(one, two)
+    assert len(set(Hasher(data)(offsets[:-1], offsets[1:]).tolist())) == 2
+    assert rule_ledger.measure_texts(*arrays(f"{one}\n{two}"))["n_dup_lines"].tolist() == [0]
+    key, first = fast_minhash.shingle_sets(*arrays(f"{one} x", f"{two} x"), 2)
+    assert len(set(key.tolist())) == 2 and first.tolist() == [0, 1, 2]
+    h, _ = decontaminate.word_hashes(*arrays(one, two))
+    assert len(set(h.tolist())) == 2
 
 
 def auc(score, label):
