@@ -46,16 +46,15 @@ def char_grams(words: list[str], most: int) -> tuple[np.ndarray, np.ndarray, lis
 
 
 def gram_counts(
-    sample: DataFrame, groups: int, order: int, max_grams: int, without: Sequence[Sequence[int]] = ()
+    sample: DataFrame, groups: int, order: int, without: Sequence[Sequence[int]] = ()
 ) -> tuple[np.ndarray, ...]:
     """Documents that have each n-gram, by group: (length, hash, hash of its context, counts with a column per group).
 
-    ``sample`` has text and group (0 to ``groups`` - 1) and is summed by Spark. The most frequent n-grams up to
-    ``max_grams`` come to the driver: the least count that is kept follows from a histogram of the counts.
+    ``sample`` has text and group (0 to ``groups`` - 1) and is summed by Spark. All n-grams come to the driver: ``order`` for
+    each letter of the sample at most, so the caller bounds the letters (:func:`share_of`).
 
     With ``without`` (sets of groups) two more arrays follow: whether the n-gram begins its word, and a column per set with the
-    continuation counts: before how many different characters the n-gram was seen in the groups outside the set. These are
-    counted by Spark over all n-grams, also those that are not kept.
+    continuation counts: before how many different characters the n-gram was seen in the groups outside the set.
     """
     keys = ["k", "gram", "context", *(["suffix", "start"] if without else [])]
     names = [*keys, *[f"c{g}" for g in range(groups)]]
@@ -84,18 +83,11 @@ def gram_counts(
     schema += ", ".join(f"c{g} bigint" for g in range(groups))
     small_batches(sample.sparkSession)
     sums = sample.mapInArrow(run, schema).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names[len(keys) :]])
-    sums = materialise(sums.withColumn("n", sum(F.col(c) for c in names[len(keys) :])), "grams")
-    sizes = sums.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 1000 rows
-    total, least = 0, 1
-    for r in sizes:
-        total += r["count"]
-        if total > max_grams:
-            least = r["n"] + 1
-            break
-    kept = sums.where(F.col("n") >= least).drop("n")
+    kept = materialise(sums, "grams")
     if without:  # each longer n-gram is one more character before its suffix
-        seen = [F.count_if(F.col("n") > sum((F.col(f"c{g}") for g in gs), F.lit(0))).alias(f"left{i}") for i, gs in enumerate(without)]
-        left = sums.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("suffix").alias("gram")).agg(*seen)
+        others = [[f"c{g}" for g in range(groups) if g not in gs] for gs in without]
+        seen = [F.count_if(sum((F.col(c) for c in cs), F.lit(0)) > 0).alias(f"left{i}") for i, cs in enumerate(others)]
+        left = kept.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("suffix").alias("gram")).agg(*seen)
         kept = kept.drop("suffix").join(left, ["k", "gram"], "left").fillna(0, [f"left{i}" for i in range(len(without))])
     got = kept.toArrow()
     gram, context = (got[c].to_numpy().view(np.uint64) for c in ("gram", "context"))
@@ -106,6 +98,11 @@ def gram_counts(
     return out
 
 
+def share_of(rows: int, letters: int, most_rows: int, most_letters: int) -> float:
+    """The share of a class's documents to learn from, so that about so many rows and letters at most are expected."""
+    return min(1.0, most_rows / max(rows, 1), most_letters / max(letters, 1))
+
+
 def kneser_ney(k: np.ndarray, counts: np.ndarray, start: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Counts for ``CharModels`` by Kneser-Ney: those of the longest n-grams (of the full order, or from the word's beginning)
     are by class, all shorter ones have the same continuation counts in every class."""

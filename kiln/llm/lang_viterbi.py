@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.char_grams import CharModels, gram_counts, plain
+from kiln.llm.char_grams import CharModels, gram_counts, plain, share_of
 from kiln.llm.common import held_out, table
 from kiln.llm.scoring import WordTable, add_scores, texts_of
 from kiln.llm.words import sums_by_doc
@@ -24,7 +24,10 @@ ORDER = 4
 PENALTY = 8.0
 BLOCK = 32
 PER_LANG = 1500
-MAX_GRAMS = 400_000
+#: Letters of a language to learn from (expected); with ORDER n-grams for each at most, the size of the model is bounded.
+MAX_LETTERS = 8_000_000
+#: Bytes of the matrices of a slice's blocks.
+MATRIX_BYTES = 64 << 20
 #: A word's score may fall below that of its best language by this much at most.
 FLOOR = -12.0
 #: Least share of a language's letters in a script it is said to use.
@@ -62,6 +65,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY, blo
     n, size = np.diff(first), scores.shape[1]
     if not len(scores):
         return np.zeros(0, np.int64)
+    block = max(block, -(-len(scores) * size * size * 8 // MATRIX_BYTES))  # longer blocks, fewer matrices
     per = -(-n // block)
     blocks, begin = int(per.sum()), np.concatenate([[0], np.cumsum(per)])
     inside = np.arange(len(scores)) - np.repeat(first[:-1], n)
@@ -145,29 +149,31 @@ class Identifier:
 
 
 def identify(
-    docs: DataFrame, learn: DataFrame, per_lang: int = PER_LANG, max_grams: int = MAX_GRAMS, penalty: float = PENALTY
+    docs: DataFrame, learn: DataFrame, per_lang: int = PER_LANG, max_letters: int = MAX_LETTERS, penalty: float = PENALTY
 ) -> DataFrame:
     """Add ``lang_pred``, ``lang_score`` (share of the lettered words labelled so) and ``lang_spans`` (lang, start, end in words)
     to ``docs`` (text and any other columns).
 
     Learns from the rows of ``learn`` (doc_id, text, lang) with a language: about ``per_lang`` of each language (those whose id
-    hash is below a threshold that follows from the number of its rows) and at most ``max_grams`` n-grams. A
+    hash is below a threshold that follows from the number of its rows and letters, of which about ``max_letters`` at most), and from
+    every n-gram in them. A
     text that is null or has no letter is ``und`` with score 0, as is every text when there is nothing to learn from. Ties go to the
     language that comes first. Repeated rows score alike; an empty table stays empty; other columns pass through.
     """
     spark = docs.sparkSession
     learn = learn.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}  # one row per language
-    langs = sorted(counts)
+    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("letters"))
+    shares = {r["lang"]: share_of(r["rows"], r["letters"], per_lang, max_letters) for r in sizes.collect()}  # one row per language
+    langs = sorted(shares)
     schema = "lang_pred string, lang_score double, lang_spans array<struct<lang:string,start:bigint,end:bigint>>"
     if not langs:
         unknown = {"lang_pred": F.lit("und"), "lang_score": F.lit(0.0)}
         return docs.withColumns(unknown | {"lang_spans": F.array().cast(schema.rpartition(" ")[2])})
     number = F.create_map(*[F.lit(x) for k, name in enumerate(langs) for x in (name, k)])
-    below = F.create_map(*[F.lit(x) for name in langs for x in (name, min(1.0, per_lang / counts[name]))])
+    below = F.create_map(*[F.lit(x) for name in langs for x in (name, shares[name])])
     chance = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 20)) / (1 << 20)
     sample = learn.where(chance < below[F.col("lang")]).select("text", number[F.col("lang")].alias("group"))
-    k, gram, context, c = gram_counts(sample, len(langs), ORDER, max_grams)
+    k, gram, context, c = gram_counts(sample, len(langs), ORDER)
     models = CharModels(k, gram, context, c)
     scripts = sample.select("group", "text")
     letters = add_scores(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,26 +14,36 @@ from pyspark.sql.types import StructType
 from kiln.llm.common import small_batches
 from kiln.llm.words import text_slices
 
-#: Words a worker remembers; the memory is emptied when full.
-WORDS_KEPT = 150_000
+#: Bytes of the words that a worker remembers, in each of two generations.
+WORD_BYTES = 48 << 20
+
+_kept: dict[str, Callable] = {}
+
+
+def kept_scorer(key: str, make: Callable[[], Callable]) -> Callable:
+    """The scorer of the model ``key``: made once in a worker process, which later tasks with the same model use again."""
+    if key not in _kept:
+        _kept.clear()  # one model at a time
+        _kept[key] = make()
+    return _kept[key]
 
 
 def add_scores(docs: DataFrame, text: str, schema: str, make: Callable[[], Callable]) -> DataFrame:
     """Add the columns of ``schema`` (DDL), computed from ``text``; other columns pass through unchanged.
 
-    ``make()`` runs once in every task and gives a function of (bytes, offsets) of a slice of texts that returns one array for
+    ``make()`` runs once in every worker and gives a function of (bytes, offsets) of a slice of texts that returns one array for
     every new column. A column of ``docs`` that has the name of a new one is replaced. Null texts arrive empty.
     """
     small_batches(docs.sparkSession)
     new = StructType.fromDDL(schema)
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in new.names])
-    place, kinds = docs.columns.index(text), to_arrow_schema(new).types
+    place, kinds, key = docs.columns.index(text), to_arrow_schema(new).types, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = None
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(place)):
-                score = score or make()
+                score = score or kept_scorer(key, make)
                 added = [pa.array(x, kind) for x, kind in zip(score(data, offsets), kinds, strict=True)]
                 columns = [*batch.slice(a, b - a).columns, *added]
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *new.names])
@@ -41,25 +52,40 @@ def add_scores(docs: DataFrame, text: str, schema: str, make: Callable[[], Calla
 
 
 class WordTable:
-    """Numbers (one or several) of words, computed for each distinct word once: ``of(words)`` gives the rows."""
+    """Numbers (one or several) of words, computed for each distinct word once: ``of(words)`` gives the rows.
+
+    Words are remembered in two generations of at most ``most`` bytes: when the younger is full it becomes the older, whose
+    words come back when they occur again; the others are forgotten with it.
+    """
+
+    #: Bytes of a word's entry besides its letters and numbers.
+    ENTRY = 140
+
+    def __init__(self, width: int, compute: Callable[[list[bytes]], np.ndarray], most: int = WORD_BYTES):
+        self.width, self.compute, self.most = width, compute, most
+        self.place, self.rows, self.bytes = {}, np.zeros((0, width), np.float32), 0
+        self.old_place, self.old_rows = self.place, self.rows
 
-    def __init__(self, width: int, compute: Callable[[list[bytes]], np.ndarray]):
-        self.width, self.compute = width, compute
-        self.place: dict[bytes, int] = {}
-        self.rows = np.zeros((0, width), np.float32)
+    def _add(self, words: list[bytes], rows: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
+        self.rows = np.concatenate([self.rows, rows])
+        self.bytes += sum(map(len, words)) + len(words) * (self.ENTRY + 4 * self.width)
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of all words of the texts, and where each text's words begin (one more at the end)."""
         words = [t.split() for t in texts]
-        fresh = {w for ws in words for w in ws}.difference(self.place)
-        if len(self.place) + len(fresh) > WORDS_KEPT:
-            self.place, self.rows = {}, np.zeros((0, self.width), np.float32)
-            fresh = {w for ws in words for w in ws}
-        if fresh:
-            names = list(fresh)
-            got = self.compute(names).astype(np.float32).reshape(len(names), self.width)
-            self.place.update(zip(names, range(len(self.rows), len(self.rows) + len(names)), strict=True))
-            self.rows = np.concatenate([self.rows, got])
+        wanted = {w for ws in words for w in ws}
+        if self.bytes > self.most:
+            self.old_place, self.old_rows = self.place, self.rows
+            self.place, self.rows, self.bytes = {}, np.zeros((0, self.width), np.float32), 0
+        wanted.difference_update(self.place)
+        known = list(wanted.intersection(self.old_place)) if self.old_place is not self.place else []
+        if known:
+            self._add(known, self.old_rows[[self.old_place[w] for w in known]])
+            wanted.difference_update(known)
+        if wanted:
+            fresh = list(wanted)
+            self._add(fresh, self.compute(fresh).astype(np.float32).reshape(len(fresh), self.width))
         first = np.cumsum([0, *map(len, words)])
         get = self.place.__getitem__
         at = np.fromiter((p for ws in words for p in map(get, ws)), np.int64, int(first[-1]))

@@ -12,8 +12,8 @@ see (cross-fitting), gives the score.
 An n-gram counts once per document that has it in a word, so a document that repeats itself weighs no more than others.
 
 Labels are fitted on a bounded sample: at most ``per_class`` labelled documents of each class, those with the
-smallest hashes of their ids, and at most ``max_grams`` n-grams (the most frequent). The counts are summed by
-Spark; the model that every worker gets is bounded by ``max_grams`` (about 24 bytes each).
+smallest hashes of their ids; of very long documents fewer, so that about ``MAX_LETTERS`` letters of a class are learned from. All
+n-grams in them are counted by Spark; their number, and so the model that every worker gets, is bounded by the letters.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.char_grams import CharModels, gram_counts, kneser_ney, plain
+from kiln.llm.char_grams import CharModels, gram_counts, kneser_ney, plain, share_of
 from kiln.llm.common import held_out, materialise, table
 from kiln.llm.scoring import WordTable, add_scores, texts_of
 from kiln.llm.words import sums_by_doc
@@ -31,7 +31,8 @@ from kiln.llm.words import sums_by_doc
 ORDER = 4
 FOLDS = 3
 PER_CLASS = 4000
-MAX_GRAMS = 1_500_000
+#: Letters of a class to learn from (expected); with ORDER n-grams for each at most, the size of the model is bounded.
+MAX_LETTERS = 32_000_000
 #: Differences of log-likelihood (nats) beyond which a word counts, and the words in a run.
 STEPS = (1.5, 2.0, 2.5, 3.0, 4.0)
 RUN = 8
@@ -53,7 +54,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
     chosen = F.broadcast(first[0].unionByName(first[1]))  # at most 2 * per_class rows
     sample = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"))
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
-    return materialise(sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), fold), "toxic-sample"), counts
+    sample = materialise(sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), fold), "toxic-sample")
+    sizes = sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("letters")).collect()
+    shares = {r["toxic"]: share_of(r["rows"], r["letters"] or 0, per_class, MAX_LETTERS) for r in sizes}
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("letters")), F.lit(1 << 20)) / (1 << 20)
+    return sample.where(chance < F.when(F.col("toxic") == 1, shares.get(1, 1.0)).otherwise(shares.get(0, 1.0))), counts
 
 
 def features(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -119,7 +124,7 @@ class Scorer:
         return [1 / (1 + np.exp(-np.clip(z, -30, 30)))]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_grams: int = MAX_GRAMS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """Add ``toxic_score`` (0 to 1) to ``docs`` (doc_id, text and any other columns).
 
     Learns from ``labels`` (doc_id, toxic) as described above. Labels other than 0 and 1, labels without a document and
@@ -135,7 +140,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
         return docs.withColumn("toxic_score", F.lit((toxic + 0.5) / (ordinary + toxic + 2)))
     group = (F.col("toxic") * FOLDS + F.col("fold")).alias("group")
     without = [[], *[[fold, FOLDS + fold] for fold in range(FOLDS)]]
-    k, gram, context, counts_by, start, left = gram_counts(sample.select("text", group), 2 * FOLDS, ORDER, max_grams, without)
+    k, gram, context, counts_by, start, left = gram_counts(sample.select("text", group), 2 * FOLDS, ORDER, without)
     c = counts_by.reshape(-1, 2, FOLDS)
     width = len(features(np.zeros(0), np.zeros(2, np.int64))[0])
     fitted = []

@@ -188,3 +188,42 @@ def test_policies_and_ablation_from_the_ledger(spark, edge_docs, no_docs):
     kept = {v: led.where(R.passes(v)).count() for v in R.POLICIES}
     assert kept["base-1"] >= kept["web-1"] >= kept["web-2"]
     assert all(r.with_all is None for r in R.ablation(R.ledger(no_docs), "web-2").collect())
+
+
+def test_word_tables_forget_only_the_oldest():
+    from kiln.llm.scoring import WordTable
+
+    asked = []
+
+    def compute(words):
+        asked.extend(words)
+        return np.array([[len(w), w[0]] for w in words], float)
+
+    t = WordTable(2, compute, most=20 * (WordTable.ENTRY + 8 + 4))
+    texts = lambda lo, hi: [b" ".join(b"%04d" % i for i in range(k, k + 5)) for k in range(lo, hi, 5)]
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        lo = int(rng.integers(0, 60)) * 5
+        rows, first = t.of([*texts(lo, lo + 10), b"", b"often often"])
+        assert rows[:, 0].tolist() == [4.0] * 10 + [5.0, 5.0] and first.tolist() == [0, 5, 10, 10, 12]
+        assert len(t.place) <= 40 and len(t.old_place) <= 40
+    assert asked.count(b"often") == 1 and len(asked) > 300
+
+
+def test_viterbi_in_longer_blocks_is_the_same(monkeypatch):
+    rng = np.random.default_rng(2)
+    scores, first = rng.normal(0, 4, (900, 5)), np.array([0, 700, 700, 900])
+    want = L.viterbi(scores, first)
+    monkeypatch.setattr(L, "MATRIX_BYTES", 900 * 25 * 8 // 100)
+    assert (L.viterbi(scores, first) == want).all()
+
+
+def test_no_gram_of_the_sample_is_dropped(spark):
+    from kiln.llm.char_grams import gram_counts
+
+    words = ["".join(chr(0x4E00 + int(c)) for c in row) for row in np.random.default_rng(3).integers(0, 9000, (3000, 6))]
+    sample = spark.createDataFrame([(" ".join(words[k : k + 100]), k // 100 % 2) for k in range(0, 3000, 100)], "text string, group int")
+    k, _, _, counts = gram_counts(sample, 2, 4)
+    want = {n: {w[max(i, 0) : i + n] if i >= 0 else "^" + w[: i + n] for w in ("^" + x + "$" for x in words) for i in range(len(w) - n + 1)} for n in (2, 3, 4)}
+    assert all((k == n).sum() == len(want[n]) for n in want)
+    assert (counts.sum(axis=1) > 0).all()
