@@ -1573,3 +1573,41 @@ def q_readiness_evidence(spark, d):
     )
     joins = [JoinEvidence("nation", "has_nation", ("nation",)), JoinEvidence("orders", "has_orders", ("orders",))]
     return readiness_report(coverage_audit(model, EVIDENCE_TARGET, joins), [EVIDENCE_TARGET, NO_SOURCE_TARGET])
+
+
+# --------------------------------------------------------------------- top values and samples without a value shuffle
+
+from kiln.operators import frequent as FQ  # noqa: E402
+
+FREQUENT_COLS = ["l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate", "l_quantity", "l_suppkey", "l_orderkey"]
+FREQUENT_SRC = (
+    "(SELECT l_linenumber, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate, "
+    "CAST(l_quantity AS DECIMAL(18,2)) AS l_quantity, l_suppkey, l_orderkey FROM lineitem) AS s"
+)
+FREQUENT_SQL = f"""
+WITH vc AS (SELECT column_name, value, count(*) AS cnt FROM ({_long_sql(FREQUENT_COLS, FREQUENT_SRC)}) lv GROUP BY column_name, value),
+r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value ASC NULLS LAST) AS rnk,
+             sum(cnt) OVER (PARTITION BY column_name) AS n FROM vc)
+SELECT 'lineitem' AS table_name, column_name, CAST(rnk AS INTEGER) AS rank, value, cnt AS "count",
+       {ratio4_sql('cnt', 'n')} AS frequency
+FROM r WHERE rnk <= 5
+"""
+
+
+@register("frequent_values_lineitem", FREQUENT_SQL)
+def q_frequent_values(spark, d):
+    """Top values proven by a sketch and an exact recount, in full only where that proves nothing."""
+    return FQ.frequent_values(decimal_doubles(T(spark, d, "lineitem")), 5, "lineitem", FREQUENT_COLS)
+
+
+DISTINCT_SAMPLE_SQL = f"""
+WITH vc AS (SELECT DISTINCT column_name, value FROM ({_long_sql(FREQUENT_COLS, FREQUENT_SRC)}) lv WHERE value IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY md5(value), value) AS rnk FROM vc)
+SELECT 'lineitem' AS table_name, column_name, CAST(rnk AS INTEGER) AS rank, value FROM r WHERE rnk <= 8
+"""
+
+
+@register("distinct_sample_lineitem", DISTINCT_SAMPLE_SQL)
+def q_distinct_sample(spark, d):
+    """Eight distinct values of each column by the smallest hashes."""
+    return FQ.distinct_sample(decimal_doubles(T(spark, d, "lineitem")), 8, "lineitem", FREQUENT_COLS)

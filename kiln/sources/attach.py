@@ -8,8 +8,8 @@ A source is a dict of reader options:
 * JDBC source: ``{"id": "his", "format": "jdbc", "url": ..., "driver": ...,
   "user": ..., "password": ...}``; credentials are passed at call time and
   never stored. Partitioned reads take ``partitionColumn``/``lowerBound``/
-  ``upperBound``/``numPartitions`` per table through ``table_options``; with the column alone, bounds are read
-  from the table and the number of partitions is the cluster's parallelism.
+  ``upperBound``/``numPartitions`` per table through ``table_options``; with the column alone (a number, text, date or time),
+  the table is cut into parts of about equal size (:func:`equi_depth_predicates`), by default as many as the cluster's parallelism.
 
 Attached tables are temp views; Catalyst pushes filters, projections, limits
 and aggregates into the JDBC query or the parquet scan.
@@ -17,9 +17,12 @@ and aggregates into the JDBC query or the parquet scan.
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
@@ -84,20 +87,70 @@ def list_source_tables(spark: SparkSession, source: dict) -> list[str]:
     return sorted({n[: -len(suffix)] for n in names if n.endswith(suffix) and not n.startswith(("_", "."))})
 
 
+#: Databases that cut a column into groups of equal size themselves; of others a sample of the column is read.
+NTILE_DATABASES = ("postgresql", "mysql", "mariadb", "h2", "sqlserver", "oracle")
+#: Rows of the sample that cut points come from.
+CUT_SAMPLE = 20_000
+
+
+def _literal(value: object) -> str:
+    """A value as SQL text that every JDBC driver understands."""
+    if isinstance(value, bool) or value is None:
+        raise ValueError(f"cannot divide a table by {value!r}")
+    if isinstance(value, dt.datetime):
+        return f"{{ts '{value:%Y-%m-%d %H:%M:%S.%f}'}}"
+    if isinstance(value, dt.date):
+        return f"{{d '{value:%Y-%m-%d}'}}"
+    if isinstance(value, (int, float, decimal.Decimal)):
+        return str(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def cut_points(spark: SparkSession, source: dict, table: str, column: str, parts: int) -> list:
+    """Ascending values of ``column`` (numbers, text, dates, times) that divide the table's rows into about ``parts`` equal groups.
+
+    Fewer where one value fills more than a group. The database cuts the column where it can; else a sample (:data:`CUT_SAMPLE`
+    rows, chosen in one pass over the column alone) gives the values. The database has the last word on their order.
+    """
+    if source["url"].split(":")[1] in NTILE_DATABASES:
+        query = (f"SELECT MIN(k) AS k FROM (SELECT {column} AS k, NTILE({parts}) OVER (ORDER BY {column}) AS part "
+                 f"FROM {table} WHERE {column} IS NOT NULL) t GROUP BY part")
+        found = {r[0] for r in _jdbc_reader(spark, source, {"query": query}).load().collect()}  # a row per part
+    else:
+        keys = _jdbc_reader(spark, source, {"query": f"SELECT {column} AS k FROM {table} WHERE {column} IS NOT NULL"}).load().toDF("k")
+        sample = keys.withColumn("r", F.rand(7)).orderBy("r").limit(CUT_SAMPLE).orderBy("k")
+        values = [r[0] for r in sample.collect()]  # bounded
+        found = {values[len(values) * i // parts] for i in range(1, parts)} if values else set()
+    if not found:
+        return []
+    listed = ", ".join(_literal(v) for v in found)
+    rows = _jdbc_reader(spark, source, {"query": f"SELECT DISTINCT {column} AS k FROM {table} WHERE {column} IN ({listed})"}).load().toDF("k").collect()
+    order = {}
+    for v in (r[0] for r in rows):  # how many of the cut points lie below: the database's own order, a few short queries
+        below = f"SELECT COUNT(DISTINCT {column}) AS n FROM {table} WHERE {column} IN ({listed}) AND {column} < {_literal(v)}"
+        order[v] = _jdbc_reader(spark, source, {"query": below}).load().first()[0]
+    return sorted(order, key=order.get)
+
+
+def equi_depth_predicates(spark: SparkSession, source: dict, table: str, column: str, parts: int) -> list[str]:
+    """Conditions that divide a JDBC table into about equal parts; every row, also one without a key, meets exactly one."""
+    cuts = [_literal(v) for v in cut_points(spark, source, table, column, parts)]
+    if not cuts:
+        return ["1 = 1"]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(cuts, cuts[1:])]
+    return [f"{column} < {cuts[0]} OR {column} IS NULL", *inner, f"{column} >= {cuts[-1]}"]
+
+
 def read_source_table(spark: SparkSession, source: dict, table: str, table_options: dict | None = None) -> DataFrame:
     fmt = source.get("format", "parquet")
     options = dict(table_options or {})
     if fmt == "jdbc":
         if options.get("partitionColumn") and not {"lowerBound", "upperBound"} <= set(options):
-            column = options["partitionColumn"]
-            query = f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}"
-            low, high = _jdbc_reader(spark, source, {"query": query}).load().first()
-            if low is None:  # no row or no key to divide by
-                options.pop("partitionColumn")
-                options.pop("numPartitions", None)
-            else:
-                options |= {"lowerBound": low, "upperBound": high}
-                options.setdefault("numPartitions", spark.sparkContext.defaultParallelism)
+            column = options.pop("partitionColumn")
+            parts = int(options.pop("numPartitions", spark.sparkContext.defaultParallelism))
+            predicates = equi_depth_predicates(spark, source, table, column, parts)
+            properties = {k: str(source[k]) for k in _JDBC_KEYS if k != "url" and source.get(k) is not None}
+            return spark.read.jdbc(source["url"], table, predicates=predicates, properties=properties | {k: str(v) for k, v in options.items()})
         return _jdbc_reader(spark, source, {"dbtable": table, **options}).load()
     reader = spark.read.format(fmt)
     for k, v in options.items():

@@ -199,3 +199,44 @@ def test_cluster_sessions_keep_their_shuffle_partitions():
     assert shuffle_partitions_for("yarn", None, 8) is None  # cluster: its own setting or size_shuffle
     assert shuffle_partitions_for("spark://host:7077", 4000, 8) == 4000
     assert shuffle_partitions_for(None, None, 8) is None
+
+
+def test_frequent_values_equal_the_full_count(spark):
+    from kiln.operators import frequent as FQ
+
+    rows = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 10 < 4 THEN 'hot' WHEN id % 10 = 5 THEN NULL ELSE concat('v', id % 7) END AS a",  # ties, a null group
+        "id % 3 AS b", "id AS unique_id", "CAST(NULL AS int) AS nothing", "id % 20000 AS nearly", "CAST(id % 2 AS double) / 0.3 AS f",
+        "CASE WHEN id < 9000 THEN -1 ELSE id % 15000 END AS heavy", "CASE WHEN id % 4 = 0 THEN 0 WHEN id % 4 = 1 THEN 1 WHEN id % 4 = 2 THEN 2 WHEN id % 8 = 3 THEN 3 ELSE 4 END AS few",
+    )
+    for k in (1, 3, 5):
+        got = {tuple(r) for r in FQ.frequent_values(rows, k, "t", track=512).collect()}
+        assert got == {tuple(r) for r in P.top_values(rows, k, "t").collect()}
+    plans = {p.column: p.proven for p in FQ.plan_frequent(rows, 1, track=512)}
+    assert plans["heavy"] and plans["a"] and plans["b"] and plans["nothing"] and not plans["unique_id"]
+    assert {tuple(r) for r in FQ.frequent_values(rows.limit(0), 3, "t").collect()} == {tuple(r) for r in P.top_values(rows.limit(0), 3, "t").collect()}
+
+
+def test_proven_columns_shuffle_no_values(spark):
+    from kiln.operators import frequent as FQ
+
+    rows = spark.range(5000).selectExpr("id % 5 AS a", "id AS b")
+    out = FQ.frequent_values(rows, 3, "t", ["a"])
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 3
+
+
+def test_distinct_sample_is_that_of_the_hashes(spark):
+    import hashlib
+
+    from kiln.operators import frequent as FQ
+
+    rows = spark.range(20_000).selectExpr("id AS u", "CASE WHEN id % 3 = 0 THEN NULL ELSE 'x' END AS one", "id % 300 AS s", "CAST(NULL AS string) AS none")
+    got = {}
+    for r in FQ.distinct_sample(rows, 7).collect():
+        got.setdefault(r.column_name, []).append(r.value)
+    md5 = lambda v: hashlib.md5(v.encode()).hexdigest()
+    assert got == {"u": sorted(map(str, range(20_000)), key=md5)[:7], "one": ["x"], "s": sorted(map(str, range(300)), key=md5)[:7]}
+    again = FQ.distinct_sample(rows.unionByName(rows.where("u < 50")).orderBy(F.desc("u")), 7)
+    assert {(r.column_name, r.value) for r in again.collect()} == {(c, v) for c, vs in got.items() for v in vs}
+    assert FQ.distinct_sample(rows.limit(0), 7).count() == 0

@@ -452,3 +452,47 @@ def test_the_target_decides_the_strategy(spark):
     assert D.deliver(spark, {"clean_a": spark.range(1)}, "copy").first().status == "error"
     planned = D.deliver(spark, {"clean_a": spark.range(1)}, target=target, dry_run=True).first()
     assert planned.message == "clean_a -> SALES.a"
+
+
+def jdbc_parts(spark, target, table, column, n):
+    from kiln.sources.attach import read_source_table
+
+    df = read_source_table(spark, target, table, {"partitionColumn": column, "numPartitions": n})
+    sizes = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    return df, sorted(r["count"] for r in sizes)
+
+
+@pytest.mark.parametrize(
+    "key",
+    [
+        "CASE WHEN id < 3800 THEN id ELSE id * 1000000 END",  # nearly all keys in a thousandth of the range
+        "concat(CASE WHEN id % 3 = 0 THEN 'it''s ' ELSE 'z' END, lpad(cast(id AS string), 6, '0'))",
+        "date_add(DATE '2001-02-03', cast(id * id / 4000 AS int))",
+        "timestamp_seconds(1000000000 + id * id * 7)",
+        "cast(pow(1.001, id) AS decimal(20,4))",
+    ],
+    ids=["numbers", "text", "dates", "times", "decimals"],
+)
+def test_jdbc_parts_are_of_equal_size(spark, key):
+    target = derby()
+    rows = spark.range(4000).selectExpr("id", f"CASE WHEN id % 40 <> 7 THEN {key} END AS cut")
+    w = rows.write.format("jdbc").options(url=target["url"], driver=target["driver"], dbtable="T")
+    if rows.schema["cut"].dataType.simpleString() == "string":  # Spark makes a CLOB of a string for Derby, which compares none, and of a null too
+        rows = rows.fillna("nothing")
+        w = rows.write.format("jdbc").options(url=target["url"], driver=target["driver"], dbtable="T")
+        w = w.option("createTableColumnTypes", "cut VARCHAR(64)")
+    w.save()
+    df, sizes = jdbc_parts(spark, target, "T", '"cut"', 5)
+    assert len(sizes) == 5 and sizes[-1] <= 2 * sizes[0]
+    assert sum(sizes) == 4000 and df.select("id").distinct().count() == 4000  # each row once, also those without a key
+
+
+def test_jdbc_parts_of_few_values(spark):
+    target = derby()
+    bulk_copy(spark.range(900).selectExpr("id", "CASE WHEN id < 300 THEN 5 ELSE id END AS k"), {**target, "dbtable": "T"})
+    df, sizes = jdbc_parts(spark, target, "T", '"k"', 6)
+    assert sum(sizes) == 900 and 3 <= len(sizes) <= 6 and sizes[-1] <= 450
+    bulk_copy(spark.range(9).selectExpr("id", "cast(null AS int) AS k"), {**target, "dbtable": "N"})
+    assert jdbc_parts(spark, target, "N", '"k"', 6)[1] == [9]
+    bulk_copy(spark.range(0).selectExpr("id", "id AS k"), {**target, "dbtable": "E"})
+    assert jdbc_parts(spark, target, "E", '"k"', 6)[1] == []
