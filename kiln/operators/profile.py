@@ -83,10 +83,13 @@ def typed_values(df: DataFrame, columns: list[str] | None = None) -> tuple[DataF
     slots = _slots(fields)
     nulls = {name: F.lit(None).cast(key).alias(name) for key, (name, _) in slots.items()}  # built once, shared
 
+    kind = T.StructType([T.StructField(name, t) for name, t in slots.values()])
+
     def packed(f: T.StructField) -> Column:
         mine = slots[f.dataType.simpleString()][0]
         parts = [F.col(f"`{f.name}`").alias(name) if name == mine else nulls[name] for name, _ in slots.values()]
-        return F.struct(*parts).alias(f.name)
+        # every slot nullable, also that of a NOT NULL column: unpivot takes the first struct's nullability for all of them
+        return F.struct(*parts).cast(kind).alias(f.name)
 
     names = [f"`{f.name}`" for f in fields]
     long = df.select(*[packed(f) for f in fields]).unpivot([], names, "column_name", "value")

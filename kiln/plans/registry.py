@@ -1611,3 +1611,35 @@ SELECT 'lineitem' AS table_name, column_name, CAST(rnk AS INTEGER) AS rank, valu
 def q_distinct_sample(spark, d):
     """Eight distinct values of each column by the smallest hashes."""
     return FQ.distinct_sample(decimal_doubles(T(spark, d, "lineitem")), 8, "lineitem", FREQUENT_COLS)
+
+
+# --------------------------------------------------------------------- kept profiles
+
+from kiln.operators import profile_state as PS  # noqa: E402
+
+STATE_COLS = [("l_orderkey", "l_orderkey"), ("l_suppkey", "l_suppkey"), ("l_quantity", "CAST(l_quantity AS DECIMAL(18,2))"),
+              ("l_returnflag", "l_returnflag"), ("l_shipdate", "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')")]
+PROFILE_STATE_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, CAST(min({e}) AS VARCHAR) AS min_value, "
+    f"CAST(max({e}) AS VARCHAR) AS max_value, true AS distinct_within_error FROM lineitem"
+    for c, e in STATE_COLS
+)
+
+
+@register("profile_state_lineitem", PROFILE_STATE_SQL)
+def q_profile_state(spark, d):
+    """The profile of lineitem from the states of its ship years, kept in two updates and merged."""
+    import uuid
+
+    table = decimal_doubles(T(spark, d, "lineitem")).select(*[c for c, _ in STATE_COLS])
+    path = shared_dir(spark, "profile_state", uuid.uuid4().hex)
+    years = [r.y for r in table.select(F.year("l_shipdate").cast("string").alias("y")).distinct().orderBy("y").collect()]  # few
+    read = lambda parts: table.withColumn("part", F.year("l_shipdate")).where(F.col("part").isin([int(p) for p in parts]))
+    PS.update_states(spark, path, years[: len(years) // 2], read)
+    PS.update_states(spark, path, years, read)
+    merged = PS.merged_profile(spark.read.parquet(path), table)
+    exact = P.unique_count(table).select("column_name", F.col("unique_count").alias("exact"))
+    within = F.abs(F.col("unique_count") - F.col("exact")) <= 3 * PS.SKETCH_ERROR * F.col("exact")
+    return merged.join(exact, "column_name").select(
+        "column_name", "row_count", "null_count", "min_value", "max_value", within.alias("distinct_within_error")
+    )

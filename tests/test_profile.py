@@ -240,3 +240,66 @@ def test_distinct_sample_is_that_of_the_hashes(spark):
     again = FQ.distinct_sample(rows.unionByName(rows.where("u < 50")).orderBy(F.desc("u")), 7)
     assert {(r.column_name, r.value) for r in again.collect()} == {(c, v) for c, vs in got.items() for v in vs}
     assert FQ.distinct_sample(rows.limit(0), 7).count() == 0
+
+
+def test_kept_profiles_read_only_new_files(spark):
+    import uuid
+
+    from kiln.operators import profile_state as PS
+    from kiln.session import shared_dir
+    from kiln.sources.attach import remove_folder
+
+    root, state = shared_dir(spark, "parts", uuid.uuid4().hex), shared_dir(spark, "state", uuid.uuid4().hex)
+    rows = spark.range(3000).selectExpr(
+        "id", "CASE WHEN id % 5 = 0 THEN NULL ELSE id % 37 END AS m", "date_add(DATE '2020-01-01', cast(id % 400 AS int)) AS day",
+        "CAST(id AS decimal(12,2)) / 7 AS v", "CAST(NULL AS string) AS nothing",
+    )
+    files = [f"{root}/day={k}.parquet" for k in range(3)]
+    for k, f in enumerate(files):
+        rows.where(f"id % 3 = {k}").write.parquet(f)
+    read = PS.read_files(spark)
+    assert PS.update_states(spark, state, files[:2], read) == files[:2]
+    for f in files[:2]:
+        remove_folder(spark, f)  # an old file that were opened again would be missed
+    assert PS.update_states(spark, state, files, read) == files[2:]
+    assert PS.update_states(spark, state, files, read) == []
+    states = spark.read.parquet(state)
+    for twice in (states, states.unionByName(states)):  # stored by two updates at once
+        got = {r.column_name: r for r in PS.merged_profile(twice, rows).collect()}
+        want = {r.column_name: r for r in P.column_stats(rows).collect()}
+        assert got.keys() == want.keys()
+        for c, w in want.items():
+            g = got[c]
+            assert (g.row_count, g.null_count, g.null_rate, g.min_value, g.max_value) == (w.row_count, w.null_count, w.null_rate, w.min_value, w.max_value)
+            assert abs(g.unique_count - w.unique_count) <= 3 * PS.SKETCH_ERROR * w.unique_count
+            assert g.is_unique_candidate in (None, w.is_unique_candidate)
+        assert got["m"].is_unique_candidate is False and got["id"].is_unique_candidate is None
+
+
+def test_a_failed_update_adds_no_state(spark):
+    import uuid
+
+    from kiln.operators import profile_state as PS
+    from kiln.session import shared_dir
+
+    state = shared_dir(spark, "state", uuid.uuid4().hex)
+    bad = spark.range(10).selectExpr("id", "CASE WHEN id < 5 THEN 'a' ELSE raise_error('lost') END AS part")
+    try:
+        PS.update_states(spark, state, ["a", "b"], lambda _: bad)
+    except Exception:
+        pass
+    assert PS.known_parts(spark, state) == set()
+    good = spark.range(10).selectExpr("id", "CASE WHEN id < 5 THEN 'a' ELSE 'b' END AS part")
+    assert PS.update_states(spark, state, ["a", "b"], lambda _: good) == ["a", "b"]
+    assert PS.merged_profile(spark.read.parquet(state), good).first().row_count == 10
+
+
+def test_nulls_stay_null_beside_a_not_null_column(spark):
+    from kiln.operators.pii import pii_values
+
+    rows = spark.range(30).selectExpr("id", "CAST(NULL AS string) AS nothing", "id % 2 = 0 AS flag", "IF(id < 3, id, NULL) AS few")
+    assert not rows.schema["id"].nullable
+    counts = {(r.column_name, r.value): r["count"] for r in P.value_counts(rows).collect()}
+    assert counts["nothing", None] == 30 and counts["few", None] == 27
+    assert {r.column_name: r.unique_count for r in P.unique_count(rows).collect()} == {"id": 30, "nothing": 0, "flag": 2, "few": 3}
+    assert pii_values(rows, ["id", "nothing", "few"]).where("value IS NULL").count() == 57
