@@ -30,6 +30,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that may be broadcast (8 bytes each).
+BROADCAST_IDS = 1_000_000
+
+
+def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``ids`` (one column of that name).
+
+    Up to ``BROADCAST_IDS`` ids, counted here, are broadcast, so that wide rows are filtered where they are read; more are joined by
+    a shuffle.
+    """
+    ids = materialise(ids.select(key).distinct(), "ids")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null. Counts the starts of runs without splitting the text into an array."""
     blanked = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x")

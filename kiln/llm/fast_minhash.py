@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import materialise, small_batches, table
+from kiln.llm.common import keep_ids, materialise, small_batches, table
 from kiln.llm.components import connected_components
 from kiln.llm.words import Hasher, find_words, lower_ascii, mix64, text_slices
 
@@ -290,10 +290,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = shared.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
     members = materialise(spread.join(shared, "key").where("id <> pivot"), "members")
     stars = materialise(members.select("pivot", "pivot_n", "id", "n").distinct(), "stars")
-    involved = stars.select(F.col("id").alias("doc_id")).unionByName(stars.select(F.col("pivot").alias("doc_id"))).distinct()
-    texts = materialise(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id", "left_semi"), "texts"
-    )
+    involved = stars.select(F.col("id").alias("doc_id")).unionByName(stars.select(F.col("pivot").alias("doc_id")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = materialise(keep_ids(texts, involved, "doc_id"), "texts")
     likely = stars.where(sizes_allow(percent, "pivot_n", "n")).select(F.col("pivot").alias("u"), F.col("id").alias("v"))
     measured = materialise(common_sizes(likely, texts, width), "measured")
     found = materialise(connected_components(measured.where(linked(percent)).select("u", "v")), "components")
