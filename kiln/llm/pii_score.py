@@ -62,7 +62,7 @@ def mod97(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of personal data. ``hint`` is a cheap necessary condition on the text."""
+    """A kind of personal data. ``hint`` is a cheap necessary condition on the text, ``least`` the code points of its shortest match."""
 
     name: str
     pattern: str
@@ -70,6 +70,7 @@ class Kind:
     score: float
     context: str
     hint: Callable[[Column], Column]
+    least: int
 
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -83,6 +84,7 @@ BASE = (
         0.9,
         "mail|contact|write|kontakt|correo|courriel",
         lambda t: F.contains(t, F.lit("@")),
+        5,
     ),
     # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
     Kind(
@@ -92,6 +94,7 @@ BASE = (
         0.6,
         "ip|address|host|server|adresse|servidor",
         lambda t: t.rlike(r"[0-9]\.[0-9]"),
+        7,
     ),
     # [0-9]([\x20-]?[0-9])+
     Kind(
@@ -101,6 +104,7 @@ BASE = (
         0.7,
         "card|visa|credit|karte|tarjeta|carte",
         lambda t: t.rlike("[0-9]"),
+        1,
     ),
     # \+[0-9][\x20().0-9-]+[0-9]
     Kind(
@@ -110,6 +114,7 @@ BASE = (
         0.7,
         "call|phone|tel|mobile|fon|llame|fax",
         lambda t: F.contains(t, F.lit("+")),
+        4,
     ),
 )
 #: Kinds the method adds: account numbers by mod 97.
@@ -121,37 +126,75 @@ EXTRA = (
         0.8,
         "iban|bank|account|konto|cuenta|compte",
         lambda t: t.rlike("[A-Z]{2}[0-9]{2}"),
+        12,
     ),
 )
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sums_before(sizes: Column) -> Column:
+    """For every element of an array of numbers (a bound value, not empty) the sum of those before it.
+
+    Two levels: the sums of blocks of about the square root of the length, and within a block.
+    """
+    zero, n = F.lit(0), F.size(sizes)
+    total = lambda part: F.aggregate(part, zero, lambda a, x: a + x)
+    block = F.ceil(F.sqrt(n)).cast("int")
+    blocks = lambda b: F.sequence(zero, F.ceil(n / b).cast("int") - 1)
+
+    def with_block(b: Column) -> Column:
+        totals = F.transform(blocks(b), lambda k: total(F.slice(sizes, k * b + 1, b)))
+        before = let(totals, lambda t: F.transform(blocks(b), lambda k: total(F.slice(t, F.lit(1), k))))
+        place = lambda i: (i - i % b + 1, (i / b).cast("int"), i % b)  # noqa: E731  first of its block, block, place in it
+        inside = lambda i: total(F.slice(sizes, place(i)[0], place(i)[2]))
+        return let(before, lambda base: F.transform(sizes, lambda _, i: base[place(i)[1]] + inside(i)))
+
+    return let(block, with_block)
+
+
 def find(text: Column, kind: Kind) -> Column:
-    """Valid spans of one kind, ordered; matches that fail the validator are dropped, with no second try."""
-    pieces = F.transform(F.split(text, kind.pattern, -1), lambda p: F.length(p))
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    sizes = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("gap"), matches.alias("hit"))
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        end = start + F.length(x["hit"])
-        own = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))
-        return F.struct(end.alias("at"), F.when(kind.valid(x["hit"]), F.concat(a["got"], own)).otherwise(a["got"]).alias("got"))
-
-    got = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), empty.alias("got")), step)["got"]
-
-    def scored(s: Column) -> Column:
-        left = F.greatest(s["start"] - WINDOW, F.lit(0))
-        near = F.concat_ws(
-            " ", F.substring(text, left + 1, s["start"] - left), F.substring(text, s["end"] + 1, F.lit(WINDOW))
+    """Valid spans of one kind, ordered; matches that fail the validator are dropped, with no second try.
+
+    Positions are sums over the pieces before a match and context comes from the pieces around it, so a text with very many matches
+    takes little more than one with few.
+    """
+    gaps, hits = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+
+    def matched(m: Column) -> Column:
+        sizes = F.transform(m["hits"], lambda h, i: F.length(m["gaps"][i]) + F.length(h))
+        start = let(sizes, sums_before)
+        spots = let(start, lambda s: F.transform(m["hits"], lambda h, i: F.struct(i.alias("at"), (s[i] + F.length(m["gaps"][i])).alias("start"))))
+        valid = F.filter(spots, lambda x: kind.valid(m["hits"][x["at"]]))
+        pieces = F.struct(
+            m["hits"].alias("hits"),
+            F.transform(m["gaps"], lambda g: F.right(g, F.lit(WINDOW))).alias("tails"),
+            F.transform(m["gaps"], lambda g: F.left(g, F.lit(WINDOW))).alias("heads"),
+        )
+        return F.when(F.size(m["hits"]) > 0, let(pieces, lambda p: F.transform(valid, lambda x: scored(p, x))))
+
+    def scored(p: Column, x: Column) -> Column:
+        # this many matches on either side reach over the window
+        many = -(-WINDOW // kind.least)
+        first = F.greatest(x["at"] - many, F.lit(0))
+        left = F.concat(
+            F.array_join(F.transform(F.slice(p["hits"], first + 1, x["at"] - first), lambda h, i: F.concat(p["tails"][first + i], h)), ""),
+            p["tails"][x["at"]],
         )
-        near = F.lower(near).rlike(f"\\b(?:{kind.context})")
+        after = F.transform(F.slice(p["hits"], x["at"] + 2, F.lit(many)), lambda h, i: F.concat(h, p["heads"][x["at"] + 2 + i]))
+        right = F.concat(p["heads"][x["at"] + 1], F.array_join(after, ""))
+        near = F.lower(F.concat_ws(" ", F.right(left, F.lit(WINDOW)), F.left(right, F.lit(WINDOW)))).rlike(f"\\b(?:{kind.context})")
         score = F.when(near, kind.score + (1 - kind.score) / 2).otherwise(kind.score)
-        return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
+        end = x["start"] + F.length(p["hits"][x["at"]])
+        return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), end.alias("end"), score.alias("score"))
 
     none = F.array().cast(SPAN)
-    return F.when(kind.hint(text), F.transform(got, scored)).otherwise(none).cast(SPAN)
+    found = let(F.struct(gaps.alias("gaps"), hits.alias("hits")), matched)
+    return F.coalesce(F.when(kind.hint(text), found), none).cast(SPAN)
 
 
 def pii_spans(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = BASE + EXTRA) -> DataFrame:

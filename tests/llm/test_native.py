@@ -202,3 +202,13 @@ def test_mix_edges(edge_docs, no_docs):
     assert {r.times for r in rows if r.doc_id == 7} in ({0}, {1}, {2})  # repeated rows are taken alike
     assert M.mix(no_docs).count() == 0
     assert "rank" in M.mix(edge_docs).columns and M.mix(edge_docs).first()["rank"] == "clash"
+
+
+def test_pii_many_matches_in_one_text(spark):
+    parts = [f"u{i}@example.com" + (" mail " if i % 500 == 0 else " x" * (i % 7)) for i in range(20_000)]
+    text = " ".join(parts)
+    r = X.pii_spans(spark.createDataFrame([(1, text)], "doc_id int, text string"), kinds=X.BASE[:1]).first()
+    want = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert [(s.start, s.end) for s in r.pii_email] == want and len(want) == 20_000
+    near = [bool(re.search(r"\b(?:mail|contact|write|kontakt|correo|courriel)", (text[max(a - X.WINDOW, 0) : a] + " " + text[b : b + X.WINDOW]).lower())) for a, b in want]
+    assert [s.score > 0.9 for s in r.pii_email] == near
