@@ -13,8 +13,8 @@ number of ids and the sizes of its planes, so a reader can fetch any range of id
 ids of the documents (with a flag for null) and where each one ends.
 
 One Spark partition writes one file, holding a range of document ids. Files are written under a temporary
-name and moved when complete; names and contents depend on the input alone, so a repeated task replaces
-its file with the same bytes.
+name and moved when complete; names and contents depend on the input and its cut into partitions alone, so a repeated task
+replaces its file with the same bytes.
 """
 
 from __future__ import annotations
@@ -54,13 +54,12 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class WordEncoder:
-    """Ids of whole texts for tokenizers that drop white space and never look across it.
+    """Ids of whole texts, equal to ``tokenizer.encode(text, add_special_tokens=False).ids`` for any vocabulary of the library.
 
-    The text is cut at ASCII white space and every distinct word is encoded once; words are remembered in two generations,
-    so that those in use outlive the others. The result equals ``tokenizer.encode(text, add_special_tokens=False).ids``.
-
-    With a tokenizer that lower-cases and splits letters from marks, a word of plain letters, with or without full stops and
-    commas after it, goes straight to the tokenizer's model.
+    A tokenizer whose normaliser and splitter drop white space and never look across it (it lower-cases, and splits letters from
+    marks) is used word by word: the text is cut at ASCII white space and every distinct word is encoded once; words are
+    remembered in two generations, so that those in use outlive the others, and a word of plain letters, with or
+    without full stops and commas after it, goes straight to the tokenizer's model. Every other tokenizer gets whole texts.
     """
 
     def __init__(self, vocabulary: str):
@@ -95,7 +94,7 @@ class WordEncoder:
         rest = []
         for w in words:
             known = self.older.get(w)
-            if known is None and self.letters:
+            if known is None:
                 bare = w.rstrip(b".,")
                 text = bare.decode("utf-8", "replace").lower()
                 if _LETTERS.fullmatch(text):
@@ -115,14 +114,15 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes], end: int | None) -> list[bytes]:
         """Per text its ids as little-endian 32-bit numbers."""
-        if self.letters:  # special tokens keep their spelling
-            texts = [t if b"<|" in t else t.lower() for t in texts]
+        tail = b"" if end is None else end.to_bytes(4, "little")
+        if not self.letters:
+            return [ids + tail for ids in self._whole(texts)]
+        texts = [t if b"<|" in t else t.lower() for t in texts]  # special tokens keep their spelling
         words = [t.split() for t in texts]
         fresh = {w for ws in words for w in ws}
         if len(self.known) > WORDS_KEPT:
             self.known, self.older = {}, self.known
         self._learn(fresh.difference(self.known))
-        tail = b"" if end is None else end.to_bytes(4, "little")
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) + tail for ws in words]
 

@@ -303,3 +303,14 @@ def test_pipeline_stages_on_edges(spark, edge_docs, no_docs, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             docs = materialise(stage(spark, docs, str(tmp_path)), name)
             assert docs.count() <= most
+
+
+@pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_those_of_the_tokenizer(vocabulary):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["hello world  again", "", " \n\t ", "Ünïcode naïve, Straße. <|endoftext|> x", "日本語 テキスト no break", "a.b,c..  DON'T 123 4567", "tab\tand\nline " * 50]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    got = B.WordEncoder(vocabulary).encode([t.encode() for t in texts], None)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
