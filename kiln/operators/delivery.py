@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kiln.plans.names import prod_name
 from kiln.sources.attach import read_source_table
 from kiln.sources.ods import bulk_copy, ensure_database, run_per_table, write_table
-from kiln.sources.publish import GRACE, new_attempt, switch_view
+from kiln.sources.publish import GRACE, attempt_path, folder_exists, new_attempt, restore_folder, swap_folder, switch_view
 
 RESULT_SCHEMA = "clean_table string, prod_table string, strategy string, status string, rows long, message string"
 STRATEGIES = ("atomic", "replace", "copy")
@@ -141,15 +141,27 @@ def delivery_summary(results: DataFrame) -> DataFrame:
 
 
 def append_history(
-    spark: SparkSession, path: str, rows: DataFrame, run_id: int, kind: str, operation: str = "", target: str = "", details: str = ""
-) -> None:
+    spark: SparkSession,
+    path: str,
+    rows: DataFrame,
+    run_id: int,
+    kind: str,
+    operation: str = "",
+    target: str = "",
+    details: str = "",
+    key: str | None = None,
+) -> bool:
     """Append one attempt's rows (check results or delivered counts) to the history table.
 
     ``rows`` needs ``item`` (check or table name) and ``value`` (failures or
     rows); time is UTC, the user is the Spark user. No secrets are written. Nothing is ever replaced: what a rerun
-    writes counts instead of its earlier attempt's rows of the same items (:func:`latest_attempts`).
+    writes counts instead of its earlier attempt's rows of the same items (:func:`latest_attempts`). With ``key`` (of the job that
+    appends) the append can be repeated: rows of that key are not appended twice. Returns whether rows were appended.
     """
+    if key is not None and any(key == k for k in _history_keys(spark, path, run_id, kind)):
+        return False
     attempt = f"{time.time_ns() // 1_000:020d}_{uuid.uuid4().hex[:6]}"
+    attempt = attempt if key is None else f"{attempt}:{key}"
     out = rows.select(
         F.lit(run_id).cast("long").alias("run_id"),
         F.lit(kind).alias("kind"),
@@ -163,6 +175,31 @@ def append_history(
         F.lit(attempt).alias("attempt"),
     )
     out.write.mode("append").partitionBy("run_id", "kind").parquet(path)
+    return True
+
+
+def _history_keys(spark: SparkSession, path: str, run_id: int, kind: str) -> list[str]:
+    """Keys of the appends of a run and kind (a few)."""
+    folder = f"{path.rstrip('/')}/run_id={run_id}/kind={kind}"
+    if not folder_exists(spark, folder):
+        return []
+    attempts = spark.read.parquet(folder).select("attempt").distinct().collect()
+    return [r.attempt.partition(":")[2] for r in attempts if ":" in r.attempt]
+
+
+def compact_history(spark: SparkSession, path: str, grace: float = GRACE) -> int:
+    """Rewrite the history with one file for each run and kind; returns the rows.
+
+    The new files are written beside the old ones and take their place when complete; a failed compaction changes nothing. No
+    append may run meanwhile.
+    """
+    restore_folder(spark, path)
+    rows = spark.read.parquet(path)
+    attempt = attempt_path(path)
+    rows.repartition("run_id", "kind").write.partitionBy("run_id", "kind").parquet(attempt)
+    n = spark.read.parquet(attempt).count()
+    swap_folder(spark, attempt, path, grace)
+    return n
 
 
 def latest_attempts(history: DataFrame) -> DataFrame:

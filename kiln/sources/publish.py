@@ -122,7 +122,7 @@ def _split(path: str) -> tuple[str, str]:
     return parent, name
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def folder_exists(spark: SparkSession, path: str) -> bool:
     fs, p = _hadoop(spark, path)
     return fs.exists(p)
 
@@ -147,8 +147,8 @@ def swap_folder(spark: SparkSession, attempt: str, path: str, grace: float = GRA
     """
     parent, name = _split(path)
     old = f"{path.rstrip('/')}__old"
-    if _exists(spark, path):
-        if _exists(spark, old):
+    if folder_exists(spark, path):
+        if folder_exists(spark, old):
             remove_folder(spark, old)
         _rename(spark, path.rstrip("/"), old)
         try:
@@ -166,7 +166,7 @@ def swap_folder(spark: SparkSession, attempt: str, path: str, grace: float = GRA
 def restore_folder(spark: SparkSession, path: str) -> None:
     """After a crash between the renames of :func:`swap_folder`: the old rows get their name back."""
     old = f"{path.rstrip('/')}__old"
-    if not _exists(spark, path) and _exists(spark, old):
+    if not folder_exists(spark, path) and folder_exists(spark, old):
         log.warning("restoring %s", path)
         _rename(spark, old, path.rstrip("/"))
 

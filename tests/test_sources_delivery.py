@@ -496,3 +496,18 @@ def test_jdbc_parts_of_few_values(spark):
     assert jdbc_parts(spark, target, "N", '"k"', 6)[1] == [9]
     bulk_copy(spark.range(0).selectExpr("id", "id AS k"), {**target, "dbtable": "E"})
     assert jdbc_parts(spark, target, "E", '"k"', 6)[1] == []
+
+
+def test_history_appends_once_per_key_and_compacts(spark):
+    path = shared_dir(spark, "history", uid())
+    rows = lambda n: spark.createDataFrame([("a", n), ("b", n + 1)], "item string, value long")
+    assert D.append_history(spark, path, rows(1), 1, "check", key="job-1")
+    assert not D.append_history(spark, path, rows(1), 1, "check", key="job-1")  # a retry
+    assert D.append_history(spark, path, rows(5), 1, "check", key="job-2")
+    assert D.append_history(spark, path, rows(7), 2, "check")
+    before = sorted(map(tuple, D.compare_runs(spark.read.parquet(path)).collect()))
+    assert spark.read.parquet(path).count() == 6 and len(before) == 4
+    assert D.compact_history(spark, path) == 6
+    after = spark.read.parquet(path)
+    assert len(after.inputFiles()) == 2 and sorted(map(tuple, D.compare_runs(after).collect())) == before
+    assert not D.append_history(spark, path, rows(1), 1, "check", key="job-2")
