@@ -7,33 +7,37 @@ from pyspark.sql import functions as F
 
 from kiln.llm.common import materialise
 
-#: Parts of a node's edges.
-PARTS = 8
+#: A node is hot with more edges than this, or than a ``HOT_SHARE``-th of all edges if that is more: so the hot nodes that are
+#: broadcast are at most twice as many as ``HOT_SHARE``, however many edges there are.
+HOT, HOT_SHARE = 100, 100_000
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
-    """Join every edge with its node's ``m``. A node with very many edges is divided into ``PARTS`` by the other end, and ``low``,
-    one row per node, is repeated for each."""
-    part = F.pmod(F.xxhash64("v"), F.lit(PARTS))
-    spread = low.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumn("part", F.col("part").cast("bigint"))
-    return edges.withColumn("part", part).join(spread, ["u", "part"])
+def _with_low(edges: DataFrame, low: DataFrame, hot: int) -> DataFrame:
+    """Join every edge with its node's ``m``; ``low`` has one row per node, with its number of edges ``n``.
+
+    The few nodes with more than ``hot`` edges are broadcast, so that their edges are not gathered in one task.
+    """
+    few = F.broadcast(low.where(F.col("n") > hot).select("u", F.col("m").alias("hot_m")))
+    marked = edges.join(few, "u", "left")
+    cold = marked.where("hot_m IS NULL").select("u", "v").join(low.where(F.col("n") <= hot).select("u", "m"), "u")
+    return marked.where("hot_m IS NOT NULL").select("u", "v", F.col("hot_m").alias("m")).unionByName(cold)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, hot: int) -> DataFrame:
     """Every larger neighbour of a node moves to the smallest in the node's neighbourhood."""
     both = _both(edges)
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _with_low(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_low(both.where("v > u"), low, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hot: int) -> DataFrame:
     """Every node and its smaller neighbours move to the smallest of them; ``edges`` has u > v."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = _with_low(edges, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("n"))
+    moved = _with_low(edges, low, hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -53,7 +57,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         if not state[0] or state == seen:
             break
         seen = state
-        edges = materialise(_small_star(_large_star(edges)), "edges")
+        hot = max(HOT, state[0] // HOT_SHARE)
+        edges = materialise(_small_star(_large_star(edges, hot), hot), "edges")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component"))
     ).distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from kiln.llm import bitplane_tokens as B
 from kiln.llm import decontaminate as D
+from kiln.llm import components as K
 from kiln.llm import fast_minhash as N
 from kiln.llm.common import materialise
 from kiln.llm.components import connected_components
@@ -116,6 +117,24 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_nodes_are_not_repeated_for_their_edges(spark, monkeypatch):
+    """Hot nodes are broadcast; no node's row is repeated, whatever its number of edges."""
+    monkeypatch.setattr(K, "HOT", 3)
+    rnd = random.Random(2)
+    links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(150)] + [(1000, 1001 + i) for i in range(50)] + [(1020, 5)]
+    frame = spark.createDataFrame(links, "u long, v long")
+    top = {x: x for e in links for x in e}
+    for _ in top:
+        for u, v in links:
+            top[u] = top[v] = min(top[u], top[v])
+    assert {r.id: r.component for r in connected_components(frame).collect()} == {x: c for x, c in top.items() if any(x in e for e in links if e[0] != e[1])}
+    edges = frame.where("u > v").distinct()
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("n"))
+    joined = K._with_low(edges, low, 3)
+    assert joined.count() == edges.count()
+    assert "Generate" not in joined._jdf.queryExecution().toString()
+
+
 def words_of(text):
     return re.findall(r"\w+", text.lower())
 
