@@ -3,7 +3,7 @@
 Benchmark items are cut into passages of at most ``PASSAGE`` words, and documents are seen through windows of 32 and 64
 words every 16 words. Passages and windows are TF-IDF vectors over the words of the benchmark; words outside it
 count only for the length of a window's vector. A randomised SVD (subspace iteration, Halko, Martinsson and Tropp 2011)
-of the benchmark's passages and of a sample of corpus passages gives the latent space. Windows whose latent cosine with a
+of the benchmark's passages and of the passages of all documents gives the latent space. Windows whose latent cosine with a
 passage reaches ``COSINE`` are candidates, and a candidate is confirmed by the longest common subsequence
 of words and by the passage's answer (its last words).
 
@@ -11,8 +11,8 @@ Windows are longer than short passages, and common words weigh little, so an exa
 copy is therefore found besides, whatever its cosine: wherever a passage's rarest word occurs, the run of words around it is
 compared with the passage.
 
-What grows with the corpus is summed or filtered by Spark: document frequencies are counted over all documents,
-every window of every document is compared, and nothing is joined. Benchmark passages are handled in blocks of at most
+What grows with the corpus is summed or filtered by Spark: document frequencies and the Gram matrix of the passages (words by
+words) are summed over all documents, every window of every document is compared, and nothing is joined. Benchmark passages are handled in blocks of at most
 ``BLOCK``, so the model that every worker gets is bounded (``BLOCK * PASSAGE`` words by ``RANK`` numbers).
 
 The projection of a window and its product with a passage are sums over words, so both are taken from one table of words by
@@ -22,6 +22,7 @@ passages.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,10 @@ COSINE = 0.2
 #: Benchmark passages in one latent space, its dimensions, and the extra dimensions of the iteration.
 BLOCK, RANK, EXTRA = 256, 320, 16
 ROUNDS = 2
-#: Documents whose passages take part in fitting the latent space (expected number).
-SAMPLE_DOCS = 2000
+#: Cells of the Gram matrix that a worker sums at a time (8 bytes each): more words than 4096 take several passes.
+CELLS = 1 << 24
+#: Products of pairs of words that are formed at once.
+PAIRS = 1 << 17
 #: Share of a passage's words that must be found in order, alone or with the share of its answer.
 LCS_ALONE, LCS_WITH, ANSWER = 0.8, 0.6, 0.75
 SHORT = 8
@@ -178,23 +181,28 @@ def rows_of(found: np.ndarray, cuts: np.ndarray, idf: np.ndarray) -> Iterator[tu
             yield word.astype(np.int32), (weight / max(np.linalg.norm(weight), 1e-9)).astype(np.float32)
 
 
-def corpus_rows(docs: DataFrame, words: Vocabulary, idf: np.ndarray, share: float) -> DataFrame:
-    """TF-IDF vectors of the passages of the sampled documents (those whose id hash falls below ``share``)."""
+def corpus_rows(docs: DataFrame, words: Vocabulary, idf: np.ndarray) -> DataFrame:
+    """Unit TF-IDF vectors of the passages of all documents, words ascending; passages without known words have none."""
+    size = len(words.hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(0), SLICE):
+            for _, _, data, offsets in text_slices(batch.column(0)):
                 h, first = word_hashes(data, offsets)
-                found = words.find(h)
-                cuts = [np.append(np.arange(x, y, PASSAGE), y) for x, y in zip(first[:-1], first[1:], strict=True) if y > x]
-                rows = [r for c in cuts for r in rows_of(found, c, idf)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))],
-                    ["word", "weight"],
-                )
-
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("latent")), F.lit(1 << 20)) / (1 << 20)
-    return docs.where(chance < share).select("text").mapInArrow(run, "word array<int>, weight array<float>")
+                found, n = words.find(h), np.diff(first)
+                begin = np.concatenate([[0], np.cumsum(-(-n // PASSAGE))])
+                passage = np.repeat(begin[:-1], n) + (np.arange(len(h)) - np.repeat(first[:-1], n)) // PASSAGE
+                known = found >= 0
+                key, count = np.unique(passage[known] * size + found[known], return_counts=True)
+                of, word = np.divmod(key, size)
+                weight = (1 + np.log(count)) * idf[word]
+                length = np.sqrt(np.bincount(of, weight**2, begin[-1]))
+                weight = weight / np.maximum(length[of], 1e-9)
+                ends = pa.array(np.flatnonzero(np.diff(of, prepend=-1, append=-1)).astype(np.int32) if len(of) else np.zeros(1, np.int32))
+                columns = [pa.array(word.astype(np.int32)), pa.array(weight.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, c) for c in columns], ["word", "weight"])
+
+    return docs.select("text").mapInArrow(run, "word array<int>, weight array<float>")
 
 
 def _gram(rows: list[tuple[np.ndarray, np.ndarray]], basis: np.ndarray, small: bool) -> np.ndarray:
@@ -216,17 +224,80 @@ def _gram(rows: list[tuple[np.ndarray, np.ndarray]], basis: np.ndarray, small: b
     return out
 
 
-def gram_products(rows: DataFrame, basis: np.ndarray, small: bool) -> np.ndarray:
-    """The same over rows in Spark: one partial product per partition, summed slice by slice of the basis's rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(basis.astype(np.float32))
-    shape = (basis.shape[1],) * 2 if small else basis.shape
+def add_pairs(out: np.ndarray, low: int, size: int, word: np.ndarray, weight: np.ndarray, first: np.ndarray) -> None:
+    """Add every row's weight * weight of pairs of words (i, j), i <= j, to ``out``, the lines from ``low`` on of a matrix of ``size`` columns.
+
+    Row r has the ascending words ``word[first[r]:first[r + 1]]``. Rows of equal length are taken together.
+    """
+    n = np.diff(first)
+    for k in np.unique(n[n > 0]).tolist():
+        i, j = np.triu_indices(k)
+        starts = first[:-1][n == k]
+        step = max(1, PAIRS // len(i))
+        for a in range(0, len(starts), step):
+            at = starts[a : a + step, None] + np.arange(k)
+            w, x = word[at], weight[at]
+            cell = ((w - low) * size).take(i, 1) + w.take(j, 1)
+            sums = x.take(i, 1) * x.take(j, 1)
+            if len(out) < size * size:
+                inside = (cell >= 0) & (cell < len(out))
+                cell, sums = cell[inside], sums[inside]
+            np.add.at(out, cell.ravel(), sums.ravel())
+
+
+def gram_matrix(rows: DataFrame, size: int) -> DataFrame:
+    """The upper half of the Gram matrix (words by words, ``size`` each) of all ``rows`` (word, weight; words ascending), in lines.
+
+    Returns part (number of the first line), sums (lines of 32-bit floats) and own (sum of the diagonal there). Each task sums
+    its rows in a matrix of at most ``CELLS`` cells and there are no more tasks than cores, so what is
+    shuffled follows the cores and the benchmark's words, not the corpus. More words take one pass for every ``CELLS`` cells.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    height, deep = min(size, max(1, CELLS // size)), max(1, (1 << 16) // size)
+    if height < size:
+        rows = materialise(rows, "passages")
+    kind = "part bigint, sums binary, own double"
+
+    def lines(part: int, sums: np.ndarray) -> tuple[list[int], list[bytes], list[float]]:
+        return [part], [sums.astype(np.float32).tobytes()], [float(np.trace(sums, part))]
+
+    def summed(low: int) -> DataFrame:
+        high = min(low + height, size)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for batch in batches:
+                word, weight = batch.column(0), batch.column(1)
+                first = np.asarray(word.offsets) - word.offsets[0].as_py()
+                out = np.zeros((high - low) * size) if out is None else out
+                add_pairs(out, low, size, np.asarray(word.flatten(), np.int64), np.asarray(weight.flatten(), np.float64), first)
+            for k in range(low, high, deep) if out is not None else ():
+                part = out[(k - low) * size : (min(k + deep, high) - low) * size].reshape(-1, size)
+                yield pa.RecordBatch.from_pydict(dict(zip(("part", "sums", "own"), lines(k, part), strict=True)))
+
+        return rows.coalesce(cores).mapInArrow(run, kind)
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in t["sums"]).reshape(-1, size)
+        return pa.table(dict(zip(("part", "sums", "own"), lines(t["part"][0].as_py(), total), strict=True)))
+
+    parts = [summed(low) for low in range(0, size, height)]
+    return materialise(reduce(DataFrame.unionByName, parts).groupBy("part").applyInArrow(add, kind), "gram")
+
+
+def gram_times(gram: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """A^T (A basis) from the lines of :func:`gram_matrix`: one partial product per task, summed slice by slice of the basis's rows."""
+    context, shape = gram.sparkSession.sparkContext, basis.shape
+    shared = context.broadcast(basis.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(shape)
+        out, right = np.zeros(shape), shared.value
         for batch in batches:
-            pairs = zip(batch.column(0), batch.column(1), strict=True)
-            part = [(np.asarray(w.values, np.int64), np.asarray(x.values, np.float32)) for w, x in pairs]
-            out += _gram([r for r in part if len(r[0])], shared.value.astype(np.float64), small)
+            for part, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                upper = np.frombuffer(sums.as_buffer(), np.float32).reshape(-1, shape[0]).copy()
+                out[part : part + len(upper)] += upper @ right
+                upper[np.arange(len(upper)), part + np.arange(len(upper))] = 0
+                out += upper.T @ right[part : part + len(upper)]
         for k in range(0, shape[0], 256):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([out[k : k + 256].tobytes()], pa.binary())], ["part", "sums"])
 
@@ -235,26 +306,35 @@ def gram_products(rows: DataFrame, basis: np.ndarray, small: bool) -> np.ndarray
         return pa.table({"part": t["part"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
     kind = "part bigint, sums binary"
-    got = rows.mapInArrow(run, kind).groupBy("part").applyInArrow(add, kind).toArrow().sort_by("part")
+    lines = gram.select("part", "sums").coalesce(context.defaultParallelism)
+    got = lines.mapInArrow(run, kind).groupBy("part").applyInArrow(add, kind).toArrow().sort_by("part")
     shared.unpersist()
     out = [np.frombuffer(x.as_py()).reshape(-1, shape[1]) for x in got["sums"]]
     return np.concatenate(out) if out else np.zeros(shape)
 
 
+def gram_products(rows: DataFrame, basis: np.ndarray, small: bool) -> np.ndarray:
+    """The products of :func:`_gram` over rows in Spark (words ascending)."""
+    product = gram_times(gram_matrix(rows, len(basis)), basis)
+    return basis.T @ product if small else product
+
+
 def latent_space(own: list[tuple[np.ndarray, np.ndarray]], corpus: DataFrame, size: int, rank: int = RANK) -> np.ndarray:
     """Right singular vectors (words by dimensions) of the benchmark's rows and the corpus rows.
 
-    The corpus rows together weigh as much as the benchmark's, however many they are.
+    All corpus rows take part, by their Gram matrix, which is summed once. The corpus rows (unit vectors) together weigh as much
+    as the benchmark's, however many they are.
     """
-    n = corpus.count()
+    gram = gram_matrix(corpus, size)
+    n = gram.agg(F.sum("own")).first()[0] or 0.0
     weight = len(own) / n if n else 0.0
     width = min(rank + EXTRA, size)
     basis = np.linalg.qr(np.random.default_rng(7).normal(size=(size, width)))[0]
     for _ in range(ROUNDS):
-        product = _gram(own, basis, False) + (weight * gram_products(corpus, basis, False) if n else 0)
+        product = _gram(own, basis, False) + (weight * gram_times(gram, basis) if n else 0)
         basis = np.linalg.qr(product)[0]
-    inner = _gram(own, basis, True) + (weight * gram_products(corpus, basis, True) if n else 0)
-    _, turn = np.linalg.eigh(inner)
+    inner = _gram(own, basis, True) + (weight * (basis.T @ gram_times(gram, basis)) if n else 0)
+    _, turn = np.linalg.eigh((inner + inner.T) / 2)
     return (basis @ turn[:, ::-1][:, :rank]).astype(np.float32)
 
 
@@ -384,7 +464,7 @@ class Finder:
 LEAKS = "array<struct<item_id:bigint,lcs:double,answer:double,cosine:double,word:bigint>>"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Add ``leaks`` to ``docs`` (doc_id, text and any other columns): for every benchmark passage found, its item, the shares
     of the passage and its answer found in order, the latent cosine and the first word of the window (of an exact copy that
     no window led to, of the copy itself). Clean documents have none.
@@ -405,8 +485,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, sample_docs: int = SAMPLE_
         seen, n = document_frequencies(docs, words)
         idf = np.log((n + 1) / (seen + 1)) + 0.05
         rows = [next(rows_of(words.find(np.array(p.words, np.uint64)), np.array([0, p.size]), idf)) for p in block]
-        corpus = materialise(corpus_rows(docs, words, idf, min(1.0, sample_docs / max(n, 1))), "passages")
-        space = latent_space(rows, corpus, len(words.hashes))
+        space = latent_space(rows, corpus_rows(docs, words, idf), len(words.hashes))
         latent = np.stack([x.astype(np.float64) @ space[w] for w, x in rows])
         latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
         affinity = (idf[:, None] * (space @ latent.T)).astype(np.float32)

@@ -207,6 +207,32 @@ def test_distributed_and_local_products_agree(spark):
         assert np.allclose(D._gram(rows, basis, small), want, atol=1e-3)
 
 
+@pytest.mark.parametrize("cells", [1 << 24, 300])
+def test_latent_space_is_fitted_on_all_documents(spark, monkeypatch, cells):
+    """Every passage of every document counts, in one pass or, with more words than ``CELLS`` allows, in several."""
+    monkeypatch.setattr(D, "CELLS", cells)
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.choice([0, 1, 5, 64, 65, 300]))) for _ in range(5000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "unknown words"])], "doc_id long, text string").repartition(3)
+    data = np.frombuffer(" ".join(f"w{i}" for i in range(30)).encode(), np.uint8)
+    names = D.word_hashes(data, np.array([0, len(data)]))[0]
+    words, idf = D.Vocabulary(names), np.linspace(0.1, 3, 30)
+    number = {f"w{i}": int(k) for i, k in enumerate(words.find(names))}
+    rows = []
+    for text in texts:
+        w = text.split()
+        for a in range(0, len(w), D.PASSAGE):
+            found = np.array([number.get(x, -1) for x in w[a : a + D.PASSAGE]])
+            rows += D.rows_of(found, np.array([0, len(found)]), idf)
+    dense = np.zeros((len(rows), 30))
+    for i, (at, x) in enumerate(rows):
+        dense[i, at] = x
+    basis = np.random.default_rng(1).normal(size=(30, 7))
+    gram = D.gram_matrix(D.corpus_rows(docs, words, idf), 30)
+    assert np.allclose(D.gram_times(gram, basis), dense.T @ dense @ basis, rtol=1e-4, atol=1e-2)
+    assert abs(gram.agg(F.sum("own")).first()[0] - len(rows)) < 0.01 * len(rows) ** 0.5
+
+
 def test_latent_space_spans_the_leading_directions(spark):
     rng = np.random.default_rng(5)
     rows = [(np.sort(rng.choice(80, 12, replace=False)).astype(np.int32), rng.normal(size=12).astype(np.float32)) for _ in range(30)]
