@@ -40,7 +40,11 @@ def pii_values(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequen
     long = df.select(
         *[F.col(f"`{k}`").alias(i) for k, i in zip(keep, ids)], *[F.col(f"`{c}`").cast("string").alias(c) for c in cols]
     ).unpivot(ids, [f"`{c}`" for c in cols], "column_name", "value")
-    long = long.withColumnsRenamed(dict(zip(ids, keep)))
+    return _labelled(long.withColumnsRenamed(dict(zip(ids, keep))))
+
+
+def _labelled(long: DataFrame) -> DataFrame:
+    """Add pii_types to (column_name, value)."""
     # stripped text and its digits in their own projection: computed once, not per pattern
     strip, digits, labels = _label_exprs()
     prep = long.withColumn("__s", strip).withColumn("__d", digits)
@@ -62,10 +66,14 @@ def _token_label_exprs(hint: bool) -> tuple[Column, Column, Column]:
 def _scan_exprs() -> tuple[Column, tuple[Column, ...], Column]:
     """Per-column folding of labelled values: tagged labels, the aggregates, the top three labels."""
     tagged = F.concat(F.lit(","), F.col("pii_types"), F.lit(",")).alias("__p")
+
+    def total(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("value").isNotNull() & cond, F.col("count"))), F.lit(0))
+
     aggs = (
-        F.count(F.lit(1)).alias("samples"),
-        F.count_if(F.col("__p") != ",,").alias("hits"),
-        *[F.count_if(F.col("__p").contains(f",{lab},")).alias(f"__n{i}") for i, lab in enumerate(LABELS)],
+        total(F.lit(True)).alias("samples"),
+        total(F.col("__p") != ",,").alias("hits"),
+        *[total(F.col("__p").contains(f",{lab},")).alias(f"__n{i}") for i, lab in enumerate(LABELS)],
     )
     # up to three labels by count, ties in label order: struct order (-count, position)
     ranked = F.array(*[F.struct((-F.col(f"__n{i}")).alias("k"), F.lit(i).alias("o"), F.lit(lab).alias("label")) for i, lab in enumerate(LABELS)])
@@ -79,21 +87,28 @@ def pii_scan(
     columns: Sequence[str] | None = None,
     sample_fraction: float | None = None,
     seed: int = 17,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Which columns hold personal data, and of which types.
 
     A name hit (I2) wins outright. Otherwise the share of non-NULL values with
     any label must reach ``threshold``; the up to three most frequent labels
     are reported (ties in label order). The whole column is scanned unless a
-    ``sample_fraction`` is given.
+    ``sample_fraction`` is given. ``counts`` are the whole table's :func:`value_counts` where the caller has them: every distinct
+    value is then labelled once and counts as often as it occurs.
     """
     cols = _text_columns(df, columns)
-    src = df.sample(fraction=sample_fraction, seed=seed) if sample_fraction else df
-    labeled = pii_values(src, cols).filter(F.col("value").isNotNull())
+    if counts is None:
+        src = df.sample(fraction=sample_fraction, seed=seed) if sample_fraction else df
+        labeled = pii_values(src, cols).filter(F.col("value").isNotNull()).withColumn("count", F.lit(1))
+    elif sample_fraction:
+        raise ValueError("counts are of the whole table: no sample_fraction")
+    else:
+        labeled = _labelled(counts)  # NULL goes in the aggregates: a filter would sink below the counts and split their exchange
     # values are labelled once and folded by one partial aggregation per column:
     # the share with any label and a count per label (a fixed, small set)
     tagged, aggs, value_types = _scan_exprs()
-    per_col = labeled.select("column_name", tagged).groupBy("column_name").agg(*aggs)
+    per_col = labeled.select("column_name", "value", "count", tagged).groupBy("column_name").agg(*aggs)
     per_col = per_col.select("column_name", "samples", "hits", value_types)
     spark = df.sparkSession
     names = spark.createDataFrame(

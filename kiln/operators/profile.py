@@ -28,6 +28,8 @@ log = logging.getLogger(__name__)
 _COUNTS_ONLY = (T.MapType, T.ArrayType, T.StructType, T.BinaryType, T.VariantType)
 #: The sketch's relative standard deviation (Spark's default), and how many of them count as within its error.
 SKETCH_RSD, SKETCH_SIGMAS = 0.05, 3
+#: Values (rows by columns) of one partition that are unpivoted and grouped as they are.
+TASK_VALUES = 4_000_000
 
 
 def _fields(df: DataFrame, columns: list[str] | None = None) -> list[T.StructField]:
@@ -107,9 +109,24 @@ def _value_is_null(slot_names: list[str]) -> Column:
     return cond
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """``df``, its rows dealt out evenly if a partition holds more than ``TASK_VALUES`` values (rows by columns).
+
+    A small file of many short rows is read by one task, whose map of distinct values would otherwise grow with the table.
+    The rows of each partition are counted by a job of their own, which reads no column.
+    """
+    width = max(1, len(df.columns))
+    parts = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    parts, rows, most = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if most * width <= TASK_VALUES:
+        return df
+    return df.repartition(max(parts, -(-rows * width // TASK_VALUES)))
+
+
 def typed_counts(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """``(column_name, value struct, count)``: one partial-aggregated shuffle for all columns."""
-    long, slot_names = typed_values(df, columns)
+    wanted = groupable_columns(df, columns)
+    long, slot_names = typed_values(spread_rows(df.select(*[F.col(f"`{c}`") for c in wanted])) if wanted else df, columns)
     return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count")), slot_names
 
 

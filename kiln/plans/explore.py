@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from kiln.operators.pii import mask_profile, pii_scan
-from kiln.operators.profile import catalog_summary, column_stats, profile_catalog
+from kiln.operators.profile import catalog_summary, column_stats, groupable_columns, profile_catalog, value_counts
 from kiln.sources.attach import list_source_tables, read_source_table
 
 log = logging.getLogger(__name__)
@@ -64,9 +64,10 @@ def explore(
     for t in names:
         if t not in readable:
             continue
-        stats = column_stats(frames[t], t, approx=approx)
+        counts = value_counts(frames[t]) if groupable_columns(frames[t]) and not approx else None  # shared by both
+        stats = column_stats(frames[t], t, approx=approx, counts=counts)
         if mask_sensitive:
-            scan = pii_scan(frames[t], threshold)  # one row per column, joined lazily
+            scan = pii_scan(frames[t], threshold, counts=counts)  # one row per column, joined lazily
             stats = mask_profile(stats, scan, keep=("detected_by", "pii_types"))
         parts.append(stats)
     if parts:

@@ -183,3 +183,25 @@ def test_candidate_tokens_equal_split_and_filter(spark):
     lab = toks.select("id", F.explode(F.split(X.pii_labels(F.col("t")), ",")).alias("label")).filter("label <> ''")
     want = {(r.id, r.label, r["count"]) for r in lab.groupBy("id", "label").count().collect()}
     assert got == want and got
+
+
+def test_scan_of_counted_values_labels_each_distinct_value_once(spark):
+    """A scan of a table's value counts gives what a scan of its rows gives."""
+    from kiln.operators.profile import value_counts
+
+    rows = [("13800138000", "a@b.com", i % 3, None) for i in range(30)] + [("x", None, 1, None), (None, "plain", 2, None), (" 13900139000 ", "", None, None)] * 4
+    df = spark.createDataFrame(rows, "p string, contact string, k int, none string")
+    assert I.pii_scan(df, counts=value_counts(df)).collect() == I.pii_scan(df).collect()
+    assert {r.column_name: (r.samples, r.detected_by) for r in I.pii_scan(df, counts=value_counts(df)).collect()}["p"] == (38, "value")
+    empty = df.limit(0)
+    assert I.pii_scan(empty, counts=value_counts(empty)).collect() == I.pii_scan(empty).collect()
+
+
+def test_explore_groups_the_values_of_a_table_once(spark, tmp_path):
+    from kiln.plans.explore import explore
+
+    spark.createDataFrame([(i, f"u{i}@example.com") for i in range(50)], "k int, mail string").write.parquet(f"{tmp_path}/t.parquet")
+    found = explore(spark, {"id": "s", "format": "parquet", "path": str(tmp_path)}).columns
+    assert {r.column_name: r.detected_by for r in found.collect()}["mail"] in ("name", "value")
+    text = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum("Exchange hashpartitioning(column_name" in line and ", value#" in line and "ReusedExchange" not in line for line in text.splitlines()) == 1

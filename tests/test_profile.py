@@ -303,3 +303,16 @@ def test_nulls_stay_null_beside_a_not_null_column(spark):
     assert counts["nothing", None] == 30 and counts["few", None] == 27
     assert {r.column_name: r.unique_count for r in P.unique_count(rows).collect()} == {"id": 30, "nothing": 0, "flag": 2, "few": 3}
     assert pii_values(rows, ["id", "nothing", "few"]).where("value IS NULL").count() == 57
+
+
+def test_rows_of_one_large_partition_are_spread_before_they_are_grouped(spark, monkeypatch):
+    """The map of distinct values of one task is bounded, however many rows a file holds."""
+    monkeypatch.setattr(P, "TASK_VALUES", 1000)
+    df = spark.range(0, 2000, 1, 1).select("id", (F.col("id") % 7).cast("string").alias("s"))
+    assert P.spread_rows(df).rdd.getNumPartitions() == 4
+    assert P.spread_rows(df.repartition(8)).rdd.getNumPartitions() == 8
+    assert max(P.spread_rows(df).rdd.glom().map(len).collect()) <= 510
+    text = P.typed_counts(df)[0]._jdf.queryExecution().toString()
+    assert "RoundRobinPartitioning(4)" in text
+    assert {r.column_name: r.unique_count for r in P.column_stats(df).collect()} == {"id": 2000, "s": 7}
+    assert P.spread_rows(df.limit(0)).count() == 0
