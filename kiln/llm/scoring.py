@@ -12,10 +12,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from kiln.llm.common import small_batches
-from kiln.llm.words import text_slices
+from kiln.llm.words import Hasher, find_words, text_slices
 
 #: Bytes of the words that a worker remembers, in each of two generations.
-WORD_BYTES = 48 << 20
+WORD_BYTES = 16 << 20
+#: Bytes of new words that are computed at once: their characters take some hundred times as much for the moment.
+FRESH_BYTES = 1 << 16
 
 _kept: dict[str, Callable] = {}
 
@@ -54,42 +56,66 @@ def add_scores(docs: DataFrame, text: str, schema: str, make: Callable[[], Calla
 class WordTable:
     """Numbers (one or several) of words, computed for each distinct word once: ``of(words)`` gives the rows.
 
-    Words are remembered in two generations of at most ``most`` bytes: when the younger is full it becomes the older, whose
-    words come back when they occur again; the others are forgotten with it.
+    Words are remembered by 64-bit hashes, as sorted arrays, in two generations of about ``most`` bytes: when the younger is full it
+    becomes the older, whose words come back when they occur again; the others are forgotten with it. Workers outlive
+    stages, and several of them wait while few work, so what each holds has to be small.
     """
 
-    #: Bytes of a word's entry besides its letters and numbers.
-    ENTRY = 140
+    #: Bytes of a word's entry besides its numbers.
+    ENTRY = 8
 
     def __init__(self, width: int, compute: Callable[[list[bytes]], np.ndarray], most: int = WORD_BYTES):
         self.width, self.compute, self.most = width, compute, most
-        self.place, self.rows, self.bytes = {}, np.zeros((0, width), np.float32), 0
-        self.old_place, self.old_rows = self.place, self.rows
-
-    def _add(self, words: list[bytes], rows: np.ndarray) -> None:
-        self.place.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
-        self.rows = np.concatenate([self.rows, rows])
-        self.bytes += sum(map(len, words)) + len(words) * (self.ENTRY + 4 * self.width)
+        self.place, self.rows = self.old_place, self.old_rows = np.zeros(0, np.uint64), np.zeros((0, width), np.float32)
+
+    @property
+    def bytes(self) -> int:
+        return len(self.place) * (self.ENTRY + 4 * self.width)
+
+    def _add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        at = np.searchsorted(self.place, keys)
+        self.place, self.rows = np.insert(self.place, at, keys), np.insert(self.rows, at, rows, axis=0)
+
+    @staticmethod
+    def _find(place: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the keys are in ``place``, and which of them are there."""
+        if not len(place):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(place, keys), len(place) - 1)
+        return at, place[at] == keys
+
+    def _computed(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        rows = np.zeros((len(starts), self.width), np.float32)
+        part = np.cumsum(ends - starts) // FRESH_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(starts)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            words = [raw[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
+            rows[a:b] = self.compute(words).reshape(b - a, self.width)
+        return rows
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of all words of the texts, and where each text's words begin (one more at the end)."""
-        words = [t.split() for t in texts]
-        wanted = {w for ws in words for w in ws}
+        raw = b"".join(texts)
+        data = np.frombuffer(raw, np.uint8)
+        w = find_words(data, np.cumsum([0, *map(len, texts)]))
+        if not len(w.starts):
+            return np.zeros((0, self.width), np.float32), w.first
+        keys, one, back = np.unique(Hasher(data)(w.starts, w.ends), return_index=True, return_inverse=True)
         if self.bytes > self.most:
             self.old_place, self.old_rows = self.place, self.rows
-            self.place, self.rows, self.bytes = {}, np.zeros((0, self.width), np.float32), 0
-        wanted.difference_update(self.place)
-        known = list(wanted.intersection(self.old_place)) if self.old_place is not self.place else []
-        if known:
-            self._add(known, self.old_rows[[self.old_place[w] for w in known]])
-            wanted.difference_update(known)
-        if wanted:
-            fresh = list(wanted)
-            self._add(fresh, self.compute(fresh).astype(np.float32).reshape(len(fresh), self.width))
-        first = np.cumsum([0, *map(len, words)])
-        get = self.place.__getitem__
-        at = np.fromiter((p for ws in words for p in map(get, ws)), np.int64, int(first[-1]))
-        return self.rows[at], first
+            self.place, self.rows = self.place[:0].copy(), self.rows[:0].copy()
+        rows = np.zeros((len(keys), self.width), np.float32)
+        at, known = self._find(self.place, keys)
+        rows[known] = self.rows[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            at, known = self._find(self.old_place, keys[new])
+            rows[new[known]] = self.old_rows[at[known]]
+            fresh = new[~known]
+            if len(fresh):
+                rows[fresh] = self._computed(raw, w.starts[one[fresh]], w.ends[one[fresh]])
+            self._add(keys[new], rows[new])
+        return rows[back], w.first
 
 
 def texts_of(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:

@@ -210,6 +210,33 @@ def test_word_tables_forget_only_the_oldest():
     assert asked.count(b"often") == 1 and len(asked) > 300
 
 
+def test_word_tables_take_few_bytes_a_word():
+    import tracemalloc
+
+    from kiln.llm.scoring import FRESH_BYTES, WordTable
+
+    most = []
+
+    def compute(words):
+        most.append(sum(map(len, words)))
+        return np.array([int(w) for w in words], float)
+
+    t = WordTable(1, compute)
+    tracemalloc.start()
+    try:
+        for lo in range(0, 300_000, 20_000):
+            rows, _ = t.of([b" ".join(b"%08d" % i for i in range(lo, lo + 20_000))])
+            assert rows[:, 0].tolist() == list(range(lo, lo + 20_000))
+        del rows
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 10 << 20  # as a dictionary of words: 32 MB
+    assert max(most) <= FRESH_BYTES + 8
+    rows, first = t.of([b"00000007 00299999", b"", b" 00000007"])
+    assert rows[:, 0].tolist() == [7, 299_999, 7] and first.tolist() == [0, 2, 2, 3] and len(t.place) == 300_000
+
+
 def test_viterbi_in_longer_blocks_is_the_same(monkeypatch):
     rng = np.random.default_rng(2)
     scores, first = rng.normal(0, 4, (900, 5)), np.array([0, 700, 700, 900])
