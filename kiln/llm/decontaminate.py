@@ -21,7 +21,7 @@ passages.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -181,8 +181,13 @@ def rows_of(found: np.ndarray, cuts: np.ndarray, idf: np.ndarray) -> Iterator[tu
             yield word.astype(np.int32), (weight / max(np.linalg.norm(weight), 1e-9)).astype(np.float32)
 
 
-def corpus_rows(docs: DataFrame, words: Vocabulary, idf: np.ndarray) -> DataFrame:
-    """Unit TF-IDF vectors of the passages of all documents, words ascending; passages without known words have none."""
+#: Maps Arrow batches in a worker.
+BatchMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+ROWS = "word array<int>, weight array<float>"
+
+
+def passage_rows(words: Vocabulary, idf: np.ndarray) -> BatchMap:
+    """Turns texts into unit TF-IDF vectors of their passages, words ascending; passages without known words have none."""
     size = len(words.hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +207,12 @@ def corpus_rows(docs: DataFrame, words: Vocabulary, idf: np.ndarray) -> DataFram
                 columns = [pa.array(word.astype(np.int32)), pa.array(weight.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, c) for c in columns], ["word", "weight"])
 
-    return docs.select("text").mapInArrow(run, "word array<int>, weight array<float>")
+    return run
+
+
+def corpus_rows(docs: DataFrame, words: Vocabulary, idf: np.ndarray) -> DataFrame:
+    """The :func:`passage_rows` of all documents."""
+    return docs.select("text").mapInArrow(passage_rows(words, idf), ROWS)
 
 
 def _gram(rows: list[tuple[np.ndarray, np.ndarray]], basis: np.ndarray, small: bool) -> np.ndarray:
@@ -245,9 +255,12 @@ def add_pairs(out: np.ndarray, low: int, size: int, word: np.ndarray, weight: np
             np.add.at(out, cell.ravel(), sums.ravel())
 
 
-def gram_matrix(rows: DataFrame, size: int) -> DataFrame:
+def gram_matrix(rows: DataFrame, size: int, make: BatchMap | None = None) -> DataFrame:
     """The upper half of the Gram matrix (words by words, ``size`` each) of all ``rows`` (word, weight; words ascending), in lines.
 
+    With ``make``, ``rows`` are what it makes the rows of; it runs in the worker that sums them, as a map of its own would
+    start a second worker for every task, and workers stay for the stages after this one.
+
     Returns part (number of the first line), sums (lines of 32-bit floats) and own (sum of the diagonal there). Each task sums
     its rows in a matrix of at most ``CELLS`` cells and there are no more tasks than cores, so what is
     shuffled follows the cores and the benchmark's words, not the corpus. More words take one pass for every ``CELLS`` cells.
@@ -255,7 +268,7 @@ def gram_matrix(rows: DataFrame, size: int) -> DataFrame:
     cores = rows.sparkSession.sparkContext.defaultParallelism
     height, deep = min(size, max(1, CELLS // size)), max(1, (1 << 16) // size)
     if height < size:
-        rows = materialise(rows, "passages")
+        rows, make = materialise(rows.mapInArrow(make, ROWS) if make else rows, "passages"), None
     kind = "part bigint, sums binary, own double"
 
     def lines(part: int, sums: np.ndarray) -> tuple[list[int], list[bytes], list[float]]:
@@ -266,7 +279,7 @@ def gram_matrix(rows: DataFrame, size: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = None
-            for batch in batches:
+            for batch in make(batches) if make else batches:
                 word, weight = batch.column(0), batch.column(1)
                 first = np.asarray(word.offsets) - word.offsets[0].as_py()
                 out = np.zeros((high - low) * size) if out is None else out
@@ -319,13 +332,15 @@ def gram_products(rows: DataFrame, basis: np.ndarray, small: bool) -> np.ndarray
     return basis.T @ product if small else product
 
 
-def latent_space(own: list[tuple[np.ndarray, np.ndarray]], corpus: DataFrame, size: int, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (words by dimensions) of the benchmark's rows and the corpus rows.
+def latent_space(
+    own: list[tuple[np.ndarray, np.ndarray]], corpus: DataFrame, size: int, rank: int = RANK, make: BatchMap | None = None
+) -> np.ndarray:
+    """Right singular vectors (words by dimensions) of the benchmark's rows and the corpus rows (``make``: see :func:`gram_matrix`).
 
     All corpus rows take part, by their Gram matrix, which is summed once. The corpus rows (unit vectors) together weigh as much
     as the benchmark's, however many they are.
     """
-    gram = gram_matrix(corpus, size)
+    gram = gram_matrix(corpus, size, make)
     n = gram.agg(F.sum("own")).first()[0] or 0.0
     weight = len(own) / n if n else 0.0
     width = min(rank + EXTRA, size)
@@ -485,7 +500,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         seen, n = document_frequencies(docs, words)
         idf = np.log((n + 1) / (seen + 1)) + 0.05
         rows = [next(rows_of(words.find(np.array(p.words, np.uint64)), np.array([0, p.size]), idf)) for p in block]
-        space = latent_space(rows, corpus_rows(docs, words, idf), len(words.hashes))
+        space = latent_space(rows, docs.select("text"), len(words.hashes), make=passage_rows(words, idf))
         latent = np.stack([x.astype(np.float64) @ space[w] for w, x in rows])
         latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
         affinity = (idf[:, None] * (space @ latent.T)).astype(np.float32)

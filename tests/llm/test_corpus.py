@@ -233,6 +233,30 @@ def test_latent_space_is_fitted_on_all_documents(spark, monkeypatch, cells):
     assert abs(gram.agg(F.sum("own")).first()[0] - len(rows)) < 0.01 * len(rows) ** 0.5
 
 
+@pytest.mark.parametrize("cells", [1 << 24, 300])
+def test_passages_are_summed_in_the_worker_that_makes_them(spark, monkeypatch, cells):
+    """A task of two Python maps holds two workers, which stay with their memory for later stages."""
+    monkeypatch.setattr(D, "CELLS", cells)
+    plans = []
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, name)
+
+    rnd = random.Random(4)
+    texts = [" ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.choice([0, 5, 64, 65, 300]))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string").repartition(3)
+    data = np.frombuffer(" ".join(f"w{i}" for i in range(30)).encode(), np.uint8)
+    words, idf, basis = D.Vocabulary(D.word_hashes(data, np.array([0, len(data)]))[0]), np.linspace(0.1, 3, 30), np.eye(30)
+    want = D.gram_times(D.gram_matrix(D.corpus_rows(docs, words, idf), 30), basis)
+    got = D.gram_times(D.gram_matrix(docs.select("text"), 30, D.passage_rows(words, idf)), basis)
+    assert got.any() and np.allclose(got, want, rtol=1e-5, atol=1e-4)
+    monkeypatch.setattr(D, "CELLS", 1 << 24)
+    monkeypatch.setattr(D, "materialise", written)
+    D.find_leaks(docs, spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string"))
+    assert plans and all(p.count("MapInArrow") <= 1 for p in plans)
+
+
 def test_latent_space_spans_the_leading_directions(spark):
     rng = np.random.default_rng(5)
     rows = [(np.sort(rng.choice(80, 12, replace=False)).astype(np.int32), rng.normal(size=12).astype(np.float32)) for _ in range(30)]
