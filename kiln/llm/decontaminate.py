@@ -234,8 +234,17 @@ def _gram(rows: list[tuple[np.ndarray, np.ndarray]], basis: np.ndarray, small: b
     return out
 
 
-def add_pairs(out: np.ndarray, low: int, size: int, word: np.ndarray, weight: np.ndarray, first: np.ndarray) -> None:
-    """Add every row's weight * weight of pairs of words (i, j), i <= j, to ``out``, the lines from ``low`` on of a matrix of ``size`` columns.
+def line_places(low: int, high: int, size: int) -> np.ndarray:
+    """The upper half of the lines from ``low`` to ``high`` of a matrix of ``size`` columns, packed: cell (i, j), i <= j, is at
+    ``places[i] + j``; of other lines that is negative."""
+    places = np.full(size, -2 * size, np.int64)
+    kept = np.arange(low, high)
+    places[low:high] = np.cumsum(size - kept) - size
+    return places
+
+
+def add_pairs(out: np.ndarray, places: np.ndarray, word: np.ndarray, weight: np.ndarray, first: np.ndarray) -> None:
+    """Add every row's weight * weight of pairs of words (i, j), i <= j, to ``out``, cells at :func:`line_places`.
 
     Row r has the ascending words ``word[first[r]:first[r + 1]]``. Rows of equal length are taken together.
     """
@@ -247,10 +256,10 @@ def add_pairs(out: np.ndarray, low: int, size: int, word: np.ndarray, weight: np
         for a in range(0, len(starts), step):
             at = starts[a : a + step, None] + np.arange(k)
             w, x = word[at], weight[at]
-            cell = ((w - low) * size).take(i, 1) + w.take(j, 1)
+            cell = places[w].take(i, 1) + w.take(j, 1)
             sums = x.take(i, 1) * x.take(j, 1)
-            if len(out) < size * size:
-                inside = (cell >= 0) & (cell < len(out))
+            if (places < -len(places)).any():
+                inside = cell >= 0
                 cell, sums = cell[inside], sums[inside]
             np.add.at(out, cell.ravel(), sums.ravel())
 
@@ -262,7 +271,7 @@ def gram_matrix(rows: DataFrame, size: int, make: BatchMap | None = None) -> Dat
     start a second worker for every task, and workers stay for the stages after this one.
 
     Returns part (number of the first line), sums (lines of 32-bit floats) and own (sum of the diagonal there). Each task sums
-    its rows in a matrix of at most ``CELLS`` cells and there are no more tasks than cores, so what is
+    its rows in the upper half of a matrix of at most ``CELLS`` cells and there are no more tasks than cores, so what is
     shuffled follows the cores and the benchmark's words, not the corpus. More words take one pass for every ``CELLS`` cells.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
@@ -278,14 +287,16 @@ def gram_matrix(rows: DataFrame, size: int, make: BatchMap | None = None) -> Dat
         high = min(low + height, size)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = None
+            out, places = None, line_places(low, high, size)
             for batch in make(batches) if make else batches:
                 word, weight = batch.column(0), batch.column(1)
                 first = np.asarray(word.offsets) - word.offsets[0].as_py()
-                out = np.zeros((high - low) * size) if out is None else out
-                add_pairs(out, low, size, np.asarray(word.flatten(), np.int64), np.asarray(weight.flatten(), np.float64), first)
+                out = np.zeros(places[high - 1] + size) if out is None else out
+                add_pairs(out, places, np.asarray(word.flatten(), np.int64), np.asarray(weight.flatten(), np.float64), first)
             for k in range(low, high, deep) if out is not None else ():
-                part = out[(k - low) * size : (min(k + deep, high) - low) * size].reshape(-1, size)
+                part = np.zeros((min(k + deep, high) - k, size))
+                for i, line in enumerate(part, k):
+                    line[i:] = out[places[i] + i : places[i] + size]
                 yield pa.RecordBatch.from_pydict(dict(zip(("part", "sums", "own"), lines(k, part), strict=True)))
 
         return rows.coalesce(cores).mapInArrow(run, kind)

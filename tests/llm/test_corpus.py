@@ -257,6 +257,21 @@ def test_passages_are_summed_in_the_worker_that_makes_them(spark, monkeypatch, c
     assert plans and all(p.count("MapInArrow") <= 1 for p in plans)
 
 
+@pytest.mark.parametrize(("low", "high", "size"), [(0, 7, 7), (2, 5, 7), (5, 7, 7), (0, 1, 1)])
+def test_gram_sums_take_half_a_matrix(low, high, size):
+    places = D.line_places(low, high, size)
+    cells = [places[i] + j for i in range(low, high) for j in range(i, size)]
+    assert cells == list(range(places[high - 1] + size))
+    assert all(places[i] + j < 0 for i in range(size) if not low <= i < high for j in range(size))
+    rows = [np.sort(np.random.default_rng(k).choice(size, size // 2 + 1, replace=False)) for k in range(20)]
+    first, out, want = np.cumsum([0, *map(len, rows)]), np.zeros(len(cells)), np.zeros((size, size))
+    weight = np.linspace(1, 2, first[-1])
+    D.add_pairs(out, places, np.concatenate(rows), weight, first)
+    for a, b, r in zip(first[:-1], first[1:], rows, strict=True):
+        want[np.ix_(r, r)] += np.outer(weight[a:b], weight[a:b])
+    assert np.allclose(out, np.concatenate([want[i, i:] for i in range(low, high)]))
+
+
 def test_latent_space_spans_the_leading_directions(spark):
     rng = np.random.default_rng(5)
     rows = [(np.sort(rng.choice(80, 12, replace=False)).astype(np.int32), rng.normal(size=12).astype(np.float32)) for _ in range(30)]
